@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.llm import packing, simhash
+from lexiloom.llm import mixing, packing, sharding, simhash
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -32,9 +32,22 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_mixing_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = mixing.draws(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    taken = F.aggregate("__lx_draws", F.lit(0).cast("long"), lambda a, d: a + d["words"])
+    return drawn.select("doc_id", F.col("__lx_size").alias("size"), F.col("__lx_source_size").alias("source_size"), F.col("__lx_target").alias("target"), taken.alias("taken"))
+
+
+def op9_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.kd_shards(table(spark, sf_dir, "documents"), n_shards=16)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 QUERIES = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_mixing_to_weights": op6_mixing_to_weights,
+    "op9_kd_sharding": op9_kd_sharding,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.llm import mixing, packing, sharding, simhash
+from lexiloom.llm import licenses, linededup, mixing, packing, sharding, simhash
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -23,11 +23,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clean = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text", F.length("text").alias("was")), report=True)
+    return clean.select(
+        "doc_id", F.col("__lx_chunks").cast("long").alias("n_chunks"), F.size("__lx_removed").cast("long").alias("removed_chunks"),
+        F.coalesce(F.col("was") - F.length("text"), F.lit(0)).cast("long").alias("removed_chars"), F.col("__lx_kept_doc_id").alias("kept_doc_id"), F.md5(F.coalesce("text", F.lit(""))).alias("clean_md5"),
+    )
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -44,10 +56,15 @@ def op9_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op3_license_scan": op3_license_scan,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_mixing_to_weights": op6_mixing_to_weights,
     "op9_kd_sharding": op9_kd_sharding,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_line_dedup": linededup.ORACLE,
+    "op3_license_scan": licenses.ORACLE,
+}

@@ -6,7 +6,7 @@ line, so it has two lines at least (but for the last one), and chunks of equal p
 stands before them. Chunks that occur more than once, anywhere, are compared byte by byte with the occurrence that
 stays, the one of the smallest doc_id and place, and removed if equal.
 
-DataFrame operations only. Hashes meet in a shuffle, pre-aggregated; texts of repeated chunks alone follow.
+DataFrame operations only. Each text is shuffled twice: its chunks, counted before the shuffle, and itself at the end.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import discard, materialize
+from lexiloom.llm.common import materialize
 
 LINE = r"[^\n.!?]*(?:[.!?]+[ \n]?|\n|\z)"
 #: Chunks of fewer characters stay: short phrases repeat by chance.
@@ -33,46 +33,58 @@ def _let(name: str, value: str, body: str) -> str:
     return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
-def _row_key() -> Column:
-    """Rows that repeat both doc_id and text are one document."""
-    return F.concat_ws(":", F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit(""))))
-
-
-def chunked(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``__lx_chunks``: array of (no, n lines, chunk), whose chunks joined are the text."""
+def chunked(docs: DataFrame, when: Column | None = None) -> DataFrame:
+    """``docs`` with ``__lx_chunks``: array of (no, n lines, chunk), whose chunks joined are the text; null unless ``when``."""
     lines = "filter(regexp_extract_all(coalesce(text, ''), r'" + LINE + "', 0), u -> u <> '')"
     body = _let("sizes", _SIZES, _let("starts", _STARTS, _CHUNKS))
-    return docs.withColumn("__lx_chunks", F.expr(_let("lines", lines, _let("hashes", _HASHES, _let("marks", _MARKS, body)))))
+    chunks = F.expr(_let("lines", lines, _let("hashes", _HASHES, _let("marks", _MARKS, body))))
+    return docs.withColumn("__lx_chunks", chunks if when is None else F.when(when, chunks))
+
+
+def _keys() -> list[Column]:
+    """Rows that repeat both doc_id and text are one document: 128 bits name it."""
+    text = F.coalesce("text", F.lit(""))
+    return [F.xxhash64("doc_id", text).alias("__lx_k1"), F.xxhash64(text, F.lit("key"), "doc_id").alias("__lx_k2")]
 
 
 def repeated_chunks(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``(row_key, no, kept_doc_id)``: chunks to remove, and the document that keeps each."""
-    one = chunked(docs.select("doc_id", "text")).select("doc_id", _row_key().alias("row_key"), F.explode("__lx_chunks").alias("c"))
-    one = one.filter((F.col("c.n") > 1) & (F.length("c.chunk") >= min_chars)).select("doc_id", "row_key", "c.no", F.col("c.chunk").alias("chunk"), F.md5("c.chunk").alias("h"))
-    place = F.struct("doc_id", "row_key", "no")
-    seen = one.groupBy("h").agg(F.count("*").alias("times"), F.min(place).alias("kept")).filter("times > 1").drop("times")
-    again = materialize(one.join(seen, "h"), "repeated")
-    keeper = again.filter(place.eqNullSafe(F.col("kept"))).select("h", F.col("chunk").alias("kept_chunk")).dropDuplicates(["h"])
-    gone = again.filter(~place.eqNullSafe(F.col("kept"))).join(keeper, "h").filter("chunk = kept_chunk")
-    return gone.select("row_key", "no", F.col("kept.doc_id").alias("kept_doc_id"))
+    """``(__lx_k1, __lx_k2, __lx_again)``: documents with repeated chunks; again: array of (no, hash, kept_doc_id).
+
+    Chunks are grouped by their very bytes, counted before the shuffle; groups then meet by hash, and a hash that two
+    different repeated texts share repeats nothing. What goes back to documents are hashes and ids.
+    """
+    one = chunked(docs.select("doc_id", "text")).select("doc_id", *_keys(), F.explode("__lx_chunks").alias("c"))
+    one = one.filter((F.col("c.n") > 1) & (F.length("c.chunk") >= min_chars))
+    same = one.groupBy(F.col("c.chunk").alias("chunk")).agg(F.count("*").alias("times"), F.min("doc_id").alias("kept_doc_id"))
+    seen = same.select(F.unhex(F.md5("chunk")).alias("h"), "times", "kept_doc_id").groupBy("h").agg(F.count("*").alias("texts"), F.max("times").alias("times"), F.min("kept_doc_id").alias("kept_doc_id"))
+    seen = materialize(seen.filter("texts = 1 and times > 1").select("h", "kept_doc_id"), "repeated")
+    again = one.select("__lx_k1", "__lx_k2", F.col("c.no").alias("no"), F.unhex(F.md5("c.chunk")).alias("h")).join(seen, "h")
+    return again.groupBy("__lx_k1", "__lx_k2").agg(F.array_sort(F.collect_set(F.struct("no", "h", "kept_doc_id"))).alias("__lx_again"))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, report: bool = False) -> DataFrame:
     """``docs``, all rows and columns, with the text less its repeated chunks (n_chars follows, if there).
 
-    With ``report``: also __lx_chunks (how many), __lx_removed (numbers of the removed chunks, ascending) and
-    __lx_kept_doc_id (who keeps the first of them). A text of which nothing is left becomes empty. Null texts stay null,
-    empty ones empty. Rows repeating doc_id and text are one document and stay alike; other copies lose what the first
-    keeps. A null doc_id sorts before others.
+    The first occurrence in the document of smallest doc_id stays; all others go. With ``report``: also __lx_removed
+    (numbers of the removed chunks, ascending), __lx_kept_doc_id (who keeps the first of them) and __lx_chunks (how many
+    chunks there were). A text of which nothing is left becomes empty. Null texts stay null, empty ones empty. Rows with
+    one doc_id are one document: they keep alike. A null doc_id keeps a chunk only if no other document has it.
     """
-    gone = repeated_chunks(docs, min_chars).groupBy("row_key").agg(F.sort_array(F.collect_set("no")).alias("__lx_removed"), F.min_by("kept_doc_id", "no").alias("__lx_kept_doc_id"))
-    d = chunked(docs.withColumn("__lx_key", _row_key())).join(gone.withColumnRenamed("row_key", "__lx_key"), "__lx_key", "left")
-    cut = F.expr("array_join(transform(filter(__lx_chunks, c -> not array_contains(__lx_removed, c.no)), c -> c.chunk), '')")
-    d = d.withColumn("__lx_text", F.when(F.col("__lx_removed").isNull(), F.col("text")).otherwise(cut))
+    keyed = docs.select("*", *_keys())
+    found = repeated_chunks(docs, min_chars)
+    d = keyed.join(found, ["__lx_k1", "__lx_k2"], "left")
+    gone = """transform(filter(transform(__lx_again, (c, i) -> named_struct('c', c, 'first', array_position(transform(__lx_again, x -> x.h), c.h) = i + 1)),
+        x -> not (x.first and x.c.kept_doc_id <=> doc_id)), x -> x.c)"""
+    d = d.withColumn("__lx_gone", F.when(F.col("__lx_again").isNotNull(), F.expr(gone)))
+    d = chunked(d, None if report else F.size("__lx_gone") > 0)
+    numbers = F.transform("__lx_gone", lambda c: c["no"])
+    cut = F.expr("array_join(transform(filter(__lx_chunks, c -> not exists(__lx_gone, g -> g.no = c.no)), c -> c.chunk), '')")
+    changed = F.size("__lx_gone") > 0
+    d = d.withColumn("__lx_text", F.when(changed, cut).otherwise(F.col("text")))
     fresh = {"text": F.col("__lx_text").alias("text")}
     if "n_chars" in docs.columns:
-        fresh["n_chars"] = F.when(F.col("__lx_removed").isNull(), F.col("n_chars")).otherwise(F.length("__lx_text")).cast(docs.schema["n_chars"].dataType).alias("n_chars")
-    more = [F.size("__lx_chunks").alias("__lx_chunks"), F.coalesce("__lx_removed", F.array().cast("array<int>")).alias("__lx_removed"), "__lx_kept_doc_id"] if report else []
+        fresh["n_chars"] = F.when(changed, F.length("__lx_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")).alias("n_chars")
+    more = [F.size("__lx_chunks").alias("__lx_chunks"), F.coalesce(numbers, F.array().cast("array<int>")).alias("__lx_removed"), F.get("__lx_gone", F.lit(0))["kept_doc_id"].alias("__lx_kept_doc_id")] if report else []
     return d.select(*[fresh.get(c, F.col(c)) for c in docs.columns], *more)
 
 

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.llm import licenses, linededup, mixing, packing, sharding, simhash
+from lexiloom.llm import licenses, linededup, mixing, packing, quality, sharding, simhash, toxicity
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -24,7 +24,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clean = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text", F.length("text").alias("was")), report=True)
+    docs = table(spark, sf_dir, "documents")
+    clean = linededup.dedup_lines(docs.select("doc_id", "text", F.length("text").alias("was")), report=True)
     return clean.select(
         "doc_id", F.col("__lx_chunks").cast("long").alias("n_chunks"), F.size("__lx_removed").cast("long").alias("removed_chunks"),
         F.coalesce(F.col("was") - F.length("text"), F.lit(0)).cast("long").alias("removed_chars"), F.col("__lx_kept_doc_id").alias("kept_doc_id"), F.md5(F.coalesce("text", F.lit(""))).alias("clean_md5"),
@@ -40,6 +41,11 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op4_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -55,13 +61,20 @@ def op9_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_license_scan": op3_license_scan,
+    "op4_quality_ranking": op4_quality_ranking,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_mixing_to_weights": op6_mixing_to_weights,
     "op9_kd_sharding": op9_kd_sharding,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.llm import licenses, linededup, mixing, packing, quality, sharding, simhash, toxicity
+from lexiloom.llm import ann, lcp, licenses, linededup, mixing, packing, quality, sharding, simhash, toxicity
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -56,6 +56,15 @@ def op6_mixing_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("doc_id", F.col("__lx_size").alias("size"), F.col("__lx_source_size").alias("source_size"), F.col("__lx_target").alias("target"), taken.alias("taken"))
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lcp.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.filter(F.col("vec_id") % 50 == 0))
+
+
 def op9_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.kd_shards(table(spark, sf_dir, "documents"), n_shards=16)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -73,6 +82,8 @@ QUERIES = {
     "op4_quality_ranking": op4_quality_ranking,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_mixing_to_weights": op6_mixing_to_weights,
+    "op7_fingerprints": op7_fingerprints,
+    "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_kd_sharding": op9_kd_sharding,
     "op10_toxicity": op10_toxicity,
 }

@@ -8,6 +8,7 @@ from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
 # --- fixed values: formats of items that a translation must keep, in the order they claim text ----------------------
 TEMPERATURE = r"\d+\s*[°℃]\s*[CF]\s*(?:\(\s*\d+\s*[°℃]\s*[CF]\s*\))?|\d+\s*[°℃](?:\s*[CF])?|@\s*\d+\s*[°℃](?:\s*[CF])?"
@@ -33,7 +34,8 @@ NOT_CHEMICAL = frozenset(
 HIGH = frozenset({"temperature", "cas_number", "regulation", "number_with_unit", "decimal_number", "percentage"})
 
 _FORMATS = tuple((c, re.compile(p), whole) for c, p, whole in ITEM_FORMATS)
-ITEM = "struct<category:string,value:string,position:int>"
+# types as objects: workers import this module without a session
+ITEM = StructType([StructField("category", StringType()), StructField("value", StringType()), StructField("position", IntegerType())])
 
 
 def critical_items_of(text: str | None) -> list[dict]:
@@ -52,37 +54,34 @@ def critical_items_of(text: str | None) -> list[dict]:
     return out
 
 
-@F.pandas_udf(f"array<{ITEM}>")
+@F.pandas_udf(ArrayType(ITEM))
 def critical_items(texts: pd.Series) -> pd.Series:
     return texts.map(critical_items_of)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_ratio(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Ratcliff-Obershelp similarity; null counts as ''."""
     for a, b in batches:
         yield pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)], dtype=float)
 
 
-SUPERSCRIPTS = str.maketrans("⁰¹²³⁴⁵⁶⁷⁸⁹", "0123456789")
+PLAIN_DIGITS = str.maketrans("²³", "23")
 #: Kinds of sentence ends, tried in this order: the first kind found counts, not the nearest end.
-ENDS = ("。", "！", "？", "；", "\n")
+ENDS = "。！？\n"
 
 
-def plain(text: str) -> str:
-    return re.sub(r"\s+", "", (text or "").translate(SUPERSCRIPTS))
-
-
-def whole_sentence(text: str | None, fragment: str | None) -> str | None:
-    """The sentence of ``text`` around the first occurrence of ``fragment``; null if it does not occur."""
+def whole_sentence(text: str | None, fragment: str | None) -> str:
+    """The sentence of ``text`` around the first occurrence of ``fragment``; the fragment itself if there is none."""
     text, fragment = text or "", fragment or ""
-    at = text.find(fragment)
-    if not fragment or at < 0:
-        return None
-    left = next((text.rfind(e, 0, at) + 1 for e in ENDS if text.rfind(e, 0, at) >= 0), 0)
-    stop = at + len(fragment)
-    right = next((text.find(e, stop) + 1 for e in ENDS if text.find(e, stop) >= 0), len(text))
-    return text[left:right].strip()
+    plain, wanted = text.translate(PLAIN_DIGITS), fragment.strip().translate(PLAIN_DIGITS)
+    at = plain.find(wanted)
+    if not wanted or at < 0:
+        return fragment
+    stop = at + len(wanted)
+    left = next((i + 1 for e in ENDS if (i := plain.rfind(e, 0, at)) > 0), at)
+    right = next((i + 1 for e in ENDS if (i := plain.find(e, stop)) > 0), stop)
+    return text[left:right].strip() or fragment
 
 
 def fixed_quote(text: str | None, quote: str | None, long: int = 30, overlap: float = 0.8) -> str | None:
@@ -91,18 +90,18 @@ def fixed_quote(text: str | None, quote: str | None, long: int = 30, overlap: fl
     if not q or len(q) >= long or q[-1] in "。！？.!?":
         return quote
     found = whole_sentence(text, q)
-    if found is None or len(found) < len(q):
+    if len(found) <= len(q):
         return quote
-    kept = sum(c in plain(found) for c in plain(q)) / max(1, len(plain(q)))
+    kept = sum(c in found for c in q) / len(q)
     return found if kept >= overlap else quote
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def sentence_around(texts: pd.Series, fragments: pd.Series) -> pd.Series:
     return pd.Series([whole_sentence(t, f) for t, f in zip(texts, fragments, strict=True)], dtype=object)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fix_quote(texts: pd.Series, quotes: pd.Series) -> pd.Series:
     return pd.Series([fixed_quote(t, q) for t, q in zip(texts, quotes, strict=True)], dtype=object)
 
@@ -120,7 +119,7 @@ def packed_lines(text: str | None, most: int) -> list[str]:
 
 
 def pack_lines(most: int):
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf(ArrayType(StringType()))
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: packed_lines(t, most))
 

@@ -4,7 +4,7 @@ Terms have columns source, target and, where used, domain, id, pos (their order)
 
 Matching a glossary against texts is where data grows: terms x texts. Word-bounded matching goes by words: texts are
 split once, words meet the terms' first words in an equi-join, and the exact predicate decides among few candidates.
-Substring matching cannot use words; it goes by the terms' first three characters in the same way.
+Substring matching cannot use words: there terms are broadcast in slices of a checked size.
 """
 
 from __future__ import annotations
@@ -120,23 +120,29 @@ def word_matches(texts: DataFrame, terms: DataFrame, key: list[str], text: str =
     spread = texts.select(*key, F.lower(text).alias("_low"), F.explode(words).alias("_first"))
     one_word = F.lower("source").rlike(r"^[\p{L}\p{N}_]+$")
     # a term of one word is matched by the join itself; others are verified
-    return spread.join(led, "_first").filter(one_word | F.col("_low").rlike(_bounded(F.col("source")))).drop("_low", "_first")
+    return spread.join(led, "_first").filter(one_word | F.regexp_like("_low", _bounded(F.col("source")))).drop("_low", "_first")
 
 
-def substring_matches(texts: DataFrame, terms: DataFrame, key: list[str], text: str = "text", gram: int = 3) -> DataFrame:
+#: A glossary of up to so many terms is broadcast for substring matching; a larger one goes in slices of that size.
+BROADCAST_TERMS = 20_000
+
+
+def substring_matches(texts: DataFrame, terms: DataFrame, key: list[str], text: str = "text") -> DataFrame:
     """Pairs where the term's source occurs anywhere in the text, case as each term's case_sensitive says.
 
-    Candidates meet on the first ``gram`` characters; shorter terms are few and tested against all texts.
+    Every term is tested against every text, which substring semantics ask for; texts stay where they are and terms come
+    to them, in slices of a checked size.
     """
-    low = F.lower(text)
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - gram + 1, F.lit(1))), lambda i: F.substring(low, i, F.lit(gram))))
     exact = F.coalesce(F.col("case_sensitive"), F.lit(False)) if "case_sensitive" in terms.columns else F.lit(False)
-    found = F.when(exact, F.col("_text").contains(F.col("source"))).otherwise(F.lower("_text").contains(F.lower("source")))
-    long, short = terms.filter(F.length("source") >= gram), terms.filter(F.length("source").between(1, gram - 1))
-    spread = texts.select(*key, F.col(text).alias("_text"), F.explode(grams).alias("_gram"))
-    by_gram = spread.join(long.withColumn("_gram", F.substring(F.lower("source"), 1, gram)), "_gram").filter(found).drop("_text", "_gram")
-    by_all = texts.select(*key, F.col(text).alias("_text")).join(short, found).drop("_text")
-    return by_gram.unionByName(by_all)
+    found = F.when(exact, F.col("_text").contains(F.col("source"))).otherwise(F.col("_low").contains(F.lower("source")))
+    side = texts.select(*key, F.col(text).alias("_text"), F.lower(text).alias("_low"))
+    slices = max(1, -(-terms.count() // BROADCAST_TERMS))
+    out = None
+    for i in range(slices):
+        part = terms if slices == 1 else terms.filter(F.pmod(F.xxhash64("source"), F.lit(slices)) == i)
+        hits = side.join(F.broadcast(part.filter("source <> ''")), found).drop("_text", "_low")
+        out = hits if out is None else out.unionByName(hits)
+    return out
 
 
 def match_glossary(texts: DataFrame, terms: DataFrame, key: list[str], domain: str | None = None) -> DataFrame:
@@ -144,7 +150,7 @@ def match_glossary(texts: DataFrame, terms: DataFrame, key: list[str], domain: s
     chosen = terms if not domain or domain == EVERY_DOMAIN else terms.filter(F.col("domain").isin(domain, GENERAL))
     literal = substring_matches(texts, chosen.filter(~F.col("is_regex")), key)
     pattern = F.when(F.col("case_sensitive"), F.col("source")).otherwise(F.concat(F.lit("(?i)"), F.col("source")))
-    regex = texts.join(F.broadcast(chosen.filter("is_regex")), F.col("text").rlike(pattern)).drop(*[c for c in texts.columns if c not in key])
+    regex = texts.join(F.broadcast(chosen.filter("is_regex")), F.regexp_like("text", pattern)).drop(*[c for c in texts.columns if c not in key])
     both = literal.unionByName(regex)
     return both.withColumn("nth", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc(F.length("source")), "source")))
 

@@ -82,7 +82,8 @@ def place_quotes(quotes: DataFrame, paragraphs: DataFrame, key: str = "doc_id")
     hit = ask.join(paragraphs.withColumnRenamed("paragraph_index", "at"), key).withColumn("how", how).filter("how is not null")
     off = F.col("at") - F.col("paragraph_index")
     near = F.when(off.between(1, REACH), off).when(off.between(-REACH, -1), REACH - off)
-    place = F.when(off == 0, F.struct(F.lit(0).alias("a"), F.col("how").cast("long").alias("b"), F.lit(0).cast("long").alias("c"))).when(near.isNotNull(), F.struct(F.lit(1), near.cast("long"), F.col("how").cast("long"))).otherwise(F.struct(F.lit(2), F.col("at").cast("long"), F.col("how").cast("long")))
+    rank = lambda a, b, c: F.struct(F.lit(a).alias("a"), b.cast("long").alias("b"), c.cast("long").alias("c"))
+    place = F.when(off == 0, rank(0, F.col("how"), F.lit(0))).when(near.isNotNull(), rank(1, near, F.col("how"))).otherwise(rank(2, F.col("at"), F.col("how")))
     best = hit.withColumn("place", place).groupBy(key, "quote_id").agg(F.min_by(F.struct("at", "how", "place"), "place").alias("b"))
     names = F.array(*[F.lit(x) for _, x in tests])
     scope = F.when(F.col("b.place.a") == 0, "").when(F.col("b.place.a") == 1, "near ").otherwise("document ")

@@ -88,7 +88,7 @@ def escalate(issues: DataFrame, terms: DataFrame, medical: bool = False) -> Data
     d = issues.crossJoin(F.broadcast(packed)).withColumn("_hit", F.exists("_terms", lambda t: said.contains(t)))
     up = F.when(F.col("severity") == "low", "medium").when(F.col("severity") == "critical", "critical").otherwise("critical")
     moved = F.col("_hit") & (F.col("severity") != "critical")
-    return d.withColumn("severity", F.when(F.col("_hit"), up).otherwise(F.col("severity"))).withColumn("escalated", moved).drop("_hit", "_terms")
+    return d.withColumns({"severity": F.when(F.col("_hit"), up).otherwise(F.col("severity")), "escalated": moved}).drop("_hit", "_terms")
 
 
 def missing_dimensions(coverage: DataFrame, ids: DataFrame) -> DataFrame:

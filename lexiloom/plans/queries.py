@@ -148,13 +148,20 @@ def a20_domain_shares(spark: SparkSession, sf: str) -> DataFrame:
     return glossary.domain_shares(T.table(spark, sf, "documents").select(F.col("lang").alias("domain")))
 
 
-_WORDS = r"""words AS (SELECT doc_id, para_index, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+'), lambda w: w <> ''))) AS w FROM lines)"""
+def _hits(rel: str, key: str, text: str, extra: str = "") -> str:
+    """SQL of (key, source, target, domain): single words by a join on distinct words, longer terms by literal patterns."""
+    words = f"SELECT {key}{extra}, unnest(list_distinct(regexp_split_to_array(lower({text}), '[^\\p{{L}}\\p{{N}}_]+'))) AS w FROM {rel}"
+    parts = [f"SELECT {key}{extra}, t.source, t.target, t.domain FROM ({words}) x JOIN terms t ON x.w = t.source WHERE NOT contains(t.source, ' ')"]
+    for _, s, t, d in T.TERMS:
+        if " " in s:
+            parts.append(f"SELECT {key}{extra}, '{s}', '{t}', '{d}' FROM {rel} WHERE contains(lower({text}), '{s}') AND regexp_matches(lower({text}), '(^|[^\\p{{L}}\\p{{N}}_]){s}($|[^\\p{{L}}\\p{{N}}_])')")
+    return " UNION ALL ".join(parts)
 
 
-@query(T.with_("lines", "terms") + f""", {_WORDS},
-hits AS (SELECT doc_id, para_index, source FROM words JOIN terms ON w = source WHERE NOT contains(source, ' ')
-  UNION ALL SELECT doc_id, para_index, source FROM lines, terms WHERE contains(source, ' ') AND contains(lower(text), source) AND {T.sql_has_word('text', 'source')})
-SELECT doc_id, source, count(*) AS paragraphs FROM hits GROUP BY doc_id, source""")
+_hits_sql = _hits("lines", "doc_id, para_index", "text")
+
+
+@query(T.with_("lines", "terms") + f", hits AS ({_hits_sql}) SELECT doc_id, source, count(*) AS paragraphs FROM hits GROUP BY doc_id, source")
 def j04_word_matches(spark: SparkSession, sf: str) -> DataFrame:
     hits = glossary.word_matches(T.document_lines(spark, sf), T.terms(spark).select("source"), ["doc_id", "para_index"])
     return hits.groupBy("doc_id", "source").agg(F.count("*").alias("paragraphs"))
@@ -168,8 +175,8 @@ def j04_match_glossary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _checked(client: str) -> str:
-    return T.with_("pairs", "terms", "client") + f""", hits AS (SELECT doc_id, source, target, domain, target_text FROM pairs, terms WHERE contains(lower(source_text), source) AND {T.sql_has_word('source_text', 'source')}),
-mine AS (SELECT doc_id, source, target, target_text FROM pairs, client WHERE contains(lower(source_text), lower(source)) AND {T.sql_has_word('source_text', 'source')}),
+    return T.with_("pairs", "terms", "client") + f""", hits AS ({_hits('pairs', 'doc_id', 'source_text', ', target_text')}),
+mine AS (SELECT doc_id, c.source, c.target, target_text FROM (SELECT doc_id, target_text, unnest(list_distinct(regexp_split_to_array(lower(source_text), '[^\\p{{L}}\\p{{N}}_]+'))) AS w FROM pairs) x JOIN client c ON x.w = lower(c.source)),
 {client}"""
 
 
@@ -504,10 +511,10 @@ def a16_check_layout(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(T.with_("pairs") + f""", {_NUMBER_ISSUES},
-d AS (SELECT n.doc_id, type, source_value AS v, source_text AS s, target_text AS t, instr(source_text, source_value) AS at FROM n JOIN pairs USING (doc_id) WHERE type <> 'percentage_mismatch'),
-c AS (SELECT *, substring(s, greatest(at - 80, 1), least(at + length(v) + 80, length(s) + 1) - greatest(at - 80, 1)) AS near, substring(s, greatest(at - 500, 1), least(at - 1, 500)) AS before, TRY_CAST(v AS BIGINT) AS i FROM d)
+d AS (SELECT n.doc_id, type, source_value AS v, source_text AS s, target_text AS t, instr(source_text, source_value) AS k FROM n JOIN pairs USING (doc_id) WHERE type <> 'percentage_mismatch'),
+c AS (SELECT *, substring(s, greatest(k - 80, 1), least(k + length(v) + 80, length(s) + 1) - greatest(k - 80, 1)) AS near, substring(s, greatest(k - 500, 1), least(k - 1, 500)) AS before, TRY_CAST(v AS BIGINT) AS i FROM d)
 SELECT doc_id, type, v AS source_value, 'low' AS severity FROM c WHERE NOT (regexp_matches(near, '10\\.\\d{{4,}}/') OR regexp_matches(near, '(?i)(January|February|March|April|May|June|July|August|September|October|November|December)\\s+\\d{{1,2}},?\\s+\\d{{4}}')
-  OR coalesce(i BETWEEN 1 AND 2000 AND (regexp_matches(near, '\\b\\d{{2,4}}[-–]\\d{{1,4}}\\b') OR (at > 1 AND regexp_matches(before, '(?i)(References|参考文献|Bibliography)'))), false)
+  OR coalesce(i BETWEEN 1 AND 2000 AND (regexp_matches(near, '\\b\\d{{2,4}}[-–]\\d{{1,4}}\\b') OR (k > 1 AND regexp_matches(before, '(?i)(References|参考文献|Bibliography)'))), false)
   OR contains(t, v) OR contains(t, CASE WHEN ltrim(v, '0') = '' THEN '0' ELSE ltrim(v, '0') END))""")
 def p04_filter_numbers(spark: SparkSession, sf: str) -> DataFrame:
     pairs = T.document_pairs(spark, sf)
@@ -684,3 +691,241 @@ def j22_attach_tables(spark: SparkSession, sf: str) -> DataFrame:
     b = _inline(spark, [(1, 1, 1, 15), (1, 2, 16, 30)], "doc_id int, batch_id long, para_start int, para_end int")
     t = _inline(spark, [(1, 1, 3, 4), (1, 2, 90, 91), (1, 3, 20, 20), (1, 4, 99, 99)], "doc_id int, table_index int, para_start int, para_end int")
     return placement.attach_tables(b, t)
+
+
+# --- aggregations, windows, order and sets ---------------------------------------------------------------------------
+
+
+@query(T.with_("issues") + "SELECT dimension, severity, count(*) AS n, grouping(dimension, severity)::BIGINT AS level FROM issues GROUP BY ROLLUP (dimension, severity)")
+def a03_dimension_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return report.dimension_stats(T.issues(spark, sf)).withColumn("level", F.col("level").cast("long"))
+
+
+@query(T.with_("issues") + ", r AS (SELECT *, row_number() OVER (PARTITION BY type ORDER BY issue_pos) AS k FROM issues) SELECT type, count(*) AS n, string_agg(source_value, ' | ' ORDER BY k) FILTER (k <= 3) AS examples FROM r GROUP BY type")
+def a04_examples(spark: SparkSession, sf: str) -> DataFrame:
+    return report.examples(T.issues(spark, sf))
+
+
+@query(T.with_("issues") + "SELECT doc, type, string_agg(source_value, ', ' ORDER BY issue_pos) AS values, arg_min(severity, issue_pos) AS severity, count(*) AS n FROM issues WHERE paragraph_index = 0 GROUP BY doc, type")
+def a05_consolidate(spark: SparkSession, sf: str) -> DataFrame:
+    return report.consolidate(T.issues(spark, sf), "doc")
+
+
+_VOTE = """, v AS (SELECT grp, val, count(*) AS n FROM x GROUP BY ALL), w AS (SELECT grp, sum(n) AS size, max(n) AS most, arg_max(val, n) AS win FROM v GROUP BY grp)"""
+
+
+@query("WITH x AS (SELECT l_orderkey AS grp, l_shipmode AS val, l_linenumber AS line FROM (SELECT *, l_returnflag AS l_shipmode FROM lineitem))" + _VOTE + " SELECT x.grp AS l_orderkey, x.line AS l_linenumber, CASE WHEN size >= 3 AND most / size > 0.6 THEN win ELSE val END AS flag FROM x JOIN w ON x.grp = w.grp")
+def a06_majority_vote(spark: SparkSession, sf: str) -> DataFrame:
+    d = T.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("flag"))
+    return severity.majority(d, "l_orderkey", "flag")
+
+
+@query(T.with_("lines") + """, w AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS term FROM lines),
+i AS (SELECT source AS file, term, count(*) AS n FROM w JOIN documents USING (doc_id) WHERE length(term) >= 4 GROUP BY ALL),
+x AS (SELECT file, term, CASE WHEN n % 2 = 0 THEN 'even' ELSE 'odd' END AS target, n FROM i),
+t AS (SELECT term, target, sum(n) AS n FROM x GROUP BY ALL)
+SELECT term AS key, count(*) AS n_targets, arg_max(target, struct_pack(n := n, t := target)) AS recommended, max(n)::BIGINT AS recommended_count, sum(n)::BIGINT AS total, (SELECT count(DISTINCT file) FROM x WHERE x.term = t.term) AS n_files FROM t GROUP BY term HAVING count(*) > 1""")
+def a08_term_mismatches(spark: SparkSession, sf: str) -> DataFrame:
+    src = T.table(spark, sf, "documents").select("doc_id", F.col("source").alias("file"))
+    w = T.document_lines(spark, sf).select("doc_id", F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("source_term")).filter(F.length("source_term") >= 4)
+    i = w.join(src, "doc_id").groupBy("file", "source_term").agg(F.count("*").alias("count")).withColumn("target", F.when(F.col("count") % 2 == 0, "even").otherwise("odd"))
+    return crossdoc.term_mismatches(i)
+
+
+@query(T.with_("issues") + """, i AS (SELECT *, row_number() OVER (PARTITION BY doc, type ORDER BY issue_pos) AS n FROM issues),
+v AS (SELECT doc, paragraph_index, CASE type WHEN 'number_missing' THEN 'num' WHEN 'decimal_mismatch' THEN 'num' WHEN 'symbol_missing' THEN 'sym' WHEN 'glossary_violation' THEN 'term' WHEN 'format_issue' THEN 'fmt' ELSE 'unk' END || '_' || lpad(n::VARCHAR, 3, '0') AS id FROM i)
+SELECT doc, paragraph_index, string_agg(id, ',' ORDER BY id) AS verdict_ids FROM v GROUP BY ALL""")
+def a10_verdicts_by_paragraph(spark: SparkSession, sf: str) -> DataFrame:
+    d = gates.verdicts_by_paragraph(gates.verdict_sheet(T.issues(spark, sf), "doc"), "doc")
+    return d.withColumn("verdict_ids", F.array_join("verdict_ids", ","))
+
+
+@query("""WITH c AS (SELECT conv_id, count(*) AS n, count(*) FILTER (length(text) > 200) AS a, count(*) FILTER (length(text) > 400) AS b FROM conversations GROUP BY conv_id),
+s AS (SELECT conv_id, 1.0::DOUBLE - a::DOUBLE / greatest(n, 1) AS g, 1.0::DOUBLE - b::DOUBLE / greatest(n, 1) AS k FROM c)
+SELECT conv_id, round(g, 3) AS glossary_score, round(k, 3) AS critical_score, round(0.4::DOUBLE * g + 0.6::DOUBLE * k, 3) AS overall, CASE WHEN round(0.4::DOUBLE * g + 0.6::DOUBLE * k, 3) >= 0.95 THEN 'excellent' WHEN round(0.4::DOUBLE * g + 0.6::DOUBLE * k, 3) >= 0.85 THEN 'good' WHEN round(0.4::DOUBLE * g + 0.6::DOUBLE * k, 3) >= 0.7 THEN 'fair' ELSE 'poor' END AS grade FROM s""")
+def a11_quality_scores(spark: SparkSession, sf: str) -> DataFrame:
+    over = lambda n: F.sum((F.length("text") > n).cast("int"))
+    c = T.table(spark, sf, "conversations").groupBy("conv_id").agg(F.count("*").alias("glossary_n"), F.count("*").alias("items_n"), over(200).alias("glossary_bad"), over(400).alias("items_bad"))
+    return report.quality_scores(c).select("conv_id", "glossary_score", "critical_score", "overall", "grade")
+
+
+_FEW = "l AS (SELECT doc_id, count(*) AS paras, count(*) FILTER (contains(text, 'z')) AS issues FROM lines GROUP BY doc_id)"
+
+
+def _lines_and_hits(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    p = T.document_lines(spark, sf)
+    return p, p.filter(F.col("text").contains("z"))
+
+
+@query(T.with_("lines") + f", {_FEW} SELECT doc_id, paras, issues, round(issues * 100.0 / paras, 1)::DOUBLE AS density, CASE WHEN issues = 0 THEN 'zero' WHEN issues * 100.0 / paras < 2 THEN 'abnormally_low' ELSE 'ok' END AS status FROM l")
+def a12_issue_density(spark: SparkSession, sf: str) -> DataFrame:
+    return gates.density(*_lines_and_hits(spark, sf))
+
+
+@query(T.with_("lines") + f", {_FEW} SELECT doc_id, paras, issues, CASE WHEN issues = 0 OR (issues = 1 AND paras > 30) THEN 'error' WHEN (issues < 3 AND paras > 50) OR issues / paras < 0.02 THEN 'warning' ELSE 'ok' END AS level FROM l")
+def a13_issue_quantity(spark: SparkSession, sf: str) -> DataFrame:
+    return gates.quantity(*_lines_and_hits(spark, sf))
+
+
+_DISTINCT = "u AS (SELECT lang || source AS g, count(*) AS n, count(DISTINCT left(text, 2)) AS n_distinct FROM documents GROUP BY ALL)"
+
+
+@query(f"WITH {_DISTINCT} SELECT g, n, n_distinct, CASE WHEN n < 3 THEN 'ok' WHEN n_distinct / n < 0.3 THEN 'error' WHEN n_distinct / n < 0.5 THEN 'warning' ELSE 'ok' END AS level FROM u")
+def a14_verdict_uniqueness(spark: SparkSession, sf: str) -> DataFrame:
+    v = T.table(spark, sf, "documents").select(F.concat("lang", "source").alias("g"), F.left("text", F.lit(2)).alias("explanation"))
+    return gates.uniqueness(v, "g")
+
+
+@query(T.with_("issues") + "SELECT doc, count(*) AS n, count(*) FILTER (severity = 'critical')::BIGINT AS confirmed, count(*)::BIGINT AS short, count(*) FILTER (severity = 'critical') = 0 AS none_confirmed FROM issues GROUP BY doc")
+def a15_verdict_quality(spark: SparkSession, sf: str) -> DataFrame:
+    v = T.issues(spark, sf).select("doc", F.when(F.col("severity") == "critical", "confirmed").otherwise("unverifiable").alias("verdict"), F.col("issue").alias("explanation"))
+    return gates.verdict_quality(v, "doc")
+
+
+@query(T.with_("lines") + f""", p AS (SELECT doc_id, para_index, {_LEVEL} AS level, contains(text, '|') AS cell, length(text) > 20 AND NOT regexp_matches(text, '[。！？.!?:：;；]\\s*$') AND {_LEVEL} IS NULL AS broken FROM lines)
+SELECT doc_id, count(level) AS headings, count(*) FILTER (cell)::BIGINT AS cells, count(*) FILTER (broken)::BIGINT AS broken FROM p GROUP BY doc_id""")
+def a17_structure(spark: SparkSession, sf: str) -> DataFrame:
+    return context.structure(_paragraphs(spark, sf)).drop("broken_first")
+
+
+@query("SELECT page_id, length(html) AS chars, length(regexp_replace(html, '<[^>]*>', '', 'g')) AS plain FROM pages")
+def a21_page_chars(spark: SparkSession, sf: str) -> DataFrame:
+    plain = F.length(F.regexp_replace("html", "<[^>]*>", ""))
+    return T.table(spark, sf, "pages").select("page_id", F.length("html").cast("long").alias("chars"), plain.cast("long").alias("plain"))
+
+
+@query(T.with_("lines") + """, n AS (SELECT *, coalesce(lag(text) OVER w, '') AS b, coalesce(lead(text) OVER w, '') AS a FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY para_index))
+SELECT doc_id, md5(text) AS t, left(arg_max(b, para_index), 200) AS before, left(arg_max(a, para_index), 200) AS after FROM n GROUP BY doc_id, text""")
+def w01_context(spark: SparkSession, sf: str) -> DataFrame:
+    return crossdoc.with_context(T.document_lines(spark, sf)).select("doc_id", F.md5("text").alias("t"), "before", "after")
+
+
+@query(T.with_("lines") + f""", n AS (SELECT doc_id, para_index, {_OVERLAP.format("coalesce(lag(text) OVER (PARTITION BY doc_id ORDER BY para_index), '')")} AS a, {_OVERLAP.format('text')} AS b FROM lines)
+SELECT doc_id, min(para_index) AS row FROM n WHERE least(len(a), len(b)) > 0 AND len(list_intersect(a, b)) / least(len(a), len(b)) > 0.8 GROUP BY doc_id""")
+def w04_repeated_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return crossdoc.repeated_rows(T.document_lines(spark, sf).withColumnRenamed("para_index", "row"), "doc_id")
+
+
+@query(T.with_("lines") + "SELECT doc_id, para_index, ((row_number() OVER (PARTITION BY doc_id ORDER BY para_index) - 1) // 15 + 1)::BIGINT AS batch_id FROM lines")
+def w08_batches(spark: SparkSession, sf: str) -> DataFrame:
+    return crossdoc.batches(T.document_lines(spark, sf), 15, ["doc_id"], ["para_index"]).select("doc_id", "para_index", F.col("batch_id").cast("long").alias("batch_id"))
+
+
+_RISK = r"""r AS (SELECT doc_id, source_text AS s, target_text AS t, len(regexp_extract_all(source_text, '\b\d+(?:\.\d+)?\b')) + len(regexp_extract_all(target_text, '\b\d+(?:\.\d+)?\b')) AS n,
+(contains(lower(source_text), 'the'))::INT + (contains(lower(source_text), 'der'))::INT + (contains(lower(source_text), 'que'))::INT AS h FROM pairs WHERE length(trim(source_text || target_text)) >= 20)"""
+
+
+@query(T.with_("pairs") + f""", {_RISK}, c AS (SELECT doc_id, (CASE WHEN n >= 3 THEN n * 3 ELSE n END + CASE WHEN h >= 2 THEN h * 2 ELSE 0 END + (length(s) > 200 OR length(t) > 200)::INT
+ + 2 * regexp_matches(s, '(?i)\\b(?:versus|vs\\.?|compared\\s+(?:with|to)|rather\\s+than|instead\\s+of|contrary\\s+to|as\\s+opposed\\s+to|unlike)\\b')::INT
+ + regexp_matches(s, '(?i)\\b\\d+\\s*(?:mm|cm|m|kg|g|mg|mL|L|MHz|kHz|Hz|J|W|kV|V|mA|A|°C|°F|%)\\b')::INT)::BIGINT AS score FROM r),
+k AS (SELECT *, doc_id // 100 AS g, row_number() OVER (PARTITION BY doc_id // 100 ORDER BY score DESC, doc_id) AS nth, count(*) OVER (PARTITION BY doc_id // 100) AS m FROM c WHERE score > 0)
+SELECT g, doc_id, score, nth FROM k WHERE nth <= greatest(5, floor(m * 0.15))""")
+def r07_high_risk(spark: SparkSession, sf: str) -> DataFrame:
+    p = T.document_pairs(spark, sf).select(F.floor(F.col("doc_id") / 100).cast("long").alias("g"), F.col("doc_id").alias("para_index"), "source_text", "target_text")
+    d = context.high_risk(p, ["the", "der", "que"], "g")
+    return d.select("g", F.col("para_index").alias("doc_id"), F.col("score").cast("long").alias("score"), "nth")
+
+
+def _rule_sql() -> str:
+    ci, t = "check_item", "issue"
+    any_ = lambda c, xs: "(" + " OR ".join([f"contains({c}, '{x}')" for x in xs] or ["false"]) + ")"
+    whens, style = [], any_(ci, severity.STYLE_ITEMS)
+    for level, items, any_case, words, together, not_items, not_words in severity.RULES:
+        hit = f"({any_(ci, items)} OR {any_('lower(check_item)', any_case)} OR {any_(t, words)}"
+        hit += f" OR ({' AND '.join(f'contains({t}, {chr(39)}{w}{chr(39)})' for w in together)})" if together else ""
+        hit += f") AND NOT {any_(ci, not_items)} AND NOT {any_(t, not_words)}"
+        whens.append(f"WHEN {hit} THEN {f'CASE WHEN {style} THEN {chr(39)}medium{chr(39)} ELSE {chr(39)}critical{chr(39)} END' if level == 'critical' else chr(39) + level + chr(39)}")
+    return f"CASE {' '.join(whens)} ELSE severity END"
+
+
+@query(T.with_("issues") + f"SELECT issue_pos, {_rule_sql()} AS severity FROM issues")
+def r01_severity_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return T.issues(spark, sf).select("issue_pos", severity.rule_severity(F.col("check_item"), F.col("issue"), F.col("severity")).alias("severity"))
+
+
+@query(T.with_("issues") + f""", r AS (SELECT *, CASE WHEN contains(check_item, '错译') THEN 'critical' ELSE {_rule_sql()} END AS s0 FROM issues),
+x AS (SELECT issue_pos, severity AS original_severity, check_item AS grp, CASE WHEN confidence = 'low' AND s0 = 'critical' THEN 'medium' ELSE s0 END AS val FROM r){_VOTE}
+SELECT issue_pos, original_severity, val AS ruled_severity, CASE WHEN size >= 3 AND most / size > 0.6 THEN win ELSE val END AS severity FROM x JOIN w ON x.grp = w.grp""")
+def r02_normalize(spark: SparkSession, sf: str) -> DataFrame:
+    return severity.normalize(T.issues(spark, sf)).select("issue_pos", "original_severity", "ruled_severity", "severity")
+
+
+_KEY = ["that", "with", "licensed", "der"]
+
+
+@query(T.with_("issues") + ", h AS (SELECT *, contains(lower(issue || ' ' || source_quote), 'that') OR contains(lower(issue || ' ' || source_quote), 'with') OR contains(lower(issue || ' ' || source_quote), 'licensed') AS hit FROM issues) SELECT issue_pos, CASE WHEN NOT hit THEN severity WHEN severity = 'low' THEN 'medium' ELSE 'critical' END AS severity, hit AND severity <> 'critical' AS escalated FROM h")
+def r03_escalate(spark: SparkSession, sf: str) -> DataFrame:
+    return severity.escalate(T.issues(spark, sf), _inline(spark, _KEY, "source string")).select("issue_pos", "severity", "escalated")
+
+
+@query(T.with_("issues") + ", c AS (SELECT DISTINCT check_item FROM issues WHERE issue_pos % 3 = 0) SELECT DISTINCT check_item AS check_id FROM issues WHERE check_item NOT IN (SELECT check_item FROM c)")
+def r04_missing_dimensions(spark: SparkSession, sf: str) -> DataFrame:
+    i = T.issues(spark, sf)
+    return severity.missing_dimensions(i.select(F.col("check_item").alias("check_id"), (F.col("issue_pos") % 3 == 0).alias("checked")), i.select(F.col("check_item").alias("check_id")).distinct())
+
+
+@query(T.with_("lines") + ", q AS (SELECT doc_id, para_index AS paragraph_index, length(text) AS score FROM lines WHERE NOT contains(text, 'z')) SELECT doc_id, paragraph_index, score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, paragraph_index) AS nth FROM q QUALIFY nth <= 10")
+def r05_outliers(spark: SparkSession, sf: str) -> DataFrame:
+    p = T.document_lines(spark, sf).select("doc_id", F.col("para_index").alias("paragraph_index"), "text")
+    return severity.outliers(p.filter(F.col("text").contains("z")), p.select("doc_id", "paragraph_index", F.length("text").alias("score")))
+
+
+@query()
+def r06_key_terms(spark: SparkSession, sf: str) -> DataFrame:
+    after = T.table(spark, sf, "documents").select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("target_text"))
+    return context.key_terms(_paragraphs(spark, sf), after, T.terms(spark), T.client_terms(spark))
+
+
+@query("SELECT DISTINCT doc_id, check_id FROM (SELECT doc_id, 'check_' || lang AS check_id FROM documents WHERE lang IN ('en', 'de') UNION ALL SELECT doc_id, 'long' FROM documents WHERE n_chars > 2000 UNION ALL SELECT doc_id, 'check_en' FROM documents WHERE n_chars > 5000)")
+def r08_mandatory_checks(spark: SparkSession, sf: str) -> DataFrame:
+    d = T.table(spark, sf, "documents")
+    counts = d.select("doc_id", F.explode(F.array(F.lit("chars"), F.lit("many"))).alias("kind"), F.col("n_chars").alias("n"))
+    limits = _inline(spark, [("chars", 2000, "long"), ("many", 5000, "check_en")], "kind string, over long, check_id string")
+    return context.mandatory_checks(d.select("doc_id", F.col("lang").alias("domain")), _inline(spark, [("en", "check_en"), ("de", "check_de")], "domain string, check_id string"), counts, limits)
+
+
+@query(T.with_("issues") + "SELECT issue_pos, 'type' AS field, 'missing' AS problem FROM issues WHERE type = '' UNION ALL SELECT issue_pos, 'severity', 'not allowed' FROM issues WHERE severity NOT IN ('low', 'critical')")
+def r10_field_errors(spark: SparkSession, sf: str) -> DataFrame:
+    return gates.field_errors(T.issues(spark, sf), ["type", "check_item"], {"severity": ("low", "critical")})
+
+
+@query(T.with_("lines") + f", {_FEW}, q AS (SELECT doc_id, CASE WHEN issues = 0 OR (issues = 1 AND paras > 30) THEN 'error' WHEN (issues < 3 AND paras > 50) OR issues / paras < 0.02 THEN 'warning' ELSE 'ok' END AS level FROM l) SELECT doc_id, count(*) FILTER (level = 'error')::BIGINT AS errors, count(*) FILTER (level = 'warning')::BIGINT AS warnings, count(*) FILTER (level = 'error') = 0 AS passed FROM q GROUP BY doc_id")
+def r10_gate(spark: SparkSession, sf: str) -> DataFrame:
+    return gates.passed(gates.quantity(*_lines_and_hits(spark, sf)))
+
+
+@query("SELECT length(text) AS n, md5(text) AS t, ((row_number() OVER (ORDER BY length(text) DESC, text) - 1) // 30 + 1)::BIGINT AS batch_id FROM (SELECT DISTINCT text FROM conversations)")
+def t05_longest_first(spark: SparkSession, sf: str) -> DataFrame:
+    c = T.table(spark, sf, "conversations").select("text").distinct().withColumn("all", F.lit(1))
+    d = crossdoc.batches(c, 30, ["all"], [F.desc(F.length("text")), "text"])
+    return d.select(F.length("text").cast("long").alias("n"), F.md5("text").alias("t"), F.col("batch_id").cast("long").alias("batch_id"))
+
+
+@query("SELECT p_type AS table_index, p_partkey AS row, left(p_name, 10) AS text, row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) AS nth FROM part QUALIFY nth <= 30")
+def t08_table_preview(spark: SparkSession, sf: str) -> DataFrame:
+    cells = T.table(spark, sf, "part").select(F.col("p_type").alias("table_index"), F.col("p_partkey").alias("row"), F.lit(0).alias("col"), F.col("p_name").alias("text"))
+    return report.preview(cells, cut=10).select("table_index", "row", "text", "nth")
+
+
+@query("SELECT DISTINCT md5(text) AS t FROM conversations")
+def u02_distinct_texts(spark: SparkSession, sf: str) -> DataFrame:
+    return T.table(spark, sf, "conversations").select(F.md5("text").alias("t")).distinct()
+
+
+@query("SELECT max(event_id) AS event_id, user_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id")
+def x01_cache_last_write(spark: SparkSession, sf: str) -> DataFrame:
+    e = T.table(spark, sf, "events").select("user_id", "event_type", F.col("event_id").alias("written"))
+    d = crossdoc.upsert_cache(e.filter("written % 2 = 0"), e.filter("written % 2 = 1"), ["user_id"])
+    return d.select(F.col("written").alias("event_id"), "user_id", "event_type")
+
+
+@query("SELECT DISTINCT md5(text) AS t, md5(replace(text, 'e', '3')) AS translation, replace(text, 'e', '3') <> text AND text <> '' AS cacheable FROM conversations")
+def x03_batch_translate(spark: SparkSession, sf: str) -> DataFrame:
+    """A stub that replaces a letter stands for the translation service."""
+    d = placement.reconcile_batches(T.table(spark, sf, "conversations"), lambda t: t.replace("e", "3"))
+    return d.select(F.md5("text").alias("t"), F.md5("translation").alias("translation"), "cacheable")
+
+
+@query(T.with_("parts") + "SELECT id, CASE WHEN id = 7 THEN 'new' ELSE target END AS target FROM parts WHERE id <> 9")
+def x09_glossary_edits(spark: SparkSession, sf: str) -> DataFrame:
+    return glossary.delete_term(glossary.update_term(T.part_terms(spark, sf), 7, target="new"), 9).select("id", "target")

@@ -44,7 +44,7 @@ def source_targets(sizes: dict[str | None, int], weights: tuple[int, ...] = (1,
         if not over:
             return out | share
         for s in over:
-            out[s] = most * sizes[s]
+            out[s] = float(most * sizes[s])
             left -= out[s]
         open_ones = [s for s in open_ones if s not in out]
     return out

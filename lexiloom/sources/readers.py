@@ -28,7 +28,7 @@ def lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 
 def text_files(spark: SparkSession, path: str) -> DataFrame:
     """Lines of text files under ``path``."""
-    d = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+    d = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
     return lines(d, "path")
 
 

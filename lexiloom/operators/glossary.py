@@ -117,10 +117,11 @@ def word_matches(texts: DataFrame, terms: DataFrame, key: list[str], text: str =
     words = F.array_distinct(F.filter(F.split(F.lower(text), _NOT_WORD), lambda w: w != ""))
     first = F.element_at(F.filter(F.split(F.lower("source"), _NOT_WORD), lambda w: w != ""), 1)
     led = terms.withColumn("_first", first)
-    spread = texts.select(*key, F.lower(text).alias("_text_low"), F.explode(words).alias("_first"))
     one_word = F.lower("source").rlike(r"^[\p{L}\p{N}_]+$")
-    # a term of one word is matched by the join itself; others are verified
-    return spread.join(led, "_first").filter(one_word | F.regexp_like("_text_low", _bounded(F.col("source")))).drop("_text_low", "_first")
+    met = texts.select(*key, F.explode(words).alias("_first")).join(led, "_first").drop("_first")  # words without their texts
+    longer = met.filter(~one_word).join(texts.select(*key, F.lower(text).alias("_text_low")), key)
+    longer = longer.filter(F.col("_text_low").contains(F.lower("source")) & F.regexp_like("_text_low", _bounded(F.col("source")))).drop("_text_low")
+    return met.filter(one_word).unionByName(longer)  # a term of one word is matched by the join itself
 
 
 #: A glossary of up to so many terms is broadcast for substring matching; a larger one goes in slices of that size.

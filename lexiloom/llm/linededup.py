@@ -23,8 +23,10 @@ MIN_CHARS = 40
 #: Marks, by the rolling hash over two line hashes; chunk sizes from marks; first lines of chunks.
 _MARKS = "array_join(transform(hashes, (h, i) -> if((if(i = 0, 0L, hashes[i - 1]) * 1000003 + h) % 2147483647 % 3 < 2, 'c', 'n')), '')"
 _SIZES = "transform(filter(regexp_extract_all(marks, '.n*c|.n*', 0), m -> m <> ''), m -> length(m))"
-_STARTS = "aggregate(sizes, named_struct('at', 1, 'out', cast(array() as array<int>)), (a, n) -> named_struct('at', a.at + n, 'out', array_append(a.out, a.at)), a -> a.out)"
-_CHUNKS = "transform(starts, (at, i) -> named_struct('no', i, 'n', sizes[i], 'chunk', array_join(slice(lines, at, sizes[i]), '')))"
+_STARTS = "aggregate(sizes, array(1), (a, n) -> array_append(a, element_at(a, -1) + n))"
+_CHUNKS = "transform(sizes, (n, i) -> named_struct('no', i, 'n', n, 'chunk', array_join(slice(lines, starts[i], n), '')))"
+#: All matches but the empty one at the end.
+_LINES = "element_at(transform(array(regexp_extract_all(coalesce(text, ''), r'" + LINE + "', 0)), m -> slice(m, 1, size(m) - 1)), 1)"
 _HASHES = "transform(lines, u -> cast(conv(substring(md5(u), 1, 8), 16, 10) as bigint))"
 
 
@@ -33,11 +35,14 @@ def _let(name: str, value: str, body: str) -> str:
     return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
+def _parsed(body: str) -> Column:
+    """``body`` over the sizes of a text's chunks, and its lines."""
+    return F.expr(_let("lines", _LINES, _let("hashes", _HASHES, _let("marks", _MARKS, _let("sizes", _SIZES, body)))))
+
+
 def chunked(docs: DataFrame, when: Column | None = None) -> DataFrame:
     """``docs`` with ``__lx_chunks``: array of (no, n lines, chunk), whose chunks joined are the text; null unless ``when``."""
-    lines = "filter(regexp_extract_all(coalesce(text, ''), r'" + LINE + "', 0), u -> u <> '')"
-    body = _let("sizes", _SIZES, _let("starts", _STARTS, _CHUNKS))
-    chunks = F.expr(_let("lines", lines, _let("hashes", _HASHES, _let("marks", _MARKS, body))))
+    chunks = _parsed(_let("starts", _STARTS, _CHUNKS))
     return docs.withColumn("__lx_chunks", chunks if when is None else F.when(when, chunks))
 
 
@@ -76,7 +81,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, report: bool = Fals
     gone = """transform(filter(transform(__lx_again, (c, i) -> named_struct('c', c, 'first', array_position(transform(__lx_again, x -> x.h), c.h) = i + 1)),
         x -> not (x.first and x.c.kept_doc_id <=> doc_id)), x -> x.c)"""
     d = d.withColumn("__lx_gone", F.when(F.col("__lx_again").isNotNull(), F.expr(gone)))
-    d = chunked(d, None if report else F.size("__lx_gone") > 0)
+    d = chunked(d, F.size("__lx_gone") > 0)
     numbers = F.transform("__lx_gone", lambda c: c["no"])
     cut = F.expr("array_join(transform(filter(__lx_chunks, c -> not exists(__lx_gone, g -> g.no = c.no)), c -> c.chunk), '')")
     changed = F.size("__lx_gone") > 0
@@ -84,7 +89,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, report: bool = Fals
     fresh = {"text": F.col("__lx_text").alias("text")}
     if "n_chars" in docs.columns:
         fresh["n_chars"] = F.when(changed, F.length("__lx_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")).alias("n_chars")
-    more = [F.size("__lx_chunks").alias("__lx_chunks"), F.coalesce(numbers, F.array().cast("array<int>")).alias("__lx_removed"), F.get("__lx_gone", F.lit(0))["kept_doc_id"].alias("__lx_kept_doc_id")] if report else []
+    more = [F.when(changed, F.size("__lx_chunks")).otherwise(_parsed("size(sizes)")).alias("__lx_chunks"), F.coalesce(numbers, F.array().cast("array<int>")).alias("__lx_removed"), F.get("__lx_gone", F.lit(0))["kept_doc_id"].alias("__lx_kept_doc_id")] if report else []
     return d.select(*[fresh.get(c, F.col(c)) for c in docs.columns], *more)
 
 

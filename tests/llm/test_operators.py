@@ -267,6 +267,31 @@ def test_pack_plan_covers_exactly(counts: dict[int, int]) -> None:
     assert used == Counter(counts)
 
 
+@pytest.mark.parametrize("times", [1, 300])
+def test_pack_plan_is_as_tight_for_many_pieces(times: int) -> None:
+    lengths = np.clip(np.random.default_rng(5).lognormal(6, 1, 4000), 1, 2047).astype(int)
+    counts = {int(x): int(n) * times for x, n in zip(*np.unique(lengths, return_counts=True), strict=True)}
+    plan, used = packing.pack_plan(counts), Counter()
+    for p, n in plan:
+        assert sum(p) <= 2048
+        used.update({x: k * n for x, k in Counter(p).items()})
+    assert used == Counter(counts)
+    assert sum(n for _, n in plan) <= 1.001 * -(-sum(x * n for x, n in counts.items()) // 2048) + 1
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.dictionaries(st.integers(1, 64), st.integers(1, 40), min_size=1, max_size=20))
+def test_best_fit_of_counts_is_that_of_pieces(counts: dict[int, int]) -> None:
+    rooms: list[int] = []
+    for x in sorted((x for x, n in counts.items() for _ in range(n)), reverse=True):
+        at = min((i for i, r in enumerate(rooms) if r >= x), key=lambda i: rooms[i], default=None)
+        if at is None:
+            rooms.append(64 - x)
+        else:
+            rooms[at] -= x
+    assert sum(packing.best_fit(counts, 64).values()) == len(rooms)
+
+
 # --- 6 mixing --------------------------------------------------------------------------------------------------------
 
 

@@ -37,17 +37,24 @@ def covering_masks(radius: int = 3, level: int = 0) -> list[int]:
     return out
 
 
-def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
-    """The 64-bit SimHash of a whole text, unsigned; zero if it has no word."""
+def shingle_hashes(text: str | None, shingle: int, seed: int) -> np.ndarray:
+    """The hash of each shingle of a whole text, in order; a text of fewer words than ``shingle`` is hashed whole."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII blanks alone
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined, digest = b" ".join(words), xxhash.xxh64_intdigest
     size = np.fromiter(map(len, words), np.int64, len(words)) + 1
     end = np.cumsum(size) - 1
     start = end - size + 1
     k = min(shingle, len(words))
-    h = np.fromiter((digest(joined[i:j], seed) for i, j in zip(start[: len(words) - k + 1].tolist(), end[k - 1 :].tolist(), strict=True)), np.uint64, len(words) - k + 1)
+    return np.fromiter((digest(joined[i:j], seed) for i, j in zip(start[: len(words) - k + 1].tolist(), end[k - 1 :].tolist(), strict=True)), np.uint64, len(words) - k + 1)
+
+
+def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
+    """The 64-bit SimHash of a whole text, unsigned; zero if it has no word."""
+    h = shingle_hashes(text, shingle, seed)
+    if not len(h):
+        return 0
     total = np.zeros(BITS, np.int64)
     for at in range(0, len(h), 65536):
         part = h[at : at + 65536].astype("<u8").view(np.uint8).reshape(-1, 8)
@@ -132,6 +139,17 @@ def links(distinct_fps: DataFrame, radius: int = 3) -> DataFrame:
     return found
 
 
+def named_components(fps: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
+    """``(doc_id, fp, component_id)`` for each row of ``fps``, whose ``classes`` (fp, low, n) links ``found`` connect."""
+    total = fps.count()
+    roots = connected_components(found)
+    named = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
+    small = named.select("fp", "root", "n").join(lowest, "root").select("fp", "n", "component_id")
+    small = materialize(small, "components")
+    return skewed_lookup(fps, small, "fp", "n", total).select("doc_id", "fp", "component_id")
+
+
 def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3, seed: int = 42) -> DataFrame:
     """``(doc_id, fp, component_id)``: the fingerprint of each row and the smallest doc_id that links reach from it.
 
@@ -141,23 +159,18 @@ def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3, seed: in
     """
     fps = materialize(fingerprints(docs, shingle, seed), "fingerprints")
     classes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")), "classes")
-    total = fps.count()
-    roots = connected_components(links(classes.select("fp"), radius))
-    named = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    small = named.select("fp", "root", "n").join(lowest, "root").select("fp", "n", "component_id")
-    small = materialize(small, "components")
+    out = named_components(fps, classes, links(classes.select("fp"), radius))
     discard(classes)
-    return skewed_lookup(fps, small, "fp", "n", total).select("doc_id", "fp", "component_id")
+    return out
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
+def keep_one(docs: DataFrame, find=near_duplicates, **options) -> DataFrame:  # noqa: ANN001
     """The rows of ``docs``, all columns, that stand for their group: one each.
 
     That is the row with the group's smallest doc_id; of rows that repeat this doc_id, one stays. A group whose
-    doc_ids are all null keeps one row too.
+    doc_ids are all null keeps one row too. ``find`` finds the groups.
     """
-    found = near_duplicates(docs, **options)
+    found = find(docs, **options)
     keep = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("__lx_rows"))
     keep = materialize(keep, "kept")
     out = docs.join(keep.withColumnRenamed("doc_id", "__lx_id"), F.col("doc_id").eqNullSafe(F.col("__lx_id")))

@@ -16,7 +16,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lexiloom.llm import ann, lcp, licenses, linededup, mixing, packing, quality, sharding, simhash, toxicity
+from lexiloom.llm import ann, jaccard, lcp, licenses, linededup, mixing, packing, quality, sharding, simhash, toxicity
 from lexiloom.llm.components import connected_components
 from lexiloom.llm.queries import ORACLE_SQL, QUERIES, tokenizer_path
 
@@ -172,6 +172,32 @@ def test_near_duplicates_odd(odd, none):  # noqa: ANN001, ANN201
     assert Counter(r.doc_id for r in kept.collect()) == Counter([1, 3, None, 6, 7, 8, 9])
 
 
+def brute_shingles(text: str | None) -> frozenset:
+    words = (text or "").encode().lower().split()
+    return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+
+def test_pipeline_near_dedup_reaches_similarity(spark):  # noqa: ANN001, ANN201
+    from corpus_pipeline import near_dedup
+
+    rng, rows = np.random.default_rng(3), []
+    for base in range(40):
+        words = [f"w{x}" for x in rng.integers(0, 10**6, 60 + 5 * base)]
+        rows.append((len(rows), " ".join(words)))
+        for changes in (1, 2, 3, 5):
+            copy = list(words)
+            for at in rng.integers(0, len(copy), changes * len(copy) // 150 + 1):
+                copy[at] = f"x{rng.integers(0, 10**6)}"
+            rows.append((len(rows), " ".join(copy)))
+    rows += [(1000, ""), (1001, None), (1002, "two words"), (1003, "Two  words"), (1004, "two other")]
+    sets = [brute_shingles(t) for _, t in rows]
+    like = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    want = components_of([i for i, _ in rows], like)
+    got = [r.doc_id for r in near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()]
+    assert sorted(got) == sorted(set(want.values()))
+    assert near_dedup(spark, spark.createDataFrame([], "doc_id long, text string"), SF).count() == 0
+
+
 # --- 3 licences ------------------------------------------------------------------------------------------------------
 
 

@@ -359,7 +359,7 @@ def f13_word_overlap(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def f14_sequence_ratio(spark: SparkSession, sf: str) -> DataFrame:
     d = T.turn_pairs(spark, sf)
-    return d.select("conv_id", "turn", procedural.sequence_ratio(F.substring("source_text", 1, 500), F.substring("target_text", 1, 500)).alias("ratio"))
+    return d.select("conv_id", "turn", procedural.sequence_ratio("source_text", "target_text").alias("ratio"))
 
 
 @query("SELECT * FROM (VALUES ('前句。这是一个完整的句子。后句', '完整', '这是一个完整的句子。'), ('no such', '缺', '缺'), ('甲；乙！丙', '乙', '乙！')) AS t(s, fragment, sentence)")

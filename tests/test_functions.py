@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lexiloom.functions import procedural, text
 from lexiloom.operators import context, crossdoc, glossary, placement, severity
+from lexiloom.plans.queries import QUERIES
 from lexiloom.sources import readers
 
 
@@ -50,6 +51,13 @@ def test_sequence_ratio(spark):  # noqa: ANN001, ANN201
     assert got == [SequenceMatcher(None, "abcd", "bcde").ratio(), 0.0, 1.0]
 
 
+def test_query_of_sequence_ratio_reads_whole_turns(spark, tmp_path):  # noqa: ANN001, ANN201
+    texts = ["same words " * 60 + tail for tail in ("and one end", "with another tail " * 20, "")]
+    spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.turn: r.ratio for r in QUERIES["f14_sequence_ratio"](spark, str(tmp_path)).collect()}
+    assert got == {i: SequenceMatcher(None, texts[i], texts[i + 1]).ratio() for i in (0, 1)}
+
+
 def test_enforce_is_sequential_and_literal(spark):  # noqa: ANN001, ANN201
     terms = F.array(*[F.struct(F.lit(a).alias("source"), F.lit(b).alias("target")) for a, b in [("air", "$1\\x"), ("breathing air", "air mask"), ("", "z")]])
     r = spark.range(1).select(glossary.enforce(F.lit("Breathing AIR and air"), terms).alias("r")).first().r

@@ -601,16 +601,15 @@ def j11_place_quotes(spark: SparkSession, sf: str) -> DataFrame:
     return placement.place_quotes(q, _inline(spark, _PARAS, "doc_id int, paragraph_index int, text string"))
 
 
-def _short_pages(spark: SparkSession, sf: str) -> DataFrame:
+def _pages(spark: SparkSession, sf: str) -> DataFrame:
     by = F.floor((F.col("para_index") - 1) / 3)
-    d = T.document_lines(spark, sf).withColumn("text", F.substring("text", 1, 80))
-    return d.groupBy("doc_id", by.cast("int").alias("page")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("para_index", "text"))), lambda x: x["text"]), " ").alias("text"))
+    return T.document_lines(spark, sf).groupBy("doc_id", by.cast("int").alias("page")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("para_index", "text"))), lambda x: x["text"]), " ").alias("text"))
 
 
 @query()
 def j12_page_map(spark: SparkSession, sf: str) -> DataFrame:
     """Lines of each document stand for paragraphs, three of them for a page: each page must find its own lines."""
-    return placement.page_map(_short_pages(spark, sf), T.document_lines(spark, sf).withColumn("text", F.substring("text", 1, 80)))
+    return placement.page_map(_pages(spark, sf), T.document_lines(spark, sf))
 
 
 _LOCATE = [(1, 1, "alpha"), (1, 2, "ALPHA"), (1, 3, "beta"), (1, 4, "alpha"), (1, 5, "zeta"), (1, 6, "gamma")]

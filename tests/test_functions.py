@@ -117,6 +117,19 @@ def test_page_map_inherits(spark):  # noqa: ANN001, ANN201
     assert got == {1: (1, 2), 2: (1, 2), 3: (3, 4)}
 
 
+def test_query_of_page_map_reads_whole_lines(spark, tmp_path):  # noqa: ANN001, ANN201
+    head = "the same eighty characters and more begin every line of this document, one and all; "
+    lines = [head + tail for tail in ("apples", "pears", "quince " * 9, "stone", "iron", "gold", "rain " * 9, "snow", "hail")]
+    spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.page: (r.first_index, r.last_index) for r in QUERIES["j12_page_map"](spark, str(tmp_path)).collect()}
+    want = {}
+    for page in range(3):
+        text_of = " ".join(lines[3 * page : 3 * page + 3])
+        best = max(range(9), key=lambda i: (SequenceMatcher(None, text_of, " ".join(lines[i : i + 3])).ratio(), -i))
+        want[page] = (best + 1, min(best + 3, 9))
+    assert got == want == {0: (1, 3), 1: (4, 6), 2: (7, 9)}
+
+
 def test_batches_fall_back_to_single_texts(spark):  # noqa: ANN001, ANN201
     d = spark.createDataFrame([("a",), ("b",), ("",)], "text string")
     got = {r.text: (r.translation, r.cacheable) for r in placement.reconcile_batches(d, lambda t: t.replace("\n<<<>>>\n", " ").replace("a", "A")).collect()}

@@ -692,6 +692,61 @@ def j22_attach_tables(spark: SparkSession, sf: str) -> DataFrame:
     return placement.attach_tables(b, t)
 
 
+# --- the operators whose SQL is a list of values, over whole tables; tests hold them against brute force ---------------
+
+
+@query()
+def f15_sentence_around_documents(spark: SparkSession, sf: str) -> DataFrame:
+    d = T.table(spark, sf, "documents").withColumn("fragment", F.substring("text", 11, 20))
+    return d.select("doc_id", procedural.sentence_around("text", "fragment").alias("sentence"))
+
+
+@query()
+def f16_fix_quotes_documents(spark: SparkSession, sf: str) -> DataFrame:
+    d = T.table(spark, sf, "documents").withColumn("quote", F.substring("text", 11, 20))
+    return d.select("doc_id", procedural.fix_quote("text", "quote").alias("fixed"))
+
+
+@query()
+def f18_first_json_documents(spark: SparkSession, sf: str) -> DataFrame:
+    return T.table(spark, sf, "documents").select("doc_id", text.first_json_object(F.col("text")).alias("found"))
+
+
+@query()
+def j09_check_symbols_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return mechanical.check_symbols(T.document_pairs(spark, sf), ["doc_id"]).select("doc_id", "type", "source_value")
+
+
+@query()
+def j10_check_units_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return mechanical.check_units(T.document_pairs(spark, sf), ["doc_id"]).select("doc_id", "type", "source_value", "target_value")
+
+
+@query()
+def j11_place_quotes_lines(spark: SparkSession, sf: str) -> DataFrame:
+    q = T.issues(spark, sf).select(F.col("issue_pos").alias("doc_id"), F.col("issue_pos").alias("quote_id"), "paragraph_index", F.col("source_quote").alias("quote"))
+    return placement.place_quotes(q, T.document_lines(spark, sf).withColumnRenamed("para_index", "paragraph_index"))
+
+
+@query()
+def j13_locate_on_pages_lines(spark: SparkSession, sf: str) -> DataFrame:
+    by = F.floor((F.col("para_index") - 1) / 3).cast("int").alias("page")
+    paras = T.document_lines(spark, sf).groupBy("doc_id", by).agg(F.sort_array(F.collect_list("para_index")).alias("paras"))
+    terms = F.broadcast(T.terms(spark).select(F.col("pos").alias("issue_pos"), F.col("source").alias("value")))  # a dozen values
+    issues = T.table(spark, sf, "documents").select("doc_id").crossJoin(terms)
+    return placement.locate_on_pages(issues, _pages(spark, sf), paras).select("doc_id", "issue_pos", "located_page", "located")
+
+
+@query()
+def j22_attach_tables_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Batches of ten lines; every seventh line stands for a table, each third of them lies beyond all batches."""
+    d = T.document_lines(spark, sf).select("doc_id", F.col("para_index").cast("int").alias("i"))
+    b = d.groupBy("doc_id", F.floor(F.col("i") / 10).cast("long").alias("batch_id")).agg(F.min("i").alias("para_start"), F.max("i").alias("para_end"))
+    at = F.when(F.col("i") % 3 == 0, F.col("i") + 1_000_000).otherwise(F.col("i"))
+    t = d.filter("i % 7 = 1").select("doc_id", F.col("i").alias("table_index"), at.alias("para_start"), at.alias("para_end"))
+    return placement.attach_tables(b, t)
+
+
 # --- aggregations, windows, order and sets ---------------------------------------------------------------------------
 
 

@@ -11,6 +11,7 @@ Conventions that hold for every operator here:
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -28,12 +29,14 @@ HOT_SHARE = 512
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder for written intermediates.
 
-    Comes from ``spark.checkpoint.dir``; where that is unset (local tests) a temporary folder is chosen and kept for
-    the session.
+    Comes from ``spark.checkpoint.dir``. Where that is unset, a local master gets a temporary folder, kept for the
+    session; on a cluster executors would not see one another's files there, so that is an error.
     """
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="lexiloom-")
         sc.setCheckpointDir(base)
         base = sc.getCheckpointDir()
@@ -69,8 +72,17 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD)).cast("long")
 
 
-def skewed_lookup(rows: DataFrame, small: DataFrame, key: str, count: str, total: int) -> DataFrame:
-    """Left join of ``rows`` to ``small`` (one row per ``key``, with its number of rows in column ``count``).
+def unused_name(df: DataFrame, like: str) -> str:
+    """A column name that ``df`` does not have, whatever its case."""
+    have = {c.lower() for c in df.columns}
+    name = like
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
+def skewed_lookup(rows: DataFrame, small: DataFrame, key: str, count: str, total: int, how: str = "left") -> DataFrame:
+    """Join (``how``: left or inner) of ``rows`` to ``small``: one row per ``key``, its number of rows in ``count``.
 
     Keys with at least one in HOT_SHARE of all ``total`` rows, at most HOT_SHARE keys by counting, go through a
     broadcast; the others through a shuffled join. ``rows`` is read twice, so pass a materialised table.
@@ -78,6 +90,6 @@ def skewed_lookup(rows: DataFrame, small: DataFrame, key: str, count: str, total
     least = max(1000, -(-total // HOT_SHARE))
     hot = F.broadcast(small.filter(F.col(count) >= least)).drop(count)
     cold = small.filter(F.col(count) < least).drop(count)
-    marked = rows.join(F.broadcast(hot.select(key)), key, "left_semi").join(F.broadcast(hot), key)
-    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key, "left")
+    marked = rows.join(F.broadcast(hot), key)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key, how)
     return marked.unionByName(rest)

@@ -26,10 +26,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     clean = linededup.dedup_lines(docs.select("doc_id", "text", F.length("text").alias("was")), report=True)
-    return clean.select(
-        "doc_id", F.col("__lx_chunks").cast("long").alias("n_chunks"), F.size("__lx_removed").cast("long").alias("removed_chunks"),
-        F.coalesce(F.col("was") - F.length("text"), F.lit(0)).cast("long").alias("removed_chars"), F.col("__lx_kept_doc_id").alias("kept_doc_id"), F.md5(F.coalesce("text", F.lit(""))).alias("clean_md5"),
-    )
+    removed = F.coalesce(F.col("was") - F.length("text"), F.lit(0)).cast("long")
+    return clean.select("doc_id", "n_chunks", "removed_chunks", removed.alias("removed_chars"), "kept_doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("clean_md5"))
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

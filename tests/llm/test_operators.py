@@ -73,6 +73,8 @@ def test_line_dedup_odd(odd, none):  # noqa: ANN001, ANN201
     assert text[1] == [ROWS[0][1]] and text[3] == [None] and text[4] == [""] and len(text[2]) == 2
     assert text[2][0] == text[2][1] and len(text[2][0]) < len(ROWS[1][1])
     assert len(text[6][0]) < 1000  # a text that repeats itself keeps one of each chunk
+    clash = odd.withColumnsRenamed({"size": "key", "fp": "found", "shard": "gone"})
+    assert linededup.dedup_lines(clash).columns == clash.columns
 
 
 def test_line_dedup_finds_shifted_passages(spark):  # noqa: ANN001, ANN201
@@ -85,8 +87,49 @@ def test_line_dedup_finds_shifted_passages(spark):  # noqa: ANN001, ANN201
     assert all(len(out[i]) < len(rows[i - 1][1]) - 0.7 * len(passage) for i in range(2, 6))
 
 
+def words_of(rng, n: int) -> str:  # noqa: ANN001
+    return " ".join("".join(rng.choice(list("abcdefghijkl"), 5)) for _ in range(n))
+
+
+@pytest.mark.parametrize("sentences", [1, 2, 6])
+def test_repeated_paragraphs_go_whatever_surrounds_them(spark, sentences: int):  # noqa: ANN001
+    """A passage of over 50 words, of one sentence or several, alone or last in its document, in every document."""
+    rng = np.random.default_rng(sentences)
+    passage = " ".join(words_of(rng, 54 // sentences) + "." for _ in range(sentences))
+    own = lambda: words_of(rng, int(rng.integers(5, 30))) + "."
+    rows = [(i, "\n".join([f"{own()} {own()}", *([own()] * (i % 3)), passage, *([f"{own()} {own()} {own()}"] * (i % 2))])) for i in range(40)]
+    out = {r.doc_id: r.text for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[0] == rows[0][1] and all(passage not in out[i] for i in range(1, 40))
+    assert all(out[i].replace("\n", "") == t.replace(passage, "").replace("\n", "") for i, t in rows[1:])
+
+
+def test_passages_inside_paragraphs_mostly_go(spark):  # noqa: ANN001, ANN201
+    rng = np.random.default_rng(8)
+    passage = " ".join(words_of(rng, 8) + "." for _ in range(10))
+    rows = [(i, f"{words_of(rng, 6)}. {words_of(rng, 9)}. {passage} {words_of(rng, 7)}. {words_of(rng, 7)}.") for i in range(60)]
+    out = {r.doc_id: r.text for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    own = {i: {u for u in re.split(r"(?<=\.) ", t)} - {u for u in re.split(r"(?<=\.) ", passage)} for i, t in rows}
+    lost = [len(rows[i][1]) - len(out[i]) for i in range(1, 60)]
+    assert np.mean(lost) > 0.9 * len(passage) and all(u in out[i] for i in own for u in own[i])
+
+
+def test_equal_hashes_of_different_texts_repeat_nothing(spark, monkeypatch):  # noqa: ANN001, ANN201
+    monkeypatch.setattr(linededup, "_CANDIDATES", linededup._CANDIDATES.replace("unhex(md5(", "unhex(concat('00', left(").replace(")) as h", ", 0))) as h"))
+    rows = [(i, f"first line of {i}.\nsecond line of {i}.") for i in range(5)]
+    assert sorted(r.text for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == [t for _, t in rows]
+
+
+def test_line_dedup_of_a_text_of_20_mb(spark):  # noqa: ANN001, ANN201
+    rng = np.random.default_rng(9)
+    body = "\n".join(". ".join(words_of(rng, 8) for _ in range(6)) + "." for _ in range(700))
+    long = (body + "\n") * 98
+    rows = [(1, long), (2, long), (3, body)]
+    out = {r.doc_id: r.text for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(long) > 20_000_000 and out[1].strip() == body and out[2] == out[3] == ""
+
+
 def test_lines_rejoin() -> None:
-    for t in ["a. b! c?\nd", "...\n\n", "x", "3.5 and 2.", "é。\r\n"]:
+    for t in ["a. b! c?\nd", "...\n\n", "x", "3.5 and 2.", "é。\r\n", "  \n x.  \n\n y"]:
         assert "".join(re.findall(linededup.LINE.replace(r"\z", r"\Z"), t)) == t
 
 

@@ -1,13 +1,13 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
-Every document has a place in its source's random permutation, a seeded hash of its id. Equal stretches of hash values
-are the source's blocks. A mix takes each source whole as often as its target allows and, once more, its first blocks;
-the last of these is narrowed digit by digit until it holds few documents, which are chosen one by one to meet the
-target. How many of a source's drawn blocks each output shard gets is settled by the tree: the quotas of a range of
-shards are split between its halves by a multivariate-hypergeometric draw. Blocks then go, permuted, to shards that
-have quota, and each shard is ordered by hash.
-
-DataFrame operations only; the driver holds one row per source.
+Every document has a place in its source: a seeded hash. Equal stretches of places are the source's BLOCKS blocks, and a
+seeded permutation orders them. A mix takes all blocks of a source as often as its target allows and, once more, the
+first blocks of the permutation; the last of these is narrowed digit by digit until it holds few documents, which are
+chosen one by one to meet the target. So each source has an exact quota of drawn blocks. The tree shares the quotas among
+output shards: those of a range of shards are split between its halves by a multivariate-hypergeometric draw. The drawn
+blocks, permuted again, go to the shards as their quotas say, each to one, and each shard is ordered by hash.
+
+DataFrame operations only; the driver holds a few rows per source.
 """
 
 from __future__ import annotations
@@ -18,14 +18,16 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import BLANKS, materialize, text_or_empty, word_count
+from lexiloom.llm.common import BLANKS, materialize, skewed_lookup, text_or_empty, unused_name, word_count
 
 BITS, DIGIT = 56, 8
 BLOCKS = 1 << DIGIT
 #: A last block of so many documents is settled one by one.
 FEW = 256
-#: Per-source rows are broadcast up to this number of sources, and joined by a shuffle beyond.
+#: Per-source rows, of some 2 KB, are broadcast up to this number of sources; beyond, only those of hot sources are.
 BROADCAST_SOURCES = 1000
+#: Copies of one row that are numbered at a time.
+COPIES = 10_000
 
 
 def source_targets(sizes: dict[str | None, int], weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0, total: int | None = None) -> dict[str | None, float]:
@@ -68,103 +70,155 @@ def split_quotas(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
     return out
 
 
-def _spot(seed: int) -> Column:
-    """A document's place in its source's permutation, of BITS bits."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id")), 64 - BITS)
+def _unit() -> Column:
+    """Rows that agree in source, doc_id and text are copies of one unit: 128 bits name it."""
+    parts = [x for c in ("source", "doc_id", "text") for x in (F.col(c).isNull(), F.col(c))]
+    return F.struct(F.xxhash64(F.lit(1), *parts).alias("a"), F.xxhash64(F.lit(2), *parts).alias("b"))
 
 
-def _with_sources(rows: DataFrame, per_source: DataFrame, n: int) -> DataFrame:
-    small = per_source.withColumnRenamed("source", "__lx_source")
-    return rows.join(F.broadcast(small) if n <= BROADCAST_SOURCES else small, F.col("source").eqNullSafe(F.col("__lx_source"))).drop("__lx_source")
+def _spot(seed: int, unit: str, copy: str) -> Column:
+    """A copy's place in its source, of BITS bits."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), f"{unit}.a", f"{unit}.b", copy), 64 - BITS)
 
 
-def draws(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, shards: int = 16, seed: int = 7) -> DataFrame:
-    """All rows and columns of ``docs`` with what the mix takes of them.
+def _with_sources(rows: DataFrame, per_source: DataFrame, into: str, n: int) -> DataFrame:
+    """``rows`` of the sources in ``per_source`` (source, rows, and more, of ``n`` sources) with its row as struct ``into``."""
+    source = unused_name(rows, "of")
+    small = per_source.select(F.concat(F.when(F.col("source").isNull(), "n").otherwise("s"), F.coalesce("source", F.lit(""))).alias(source), F.struct(*[c for c in per_source.columns if c != "rows"]).alias(into), "rows")
+    keyed = rows.withColumn(source, F.concat(F.when(F.col("source").isNull(), "n").otherwise("s"), F.coalesce(F.col("source"), F.lit(""))))
+    if n <= BROADCAST_SOURCES:
+        return keyed.join(F.broadcast(small.drop("rows")), source).drop(source)
+    count = unused_name(rows, "rows")
+    total = per_source.agg(F.sum("rows")).first()[0]
+    return skewed_lookup(keyed, small.withColumnRenamed("rows", count), source, count, total, how="inner").drop(source)
 
-    Further columns: __lx_size (words), __lx_source_size, __lx_target, __lx_draws: an array of (pass, shard, words) with
-    one entry for each time the mix takes the row. words is the whole size but for at most one document of each source,
-    of which only the first words are taken so that the source meets its target. Rows that repeat a doc_id within a
-    source are drawn together. Null texts have no words; a null source is a source. Results depend on the rows alone,
-    not on their order or partitions.
+
+def _numbered(rows: DataFrame, unit: str, copy: str, again: DataFrame | None) -> DataFrame:
+    """``rows`` with their number among the copies of their unit; ``again`` has the units of several copies.
+
+    Copies are numbered where they lie, and then over the tasks that hold some: no task sees all copies of a unit. Which
+    copy has which number may differ between runs, but copies are alike.
+    """
+    if again is None:
+        return rows.withColumn(copy, F.lit(0).cast("long"))
+    part, nth, n = (unused_name(rows, x) for x in ("part", "nth", "before"))
+    names = again.select(F.col("unit").alias(unit))
+    plain = rows.join(names, unit, "left_anti").withColumn(copy, F.lit(0).cast("long"))
+    kept = materialize(rows.join(names, unit, "left_semi").withColumn(part, F.spark_partition_id()), "copied")
+    by = Window.partitionBy(unit).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    before = kept.groupBy(unit, part).agg(F.count("*").alias(n)).withColumn(n, F.coalesce(F.sum(n).over(by), F.lit(0)))
+    placed = kept.withColumn(nth, F.row_number().over(Window.partitionBy(unit, part).orderBy(unit))).join(before, [unit, part])
+    placed = placed.withColumn(copy, (F.col(n) + F.col(nth) - 1).cast("long"))
+    return plain.unionByName(placed.select(*plain.columns))
+
+
+def _last_digit(units: DataFrame, spark, states: list[tuple], digit: int, ranked: bool) -> dict:  # noqa: ANN001
+    """Per source of ``states`` (source, rows, lo, width, left, ranks): in which of the BLOCKS parts of its stretch ``left`` is met.
+
+    Parts are taken by ``ranks`` if ``ranked``, else in order. Gives (part, its words' start, its documents).
+    """
+    state = spark.createDataFrame(states, "source string, rows long, lo long, width long, left long, ranks array<int>")
+    at = _with_sources(units, state, "s", len(states)).filter("spot >= s.lo and spot < s.lo + s.width")
+    part = F.shiftright(F.col("spot") - F.col("s.lo"), BITS - DIGIT * (digit + 1)).cast("int")
+    parts = at.groupBy("source", part.alias("part")).agg(F.sum("size").alias("size"), F.count("*").alias("n"), F.max("s.left").alias("left"), F.first("s.ranks").alias("ranks"))
+    order = F.element_at("ranks", F.col("part") + 1) if ranked else F.col("part")
+    start = F.coalesce(F.sum("size").over(Window.partitionBy("source").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    met = parts.withColumn("start", start).filter("start <= left and left < start + size")
+    return {r["source"]: (r["part"], r["start"], r["n"]) for r in met.select("source", "part", "start", "n").collect()}
+
+
+def draws(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, shards: int = 16, seed: int = 7, into: str = "drawn") -> DataFrame:
+    """All rows and columns of ``docs`` with what the mix takes of them, a struct ``into``.
+
+    It has size (words), source_size, target, quota (the source's drawn blocks), quotas (those of each shard) and draws:
+    an array of (pass, block, shard, words) with one entry for each time the mix takes the row. All rows of a source that
+    one pass draws in one block go to one shard. words is the whole size but for at most one row of each source, of which
+    only the first words are taken so that the source meets its target, to the rounding. Rows are drawn one by one, also
+    where they repeat or have no doc_id. Null texts have no words; a null source is a source; an empty table gives an
+    empty one. Very long texts are only counted and cut. Results depend on the rows alone, not on their order or
+    partitions. ``docs`` may have columns of any name but ``into``.
     """
     spark = docs.sparkSession
-    narrow = materialize(docs.select("doc_id", "source", word_count(text_or_empty()).alias("size"), _spot(seed).alias("spot")), "words")
-    size_of = {r["source"]: r["size"] for r in narrow.groupBy("source").agg(F.sum("size").alias("size")).collect()}
-    order = sorted(size_of, key=lambda s: (s is None, s or ""))
+    if into in docs.columns:
+        raise ValueError(f"documents have a column {into}: choose another name for what is drawn")
+    unit = unused_name(docs, "unit")
+    keyed = docs.withColumn(unit, _unit())
+    narrow = materialize(keyed.select(F.col(unit).alias("unit"), F.col("source").cast("string").alias("source"), word_count(text_or_empty()).alias("size")), "words")
+    again = materialize(narrow.groupBy("unit").agg(F.count("*").alias("n"), F.first("source").alias("source"), F.first("size").alias("size")).filter("n > 1"), "copies")
+    if again.isEmpty():
+        again, units = None, narrow.withColumn("copy", F.lit(0).cast("long"))
+    else:
+        runs = again.withColumn("run", F.explode(F.expr(f"sequence(0L, (n - 1) div {COPIES})"))).repartition("unit", "run")
+        copies = runs.select("unit", "source", "size", F.explode(F.expr(f"sequence(run * {COPIES}, least(run * {COPIES} + {COPIES - 1}, n - 1))")).alias("copy"))
+        units = narrow.join(again.select("unit"), "unit", "left_anti").withColumn("copy", F.lit(0).cast("long")).unionByName(copies)
+    units = units.withColumn("spot", _spot(seed, "unit", "copy"))
+    found = {r["source"]: (r["size"], r["n"]) for r in narrow.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()}
+    order = sorted(found, key=lambda s: (s is None, s or ""))
+    size_of, rows_of = {s: found[s][0] for s in order}, {s: found[s][1] for s in order}
     target = source_targets(size_of, weights, most)
-    full, need = {}, {}
-    for s in order:
+    full, need, ranks = {}, {}, {}
+    for i, s in enumerate(order):
         full[s] = min(most, int(target[s] // size_of[s])) if size_of[s] else 0
         need[s] = round(target[s] - full[s] * size_of[s]) if size_of[s] and full[s] < most else 0
         if size_of[s] and need[s] >= size_of[s]:
             full[s], need[s] = full[s] + 1, 0
+        ranks[s] = [int(x) for x in np.random.default_rng((seed, i)).permutation(BLOCKS)]
 
-    # radix descent: below ``low`` everything is drawn, [low, low + width) is the block where the target is met
-    low, width, left, blocks = dict.fromkeys(order, 0), dict.fromkeys(order, 1 << BITS), dict(need), dict.fromkeys(order, 0)
+    # blocks of lower rank are drawn; of the block ranked ``whole``, what lies below ``low``, and of [low, low + width) a part
+    whole, low, width, left = dict.fromkeys(order, 0), dict.fromkeys(order, 0), dict.fromkeys(order, 1 << BITS), dict(need)
     open_ones = [s for s in order if need[s] > 0]
-    schema = "source string, lo long, width long"
-    for step in range(BITS // DIGIT):
+    for digit in range(BITS // DIGIT):
         if not open_ones:
             break
-        state = spark.createDataFrame([(s, low[s], width[s]) for s in open_ones], schema)
-        at = _with_sources(narrow, state, len(open_ones)).filter("spot >= lo and spot < lo + width")
-        block = F.shiftright(F.col("spot") - F.col("lo"), BITS - DIGIT * (step + 1)).cast("int").alias("block")
-        found: dict[str | None, list] = {}
-        for r in at.groupBy("source", block).agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect():
-            found.setdefault(r["source"], []).append((r["block"], r["size"], r["n"]))
+        met = _last_digit(units, spark, [(s, rows_of[s], low[s], width[s], left[s], ranks[s]) for s in open_ones], digit, digit == 0)
         still = []
         for s in open_ones:
+            part, start, n = met[s]
+            if digit == 0:
+                whole[s] = ranks[s][part]
             width[s] >>= DIGIT
-            start = low[s]
-            for k, size, n in sorted(found.get(s, [])):
-                if size > left[s]:
-                    low[s] = start + k * width[s]
-                    if step == 0:
-                        blocks[s] = k
-                    if n > FEW:
-                        still.append(s)
-                    break
-                left[s] -= size
-            else:  # the rest of the stretch is drawn whole
-                low[s], width[s] = start + BLOCKS * width[s], 0
-                if step == 0:
-                    blocks[s] = BLOCKS
+            low[s] += part * width[s]
+            left[s] -= start
+            if left[s] and n > FEW:
+                still.append(s)
         open_ones = still
 
-    # the last blocks: whole documents while they fit, then the first words of the smallest left
-    last = [s for s in order if left[s] > 0 and width[s] > 0]
-    state = spark.createDataFrame([(s, low[s], width[s], left[s]) for s in last], schema + ", left long")
-    units = _with_sources(narrow, state, len(last)).filter("spot >= lo and spot < lo + width").groupBy("source", "spot", "doc_id").agg(F.sum("size").alias("size"), F.count("*").alias("n"), F.max("left").alias("left"))
-    listed = units.groupBy("source").agg(F.max("left").alias("left"), F.sort_array(F.collect_list(F.struct("spot", "doc_id", "size", "n"))).alias("units"))
+    # the last places: whole documents while they fit, then the first words of the smallest left
+    last = [s for s in order if left[s] > 0]
+    state = spark.createDataFrame([(s, rows_of[s], low[s], width[s], left[s]) for s in last], "source string, rows long, lo long, width long, left long")
+    few = _with_sources(units, state, "s", len(last)).filter("spot >= s.lo and spot < s.lo + s.width")
+    listed = few.groupBy("source").agg(F.max("s.left").alias("left"), F.sort_array(F.collect_list(F.struct("spot", "unit", "copy", "size"))).alias("units"))
     took = F.expr("""aggregate(units, named_struct('left', left, 'took', cast(array() as array<boolean>)),
         (a, x) -> named_struct('left', if(x.size <= a.left, a.left - x.size, a.left), 'took', array_append(a.took, x.size <= a.left)))""")
-    chosen = listed.select("source", "units", took.alias("x")).select("source", F.col("x.left").alias("left"), F.expr("transform(units, (u, i) -> struct(u.spot, u.doc_id, u.size, u.n, x.took[i] as took))").alias("units"))
-    chosen = chosen.withColumn("cut", F.expr("if(left > 0, array_min(transform(filter(units, u -> not u.took and u.n = 1), u -> struct(u.size, u.spot))), null)"))
-    picked = chosen.select("source", "left", "cut", F.explode("units").alias("u")).select(
-        F.col("source").alias("__lx_src"), F.col("u.doc_id").alias("__lx_id"),
-        F.when(F.col("u.took"), F.lit(2**62)).when((F.col("u.spot") == F.col("cut.spot")) & (F.col("u.size") == F.col("cut.size")) & (F.col("u.n") == 1), F.col("left")).alias("__lx_words"),
-    ).filter("__lx_words is not null")
-
-    quotas = np.array([full[s] * BLOCKS + blocks[s] + (s in last) for s in order], np.int64)
+    chosen = listed.select("units", took.alias("x")).select("units", "x.took", "x.left", F.expr("array_min(filter(transform(units, (u, i) -> if(x.left > 0 and not x.took[i], struct(u.size as size, i as i), null)), u -> u is not null)).i").alias("cut"))
+    picked = chosen.select("took", "left", "cut", F.posexplode("units").alias("i", "u")).select(F.struct("u.unit.a", "u.unit.b", "u.copy").alias("one"), F.when(F.expr("took[i]"), F.col("u.size")).when(F.col("i") == F.col("cut"), F.col("left")).alias("words"))
+    picked = picked.filter("words is not null")
+
+    quotas = np.array([full[s] * BLOCKS + whole[s] + (left[s] > 0 or low[s] > ranks[s].index(whole[s]) << (BITS - DIGIT)) * (need[s] > 0) for s in order], np.int64)
     parted = split_quotas(quotas, shards, seed) if len(order) else np.zeros((shards, 0), np.int64)
     rng, rows = np.random.default_rng(seed + 1), []
     for i, s in enumerate(order):
         q = max(1, int(quotas[i]))
         step = next(a for a in iter(lambda q=q: int(rng.integers(1, q + 1)), None) if math.gcd(a, q) == 1)
-        rows.append((s, size_of[s], target[s], full[s], low[s] if need[s] > 0 else 0, blocks[s], q, step, int(rng.integers(q)), [int(x) for x in np.cumsum(parted[:-1, i])]))
-    plan = spark.createDataFrame(rows, "source string, __lx_source_size long, __lx_target double, full int, low long, blocks int, q int, mul int, plus int, ends array<int>")
-    plan = plan.select("source", "__lx_source_size", "__lx_target", F.struct("full", "low", "blocks", "q", "mul", "plus", "ends").alias("__lx_plan"))
-    out = docs.withColumns({"__lx_size": word_count(text_or_empty()), "__lx_spot": _spot(seed)})
-    out = _with_sources(out, plan, len(order))
-    small = F.broadcast(picked) if len(order) <= BROADCAST_SOURCES else picked
-    out = out.join(small, F.col("source").eqNullSafe(F.col("__lx_src")) & F.col("doc_id").eqNullSafe(F.col("__lx_id")), "left")
-    return out.withColumn("__lx_draws", F.expr(f"""transform(
-        filter(transform(sequence(0, __lx_plan.full), p -> named_struct('pass', p, 'words',
-            case when p < __lx_plan.full or __lx_spot < __lx_plan.low then __lx_size
-                 when __lx_words is not null then least(__lx_words, __lx_size) end)), d -> d.words is not null),
-        d -> named_struct('pass', d.pass, 'shard', size(filter(__lx_plan.ends, e -> e <= pmod(
-            cast(least(d.pass * {BLOCKS} + if(d.pass < __lx_plan.full, shiftright(__lx_spot, {BITS - DIGIT}), least(shiftright(__lx_spot, {BITS - DIGIT}), __lx_plan.blocks)), __lx_plan.q - 1) as long)
-            * __lx_plan.mul + __lx_plan.plus, __lx_plan.q))), 'words', d.words))""")).drop("__lx_spot", "__lx_plan", "__lx_src", "__lx_id", "__lx_words")
+        mine = [int(x) for x in parted[:, i]]
+        rows.append((s, rows_of[s], size_of[s], target[s], full[s], whole[s] if need[s] else -1, low[s], ranks[s], int(quotas[i]), mine, step, int(rng.integers(q)), [int(x) for x in np.cumsum(mine)[:-1]]))
+    plan = spark.createDataFrame(rows, "source string, rows long, source_size long, target double, full int, whole int, low long, ranks array<int>, quota long, quotas array<long>, mul long, plus long, ends array<long>")
+
+    copy, of, own = unused_name(keyed, "copy"), unused_name(keyed, "plan"), unused_name(keyed, "own")
+    out = _with_sources(_numbered(keyed, unit, copy, again), plan, of, len(order))
+    out = out.withColumn(own, F.struct(word_count(text_or_empty()).alias("size"), _spot(seed, unit, copy).alias("spot"), F.struct(f"{unit}.a", f"{unit}.b", copy).alias("one")))
+    words = unused_name(out, "words")
+    picked = picked.select(F.col("one").alias(copy), F.col("words").alias(words))  # at most FEW rows a source, but for equal hashes
+    out = out.drop(copy).withColumn(copy, F.col(f"{own}.one")).join(F.broadcast(picked) if len(order) <= BROADCAST_SOURCES else picked, copy, "left")
+    block = f"cast(shiftright({own}.spot, {BITS - DIGIT}) as int)"
+    rank = f"{of}.ranks[{block}]"
+    taken = F.expr(f"""transform(
+        filter(transform(sequence(0, {of}.full), p -> named_struct('pass', p, 'words',
+            case when p < {of}.full or {rank} < {of}.whole or ({rank} = {of}.whole and {own}.spot < {of}.low) then {own}.size
+                 when {words} is not null then {words} end)), d -> d.words is not null),
+        d -> named_struct('pass', d.pass, 'block', {block}, 'shard', size(filter({of}.ends, e -> e <= pmod(
+            (d.pass * {BLOCKS} + {rank}) * {of}.mul + {of}.plus, {of}.quota))), 'words', d.words))""")
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.struct(F.col(f"{own}.size").alias("size"), f"{of}.source_size", f"{of}.target", f"{of}.quota", f"{of}.quotas", taken.alias("draws")).alias(into))
 
 
 def mix(docs: DataFrame, shards: int = 16, seed: int = 7, **options) -> DataFrame:
@@ -172,13 +226,17 @@ def mix(docs: DataFrame, shards: int = 16, seed: int = 7, **options) -> DataFram
 
     Rows are dealt by (shard, hash), so consecutive partitions hold consecutive shards, each locally shuffled. The one
     document of a source that is taken in part keeps its first words, joined by single spaces (n_chars, if there,
-    follows). Documents without words are never short of their target and go as their source's passes say.
+    follows). Documents without words are never short of their target and go as their source's passes say. Odd inputs
+    are as in :func:`draws`.
     """
-    d = draws(docs, shards=shards, seed=seed, **options).withColumn("__lx_draw", F.explode("__lx_draws"))
-    part = (F.col("__lx_draw.words") < F.col("__lx_size"))
-    cut = F.array_join(F.slice(F.filter(F.split("text", f"[{BLANKS}]+"), lambda w: w != ""), F.lit(1), F.col("__lx_draw.words").cast("int")), " ")
+    own = unused_name(docs, "drawn")
+    d = draws(docs, shards=shards, seed=seed, into=own, **options)
+    draw, order, shard = (unused_name(d, x) for x in ("draw", "order", "shard"))
+    d = d.withColumn(draw, F.explode(f"{own}.draws"))
+    part = F.col(f"{draw}.words") < F.col(f"{own}.size")
+    cut = F.array_join(F.slice(F.filter(F.split("text", f"[{BLANKS}]+"), lambda w: w != ""), F.lit(1), F.col(f"{draw}.words").cast("int")), " ")
     d = d.withColumn("text", F.when(part, cut).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         d = d.withColumn("n_chars", F.when(part, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    d = d.withColumns({"__lx_shard": F.col("__lx_draw.shard"), "__lx_order": F.xxhash64(F.lit(seed), "doc_id", "__lx_draw.pass")})
-    return d.repartitionByRange("__lx_shard", "__lx_order").sortWithinPartitions("__lx_shard", "__lx_order").select(*docs.columns)
+    d = d.withColumns({shard: F.col(f"{draw}.shard"), order: F.xxhash64(F.lit(seed), "doc_id", "text", f"{draw}.pass")})
+    return d.repartitionByRange(shard, order).sortWithinPartitions(shard, order).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -50,8 +50,8 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_mixing_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = mixing.draws(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    taken = F.aggregate("__lx_draws", F.lit(0).cast("long"), lambda a, d: a + d["words"])
-    return drawn.select("doc_id", F.col("__lx_size").alias("size"), F.col("__lx_source_size").alias("source_size"), F.col("__lx_target").alias("target"), taken.alias("taken"))
+    taken = F.aggregate("drawn.draws", F.lit(0).cast("long"), lambda a, d: a + d["words"])
+    return drawn.select("doc_id", "drawn.size", "drawn.source_size", "drawn.target", taken.alias("taken"), "source", "drawn.quota", "drawn.draws")
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

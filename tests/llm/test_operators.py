@@ -376,23 +376,81 @@ def test_split_quotas_are_exact() -> None:
     assert (s.sum(axis=0) == q).all() and s.sum(axis=1).max() - s.sum(axis=1).min() <= 3 and (s == mixing.split_quotas(q, 7, 3)).all()
 
 
-def test_mixing_meets_targets(spark, docs):  # noqa: ANN001, ANN201
+def check_draws(d: pd.DataFrame, most: int = 3) -> None:
+    """Against brute force: sizes, targets, words taken, and how many blocks each shard draws of each source."""
+    d = d.assign(source=d.source.astype(object).where(d.source.notna(), None))
+    assert (d["size"] == [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for t in d.text]).all()
+    sizes = defaultdict(int)
+    for s, n in zip(d.source, d["size"], strict=True):
+        sizes[s] += int(n)
+    want = mixing.source_targets(sizes)
+    taken, cut, shard_of = Counter(), Counter(), defaultdict(set)
+    for r in d.itertuples():
+        passes = [x["pass"] for x in r.draws]
+        assert len(set(passes)) == len(passes) <= most and r.target == pytest.approx(want[r.source]) and r.source_size == sizes[r.source]
+        for x in r.draws:
+            taken[r.source] += x["words"]
+            cut[r.source] += x["words"] < r.size
+            shard_of[r.source, x["pass"], x["block"]].add(x["shard"])
+    for s in sizes:
+        assert abs(taken[s] - want[s]) <= 1 and cut[s] <= 1, (s, taken[s], want[s])
+        quota, quotas = next((r.quota, r.quotas) for r in d.itertuples() if r.source == s or (s is None and r.source is None))
+        drawn = Counter(next(iter(x)) for (t, _, _), x in shard_of.items() if t == s)
+        assert all(len(x) == 1 for x in shard_of.values()) and sum(quotas) == quota
+        empty = quota - sum(drawn.values())  # blocks without a document
+        assert empty >= 0 and all(drawn[i] <= q for i, q in enumerate(quotas))
+        if (d.source == s).sum() > 6000:
+            assert empty == 0 and all(drawn[i] == q for i, q in enumerate(quotas))
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    parted = mixing.split_quotas(np.array([next(r.quota for r in d.itertuples() if r.source == s or (s is None and r.source is None)) for s in order]), 16, 7)
+    for i, s in enumerate(order):
+        assert list(parted[:, i]) == list(next(r.quotas for r in d.itertuples() if r.source == s or (s is None and r.source is None)))
+    assert parted.sum(axis=1).max() - parted.sum(axis=1).min() <= 4
+
+
+def flat(df) -> pd.DataFrame:  # noqa: ANN001
+    return df.select("doc_id", "source", "text", "drawn.*").toPandas()
+
+
+def test_mixing_meets_targets(spark):  # noqa: ANN001, ANN201
     base = spark.read.parquet(f"{SF}/documents.parquet")
-    got = [QUERIES["op6_mixing_to_weights"](spark, SF).toPandas().sort_values("doc_id").reset_index(drop=True) for _ in range(2)]
-    assert got[0].equals(got[1])
-    d = got[0].merge(docs, on="doc_id")
-    assert (d["size"] == [len(re.findall(r"[^\x20\x09-\x0D]+", t)) for t in d.text]).all() and (d.taken <= 3 * d["size"]).all()
-    want = mixing.source_targets(d.groupby("source")["size"].sum().to_dict())
-    for s, g in d.groupby("source"):
-        assert g.target.iloc[0] == pytest.approx(want[s]) and abs(g.taken.sum() - want[s]) <= 1 and g.source_size.iloc[0] == g["size"].sum()
+    d = flat(mixing.draws(base))
+    check_draws(d)
+    got = QUERIES["op6_mixing_to_weights"](spark, SF).toPandas().sort_values("doc_id")
+    assert got.taken.tolist() == [sum(x["words"] for x in r) for r in d.sort_values("doc_id").draws]
     mixed = mixing.mix(base).groupBy("doc_id").agg(F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))).alias("n")).toPandas()
-    assert d[d.taken > 0].set_index("doc_id").taken.to_dict() == mixed[mixed.n > 0].set_index("doc_id").n.to_dict()
+    assert got[got.taken > 0].set_index("doc_id").taken.to_dict() == mixed[mixed.n > 0].set_index("doc_id").n.to_dict()
+
+
+def test_mixing_draws_whole_quotas_of_blocks(spark):  # noqa: ANN001, ANN201
+    rows = [(i, "a" if i % 5 else "b", "w " * (i % 7 + 1)) for i in range(40_000)]
+    d = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    one = flat(mixing.draws(d))
+    check_draws(one)
+    other = flat(mixing.draws(d.repartition(7, "text")))
+    key = lambda x: sorted((r.doc_id, str(list(r.draws))) for r in x.itertuples())
+    assert key(one) == key(other)
+
+
+def test_mixing_of_repeated_and_null_ids(spark, monkeypatch):  # noqa: ANN001, ANN201
+    monkeypatch.setattr(mixing, "COPIES", 7)
+    rows = [(None, "a", "one two three four five six seven eight nine ten")] * 200 + [(5, "b", "x y z")] * 300 + [(i, "c", "p q r s t") for i in range(900)] + [(None, None, f"t{i} u") for i in range(250)]
+    d = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(5)
+    got = flat(mixing.draws(d))
+    assert len(got) == len(rows)
+    check_draws(got)
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 1)
+    check_draws(flat(mixing.draws(d)))
+    assert Counter(str(list(x)) for x in got.draws) == Counter(str(list(x)) for x in flat(mixing.draws(d.coalesce(1))).draws)
 
 
 def test_mixing_odd(odd, none):  # noqa: ANN001, ANN201
-    d = mixing.draws(odd).toPandas()
-    assert len(d) == len(ROWS) and all(sum(x["words"] for x in r.__lx_draws) <= 3 * r.__lx_size for r in d.rename(columns=lambda c: c).itertuples() for r in [d.loc[r.Index]])
-    assert mixing.mix(odd).columns == odd.columns and mixing.mix(none).count() == 0
+    check_draws(flat(mixing.draws(odd)))
+    odd = odd.withColumnsRenamed({"size": "drawn", "fp": "unit", "shard": "copy", "h": "draw", "lines": "plan"})
+    mixed = mixing.mix(odd)
+    assert mixed.columns == odd.columns and mixed.count() > 0 and mixing.mix(none).count() == 0
+    with pytest.raises(ValueError, match="drawn"):
+        mixing.draws(odd)
 
 
 # --- 7 fingerprints --------------------------------------------------------------------------------------------------

@@ -264,9 +264,32 @@ def test_quality_ranks_held_out_documents(spark) -> None:  # noqa: ANN001
 
 
 def test_toxicity_of_held_out_documents(spark) -> None:  # noqa: ANN001
-    d, marks = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    d, marks = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     got = toxicity.score(d, toxicity.fit(d, marks)).join(marks, "doc_id").filter("held_out").toPandas()
-    assert (got.predicted == got.toxic).mean() > 0.88 and got.score[got.toxic == 1].median() > got.score[got.toxic == 0].quantile(0.9)
+    assert got.predicted[got.toxic == 1].mean() > 0.7 and (1 - got.predicted[got.toxic == 0]).mean() > 0.98
+    assert got.score[got.toxic == 1].median() > got.score[got.toxic == 0].quantile(0.95)
+
+
+def test_window_lengths_match_brute_force() -> None:
+    """Differences and numbers of a text, from compressors made anew for each window."""
+    import zstandard
+
+    rng = np.random.default_rng(6)
+    toxic, ordinary = [f"{words_of(rng, 20)} Vilest, {words_of(rng, 9)} rotten!" for _ in range(60)], [words_of(rng, 40) for _ in range(120)]
+    plain, bad = toxicity.dictionaries(toxic, ordinary)
+    assert b"vilest" in bad and b"vilest" not in plain
+
+    def length(window: bytes, content: bytes) -> int:
+        return len(zstandard.ZstdCompressor(level=toxicity.LEVEL, dict_data=zstandard.ZstdCompressionDict(content), write_content_size=False, write_checksum=False, write_dict_id=False).compress(window))
+
+    for text in [toxic[0], ordinary[0], "", "x" * 1000 + " vilest", None]:
+        words = [w.strip(b"!,") for w in (text or "").lower().encode().split()]
+        words = [w[i : i + 64] for w in words for i in range(0, len(w), 64)] or [b""]
+        x = sorted((length(bytes(range(128, 136)) + b" " + w + b" ", plain) - length(bytes(range(128, 136)) + b" " + w + b" ", bad) for w in words), reverse=True)
+        kinds = list({w: length(bytes(range(128, 136)) + b" " + w + b" ", plain) - length(bytes(range(128, 136)) + b" " + w + b" ", bad) for w in words}.values())
+        many = [sum(v >= 1 for v in x), sum(v >= 4 for v in x), sum(v >= 1 for v in kinds), sum(v >= 3 for v in kinds)]
+        want = [x[0], sum(x[:3]) / len(x[:3]), *(min(n, 8) for n in many), min(sum(v for v in x if v > 0), 40), many[0] / len(x), np.log(len(x))]
+        assert toxicity.Distance(plain, bad)(text) == pytest.approx(want)
 
 
 @pytest.mark.parametrize("op", [quality, toxicity])

@@ -244,13 +244,63 @@ def test_pipeline_near_dedup_reaches_similarity(spark):  # noqa: ANN001, ANN201
 # --- 3 licences ------------------------------------------------------------------------------------------------------
 
 
-def test_license_scan(spark, odd, none):  # noqa: ANN001, ANN201
-    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted.\n1. Redistributions of source code must retain the above copyright notice.\n2. Redistributions in binary form must reproduce the above copyright notice.\n"
-    rows = [(1, bsd), (2, bsd + "Neither the name of X nor Y may be used to endorse or promote products.\n"), (3, "GNU General Public License, version 3.\nOr any later version."), (4, "We license nothing"), (5, "Licensed under CC BY-NC 4.0.\nAll rights reserved.")]
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction.
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED."""
+BSD2 = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright
+   notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions.
+"""
+BSD3 = BSD2 + """3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from it.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"."""
+GPL3 = """ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version."""
+LICENCES = {
+    "MIT": MIT, "BSD-2-Clause": BSD2, "BSD-3-Clause": BSD3, "GPL-3.0-or-later": GPL3,
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted.",
+    "Apache-2.0": '# Licensed under the Apache License, Version 2.0 (the "License");\n# you may not use this file except in compliance.\n#     http://www.apache.org/licenses/LICENSE-2.0',
+    "GPL-3.0": "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007", "Public-Domain": "It is placed in the public-domain.", "Proprietary": "All rights\treserved",
+    "MIT;Apache-2.0": "// SPDX-License-Identifier: (MIT OR Apache-2.0)", "GPL-2.0-only;Classpath-exception-2.0": "/* SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0 */",
+    "CC-BY-NC;Proprietary": "Licensed under CC BY-NC 4.0.\nAll rights reserved.", "": "We license nothing", "LGPL-2.1": "GNU Lesser General Public License version 2.1",
+}
+
+
+def test_standard_licences(spark):  # noqa: ANN001, ANN201
+    names = list(LICENCES)
+    rows = [(i, f"int main;\n\n{LICENCES[n]}\n\nOther words here.") for i, n in enumerate(names)]
     got = {r.doc_id: r.licences for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {1: "BSD-2-Clause", 2: "BSD-3-Clause", 3: "GPL-3.0-or-later", 4: "", 5: "CC-BY-NC;Proprietary"}
+    assert {names[i]: x for i, x in got.items()} == {n: n for n in names}
+
+
+def test_every_sentence_has_its_word() -> None:
+    """What a rule may match, written out, always has a word of the hint: else its texts would be passed over."""
+    for name, _, pattern in licenses.SENTENCES:
+        for one in re.split(r"\|(?![^(]*\))", pattern):
+            plain = re.sub(r"\[a-z0-9 \][*+]|\\b", "", one).replace("licen[cs]e", "license").replace("licen[cs]ed", "licensed").replace("[0-9]{4}", "2020")
+            for inner in re.findall(r"\(([^()]*)\)(\??)", plain):
+                plain = plain.replace(f"({inner[0]}){inner[1]}", "" if inner[1] else inner[0].split("|")[0])
+            assert re.search(licenses.HINT, plain.replace("?", "")), (name, plain)
+
+
+def test_license_scan_odd(spark, odd, none):  # noqa: ANN001, ANN201
     assert {r.doc_id: r.licences for r in licenses.scan(odd).collect()}[7] == "MIT" and licenses.scan(odd).count() == len(ROWS)
     assert licenses.scan(none).count() == 0
+    long = spark.createDataFrame([(1, "word another, third. " * 200_000 + MIT)], "doc_id long, text string")
+    assert licenses.scan(long).first().licences == "MIT"
 
 
 # --- 4 quality, 10 toxicity ------------------------------------------------------------------------------------------

@@ -13,14 +13,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BINS, HEX, EMPTY = 64, 4, 0xFFFF
 ROUNDS = 4  # of coin tossing: 64-bit names, then labels under 128, 14, 8 and 6
 #: Characters that are parsed at a time, as one array; a longer text goes alone.
 BATCH_CHARS = 400_000
-CELLS = 65_536
+#: Rows that are looked at for each bucket's end.
+PER_PART = 100
 
 U = np.uint64
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i in range(64)], U)
@@ -105,34 +106,40 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
+def _before(bounds: list[tuple], lo: int, hi: int) -> Column:
+    """The bucket of a row, a number from ``lo`` to ``hi``: how many of ``bounds`` (doc_id, mark) are not above it."""
+    if lo == hi:
+        return F.lit(lo)
+    mid = (lo + hi) // 2
+    i, mark = bounds[mid]
+    same = F.col("doc_id").isNull() & (F.col("mark") < mark) if i is None else F.col("doc_id").isNull() | (F.col("doc_id") < F.lit(i)) | ((F.col("doc_id") == F.lit(i)) & (F.col("mark") < mark))
+    return F.when(same, _before(bounds, lo, mid)).otherwise(_before(bounds, mid + 1, hi))
+
+
 def with_next(docs: DataFrame, parts: int) -> DataFrame:
-    """``(bucket, head, doc_id, text)``: rows dealt into ``parts`` buckets of consecutive ids; head rows end a bucket.
+    """``(bucket, head, doc_id, mark, text)``: rows dealt into ``parts`` buckets of consecutive ids; head rows end a bucket.
 
     A head is the first row after the bucket (after the last bucket: of all), so each bucket knows the row that follows
-    each of its own. Buckets come from counts in CELLS equal stretches of the id range, a bounded histogram. Null ids
-    come first; rows of equal id are ordered by text.
+    each of its own. Buckets end at quantiles of a sample of PER_PART rows a bucket, the first ones by a hash of id and
+    text, so ids may be of any type and spread. Null ids come first; rows of equal id are ordered by ``mark``, a hash of
+    their text, and may lie in several buckets.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    lo, hi = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
-    lo, hi = lo or 0, hi or 0
-    wide = max(1, -(-(hi - lo + 1) // (CELLS - 1)))
-    cell = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(F.floor((F.col("doc_id") - F.lit(lo)) / F.lit(wide)) + 1).cast("int")
-    seen = sorted((r["cell"], r["n"], r["low"]) for r in rows.groupBy(cell.alias("cell")).agg(F.count("*").alias("n"), F.min("doc_id").alias("low")).collect())
-    total, before, bucket_of, first = sum(n for _, n, _ in seen), 0, [], {}
-    for c, n, low in seen:
-        b = before * parts // max(1, total)
-        bucket_of.append((c, b))
-        first.setdefault(b, low)
-        before += n
     spark = docs.sparkSession
-    dealt = rows.withColumn("cell", cell).join(F.broadcast(spark.createDataFrame(bucket_of, "cell int, bucket int")), "cell").drop("cell")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
+    chosen = rows.select("doc_id", "mark").orderBy(F.xxhash64("doc_id", "mark"), "doc_id", "mark").limit(PER_PART * parts).collect()
+    chosen = sorted({(r["doc_id"], r["mark"]) for r in chosen}, key=lambda x: (x[0] is not None, x[0] if x[0] is not None else 0, x[1]))
+    bounds = sorted({chosen[len(chosen) * i // parts] for i in range(1, parts)} if chosen else set(), key=chosen.index)
+    dealt = rows.withColumn("bucket", _before(bounds, 0, len(bounds)).cast("int"))
+    first = {r["bucket"]: (r["low"]["doc_id"], r["low"]["mark"]) for r in dealt.groupBy("bucket").agg(F.min(F.struct("doc_id", "mark")).alias("low")).collect()}
     order = sorted(first)
-    ends = [(first[b], order[i - 1] if i else order[-1]) for i, b in enumerate(order)]
-    heads = rows.join(F.broadcast(spark.createDataFrame(ends, "low long, bucket int")), F.col("doc_id").eqNullSafe(F.col("low")))
-    heads = heads.groupBy("bucket", "doc_id").agg(F.min("text").alias("text"))
-    cols = ["bucket", "head", "doc_id", "text"]
+    ends = [(*first[b], order[i - 1] if i else order[-1]) for i, b in enumerate(order)]
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    low = spark.createDataFrame(ends, f"low {kind}, low_mark long, bucket int")
+    heads = rows.join(F.broadcast(low), F.col("doc_id").eqNullSafe(F.col("low")) & (F.col("mark") == F.col("low_mark")))
+    heads = heads.groupBy("bucket", "doc_id", "mark").agg(F.min("text").alias("text"))
+    cols = ["bucket", "head", "doc_id", "mark", "text"]
     both = dealt.withColumn("head", F.lit(False)).select(*cols).unionByName(heads.withColumn("head", F.lit(True)).select(*cols))
-    return both.repartitionById(parts, F.col("bucket")).sortWithinPartitions("bucket", "head", "doc_id", "text")
+    return both.repartitionById(parts, F.col("bucket")).sortWithinPartitions("bucket", "head", "doc_id", "mark", "text")
 
 
 def fingerprint_documents(docs: DataFrame, parts: int | None = None) -> DataFrame:
@@ -140,12 +147,14 @@ def fingerprint_documents(docs: DataFrame, parts: int | None = None) -> DataFram
 
     Columns: doc_id, n_chars (code points), edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next. The
     next document is that of the next doc_id; after the last comes the first, which for a single row is itself. Null
-    texts are empty; repeated rows follow one another. An empty table gives an empty one. One shuffle of the texts.
+    texts are empty; repeated rows follow one another, and of equal ids the text of the smaller hash comes first. An empty
+    table gives an empty one; other columns are not looked at. A very long text is parsed alone, in memory some hundred
+    times its length. One shuffle of the texts.
     """
     parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    kind = docs.schema["doc_id"].dataType
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def flush(todo: list[tuple]) -> pa.RecordBatch:
+    def flush(todo: list[tuple], id_type: pa.DataType) -> pa.RecordBatch:
         ids, texts, nexts = zip(*todo, strict=True)
         changed = [edited(t, n) for t, n in zip(texts, nexts, strict=True)]
         own, new = fingerprints([*texts, nexts[-1]]), fingerprints(changed)
@@ -153,22 +162,21 @@ def fingerprint_documents(docs: DataFrame, parts: int | None = None) -> DataFram
         own = own[:-1]
         sha = [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in changed]
         return pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array(sha), pa.array(as_hex(own)), pa.array(as_hex(new)), pa.array(likeness(own, new), pa.float64()), pa.array(likeness(own, following), pa.float64())],
+            [pa.array(ids, id_type), pa.array([len(t) for t in texts], pa.int64()), pa.array(sha), pa.array(as_hex(own)), pa.array(as_hex(new)), pa.array(likeness(own, new), pa.float64()), pa.array(likeness(own, following), pa.float64())],
             names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, todo, chars = None, [], 0
         for b in batches:
-            heads, ids, texts = (b.column(i).to_pylist() for i in (1, 2, 3))
+            heads, ids, texts = (b.column(i).to_pylist() for i in (1, 2, 4))
             for head, i, text in zip(heads, ids, texts, strict=True):
                 if last is not None:
                     todo.append((*last, text))
                     chars += len(last[1])
                 last = None if head else (i, text)
                 if todo and (chars > BATCH_CHARS or head):
-                    yield flush(todo)
+                    yield flush(todo, b.column(2).type)
                     todo, chars = [], 0
 
-    out = with_next(docs, parts).mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
-    return out.withColumn("doc_id", F.col("doc_id").cast(kind))
+    return with_next(docs, parts).mapInArrow(run, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -539,6 +539,66 @@ def test_fingerprints(spark, docs):  # noqa: ANN001, ANN201
     assert got.near_edited.mean() > 0.25 and got.near_next.median() < 0.05
 
 
+def test_next_of_ids_of_any_type_and_spread(spark):  # noqa: ANN001, ANN201
+    """Against a plain loop in order of ids: text ids, one far id, equal and null ids."""
+    rng = np.random.default_rng(4)
+    texts = ["".join(rng.choice(list("abcdef gh"), 90)) for _ in range(300)]
+    far = [(10**15 if i == 7 else i - 150, t) for i, t in enumerate(texts)]
+    named = [(f"https://example.org/{i:05d}", t) for i, t in enumerate(texts)]
+    same = [(3, t) for t in texts[:200]] + [(None, t) for t in texts[200:]]
+    for rows, kind in ((far, "long"), (named, "string"), (same, "int")):
+        df = spark.createDataFrame(rows, f"doc_id {kind}, text string")
+        dealt = lcp.with_next(df, 8).filter("not head").groupBy("bucket").count().toPandas()
+        assert len(dealt) == 8 and dealt["count"].max() < 100
+        mark = {r.text: r.m for r in df.select("text", F.xxhash64("text").alias("m")).collect()}
+        order = sorted(rows, key=lambda r: (r[0] is not None, r[0] if r[0] is not None else 0, mark[r[1]]))
+        want = Counter((i, hashlib.sha256(lcp.edited(t, order[(k + 1) % len(order)][1]).encode()).hexdigest()) for k, (i, t) in enumerate(order))
+        assert Counter((r.doc_id, r.edited_sha256) for r in lcp.fingerprint_documents(df, parts=8).collect()) == want
+
+
+def brute_phrases(x: list[int], level: int) -> list[int]:
+    """One level of parsing, symbol by symbol."""
+    mask, mix = 2**64 - 1, lambda v: int(lcp._mix(np.array([v & (2**64 - 1)], np.uint64))[0])
+    runs: list[list[int]] = []
+    for v in x:
+        if runs and runs[-1][0] == v:
+            runs[-1][1] += 1
+        else:
+            runs.append([v, 1])
+    x = [v if n == 1 else mix(v + n * 0x9E3779B97F4A7C15) for v, n in runs]
+    lab = x
+    for _ in range(lcp.ROUNDS):
+        before = [~lab[0] & mask, *lab[:-1]]
+        low = [(a ^ b) & -(a ^ b) for a, b in zip(lab, before, strict=True)]
+        lab = [2 * (d.bit_length() - 1) + (a & d != 0) for a, d in zip(lab, low, strict=True)]
+    cuts = [i for i in range(len(x)) if i == 0 or (1 < i + 1 < len(x) and lab[i] > lab[i - 1] and lab[i] > lab[i + 1])]
+    out = []
+    for a, b in zip(cuts, [*cuts[1:], len(x)], strict=True):
+        out.append(mix(sum(v * int(lcp._POWERS[min(i, 63)]) for i, v in enumerate(x[a:b])) + level))
+    return out
+
+
+def test_fingerprints_match_brute_force() -> None:
+    rng = np.random.default_rng(12)
+    texts = ["".join(rng.choice(list("abc dé\n"), n)) for n in (0, 1, 2, 3, 40, 700)] + ["aaaa" * 50, "ab" * 300]
+    got = lcp.fingerprints(texts)
+    for t, row in zip(texts, got, strict=True):
+        x, names, level = [int(v) for v in lcp._mix(np.array([ord(c) + 1 for c in t], np.uint64))], [], 0
+        while x:
+            level += 1
+            x = brute_phrases(x, level)
+            if level >= 2:
+                names += x
+                if len(x) == 1:
+                    break
+        want = [lcp.EMPTY] * lcp.BINS
+        for b in range(lcp.BINS):
+            mine = [v >> 6 for v in names if v % lcp.BINS == b]
+            if mine:
+                want[b] = int(lcp._mix(np.array([min(mine)], np.uint64))[0]) % lcp.EMPTY
+        assert row.tolist() == want
+
+
 def test_substrings_share_phrases() -> None:
     rng = np.random.default_rng(2)
     body = "".join(rng.choice(list("abcdefghij klmno"), 4000))

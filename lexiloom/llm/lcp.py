@@ -120,13 +120,13 @@ def with_next(docs: DataFrame, parts: int) -> DataFrame:
     """``(bucket, head, doc_id, mark, text)``: rows dealt into ``parts`` buckets of consecutive ids; head rows end a bucket.
 
     A head is the first row after the bucket (after the last bucket: of all), so each bucket knows the row that follows
-    each of its own. Buckets end at quantiles of a sample of PER_PART rows a bucket, the first ones by a hash of id and
-    text, so ids may be of any type and spread. Null ids come first; rows of equal id are ordered by ``mark``, a hash of
+    each of its own. Buckets end at quantiles of a sample of some PER_PART rows a bucket, chosen by a hash of id and text, so ids may be of any type and spread. Null ids come first; rows of equal id are ordered by ``mark``, a hash of
     their text, and may lie in several buckets.
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
-    chosen = rows.select("doc_id", "mark").orderBy(F.xxhash64("doc_id", "mark"), "doc_id", "mark").limit(PER_PART * parts).collect()
+    share = min(1.0, PER_PART * parts / max(1, docs.count()))
+    chosen = rows.select("doc_id", "mark").filter(F.pmod(F.xxhash64("doc_id", "mark"), F.lit(2**31)) < F.lit(int(share * 2**31))).distinct().collect()
     chosen = sorted({(r["doc_id"], r["mark"]) for r in chosen}, key=lambda x: (x[0] is not None, x[0] if x[0] is not None else 0, x[1]))
     bounds = sorted({chosen[len(chosen) * i // parts] for i in range(1, parts)} if chosen else set(), key=chosen.index)
     dealt = rows.withColumn("bucket", _before(bounds, 0, len(bounds)).cast("int"))

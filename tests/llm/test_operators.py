@@ -664,6 +664,24 @@ def test_sharding(spark, docs):  # noqa: ANN001, ANN201
     assert all(sorted(g.slot) == list(range(len(g))) for _, g in d.groupby("shard"))
 
 
+def test_tree_places_groups_and_evens_large_ones(spark):  # noqa: ANN001, ANN201
+    """Small documents of a source stay together as medians split them; sources of one long prefix are told apart."""
+    rng = np.random.default_rng(5)
+    rows = [(i, words_of(rng, 3), f"https://example.org/site{i % 4}", "en") for i in range(3000)]
+    d = sharding.kd_shards(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string"), 4).toPandas()
+    d["source"] = [rows[i][2] for i in d.doc_id]
+    assert d.groupby("shard").source.nunique().max() <= 2 and d.groupby("shard")["size"].sum().max() < 1.01 * d["size"].sum() / 4
+    load, moves = [100, 10, 10], [(0, 30, "a"), (0, 29, "b"), (0, 41, "c")]
+    got = sharding._evened(load, moves)
+    new = [100 - sum(w for _, w, g in moves if g in got), 10, 10]
+    for _, w, g in moves:
+        if g in got:
+            new[got[g]] += w
+    assert max(new) <= 51
+    some = sharding.kd_shards(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string"), target_bytes=2000).toPandas()
+    assert some.shard.nunique() >= 25 and some.groupby("shard")["size"].sum().max() < 1.1 * 2000
+
+
 def test_sharding_odd(odd, none):  # noqa: ANN001, ANN201
     d = sharding.kd_shards(odd, 4).toPandas()
     assert len(d) == len(ROWS) and all(sorted(g.slot) == list(range(len(g))) for _, g in d.groupby("shard"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,17 +41,11 @@ IDENTIFIERS = (
 )
 # fixed values: language suffixes of file names
 LANGUAGE_SUFFIXES = {
-    "zh": ("_CHN", "_ZH", "_ZHO", "_CN", "_CHS", "_CHT"),
-    "en": ("_ENG", "_EN", "_ENU", "_EN_US", "_EN_GB"),
-    "ja": ("_JPN", "_JA", "_JP"),
-    "ko": ("_KOR", "_KO", "_KR"),
-    "fr": ("_FRA", "_FR", "_FRE"),
-    "de": ("_DEU", "_DE", "_GER"),
-    "es": ("_ESP", "_ES", "_SPA"),
-    "pt": ("_POR", "_PT", "_PRT"),
-    "ru": ("_RUS", "_RU"),
-    "ar": ("_ARA", "_AR"),
-}
+    "_CHN": "zh", "_ZH": "zh", "_ZHO": "zh", "_CN": "zh", "_CHS": "zh", "_CHT": "zh", "_ENG": "en", "_EN": "en", "_ENU": "en", "_EN_US": "en",
+    "_EN_GB": "en", "_JPN": "ja", "_JA": "ja", "_JP": "ja", "_KOR": "ko", "_KO": "ko", "_KR": "ko", "_FRA": "fr", "_FR": "fr", "_FRE": "fr",
+    "_DEU": "de", "_DE": "de", "_GER": "de", "_ESP": "es", "_ES": "es", "_SPA": "es", "_POR": "pt", "_PT": "pt", "_PRT": "pt", "_RUS": "ru",
+    "_RU": "ru", "_ARA": "ar", "_AR": "ar",
+}
 CJK = "[一-鿿]"
 ELLIPSIS = "…"
 
@@ -91,17 +87,89 @@ def is_chinese(text: Column) -> Column:
     return F.regexp_count(text, F.lit(CJK)) > F.length(text) * 0.3
 
 
+def bound(value: Column, body) -> Column:  # noqa: ANN001
+    """``body(value)`` with the value worked out once, however often and wherever the body reads it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+#: White space after a sentence end, but for a full stop that belongs to an abbreviation.
+ENGLISH_BREAK = r"(?U)(?:(?<=[!?])|(?<=\.)(?<!" + "|".join(re.escape(a + ".") for a in ABBREVIATIONS) + r"))\s+"
+CHINESE_BREAK = f"[。！？…]|(?<={CJK})\\.(?!\\s*[a-zA-Z])"
+
+
 def sentence_count(text: Column, lang: str = "auto") -> Column:
-    """Sentences of a text; a blank one has none, any other at least one in English."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^\s+|\s+$", "")
-    filled = lambda parts: F.size(F.filter(parts, lambda s: s.rlike(r"(?U)\S"))).cast("long")
-    zh = filled(F.split(t, f"[。！？…]|(?<={CJK})\\.(?!\\s*[a-zA-Z])"))
-    safe = t
-    for a in sorted(ABBREVIATIONS, key=len, reverse=True):
-        safe = F.replace(safe, F.lit(a + "."), F.lit(a + "<DOT>"))
-    en = F.greatest(filled(F.split(safe, r"(?U)(?<=[.!?])\s+")), F.lit(1))
-    by_lang = {"zh": zh, "en": en}.get(lang)
-    return F.when(t == "", F.lit(0).cast("long")).otherwise(by_lang if by_lang is not None else F.when(is_chinese(t), zh).otherwise(en))
+    """Sentences of a text; a blank one has none, any other at least one in English.
+
+    English ones are counted by their breaks, Chinese ones by what stands between ends.
+    """
+
+    def count(t: Column) -> Column:
+        zh = F.size(F.filter(F.split(t, CHINESE_BREAK), lambda s: s.rlike(r"(?U)\S"))).cast("long")
+        en = (F.regexp_count(t, F.lit(ENGLISH_BREAK)) + 1).cast("long")
+        return F.when(t == "", F.lit(0).cast("long")).otherwise({"zh": zh, "en": en}[lang] if lang != "auto" else F.when(is_chinese(t), zh).otherwise(en))
+
+    return bound(stripped(F.coalesce(text, F.lit(""))), count)
+
+
+def stripped(text: Column) -> Column:
+    """``text`` without white space of any kind at its ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
+#: Kinds of sentence ends: the first kind that occurs counts, not the nearest end.
+SENTENCE_ENDS = ("。", "！", "？", "\n")
+
+
+def plain_digits(text: Column) -> Column:
+    return F.translate(text, "²³", "23")
+
+
+def sentence_around(text: Column, fragment: Column) -> Column:
+    """The sentence of ``text`` around the first occurrence of ``fragment``, found whether digits are raised or not.
+
+    It begins after the last end before the fragment and stops with the first end after it. The fragment itself if it
+    does not occur or is blank.
+    """
+
+    def cut(x: Column) -> Column:
+        whole, own = x["text"], x["wanted"]
+        at = F.when(own == "", 0).otherwise(F.instr(x["plain"], own))
+        head, tail = F.substring(x["plain"], F.lit(1), at - 1), F.substring(x["plain"], at + F.length(own), F.length(x["plain"]))
+        back = [F.instr(F.reverse(head), F.lit(e)) for e in SENTENCE_ENDS]
+        start = F.coalesce(*[F.when((i > 0) & (i < F.length(head)), F.length(head) - i + 2) for i in back], at)
+        stop = F.coalesce(*[F.when(i > 0, at + F.length(own) + i) for i in (F.instr(tail, F.lit(e)) for e in SENTENCE_ENDS)], at + F.length(own))
+        found = stripped(F.substring(whole, start, stop - start))
+        return F.when((at > 0) & (found != ""), found).otherwise(x["fragment"])
+
+    empty = lambda c: F.coalesce(c, F.lit(""))
+    given = F.struct(empty(text).alias("text"), empty(fragment).alias("fragment"), plain_digits(empty(text)).alias("plain"), plain_digits(stripped(empty(fragment))).alias("wanted"))
+    return bound(given, cut)
+
+
+def fixed_quote(text: Column, quote: Column, enough: int = 15, share: float = 0.8, key: int = 5) -> Column:
+    """A quote grown to the sentence around it.
+
+    It stays as it is if the text is empty; if it occurs there and ends a sentence (。！？) or has ``enough`` characters.
+    One that does not occur is looked for by its first ``key`` characters, three at least. What is found counts if it is
+    no shorter than the quote and occurs in the text, or ``share`` of its characters do.
+    """
+
+    def grow(x: Column) -> Column:
+        own, plain = plain_digits(stripped(x["quote"])), plain_digits(x["text"])
+        there = plain.contains(own)
+        done = (x["text"] == "") | (there & ((F.length(own) >= enough) | own.rlike("[。！？]$")))
+        first = F.substring(own, 1, key)
+        again = F.when((x["near"] == x["quote"]) & (F.length(first) >= 3), sentence_around(x["text"], first)).otherwise(x["near"])
+
+        def accept(new: Column) -> Column:
+            among = F.size(F.filter(F.split(new, ""), lambda c: (c != "") & x["text"].contains(c)))
+            fits = (F.length(new) >= F.length(stripped(x["quote"]))) & (plain.contains(plain_digits(new)) | (among >= share * F.length(new)))
+            return F.when(~done & (new != "") & fits, new).otherwise(x["quote"])
+
+        return bound(again, accept)
+
+    empty = lambda c: F.coalesce(c, F.lit(""))
+    return F.when(quote.isNotNull(), bound(F.struct(empty(text).alias("text"), quote.alias("quote"), sentence_around(text, quote).alias("near")), grow))
 
 
 def norm_key(s: Column) -> Column:
@@ -120,7 +188,7 @@ def file_stem(name: Column) -> Column:
 def language_suffix(name: Column) -> Column:
     """struct(lang_code, base_name) of a file name that ends in a language suffix, longest first, `_` before `-`; or null."""
     stem, out = file_stem(name), None
-    pairs = sorted(((s, lang) for lang, suffixes in LANGUAGE_SUFFIXES.items() for s in suffixes), key=lambda x: -len(x[0]))
+    pairs = sorted(LANGUAGE_SUFFIXES.items(), key=lambda x: -len(x[0]))
     for end, lang in [*pairs, *((s.replace("_", "-"), lang) for s, lang in pairs)]:
         hit = F.struct(F.lit(lang).alias("lang_code"), F.substring(stem, F.lit(1), F.length(stem) - len(end)).alias("base_name"))
         out = F.when(stem.endswith(end), hit) if out is None else out.when(stem.endswith(end), hit)
@@ -134,12 +202,21 @@ def is_identifier(term: Column) -> Column:
     return out
 
 
-def is_spurious_number(number: Column, page: Column) -> Column:
-    """Whether a number needs no counterpart: large, on a page with a DOI or date, or the end of a page range."""
-    n = number.try_cast("bigint")
+def page_marks(page: Column) -> Column:
+    """struct(dated, ends): whether a page has a DOI or an English date, and the ends of its page ranges."""
     ends = F.flatten(F.transform(F.regexp_extract_all(page, F.lit(PAGE_RANGE), 0), lambda m: F.split(m, "[-–]")))
-    in_range = n.between(1, 2000) & F.exists(ends, lambda e: e.try_cast("bigint") == n)
-    return F.coalesce(n > 500, F.lit(False)) | page.rlike(DOI) | page.rlike(ENGLISH_DATE) | F.coalesce(in_range, F.lit(False))
+    return F.struct((page.rlike(DOI) | page.rlike(ENGLISH_DATE)).alias("dated"), F.transform(ends, lambda e: e.try_cast("bigint")).alias("ends"))
+
+
+def is_spurious(number: Column, marks: Column) -> Column:
+    """Whether a number needs no counterpart on a page of these marks: large, on a dated page, or the end of a page range."""
+    n = number.try_cast("bigint")
+    in_range = n.between(1, 2000) & F.exists(marks["ends"], lambda e: e == n)
+    return F.coalesce(n > 500, F.lit(False)) | F.coalesce(marks["dated"], F.lit(False)) | F.coalesce(in_range, F.lit(False))
+
+
+def is_spurious_number(number: Column, page: Column) -> Column:
+    return bound(page_marks(page), lambda marks: is_spurious(number, marks))
 
 
 def word_overlap(a: Column, b: Column) -> Column:

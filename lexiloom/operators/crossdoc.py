@@ -102,6 +102,20 @@ def batches(texts: DataFrame, size: int, key: list[str], order: list) -> DataFra
     return texts.withColumn("batch_id", F.floor((nth - 1) / F.lit(size)) + 1)
 
 
+def batches_of_all(texts: DataFrame, size: int, order: Column) -> DataFrame:
+    """``texts`` with batch_id: ``size`` consecutive rows of the whole table in the given order.
+
+    Rows are sorted in ranges and numbered within theirs; ranges begin where the counts of those before end. The ranges
+    are the same each time a plan is run, as they come from the same rows.
+    """
+    ranged = texts.withColumn("_o", order).repartitionByRange("_o").withColumn("_part", F.spark_partition_id())
+    counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))  # a row per range
+    first = counts.withColumn("_first", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    nth = F.row_number().over(Window.partitionBy("_part").orderBy("_o"))
+    d = ranged.withColumn("_nth", nth).join(F.broadcast(first), "_part")
+    return d.withColumn("batch_id", F.floor((F.col("_first") + F.col("_nth") - 1) / F.lit(size)) + 1).drop("_o", "_part", "_nth", "_first")
+
+
 def chapters(paragraphs: DataFrame, key: str = "doc_id", top: int = 2) -> DataFrame:
     """``paragraphs`` with chapter_id: one starts at each heading of level ``top`` or higher, if the last has text."""
     by = Window.partitionBy(key).orderBy("para_index")

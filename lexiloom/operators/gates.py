@@ -14,7 +14,6 @@ PREFIXES = {
     "temperature_mismatch": "num", "full_unit_untranslated": "unit", "unit_issues": "unit", "format_issue": "fmt", "format_issues": "fmt",
     "client_glossary_violation": "cterm", "client_glossary_violations": "cterm",
 }
-VERDICTS = ("confirmed", "false_positive", "needs_context", "unverifiable")
 
 
 def type_prefix(kind):  # noqa: ANN001, ANN201

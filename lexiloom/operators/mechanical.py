@@ -11,10 +11,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.functions.text import DOI, ENGLISH_DATE, PAGE_RANGE, RANGE_FORMS, REFERENCES_HEADING, context, is_spurious_number, leading_values, numbers, sentence_count
+from lexiloom.functions.text import DOI, ENGLISH_DATE, PAGE_RANGE, RANGE_FORMS, REFERENCES_HEADING, bound, context, is_spurious, leading_values, numbers, page_marks, sentence_count
 
-# --- fixed values: symbols with their names and legitimate spellings -----------------------------------------------
-SYMBOLS = {"°": "度符号", "®": "注册商标", "™": "商标", "±": "正负号", "≤": "小于等于", "≥": "大于等于", "×": "乘号", "µ": "微(μ)", "α": "alpha", "β": "beta", "γ": "gamma", "δ": "delta"}
+# --- fixed values: symbols and their legitimate spellings -----------------------------------------------
+SYMBOLS = ("°", "®", "™", "±", "≤", "≥", "×", "µ", "α", "β", "γ", "δ")
 EQUIVALENTS = {"≥": (">=",), "≤": ("<=",), "±": ("+/-",), "×": ("x", "X")}
 CAS = r"(?U)CAS\s*\d{2,7}-\d{2}-\d{1}"
 STANDARDS = (r"(?U)ISO\s+\d{4,6}", r"(?U)(?:IEC|IEEE|ASTM|ICH|NMPA|FDA|EMA|WHO)\s+\d+", r"(?U)§\s*\d+", r"(?U)(?:GB|GB/T|YY|YY/T)\s+\d{4,}")
@@ -46,8 +46,8 @@ def check_numbers(pairs: DataFrame, key: list[str]) -> DataFrame:
     a, b = leading_values(numbers(s, "percentage")), leading_values(numbers(t, "percentage"))
     differ = F.filter(F.zip_with(a, b, lambda x, y: F.struct(x.alias("x"), y.alias("y"))), lambda p: F.abs(p["x"] - p["y"]) > 0.01)
     percent = F.transform(differ, lambda p: _issue("percentage_mismatch", "critical", F.concat(p["x"].cast("string"), F.lit("%")), F.concat(p["y"].cast("string"), F.lit("%"))))
-    ts, tt = numbers(s, "temperature"), numbers(t, "temperature")
-    degrees = F.when(F.size(ts) != F.size(tt), F.array(_issue("temperature_mismatch", "critical", F.array_join(ts, ", "), F.array_join(tt, ", ")))).otherwise(F.array())
+    both = F.struct(numbers(s, "temperature").alias("s"), numbers(t, "temperature").alias("t"))
+    degrees = bound(both, lambda x: F.when(F.size(x["s"]) != F.size(x["t"]), F.array(_issue("temperature_mismatch", "critical", F.array_join(x["s"], ", "), F.array_join(x["t"], ", ")))).otherwise(F.array().cast(_EMPTY)))
     return _explode(pairs, key, missing("integer", "number_missing", "medium"), missing("decimal", "decimal_mismatch", "critical"), percent, degrees)
 
 
@@ -59,11 +59,12 @@ def check_page_numbers(pages: DataFrame, key: list[str]) -> DataFrame:
     s, t = F.col("source_text"), F.col("target_text")
 
     def missing(kind: str, name: str) -> Column:
-        have = numbers(t, kind)
-        return F.transform(F.filter(numbers(s, kind), lambda v: ~F.array_contains(have, v) & ~is_spurious_number(v, s)), lambda v: _issue(name, "medium", v))
+        given = F.struct(numbers(t, kind).alias("have"), page_marks(s).alias("marks"))
+        lost = bound(given, lambda x: F.filter(numbers(s, kind), lambda v: ~F.array_contains(x["have"], v) & ~is_spurious(v, x["marks"])))
+        return F.transform(lost, lambda v: _issue(name, "medium", v))
 
     there = leading_values(numbers(t, "percentage"))
-    lost = F.filter(F.array_distinct(leading_values(numbers(s, "percentage"))), lambda v: ~F.exists(there, lambda w: F.abs(v - w) < 0.1))
+    lost = bound(there, lambda x: F.filter(F.array_distinct(leading_values(numbers(s, "percentage"))), lambda v: ~F.exists(x, lambda w: F.abs(v - w) < 0.1)))
     percent = F.transform(lost, lambda v: _issue("percentage_mismatch", "medium", F.concat(v.cast("string"), F.lit("%"))))
     return _explode(pages, key, missing("integer", "number_missing"), missing("decimal", "decimal_mismatch"), percent)
 
@@ -78,7 +79,7 @@ def check_symbols(pairs: DataFrame, key: list[str], to_chinese: bool = True) ->
             there = there | t.contains(other)
         found.append(F.when(s.contains(symbol) & ~there, _issue("symbol_missing", "medium", F.lit(symbol), quote=context(s, F.lit(symbol), 40))))
     symbols = F.array_compact(F.array(*found))
-    lacking = lambda p, kind: F.transform(F.filter(F.regexp_extract_all(s, F.lit(p), 0), lambda m: ~F.array_contains(F.regexp_extract_all(t, F.lit(p), 0), m)), lambda m: _issue(kind, "critical", m, quote=context(s, m, 40)))
+    lacking = lambda p, kind: F.transform(bound(F.regexp_extract_all(t, F.lit(p), 0), lambda have: F.filter(F.regexp_extract_all(s, F.lit(p), 0), lambda m: ~F.array_contains(have, m))), lambda m: _issue(kind, "critical", m, quote=context(s, m, 40)))
     codes = [lacking(CAS, "cas_missing"), *[lacking(p, "regulation_missing") for p in STANDARDS]]
     mixed = F.when(t.rlike(LATIN_MARK_IN_CHINESE if to_chinese else CHINESE_MARK_IN_LATIN), F.array(_issue("punctuation_mixed", "medium", F.lit(None)))).otherwise(F.array())
     return _explode(pairs, key, symbols, *codes, mixed)

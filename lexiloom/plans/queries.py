@@ -365,13 +365,13 @@ def f14_sequence_ratio(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT * FROM (VALUES ('前句。这是一个完整的句子。后句', '完整', '这是一个完整的句子。'), ('no such', '缺', '缺'), ('甲；乙！丙', '乙', '乙！')) AS t(s, fragment, sentence)")
 def f15_sentence_around(spark: SparkSession, sf: str) -> DataFrame:
     d = _inline(spark, [("前句。这是一个完整的句子。后句", "完整"), ("no such", "缺"), ("甲；乙！丙", "乙")], "s string, fragment string")
-    return d.withColumn("sentence", procedural.sentence_around("s", "fragment"))
+    return d.withColumn("sentence", text.sentence_around(F.col("s"), F.col("fragment")))
 
 
 @query("SELECT * FROM (VALUES ('前句。这是一个完整的句子。后句', '完整', '这是一个完整的句子。'), ('短。长句在这里', '短。', '短。'), ('x', '缺', '缺')) AS t(s, quote, fixed)")
 def f16_fix_quotes(spark: SparkSession, sf: str) -> DataFrame:
     d = _inline(spark, [("前句。这是一个完整的句子。后句", "完整"), ("短。长句在这里", "短。"), ("x", "缺")], "s string, quote string")
-    return d.withColumn("fixed", procedural.fix_quote("s", "quote"))
+    return d.withColumn("fixed", text.fixed_quote(F.col("s"), F.col("quote")))
 
 
 _FIXES = [("将\"副反应\"统一改为\"不良反应\"", ""), ("", "「书面允许」应译为「书面许可」"), ("改为\"不良反应\"", "此处\"副反应\"不当"), ("", "无引号"), ("", "「甲」在此应译为「乙」")]
@@ -698,13 +698,13 @@ def j22_attach_tables(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def f15_sentence_around_documents(spark: SparkSession, sf: str) -> DataFrame:
     d = T.table(spark, sf, "documents").withColumn("fragment", F.substring("text", 11, 20))
-    return d.select("doc_id", procedural.sentence_around("text", "fragment").alias("sentence"))
+    return d.select("doc_id", text.sentence_around(F.col("text"), F.col("fragment")).alias("sentence"))
 
 
 @query()
 def f16_fix_quotes_documents(spark: SparkSession, sf: str) -> DataFrame:
     d = T.table(spark, sf, "documents").withColumn("quote", F.substring("text", 11, 20))
-    return d.select("doc_id", procedural.fix_quote("text", "quote").alias("fixed"))
+    return d.select("doc_id", text.fixed_quote(F.col("text"), F.col("quote")).alias("fixed"))
 
 
 @query()
@@ -950,8 +950,8 @@ def r10_gate(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT length(text) AS n, md5(text) AS t, ((row_number() OVER (ORDER BY length(text) DESC, text) - 1) // 30 + 1)::BIGINT AS batch_id FROM (SELECT DISTINCT text FROM conversations)")
 def t05_longest_first(spark: SparkSession, sf: str) -> DataFrame:
-    c = T.table(spark, sf, "conversations").select("text").distinct().withColumn("all", F.lit(1))
-    d = crossdoc.batches(c, 30, ["all"], [F.desc(F.length("text")), "text"])
+    c = T.table(spark, sf, "conversations").select("text").distinct()
+    d = crossdoc.batches_of_all(c, 30, F.struct((-F.length("text")).alias("n"), "text"))
     return d.select(F.length("text").cast("long").alias("n"), F.md5("text").alias("t"), F.col("batch_id").cast("long").alias("batch_id"))
 
 

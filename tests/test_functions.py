@@ -26,10 +26,29 @@ def test_numbers(spark):  # noqa: ANN001, ANN201
     assert col(spark, ["1至5, 2~3"], text.numbers(F.col("s"), "range")) == [["1至5", "2~3"]]
 
 
-@given(st.text(alphabet="ab.。！ \n", max_size=40), st.text(alphabet="ab.。！ \n", max_size=6))
-def test_whole_sentence_contains_fragment(t: str, f: str) -> None:
-    got = procedural.whole_sentence(t, f)
-    assert f.strip() in got or got == f
+QUOTES = [  # text, quote, sentence around it, quote as fixed
+    ("前句。这是一个完整的句子。后句", "完整", "这是一个完整的句子。", "这是一个完整的句子。"),
+    ("前句。短句。后句", "短句。", "短句。", "短句。"),  # found, and complete
+    ("一二三四五六七八九十一二三四五六。后", "二三四五六七八九十一二三四五六", "二三四五六七八九十一二三四五六。", "二三四五六七八九十一二三四五六"),  # found, and long
+    ("甲乙。前面的几个字不同而后面的句子在。丙", "前面的几个字完全相同", "前面的几个字完全相同", "前面的几个字不同而后面的句子在。"),  # by its first five characters
+    ("面积 5 m² 整。末", "m2", "m² 整。", "m² 整。"),
+    ("甲；乙！丙", "乙", "乙！", "乙！"),
+    ("全文没有它。", "缺", "缺", "缺"), ("", "x", "x", "x"), (None, "x", "x", "x"), ("甲。乙", "", "", ""),
+    ("a.b. The end.", "The", "The", "The"), ("句一！句二。句三！句四", "句三", "句三！", "句三！"),
+]
+
+
+def test_quotes_grow_to_their_sentences(spark):  # noqa: ANN001, ANN201
+    df = spark.createDataFrame([(i, t, q) for i, (t, q, _, _) in enumerate(QUOTES)], "i int, t string, q string")
+    got = df.select("i", text.sentence_around(F.col("t"), F.col("q")).alias("s"), text.fixed_quote(F.col("t"), F.col("q")).alias("f")).orderBy("i").collect()
+    assert [(r.s, r.f) for r in got] == [(s, f) for _, _, s, f in QUOTES]
+
+
+def test_sentences_are_counted_by_their_breaks(spark):  # noqa: ANN001, ANN201
+    rows = ["One. Two! Three?", "Dr. Who met Mr. X. They ran, e.g. fast. End", "  ", "one", "3.5 is. .5 too.", "一。二！三", "第3.版。又", "An animal. Next", None]
+    want = [3, 3, 0, 1, 2, 3, 2, 1, 0]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "i int, t string")
+    assert [r.n for r in df.select("i", text.sentence_count(F.col("t")).alias("n")).orderBy("i").collect()] == want
 
 
 @given(st.lists(st.text(alphabet="abc", max_size=8), max_size=12), st.integers(1, 20))

@@ -44,8 +44,19 @@ def test_sentences_quotes_json(spark, sf):  # noqa: ANN001, ANN201
                 return t[start : i + 1]
         return None
 
-    assert rows_of(spark, sf, "f15_sentence_around_documents") == sorted(((i, procedural.whole_sentence(t, t[10:30])) for i, t in TEXTS.items()), key=repr)
-    assert rows_of(spark, sf, "f16_fix_quotes_documents") == sorted(((i, procedural.fixed_quote(t, t[10:30])) for i, t in TEXTS.items()), key=repr)
+    def sentence(t: str, f: str) -> str:
+        """Kinds of ends in their order; a place counts from the second character on."""
+        f, i = f.strip(), t.find(f.strip())
+        if not f or i < 0:
+            return f
+        before = [t[:i].rfind(e) for e in "。！？\n" if t[:i].rfind(e) > 0]
+        after = [t.find(e, i + len(f)) for e in "。！？\n" if e in t[i + len(f) :]]
+        return t[before[0] + 1 if before else i : after[0] + 1 if after else i + len(f)].strip()
+
+    quotes = {i: t[10:30] for i, t in TEXTS.items()}
+    assert rows_of(spark, sf, "f15_sentence_around_documents") == sorted(((i, sentence(t, quotes[i]) or quotes[i]) for i, t in TEXTS.items()), key=repr)
+    fixed = {i: q if q.strip() in t and len(q.strip()) >= 15 else sentence(t, q) or q for (i, q), t in zip(quotes.items(), TEXTS.values(), strict=True)}
+    assert rows_of(spark, sf, "f16_fix_quotes_documents") == sorted(fixed.items(), key=repr)
     assert rows_of(spark, sf, "f18_first_json_documents") == sorted(((i, first_json(t)) for i, t in TEXTS.items()), key=repr)
 
 

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexiloom.functions import procedural, text
-from lexiloom.operators import context, crossdoc, gates, glossary, mechanical, placement, report, severity
+from lexiloom.operators import context, crossdoc, gates, glossary, mechanical, placement, report, review, severity
 from lexiloom.plans import tables as T
 from lexiloom.sources import readers
 
@@ -418,15 +418,15 @@ def f28_unify_issues(spark: SparkSession, sf: str) -> DataFrame:
     return report.unify_issues(d)
 
 
-_UNKNOWN_STOP = ("Licensed", "Released", "Version")
-
-
-@query(r"""WITH w AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[A-Z][a-z]+(?: [A-Z][a-z]+)*'))) AS term FROM documents)
-SELECT doc_id, term FROM w WHERE length(term) > 5 AND term NOT IN ('Licensed', 'Released', 'Version')""")
+@query(r"""WITH t AS (SELECT doc_id, 'Product Alpha {?' || source || '?} ' || text AS text FROM documents),
+p AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\b'))) AS term FROM t)
+SELECT DISTINCT doc_id, term FROM (
+  SELECT doc_id, term FROM p WHERE length(term) > 5 AND term NOT IN ('Licensed', 'Released') AND NOT regexp_full_match(term,
+    'The|This|These|Those|Each|All|Some|Any|No|Not|When|Where|Which|What|After|Before|During|Section|Product|Information|Identification|Description|General|Special|Safety|Health|Fire|Handling|Storage|Transport|Disposal')
+  UNION ALL SELECT doc_id, source FROM documents)""")
 def f31_unknown_terms(spark: SparkSession, sf: str) -> DataFrame:
-    found = F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Z][a-z]+(?: [A-Z][a-z]+)*"), 0))
-    d = T.table(spark, sf, "documents").select("doc_id", F.explode(found).alias("term")).filter((F.length("term") > 5) & ~F.col("term").isin(*_UNKNOWN_STOP))
-    return d.join(T.terms(spark).select(F.col("source").alias("term")), "term", "left_anti")
+    d = T.table(spark, sf, "documents").select("doc_id", F.concat(F.lit("Product Alpha {?"), "source", F.lit("?} "), "text").alias("text"))
+    return review.unknown_terms(d, _inline(spark, ["Licensed", "Released"], "source string"), ["doc_id"])
 
 
 # --- predicates, mechanical checks and filters -----------------------------------------------------------------------
@@ -983,3 +983,87 @@ def x03_batch_translate(spark: SparkSession, sf: str) -> DataFrame:
 @query(T.with_("parts") + "SELECT id, CASE WHEN id = 7 THEN 'new' ELSE target END AS target FROM parts WHERE id <> 9")
 def x09_glossary_edits(spark: SparkSession, sf: str) -> DataFrame:
     return glossary.delete_term(glossary.update_term(T.part_terms(spark, sf), 7, target="new"), 9).select("id", "target")
+
+
+# --- review plans --------------------------------------------------------------------------------------------------------
+
+
+@query(T.with_("issues") + ", g AS (SELECT doc, type, list(source_value ORDER BY issue_pos) AS v FROM issues GROUP BY doc, type) SELECT doc, type AS category, array_to_string(v, ',') AS found FROM g")
+def a07_by_category(spark: SparkSession, sf: str) -> DataFrame:
+    i = T.issues(spark, sf).groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("issue_pos", F.col("type").alias("category"), F.col("source_value").alias("value")))).alias("items"))
+    return i.select("doc", F.explode(review.by_category(F.col("items"))).alias("category", "v")).select("doc", "category", F.array_join("v", ",").alias("found"))
+
+
+@query("""SELECT event_id, CASE event_id % 9 WHEN 0 THEN 'API 请求太频繁，请稍后重试（限流）' WHEN 1 THEN 'API 密钥无效，请在 API 设置中检查' WHEN 2 THEN 'API 余额不足，请充值' WHEN 3 THEN 'API 访问被拒绝，请检查密钥权限'
+  WHEN 4 THEN '文档内容触发安全审核，请联系管理员' WHEN 5 THEN '网络连接超时，请检查网络后重试' WHEN 6 THEN '无法连接到 API 服务器，请检查网络和 Base URL' WHEN 7 THEN '翻译过程出错: ' || event_type || ' broke' ELSE '文档内容触发安全审核，请联系管理员' END AS shown FROM events""")
+def p12_error_messages(spark: SparkSession, sf: str) -> DataFrame:
+    said = ["HTTP 429", "Unauthorized key", "insufficient funds", "403 here", "Safety stop", "request Timed Out", "Connection refused", "broke", "timeout: bad content"]
+    e = T.table(spark, sf, "events")
+    message = F.concat("event_type", F.lit(" "), F.element_at(F.array(*[F.lit(m) for m in said]), (F.col("event_id") % 9 + 1).cast("int")))
+    return e.select("event_id", review.error_message(message).alias("shown"))
+
+
+@query(T.with_("lines") + "SELECT doc_id, (para_index - 1) // 20 + 1 AS batch_id, array_to_string(list(para_index ORDER BY para_index), ',') AS high_risk_indices FROM lines WHERE contains(text, 'z') GROUP BY doc_id, batch_id")
+def r12_high_risk_by_batch(spark: SparkSession, sf: str) -> DataFrame:
+    p = T.document_lines(spark, sf).select("doc_id", F.col("para_index").alias("paragraph_index"), F.expr("(para_index - 1) div 20 + 1").cast("long").alias("batch_id"), "text")
+    d = review.high_risk_by_batch(p.drop("text"), p.filter(F.col("text").contains("z")), ["doc_id"])
+    return d.withColumn("high_risk_indices", F.array_join("high_risk_indices", ","))
+
+
+@query(T.with_("lines") + """SELECT doc_id AS table_id, count(*) AS rows, left(arg_min(text, para_index), 100) AS first_row, left(arg_max(text, para_index), 100) AS last_row FROM lines
+GROUP BY doc_id HAVING count(*) BETWEEN 2 AND 3 AND length(arg_min(text, para_index)) % 2 = 0""")
+def r14_split_tables(spark: SparkSession, sf: str) -> DataFrame:
+    rows = T.document_lines(spark, sf).select(F.col("doc_id").alias("table_id"), F.col("para_index").alias("row"), "text", (F.length("text") % 2 == 0).alias("header_style"))
+    return review.split_tables(rows)
+
+
+@query(T.with_("issues") + "SELECT issue_pos, row_number() OVER (PARTITION BY doc, paragraph_index ORDER BY CASE severity WHEN 'critical' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END, issue_pos) AS nth FROM issues")
+def t07_most_severe_first(spark: SparkSession, sf: str) -> DataFrame:
+    i = T.issues(spark, sf)
+    return i.select("issue_pos", F.row_number().over(Window.partitionBy("doc", "paragraph_index").orderBy(review.most_severe_first(i), "issue_pos")).alias("nth"))
+
+
+_GROUPS = [("numbers", "3."), ("numbers", "Number"), ("terms", "0.1"), ("terms", "4.3"), ("style", "2.12"), ("style", "2.18"), ("layout", "5.1")]
+_DIMENSIONS = """, d AS (SELECT doc, count(*) FILTER (contains(check_item, '3.') OR contains(check_item, 'Number')) AS numbers, count(*) FILTER (contains(check_item, '0.1') OR contains(check_item, '4.3')) AS terms,
+  count(*) FILTER (contains(check_item, '2.12') OR contains(check_item, '2.18')) AS style, count(*) FILTER (contains(check_item, '5.1')) AS layout FROM issues GROUP BY doc),
+u AS (UNPIVOT d ON numbers, terms, style, layout INTO NAME dimension VALUE n)"""
+
+
+def _dimension_counts(spark: SparkSession, sf: str) -> DataFrame:
+    i = T.issues(spark, sf)
+    return review.dimension_counts(i, _inline(spark, _GROUPS, "dimension string, check_id string"), i, "doc")
+
+
+@query(T.with_("issues") + _DIMENSIONS + " SELECT doc, dimension, n FROM u")
+def u04_dimension_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """With dimensions that have none (A13)."""
+    return _dimension_counts(spark, sf)
+
+
+@query(T.with_("issues") + _DIMENSIONS + """, f AS (SELECT doc, count(*) FILTER (type IN ('number_missing', 'decimal_mismatch')) AS k FROM issues GROUP BY doc)
+SELECT doc, 'empty_dimension' AS flag, dimension, CASE WHEN dimension IN ('numbers', 'terms') THEN 'high' ELSE 'medium' END AS severity FROM u WHERE n = 0
+UNION ALL SELECT d.doc, 'numbers_not_followed', 'numbers', 'high' FROM d JOIN f ON d.doc = f.doc WHERE numbers = 0 AND k > 2""")
+def r04_dimension_flags(spark: SparkSession, sf: str) -> DataFrame:
+    before = T.issues(spark, sf).groupBy("doc").agg(F.sum(F.col("type").isin("number_missing", "decimal_mismatch").cast("int")).alias("n_numbers"))
+    return review.dimension_flags(_dimension_counts(spark, sf), ["numbers", "terms"], before, "numbers", "doc", over=2)
+
+
+@query(T.with_("issues") + _DIMENSIONS + """, c AS (
+  SELECT doc, 'dimensions' AS chk, CASE WHEN count(*) FILTER (n = 0) >= 3 THEN 'error' WHEN count(*) FILTER (n = 0) > 0 THEN 'warning' ELSE 'ok' END AS level FROM u GROUP BY doc
+  UNION ALL SELECT doc, 'fields', CASE WHEN bool_or(type = '') THEN 'error' ELSE 'ok' END FROM issues GROUP BY doc
+  UNION ALL SELECT doc, 'uniqueness', CASE WHEN count(*) < 3 THEN 'ok' WHEN count(DISTINCT issue) / count(*) < 0.3 THEN 'error' WHEN count(DISTINCT issue) / count(*) < 0.5 THEN 'warning' ELSE 'ok' END FROM issues GROUP BY doc
+  UNION ALL SELECT doc, 'quantity', CASE WHEN k = 0 OR (k = 1 AND p > 30) THEN 'error' WHEN (k < 3 AND p > 50) OR k / p < 0.02 THEN 'warning' ELSE 'ok' END
+    FROM (SELECT doc, count(*) AS p, count(*) FILTER (severity = 'critical' AND type = 'format_issue') AS k FROM issues GROUP BY doc))
+SELECT doc, count(*) FILTER (level = 'error') AS errors, count(*) FILTER (level = 'warning') AS warnings,
+  coalesce(string_agg(chk, ',' ORDER BY chk) FILTER (level = 'error'), '') AS failed, count(*) FILTER (level = 'error') = 0 AS passed FROM c GROUP BY doc""")
+def r10_whole_gate(spark: SparkSession, sf: str) -> DataFrame:
+    i = T.issues(spark, sf)
+    fields = gates.field_errors(i, ["type"], {}).select("issue_pos").distinct()
+    bad = i.join(fields.withColumn("bad", F.lit(True)), "issue_pos", "left").groupBy("doc").agg(F.max(F.coalesce("bad", F.lit(False))).alias("bad"))
+    checks = {
+        "dimensions": review.unchecked_level(_dimension_counts(spark, sf).withColumn("checked", F.col("n") > 0), "doc"),
+        "fields": bad.select("doc", F.when(F.col("bad"), "error").otherwise("ok").alias("level")),
+        "uniqueness": gates.uniqueness(i.withColumn("explanation", F.col("issue")), "doc"),
+        "quantity": gates.quantity(i, i.filter("severity = 'critical' and type = 'format_issue'"), "doc"),
+    }
+    return review.gate(checks, "doc").withColumn("failed", F.array_join("failed", ","))

@@ -14,7 +14,7 @@ COMMON_WORDS = (
     "The", "This", "These", "Those", "Each", "All", "Some", "Any", "No", "Not", "When", "Where", "Which", "What", "After", "Before", "During", "Section",
     "Product", "Information", "Identification", "Description", "General", "Special", "Safety", "Health", "Fire", "Handling", "Storage", "Transport", "Disposal",
 )
-MARKED, CAPITALISED = r"\{\?(.*?)\?\}", r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\b"
+MARKED, CAPITALISED = r"\{\?(.*?)\?\}", r"(?U)\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\b"
 # --- fixed values: what a message holds, and how it is shown --------------------------------------------------------------
 ERRORS = (
     (("429", "rate limit"), "API 请求太频繁，请稍后重试（限流）"),

@@ -419,7 +419,8 @@ def f28_unify_issues(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(r"""WITH t AS (SELECT doc_id, 'Product Alpha {?' || source || '?} ' || text AS text FROM documents),
-p AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\b'))) AS term FROM t)
+w AS (SELECT doc_id, regexp_replace(text, '([\p{L}\p{N}_]+)', '<\1>', 'g') AS text FROM t),
+p AS (SELECT doc_id, replace(replace(unnest(list_distinct(regexp_extract_all(text, '<[A-Z][a-z]+>(?:\s+<[A-Z][a-z]+>)*'))), '<', ''), '>', '') AS term FROM w)
 SELECT DISTINCT doc_id, term FROM (
   SELECT doc_id, term FROM p WHERE length(term) > 5 AND term NOT IN ('Licensed', 'Released') AND NOT regexp_full_match(term,
     'The|This|These|Those|Each|All|Some|Any|No|Not|When|Where|Which|What|After|Before|During|Section|Product|Information|Identification|Description|General|Special|Safety|Health|Fire|Handling|Storage|Transport|Disposal')

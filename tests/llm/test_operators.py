@@ -641,6 +641,31 @@ def test_search_recall_and_scores(spark):  # noqa: ANN001, ANN201
     assert hits / n >= 0.9
 
 
+def test_index_recall_on_clustered_vectors(spark):  # noqa: ANN001, ANN201
+    """10,000 vectors around 200 centres: candidates are under a tenth of them, and recall is 0.9 or more."""
+    rng = np.random.default_rng(3)
+    x = (rng.normal(size=(200, 32))[rng.integers(0, 200, 10_000)] + 0.35 * rng.normal(size=(10_000, 32))).astype(np.float32)
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    c1, c2 = ann.kmeans(u[:, :16], 256), ann.kmeans(u[:, 16:], 256)
+    assert ann.enough_share(u, c1, c2, 5) < 0.1
+    v = spark.createDataFrame(pd.DataFrame({"vec_id": range(10_000), "embedding": [r.tolist() for r in x]}), "vec_id long, embedding array<float>")
+    got = ann.search(v, v.filter("vec_id % 50 = 0"), share=0.1).toPandas().groupby("query_id").vec_id.apply(set)
+    hits = 0
+    for i in range(0, 10_000, 50):
+        s = u @ u[i]
+        s[i] = -9
+        hits += len(got[i] & set(np.lexsort((np.arange(10_000), -s))[:5].tolist()))
+    assert hits / 1000 >= 0.9
+
+
+def test_multiples_of_a_vector_tie(spark):  # noqa: ANN001, ANN201
+    base = np.random.default_rng(8).normal(size=24)
+    rows = [(0, base.tolist()), *[(i, (base * f).tolist()) for i, f in enumerate([3.7, 0.1, 11.3, 7e-5, 123.4, 2.2, 0.33, 5e6, 1 / 3, 9.9], 1)], (50, [1.0, 2.0]), (51, [2.0, 1.0])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.search(v, v.filter("vec_id in (0, 50)")).orderBy("query_id", "rank").collect()
+    assert [r.vec_id for r in got] == [1, 2, 3, 4, 5, 51] and got[-1].score == pytest.approx(0.8)
+
+
 def test_search_odd(spark):  # noqa: ANN001, ANN201
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 1.0]), (4, None), (5, [0.0, 0.0]), (6, [float("nan"), 1.0]), (7, [None, 1.0]), (8, [float("inf"), 1.0]), (None, [1.0, 1.0]), (1, [1.0, 0.0]), (9, []), (10, [1.0])]
     v = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("cell", F.lit("x"))

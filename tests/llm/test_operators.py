@@ -399,6 +399,19 @@ def test_words_encode_as_the_tokenizer(text: str) -> None:
     assert words.encode([text])[0] == words.whole(text)
 
 
+def test_ranks_of_another_vocabulary_are_not_used(tmp_path):  # noqa: ANN001, ANN201
+    from pathlib import Path
+
+    own = Path(tokenizer_path())
+    (tmp_path / own.name).write_bytes(own.read_bytes())
+    lines = own.with_suffix(".tiktoken").read_bytes().splitlines()
+    (tmp_path / own.with_suffix(".tiktoken").name).write_bytes(b"\n".join(lines))
+    assert packing.Words(str(tmp_path / own.name)).ranked is not None
+    ids = [x.split()[1] for x in lines]
+    (tmp_path / own.with_suffix(".tiktoken").name).write_bytes(b"\n".join(x.split()[0] + b" " + i for x, i in zip(lines, ids[1:] + ids[:1], strict=True)))
+    assert packing.Words(str(tmp_path / own.name)).ranked is None
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 40), min_size=1, max_size=20))
 def test_pack_plan_covers_exactly(counts: dict[int, int]) -> None:

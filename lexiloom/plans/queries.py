@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexiloom.functions import procedural, text
-from lexiloom.operators import context, crossdoc, gates, glossary, mechanical, placement, report, review, severity
+from lexiloom.functions import layout, procedural, text
+from lexiloom.operators import context, crossdoc, engines, gates, glossary, mechanical, placement, prompts, quality, report, review, severity
 from lexiloom.plans import tables as T
 from lexiloom.sources import readers
 
@@ -312,11 +312,7 @@ def f06_critical_items(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def f07_preservation(spark: SparkSession, sf: str) -> DataFrame:
-    d = T.document_pairs(spark, sf).withColumn("items", procedural.critical_items("source_text"))
-    kept = lambda i: F.col("target_text").contains(i["value"]) | ((i["category"] == "number_with_unit") & F.col("target_text").contains(F.regexp_extract(i["value"], r"\d+(?:\.\d+)?", 0)))
-    d = d.withColumn("bad", F.filter("items", lambda i: ~kept(i)))
-    high = F.size(F.filter("bad", lambda i: i["category"].isin(*procedural.HIGH)))
-    return d.select("doc_id", F.size("items").alias("total_items"), F.size("bad").alias("violation_count"), high.alias("high_count"), (1 - F.size("bad") / F.greatest(F.size("items"), F.lit(1))).alias("pass_rate"))
+    return quality.preservation(T.document_pairs(spark, sf), ["doc_id"])
 
 
 @query(T.with_("parts") + "SELECT id, trim(regexp_replace(lower(source), '\\s+', ' ', 'g')) AS norm_key FROM parts")
@@ -1068,3 +1064,153 @@ def r10_whole_gate(spark: SparkSession, sf: str) -> DataFrame:
         "quantity": gates.quantity(i, i.filter("severity = 'critical' and type = 'format_issue'"), "doc"),
     }
     return review.gate(checks, "doc").withColumn("failed", F.array_join("failed", ","))
+
+
+# --- batches for a reviewer, the quality loop, engines, layout -----------------------------------------------------------
+
+_KEY_TERMS = [(p, s, t, p % 3 == 0, 1 + p % 5, ["frequency", "heading_term", "high_frequency", "client_mandated"][p % 4]) for p, s, t, _ in T.TERMS]
+_GUIDES, _GUIDE = {"en": "plain words", "de": "kurze Sätze"}, "as written"
+_ROUND_1 = prompts.checklist([("1.1", "numbers", "every number"), ("1.2", "units", "every unit")], "FIRST")
+_HELD = "list(t.source ORDER BY NOT t.critical, t.n DESC, t.source)"
+
+
+@query(T.with_("lines") + f""", k(pos, source, target, critical, n, reason) AS {T._values([(p, s, t, "T" if c else "F", n, r) for p, s, t, c, n, r in _KEY_TERMS])},
+t AS (SELECT source, critical = 'T' AS critical, n, reason FROM k),
+b AS (SELECT doc_id, (para_index - 1) // 20 + 1 AS batch_id, lower(string_agg(text, ' ' ORDER BY para_index)) AS s, list(para_index) AS at FROM lines GROUP BY ALL),
+h AS (SELECT doc_id, (para_index - 1) // 20 + 1 AS batch_id, string_agg(para_index::VARCHAR, ',' ORDER BY para_index) AS risk FROM lines WHERE contains(text, 'z') GROUP BY ALL),
+e AS (SELECT doc_id, para_index FROM lines WHERE length(text) > 20 AND NOT regexp_matches(text, '[。！？.!?:：;；]\\s*$') QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY para_index) <= 20),
+w AS (SELECT doc_id, (para_index - 1) // 20 + 1 AS batch_id, string_agg(para_index::VARCHAR, ',' ORDER BY para_index) AS broken FROM e GROUP BY ALL),
+m AS (SELECT doc_id, batch_id, array_to_string({_HELD}, '|') AS terms, array_to_string({_HELD} FILTER (n < 3 AND reason NOT IN ('frequency', 'high_frequency')), '|') AS rare FROM b, t WHERE contains(s, t.source) GROUP BY ALL)
+SELECT b.doc_id, b.batch_id, coalesce(terms, '') AS terms, coalesce(rare, '') AS rare_terms, coalesce(risk, '') AS high_risk, coalesce(broken, '') AS broken,
+  CASE lang WHEN 'en' THEN 'plain words' WHEN 'de' THEN 'kurze Sätze' ELSE 'as written' END AS guide, 'FIRST' || chr(10) || '-----' || chr(10) || chr(10) || '  [1.1] numbers: every number' || chr(10) || '  [1.2] units: every unit' AS checklist
+FROM b JOIN documents USING (doc_id) LEFT JOIN h USING (doc_id, batch_id) LEFT JOIN w USING (doc_id, batch_id) LEFT JOIN m USING (doc_id, batch_id)""")
+def r11_batch_context(spark: SparkSession, sf: str) -> DataFrame:
+    """A short list of terms stands for the key terms of every document."""
+    p = T.document_lines(spark, sf).withColumn("batch_id", F.expr("(para_index - 1) div 20 + 1").cast("long"))
+    listed = F.lit([list(map(str, (s, t, c, n, r))) for _, s, t, c, n, r in _KEY_TERMS])
+    d = T.table(spark, sf, "documents")
+    terms = d.select("doc_id", F.explode(listed).alias("t")).select(
+        "doc_id", F.col("t")[0].alias("source"), F.col("t")[1].alias("required_target"), (F.col("t")[2] == "True").alias("is_critical"),
+        F.lit("present").alias("translation_status"), F.col("t")[4].alias("importance_reason"), F.col("t")[3].cast("int").alias("count"),
+    )
+    risk = p.filter(F.col("text").contains("z")).select("doc_id", "para_index", F.lit(1).alias("score"), F.lit("z").alias("reason"))
+    shape = context.structure(p.select("doc_id", "para_index", "text", F.lit(None).cast("int").alias("heading_level"), F.lit(False).alias("is_table_cell")))
+    docs = d.join(shape.select("doc_id", F.col("broken_first").alias("broken")), "doc_id").select("doc_id", "broken", prompts.guide_of(F.col("lang"), _GUIDES, _GUIDE).alias("guide"), F.lit(_ROUND_1).alias("checklist"))
+    said = lambda c, field, by: F.array_join(F.transform(c, lambda x: x[field].cast("string")), by)
+    return prompts.batch_context(p.drop("lang"), terms, risk, docs).select(
+        "doc_id", "batch_id", said("terms", "source", "|").alias("terms"), said("rare_terms", "source", "|").alias("rare_terms"),
+        said("high_risk", "para_index", ",").alias("high_risk"), F.array_join("broken", ",").alias("broken"), "guide", "checklist",
+    )
+
+
+@query(T.with_("issues") + f""", i AS (SELECT issue_pos, type, severity, CASE WHEN issue_pos % 4 = 0 THEN '' WHEN issue_pos % 4 <> 1 THEN check_item END AS c, issue, source_value, CASE WHEN issue_pos % 3 = 0 THEN dimension ELSE '' END AS d FROM issues)
+SELECT issue_pos, CASE severity WHEN 'critical' THEN '[严重] ' WHEN 'low' THEN '[轻微] ' ELSE '[中等] ' END || CASE
+  WHEN type = 'glossary_violation' THEN CASE WHEN coalesce(c, '') <> '' THEN c ELSE '术语 "' || issue || '" 术语库要求译为 "?"' || CASE WHEN d <> '' THEN '（领域：' || d || '）' ELSE '' END END
+  WHEN type IN ('number_missing', 'decimal_mismatch') THEN CASE WHEN coalesce(c, '') <> '' THEN '数字问题 — ' || c ELSE '数字不一致：原文有 "' || source_value || '"' END
+  WHEN type = 'symbol_missing' THEN CASE WHEN coalesce(c, '') <> '' THEN '符号问题 — ' || c ELSE '符号/标点问题' END
+  WHEN type = 'format_issue' THEN CASE WHEN coalesce(c, '') <> '' THEN '格式问题 — ' || c ELSE '格式不一致' END
+  ELSE coalesce(c, '?') END AS judgment FROM i""")
+def f27_judgment(spark: SparkSession, sf: str) -> DataFrame:
+    nth = F.col("issue_pos") % 4
+    check = F.when(nth == 0, "").when(nth != 1, F.col("check_item"))
+    domain = F.when(F.col("issue_pos") % 3 == 0, F.col("dimension")).otherwise("")
+    said = prompts.judgment(F.col("type"), F.col("severity"), check, F.col("issue"), F.lit(None).cast("string"), domain, F.col("source_value"))
+    return T.issues(spark, sf).select("issue_pos", said.alias("judgment"))
+
+
+def _loop(spark: SparkSession, sf: str) -> DataFrame:
+    terms = T.terms(spark).withColumns({"is_regex": F.lit(False), "case_sensitive": F.lit(False)})
+    return quality.quality_loop(T.document_pairs(spark, sf), terms, ["doc_id"])
+
+
+def _loop_sql() -> str:
+    """Terms one after another, each a step of its own."""
+    steps, last = [], "z0"
+    for i, (_, s, t, _) in enumerate(sorted(T.TERMS, key=lambda x: (-len(x[1]), x[1])), 1):
+        steps.append(f"z{i} AS (SELECT doc_id, source_text, CASE WHEN contains(lower(source_text), '{s}') THEN regexp_replace(f, '{s}', '{t}', 'gi') ELSE f END AS f FROM {last})")
+        last = f"z{i}"
+    bad = f"(SELECT count(*) FROM {T._values([(s, t) for _, s, t, _ in T.TERMS])} AS x(s, t) WHERE contains(lower(source_text), s) AND (contains(lower(f), s) OR NOT contains(f, t)))"
+    first = "z0 AS (SELECT doc_id, source_text, target_text AS f FROM pairs WHERE target_text <> '' AND target_text <> source_text)"
+    return T.with_("pairs") + ", " + ",\n".join([first, *steps]) + f"\nSELECT doc_id, md5(f) AS final_text, {bad} AS term_violations FROM {last}"
+
+
+@query(_loop_sql())
+def r13_quality_loop_terms(spark: SparkSession, sf: str) -> DataFrame:
+    return _loop(spark, sf).select("doc_id", F.md5("final_text").alias("final_text"), F.size("violations").cast("long").alias("term_violations"))
+
+
+@query()
+def r13_quality_loop(spark: SparkSession, sf: str) -> DataFrame:
+    """All sums per document; lost items have no SQL and are held against a plain loop in the tests."""
+    return quality.quality_totals(_loop(spark, sf), ["doc_id"])
+
+
+@query()
+def r13_quality_warnings(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.quality_warnings(_loop(spark, sf), ["doc_id"])
+
+
+@query("""WITH c AS (SELECT DISTINCT text FROM conversations WHERE text IS NOT NULL), k AS (SELECT DISTINCT text FROM conversations WHERE turn % 2 = 0)
+SELECT md5(c.text) AS t, md5(CASE WHEN k.text IS NOT NULL THEN 'old ' || c.text ELSE replace(c.text, 'e', '3') END) AS translation, k.text IS NOT NULL AS cached FROM c LEFT JOIN k ON c.text = k.text""")
+def x01_translate_through_cache(spark: SparkSession, sf: str) -> DataFrame:
+    """The cache holds texts of even turns under the engine's parameters, and rows of other parameters and times."""
+    engine = engines.Engine("stub", lambda t: t.replace("e", "3"), {"b": {"y": 1, "x": 2}, "a": 1})
+    c = T.table(spark, sf, "conversations").select("text", "turn")
+    row = lambda d, params, said, at: d.select(F.lit("stub").alias("engine"), F.lit(params).alias("params"), "text", F.concat(F.lit(said), "text").alias("translation"), F.timestamp_seconds(F.lit(at)).alias("written"))
+    same, even = crossdoc.canonical_params({"a": 1, "b": {"x": 2, "y": 1}}), c.filter("turn % 2 = 0")
+    cache = row(even, same, "old ", 2).unionByName(row(even, same, "older ", 1)).unionByName(row(c, "{}", "other ", 3))
+    return engines.translate_through(c, cache, engine).select(F.md5("text").alias("t"), F.md5("translation").alias("translation"), "cached")
+
+
+@query("SELECT DISTINCT md5(text) AS t FROM conversations WHERE text IS NOT NULL")
+def x04_cached_as_it_comes(spark: SparkSession, sf: str) -> DataFrame:
+    """Of single translations what is unchanged is cached too."""
+    engine = engines.Engine("same", lambda t: t)
+    c = T.table(spark, sf, "conversations")
+    done = engines.translate_through(c, spark.createDataFrame([], engines.CACHE), engine)
+    return engines.cache_rows(done, engine).select(F.md5("text").alias("t"))
+
+
+@query("""WITH a AS (SELECT p_name AS term, p_partkey % 4 + 1 AS priority, CASE WHEN p_partkey % 5 > 0 THEN p_brand ELSE '' END AS candidate FROM part WHERE p_partkey % 3 = 0)
+SELECT t.term, coalesce(min(candidate), '') AS candidate, CASE min(a.priority) WHEN 1 THEN 'mesh' WHEN 2 THEN 'pubmed' WHEN 3 THEN 'openfda' WHEN 4 THEN 'wikipedia' ELSE 'none' END AS source_type, CASE WHEN min(a.priority) <= 2 THEN 'high' ELSE 'low' END AS confidence
+FROM (SELECT DISTINCT p_name AS term FROM part) t LEFT JOIN (SELECT * FROM a WHERE candidate <> '' QUALIFY rank() OVER (PARTITION BY term ORDER BY priority) = 1) a ON t.term = a.term GROUP BY t.term""")
+def x06_search_terms(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts stand for the answers of four providers."""
+    p = T.table(spark, sf, "part")
+    kind = F.element_at(F.lit(["mesh", "pubmed", "openfda", "wikipedia"]), F.col("priority"))
+    a = p.filter("p_partkey % 3 = 0").select(F.col("p_name").alias("term"), (F.col("p_partkey") % 4 + 1).cast("int").alias("priority"), F.when(F.col("p_partkey") % 5 > 0, F.col("p_brand")).otherwise("").alias("candidate"))
+    a = a.withColumns({"source_type": kind, "confidence": F.when(F.col("priority") <= 2, "high").otherwise("low")})
+    return engines.search_terms(p.select(F.col("p_name").alias("term")), a)
+
+
+_FONTS = ["CMMI10", "ABCDEF+CMR10", "Times-Italic", "Courier", "XYZ", "Helvetica", "ABC+DejaVuMono"]
+
+
+@query(f"""WITH c AS (SELECT doc_id, {T._pick(_FONTS, "doc_id")} AS font, unnest(list_distinct(string_split(text, ''))) AS ch FROM documents)
+SELECT doc_id, count(*) AS chars, count(*) FILTER (regexp_matches(string_split(font, '+')[-1], '^{layout.FORMULA_FONT}') OR (ch <> ' ' AND regexp_matches(ch, '^[\\p{{Lm}}\\p{{Mn}}\\p{{Sk}}\\p{{Sm}}\\p{{Zl}}\\p{{Zp}}\\p{{Zs}}\\x{{370}}-\\x{{3FF}}]'))) AS of_formulas FROM c WHERE ch <> '' GROUP BY doc_id""")
+def f29_formula_chars(spark: SparkSession, sf: str) -> DataFrame:
+    """Distinct characters of every document, in a font chosen by its number."""
+    font = F.element_at(F.lit(_FONTS), (F.col("doc_id") % len(_FONTS) + 1).cast("int"))
+    c = T.table(spark, sf, "documents").select("doc_id", font.alias("font"), F.explode(F.array_distinct(F.split("text", ""))).alias("ch")).filter("ch <> ''")
+    return c.groupBy("doc_id").agg(F.count("*").alias("chars"), F.sum(layout.is_formula(F.col("font"), F.col("ch")).cast("int")).alias("of_formulas"))
+
+
+@query("""WITH w AS (SELECT p_partkey AS id, unnest(l) AS word, unnest(range(len(l))) AS i FROM (SELECT p_partkey, string_split(p_name, ' ') AS l FROM part))
+SELECT id, trim(string_agg(CASE WHEN i > 0 AND (i - 1 + id) % 4 = 0 THEN ' ' ELSE '' END || word, '' ORDER BY i)) AS text FROM w GROUP BY id HAVING length(text) > 1""")
+def s19_joined_spans(spark: SparkSession, sf: str) -> DataFrame:
+    """Words of a part's name stand for spans; every fourth is as far from the next as a blank."""
+    spans = F.transform(F.split("p_name", " "), lambda w, i: F.struct(w.alias("text"), (i * 10).alias("x0"), (i * 10 + 7 + (i + F.col("p_partkey")) % 4).alias("x1"), F.lit(10).alias("size")))
+    return T.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), layout.joined_spans(spans).alias("text")).filter(layout.is_line(F.col("text")))
+
+
+@query("""SELECT p_type AS id, trim(regexp_replace(lower(p_name), '\\s+', ' ', 'g')) AS norm_key, arg_max(p_brand, p_partkey) AS target, CASE WHEN p_type LIKE 'S%' THEN 'n' ELSE '' END AS note FROM part GROUP BY ALL""")
+def s14_client_terms(spark: SparkSession, sf: str) -> DataFrame:
+    """A client's file per type of part, as a list, as terms, or as a flat map; the last of equal keys counts."""
+    p = T.table(spark, sf, "part").select("p_type", "p_partkey", "p_name", "p_brand")
+    at = p.groupBy("p_type").agg(F.sort_array(F.collect_list(F.struct("p_partkey", "p_name", "p_brand"))).alias("a"))
+    quoted = lambda s: F.concat(F.lit('"'), s, F.lit('"'))
+    flat = F.array_join(F.transform("a", lambda x: F.concat(quoted(x["p_name"]), F.lit(": "), quoted(x["p_brand"]))), ", ")
+    listed = F.array_join(F.transform("a", lambda x: F.concat(F.lit('{"en": '), quoted(x["p_name"]), F.lit(', "zh": '), quoted(x["p_brand"]), F.lit(', "note": "n"}'))), ", ")
+    value = F.when(F.col("p_type").startswith("S"), F.concat(F.lit("["), listed, F.lit("]"))).when(F.length("p_type") % 2 == 0, F.concat(F.lit('{"terms": {'), flat, F.lit("}}"))).otherwise(F.concat(F.lit('{"project": "p", '), flat, F.lit("}")))
+    d = readers.client_glossary_json(at.select(F.col("p_type").alias("id"), value.alias("value")), key=["id"])
+    return d.select("id", text.norm_key(F.col("source")).alias("norm_key"), "target", "note")

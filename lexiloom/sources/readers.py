@@ -1,22 +1,23 @@
 """Paragraphs, pages and glossaries from files.
 
-Text, CSV and JSON are read by Spark. DOCX, XLSX and PDF files are listed as binaryFile, so the cluster spreads them,
-and parsed inside mapInPandas where their parser is installed; without it only these readers fail, when called.
+Text, CSV and JSON are read by Spark. DOCX and XLSX files are parsed from their XML (``office``). PDF files are listed as
+binaryFile, so the cluster spreads them, and parsed where their parser is installed; without it only that reader fails.
 """
 
 from __future__ import annotations
 
-import io
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# --- fixed values: header names of glossary columns ------------------------------------------------------------------
+from lexiloom.functions.text import norm_key
+
+# --- fixed values: header names of a source column, keys of a client's file ------------------------------------------------
 SOURCE_NAMES = ("source", "英文", "原文", "源语", "english", "en", "term")
-TARGET_NAMES = ("target", "中文", "译文", "目标语", "chinese", "zh", "translation")
-KEEP_AS_IS = ("保留", "不译", "keep")
+ABOUT_FILE = ("project", "description", "version", "name")  # keys of a client's file that are no terms
+GENERAL = "通用"
 
 PARAGRAPH = "path string, para_index int, text string, style string, is_table_cell boolean"
 
@@ -39,29 +40,40 @@ def find_column(header: list[str], names: tuple[str, ...]) -> int | None:
     return exact if exact is not None else next((i for n in names for i, h in enumerate(low) if h and (n.lower() in h or h in n.lower())), None)
 
 
-def glossary_csv(spark: SparkSession, path: str, domain: str = "通用") -> DataFrame:
-    """source, target, domain from CSV files with a header; columns by name, else the first two."""
-    raw = spark.read.option("header", True).option("encoding", "UTF-8").csv(path)
-    header = [c.lstrip("﻿") for c in raw.columns]
-    s, t = find_column(header, SOURCE_NAMES), find_column(header, TARGET_NAMES)
-    s, t = (0, 1) if s is None or t is None or s == t else (s, t)
-    extra = F.nullif(F.trim(F.col(f"`{raw.columns[2]}`")), F.lit("")) if len(header) > 2 and {s, t} == {0, 1} else F.lit(None).cast("string")
-    d = raw.select(F.trim(F.col(f"`{raw.columns[s]}`")).alias("source"), F.trim(F.col(f"`{raw.columns[t]}`")).alias("target"), F.coalesce(extra, F.lit(domain)).alias("domain"))
-    return d.filter("source <> '' and target <> ''")
+def glossary_csv(spark: SparkSession, path: str, domain: str = GENERAL) -> DataFrame:
+    """source, target, domain from CSV files with a header: the first three columns; ``domain`` where there is no third."""
+    d = spark.read.option("header", True).option("encoding", "UTF-8").option("multiLine", True).csv(path)
+    col = lambda i: F.trim(F.coalesce(F.col(f"`{d.columns[i]}`"), F.lit("")))
+    third = col(2) if len(d.columns) > 2 else F.lit(domain)
+    return d.select(col(0).alias("source"), col(1).alias("target"), third.alias("domain")).filter("source <> '' and target <> ''")
+
+
+def _client_terms(value: Column) -> Column:
+    """Array of (source, target, note) of a client's JSON text."""
+    term = lambda s, t, n: F.struct(s.alias("source"), t.alias("target"), F.coalesce(n, F.lit("")).alias("note"))
+    item = lambda e, *names: F.coalesce(*[F.nullif(e[n], F.lit("")) for n in names])
+    listed = F.from_json(value, "array<struct<source:string,src:string,en:string,target:string,tgt:string,zh:string,note:string,`备注`:string>>")
+    of_list = F.transform(listed, lambda e: term(item(e, "source", "src", "en"), item(e, "target", "tgt", "zh"), item(e, "note", "备注")))
+    inner = F.get_json_object(value, "$.terms")
+    inside = lambda e, path: F.get_json_object(e["value"], path)
+    entries = lambda text: F.map_entries(F.from_json(text, "map<string,string>"))
+    of_map = F.transform(entries(inner), lambda e: term(F.coalesce(inside(e, "$.source"), e["key"]), F.coalesce(inside(e, "$.target"), e["value"]), inside(e, "$.note")))
+    flat = F.filter(entries(value), lambda e: ~e["key"].isin(*ABOUT_FILE) & ~e["value"].rlike(r"^\s*[\[{]"))
+    return F.when(value.rlike(r"^\s*\["), of_list).when(inner.isNotNull(), of_map).otherwise(F.transform(flat, lambda e: term(e["key"], e["value"], F.lit(""))))
 
 
-def client_glossary_json(texts: DataFrame, column: str = "value") -> DataFrame:
-    """source, target, note from JSON in any of three shapes: {"terms": {...}}, a list, or a flat map."""
-    entry = "struct<source:string,target:string,note:string>"
-    listed = F.from_json(column, f"array<{entry}>")
-    nested = F.from_json(F.get_json_object(column, "$.terms"), f"map<string,{entry}>")
-    flat = F.from_json(column, "map<string,string>")
-    rows = (
-        F.when(F.col(column).rlike(r"^\s*\["), listed)
-        .when(F.get_json_object(column, "$.terms").isNotNull(), F.transform(F.map_entries(nested), lambda e: F.struct(F.coalesce(e["value"]["source"], e["key"]).alias("source"), e["value"]["target"].alias("target"), e["value"]["note"].alias("note"))))
-        .otherwise(F.transform(F.map_entries(flat), lambda e: F.struct(e["key"].alias("source"), e["value"].alias("target"), F.lit("").alias("note"))))
-    )
-    return texts.select(F.explode(rows).alias("t")).select("t.source", "t.target", F.coalesce("t.note", F.lit("")).alias("note")).filter("source is not null and target is not null")
+def client_glossary_json(texts: DataFrame, column: str = "value", key: list[str] | None = None) -> DataFrame:
+    """source, target, note from JSON in any of three shapes: {"terms": {...}}, a list, or a flat map.
+
+    With ``key``, columns of ``texts`` that come first in the result, the last of a key's sources with equal normal forms
+    counts. Texts that are null or no JSON have no terms.
+    """
+    keys = key or []
+    d = texts.select(*keys, F.posexplode(_client_terms(F.col(column))).alias("_pos", "t")).select(*keys, "_pos", "t.*").filter("source <> '' and target <> ''")
+    if not keys:
+        return d.drop("_pos")
+    last = d.groupBy(*keys, norm_key(F.col("source")).alias("_norm")).agg(F.max_by(F.struct("source", "target", "note"), "_pos").alias("t"))
+    return last.select(*keys, "t.*")
 
 
 def sheet_chunks(rows: DataFrame, size: int = 200, order: list | None = None, key: str = "sheet") -> DataFrame:
@@ -78,22 +90,6 @@ def ocr_text(payload: Column) -> Column:
     return F.coalesce(F.get_json_object(payload, "$.text"), F.get_json_object(payload, "$.data.text"), F.get_json_object(payload, "$.result.markdown"), F.nullif(blocks, F.lit("")))
 
 
-def _parse_docx(data: bytes) -> list[tuple]:
-    from docx import Document
-
-    d = Document(io.BytesIO(data))
-    out = [(i, p.text, p.style.name, False) for i, p in enumerate(d.paragraphs, 1)]
-    cells = [c.text.strip() for t in d.tables for r in t.rows for c in r.cells]
-    return out + [(len(out) + i, c, "TABLE_CELL", True) for i, c in enumerate(filter(None, cells), 1)]
-
-
-def _parse_xlsx(data: bytes) -> list[tuple]:
-    from openpyxl import load_workbook
-
-    rows = (" | ".join("" if v is None else str(v) for v in r) for s in load_workbook(io.BytesIO(data), read_only=True) for r in s.iter_rows(values_only=True))
-    return [(i, r, s, False) for i, (r, s) in enumerate(((r, "ROW") for r in rows), 1)]
-
-
 def _parse_pdf(data: bytes) -> list[tuple]:
     import fitz
 
@@ -101,17 +97,28 @@ def _parse_pdf(data: bytes) -> list[tuple]:
         return [(i, p.get_text(), "PAGE", False) for i, p in enumerate(d, 1)]
 
 
-PARSERS: dict[str, Callable[[bytes], list[tuple]]] = {"docx": _parse_docx, "xlsx": _parse_xlsx, "pdf": _parse_pdf}
-
-
-def office_files(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """Paragraphs, rows or pages of all files of a kind under ``path``; temporary files are left out."""
-    parse = PARSERS[kind]
-
+def _pdf_files(spark: SparkSession, path: str) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = [(p, *r) for p, data in zip(f["path"], f["content"], strict=True) for r in parse(bytes(data))]
+            rows = [(p, *r) for p, data in zip(f["path"], f["content"], strict=True) for r in _parse_pdf(bytes(data))]
             yield pd.DataFrame(rows, columns=["path", "para_index", "text", "style", "is_table_cell"])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{kind}").option("recursiveFileLookup", True).load(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").option("recursiveFileLookup", True).load(path)
     return files.filter(~F.col("path").rlike(r"/~\$")).select("path", "content").mapInPandas(run, PARAGRAPH)
+
+
+def office_files(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """Paragraphs, rows or pages of all files of a kind under ``path``; temporary files are left out.
+
+    Cells of a sheet's row are joined by " | "; its style is ROW. Rows of all sheets are numbered in the sheets' order.
+    """
+    from lexiloom.sources import office
+
+    if kind == "pdf":
+        return _pdf_files(spark, path)
+    if kind == "docx":
+        return office.docx_paragraphs(spark, path).drop("outline")
+    rows = office.xlsx_rows(spark, path)
+    said = F.array_join("cells", " | ", "")
+    nth = F.row_number().over(Window.partitionBy("path").orderBy("sheet_index", "row_index"))
+    return rows.select("path", nth.alias("para_index"), said.alias("text"), F.lit("ROW").alias("style"), F.lit(False).alias("is_table_cell"))

@@ -124,3 +124,26 @@ def test_quotes(spark, sf):  # noqa: ANN001, ANN201
         want.append(next(((i, i, k, scope + w) for scope, k in order if k in lines and (w := way(lines[k], q))), (i, i, own, "bare")))
     assert rows_of(spark, sf, "j11_place_quotes_lines") == sorted(want, key=repr)
     assert len({w[3] for w in want}) >= 3
+
+
+def test_quality_loop(spark, sf):  # noqa: ANN001, ANN201
+    """Terms one after another by length, then what is left of them, then items that the mended text lacks."""
+    ordered = sorted(((s, t) for _, s, t, _ in TERMS), key=lambda x: (-len(x[0]), x[0]))
+    totals, warned = [], []
+    for i in sorted(TEXTS)[:-1]:
+        source, target = TEXTS[i], TEXTS[i + 1]
+        if not target or target == source:
+            continue
+        held, applied = [(s, t) for s, t in ordered if s.lower() in source.lower()], 0
+        for s, t in held:
+            target, n = re.subn(re.escape(s), t, target, flags=re.I)
+            applied += n > 0
+        bad = [(s, t) for s, t in held if s.lower() in target.lower() or t not in target]
+        items = procedural.critical_items_of(source)
+        lost = [x for x in items if x["value"] not in target and not (x["category"] == "number_with_unit" and re.search(r"\d+(?:\.\d+)?", x["value"])[0] in target)]
+        totals.append((i, applied, len(bad), len(items), len(lost)))
+        warned += [(i, "术语未遵守", f'"{s}" 未翻译为 "{t}"') for s, t in bad]
+        warned += [(i, f"关键项丢失({x['category']})", f'"{x["value"]}" 在译文中未找到') for x in lost if x["category"] in procedural.HIGH]
+    assert any(t[1] for t in totals) and any(t[4] for t in totals)
+    assert rows_of(spark, sf, "r13_quality_loop") == sorted(totals, key=repr)
+    assert rows_of(spark, sf, "r13_quality_warnings") == sorted(warned, key=repr)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -69,6 +70,30 @@ def sequence_ratio(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[p
         yield pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)], dtype=float)
 
 
+def most_alike_of(text: str, others: list[str]) -> tuple[float, int]:
+    """(similarity, place) of the first of the most similar texts. The characters that two texts share, in any order, bound
+    their similarity, so texts are compared by falling bounds until none can be better."""
+    mine = Counter(text)
+    bounds = [2.0 * (mine & Counter(o)).total() / (len(text) + len(o)) if text or o else 1.0 for o in others]
+    best, place, pair = -1.0, len(others), SequenceMatcher(None, text, "")
+    for i in sorted(range(len(others)), key=lambda i: (-bounds[i], i)):
+        if bounds[i] < best:
+            break
+        if bounds[i] == best and i > place:
+            continue
+        pair.set_seq2(others[i])
+        best, place = max((best, -place), (pair.ratio(), -i))
+        place = -place
+    return best, place
+
+
+@F.pandas_udf(StructType([StructField("similarity", DoubleType()), StructField("place", IntegerType())]))
+def most_alike(texts: pd.Series, others: pd.Series) -> pd.DataFrame:
+    """Of an array of texts the one most like each text; nulls count as ''."""
+    found = [most_alike_of(t or "", [o or "" for o in many]) for t, many in zip(texts, others, strict=True)]
+    return pd.DataFrame(found, columns=["similarity", "place"])
+
+
 def packed_lines(text: str | None, most: int) -> list[str]:
     """Lines joined greedily while the sum of lengths stays under ``most``."""
     out, cur = [], ""

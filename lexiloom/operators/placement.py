@@ -8,12 +8,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexiloom.functions.procedural import sequence_ratio
+from lexiloom.functions.procedural import most_alike
 
 #: Prefix lengths of a quote that are looked for, in order.
 PREFIXES = (15, 10, 8, 5)
 #: Neighbours that are searched when a quote's own paragraph lacks it: after, then before.
 REACH = 5
+#: Windows that a page is compared with in one call; more of them go in several rows.
+WINDOWS_AT_ONCE = 64
 
 
 def page_map(pages: DataFrame, paragraphs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -27,13 +29,18 @@ def page_map(pages: DataFrame, paragraphs: DataFrame, key: str = "doc_id") -> Da
     numbered = paragraphs.withColumn("i", F.row_number().over(by) - 1)
     size = numbered.groupBy(key).agg(F.count("*").alias("n")).join(n_pages, key).withColumn("w", F.greatest(F.lit(2), F.floor(F.col("n") / F.col("n_pages"))).cast("int"))
     size = size.withColumn("step", F.greatest(F.lit(1), F.floor(F.col("w") / 2)).cast("int"))
-    starts = size.select(key, "n", "w", F.explode(F.expr("sequence(0, n - 1, step)")).alias("start"))
+    starts = size.select(key, "n", "w", "step", F.explode(F.expr("sequence(0, n - 1, step)")).alias("start"))
     # each window holds w of a document's paragraphs: an equi-join on the document, bounded by it
-    inside = starts.join(numbered, key).filter("i >= start and i < start + w").groupBy(key, "start").agg(
+    inside = starts.join(numbered, key).filter("i >= start and i < start + w").groupBy(key, "start", "step").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "text"))), lambda x: x["text"]), " ").alias("combined"), F.min("para_index").alias("first_index"), F.max("para_index").alias("last_index"),
     )
     filled = pages.filter(F.trim("text") != "")
-    scored = filled.join(inside, key).withColumn("similarity", sequence_ratio(F.col("text"), F.col("combined")))
+    block = inside.groupBy(key, F.floor(F.col("start") / F.col("step") / WINDOWS_AT_ONCE).alias("block")).agg(F.sort_array(F.collect_list(F.struct("start", "combined", "first_index", "last_index"))).alias("windows"))
+    # comparing costs far more than moving, so rows are dealt evenly, not by their bytes; so are those of one long document
+    tasks = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = filled.join(block, key).repartition(tasks, key, "page", "block")
+    scored = met.withColumn("found", most_alike(F.col("text"), F.col("windows.combined"))).withColumn("window", F.get("windows", F.col("found.place")))
+    scored = scored.select(key, "page", "window.first_index", "window.last_index", "window.start", "found.similarity")
     best = scored.groupBy(key, "page").agg(F.max_by(F.struct("first_index", "last_index", "similarity"), F.struct("similarity", -F.col("start"))).alias("b"))
     all_pages = pages.select(key, "page").join(best, [key, "page"], "left")
     carried = F.last("b", ignorenulls=True).over(Window.partitionBy(key).orderBy("page").rowsBetween(Window.unboundedPreceding, 0))

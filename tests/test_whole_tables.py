@@ -147,3 +147,24 @@ def test_quality_loop(spark, sf):  # noqa: ANN001, ANN201
     assert any(t[1] for t in totals) and any(t[4] for t in totals)
     assert rows_of(spark, sf, "r13_quality_loop") == sorted(totals, key=repr)
     assert rows_of(spark, sf, "r13_quality_warnings") == sorted(warned, key=repr)
+
+
+def test_most_alike_is_the_first_best():  # noqa: ANN201
+    from difflib import SequenceMatcher
+    from random import Random
+
+    r = Random(3)
+    words = ["alpha", "beta", "gamma ray", "delta", "", "eps ilon", "zeta" * 60]
+    for _ in range(150):
+        said = lambda n: " ".join(r.choices(words, k=r.randint(0, n)))
+        text, others = said(6), [said(6) for _ in range(r.randint(1, 9))]
+        ratios = [SequenceMatcher(None, text, o).ratio() for o in others]
+        assert procedural.most_alike_of(text, others) == (max(ratios), ratios.index(max(ratios)))
+
+
+def test_page_map_over_many_windows(spark, sf, monkeypatch):  # noqa: ANN001, ANN201
+    from lexiloom.operators import placement
+
+    whole = rows_of(spark, sf, "j12_page_map")
+    monkeypatch.setattr(placement, "WINDOWS_AT_ONCE", 3)
+    assert rows_of(spark, sf, "j12_page_map") == whole

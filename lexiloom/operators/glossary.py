@@ -9,6 +9,10 @@ Substring matching cannot use words: there terms are broadcast in slices of a ch
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from importlib.util import find_spec
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -126,22 +130,56 @@ def word_matches(texts: DataFrame, terms: DataFrame, key: list[str], text: str =
 
 #: A glossary of up to so many terms is broadcast for substring matching; a larger one goes in slices of that size.
 BROADCAST_TERMS = 20_000
+#: From so many terms on, an automaton over all of them reads each text once; under it, searching for each is cheaper.
+AUTOMATON_TERMS = 500
+
+
+def _each_term(texts: DataFrame, part: DataFrame, key: list[str], exact: Column, text: str) -> DataFrame:
+    found = F.when(exact, F.col("_text").contains(F.col("source"))).otherwise(F.col("_low").contains(F.lower("source")))
+    side = texts.select(*key, F.col(text).alias("_text"), F.lower(text).alias("_low"))
+    return side.join(F.broadcast(part), found).drop("_text", "_low")
+
+
+def _all_terms(texts: DataFrame, part: DataFrame, key: list[str], exact: Column, text: str) -> DataFrame:
+    """The same rows as ``_each_term``: an automaton of the slice's needles finds which of them a text has."""
+    import ahocorasick
+
+    needle = F.when(exact, F.col("source")).otherwise(F.lower("source"))
+    needles = [(r[0], r[1]) for r in part.select(needle, exact).distinct().collect()]  # at most a slice
+    shared = texts.sparkSession.sparkContext.broadcast(needles)
+
+    @F.pandas_udf("array<int>")
+    def held(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        automata = []
+        for kind in (True, False):
+            a = ahocorasick.Automaton()
+            for i, (word, is_exact) in enumerate(shared.value):
+                if is_exact == kind:
+                    a.add_word(word, i)
+            a.make_automaton()
+            automata.append(a if len(a) else None)
+        for both in batches:
+            yield pd.Series([sorted({i for a, t in zip(automata, pair, strict=True) if a and t for _, i in a.iter(t)}) for pair in zip(*both, strict=True)])
+
+    index = texts.sparkSession.createDataFrame([(i, w, e) for i, (w, e) in enumerate(needles)], "_i int, _needle string, _exact boolean")
+    hits = texts.select(*key, F.explode(held(F.col(text), F.lower(text))).alias("_i")).join(F.broadcast(index), "_i").drop("_i")
+    return hits.join(F.broadcast(part.withColumns({"_needle": needle, "_exact": exact})), ["_needle", "_exact"]).drop("_needle", "_exact")
 
 
 def substring_matches(texts: DataFrame, terms: DataFrame, key: list[str], text: str = "text") -> DataFrame:
     """Pairs where the term's source occurs anywhere in the text, case as each term's case_sensitive says.
 
-    Every term is tested against every text, which substring semantics ask for; texts stay where they are and terms come
-    to them, in slices of a checked size.
+    Texts stay where they are and terms come to them, in slices of a checked size. Null texts hold no term, blank sources
+    are no terms. Large glossaries take one pass over a text if pyahocorasick is there; the rows are the same.
     """
     exact = F.coalesce(F.col("case_sensitive"), F.lit(False)) if "case_sensitive" in terms.columns else F.lit(False)
-    found = F.when(exact, F.col("_text").contains(F.col("source"))).otherwise(F.col("_low").contains(F.lower("source")))
-    side = texts.select(*key, F.col(text).alias("_text"), F.lower(text).alias("_low"))
-    slices = max(1, -(-terms.count() // BROADCAST_TERMS))
+    n = terms.count()
+    slices = max(1, -(-n // BROADCAST_TERMS))
+    match = _all_terms if n >= AUTOMATON_TERMS and find_spec("ahocorasick") else _each_term
     out = None
     for i in range(slices):
         part = terms if slices == 1 else terms.filter(F.pmod(F.xxhash64("source"), F.lit(slices)) == i)
-        hits = side.join(F.broadcast(part.filter("source <> ''")), found).drop("_text", "_low")
+        hits = match(texts, part.filter("source <> ''"), key, exact, text)
         out = hits if out is None else out.unionByName(hits)
     return out
 

@@ -64,7 +64,9 @@ def locate_on_pages(issues: DataFrame, pages: DataFrame, page_paragraphs: DataFr
 
 def first_paragraph(values: DataFrame, paragraphs: DataFrame, key: str = "doc_id", unique: bool = False) -> DataFrame:
     """The first paragraph that contains each value (key, value); with ``unique`` only if it is the only one."""
-    hit = values.join(paragraphs, key).filter(F.col("text").contains(F.col("value")))
+    mine = values.groupBy(key).agg(F.collect_set("value").alias("_values"))  # what is sought in one document, so that its paragraphs are not copied
+    held = F.filter("_values", lambda v: F.col("text").contains(v))
+    hit = paragraphs.join(mine, key).select(key, "paragraph_index", F.explode(held).alias("value"))
     out = hit.groupBy(key, "value").agg(F.min("paragraph_index").alias("paragraph_index"), F.count("*").alias("n"))
     return out.filter("n = 1") if unique else out
 

@@ -622,14 +622,14 @@ def j13_locate_on_pages(spark: SparkSession, sf: str) -> DataFrame:
 @query(T.with_("lines", "terms") + "SELECT doc_id, t.source AS value, min(para_index) AS paragraph_index, count(*) AS n FROM lines, terms t WHERE contains(text, t.source) GROUP BY ALL")
 def j14_first_paragraph(spark: SparkSession, sf: str) -> DataFrame:
     p = T.document_lines(spark, sf).withColumnRenamed("para_index", "paragraph_index")
-    v = p.select("doc_id").distinct().crossJoin(F.broadcast(T.terms(spark).select(F.col("source").alias("value"))))  # a dozen values
+    v = T.table(spark, sf, "documents").select("doc_id", F.explode(F.lit([s for _, s, _, _ in T.TERMS])).alias("value"))
     return placement.first_paragraph(v, p)
 
 
 @query(T.with_("lines", "terms") + "SELECT doc_id, t.source AS value, min(para_index) AS paragraph_index FROM lines, terms t WHERE contains(text, t.source) GROUP BY ALL HAVING count(*) = 1")
 def j15_unique_paragraph(spark: SparkSession, sf: str) -> DataFrame:
     p = T.document_lines(spark, sf).withColumnRenamed("para_index", "paragraph_index")
-    v = p.select("doc_id").distinct().crossJoin(F.broadcast(T.terms(spark).select(F.col("source").alias("value"))))  # a dozen values
+    v = T.table(spark, sf, "documents").select("doc_id", F.explode(F.lit([s for _, s, _, _ in T.TERMS])).alias("value"))
     return placement.first_paragraph(v, p, unique=True).drop("n")
 
 

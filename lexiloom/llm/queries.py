@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.llm import ann, lcp, licenses, linededup, mixing, packing, quality, sharding, simhash, toxicity
+from lexiloom.llm import ann, lcp, licenses, linededup, mixing, packing, prefixtrie, quality, sharding, simhash, toxicity, warc, whitening
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -73,6 +73,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.trie(table(spark, sf_dir, "conversations")).drop("digest")
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.page_records(warc.read_archives(spark, warc.write_archives(table(spark, sf_dir, "pages"))))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -84,9 +96,14 @@ QUERIES = {
     "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_kd_sharding": op9_kd_sharding,
     "op10_toxicity": op10_toxicity,
+    "op11_whitening": op11_whitening,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_warc": op13_warc,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": linededup.ORACLE,
     "op3_license_scan": licenses.ORACLE,
+    "op12_prefix_trie": prefixtrie.ORACLE,
+    "op13_warc": warc.ORACLE,
 }

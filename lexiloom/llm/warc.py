@@ -47,12 +47,12 @@ def open_output(path: str) -> BinaryIO:
     """A new file of any store that Arrow opens: local or mounted folders, HDFS, S3, GCS."""
     store, at = fs.FileSystem.from_uri(path)
     store.create_dir(at.rpartition("/")[0], recursive=True)
-    return store.open_output_stream(at)
+    return store.open_output_stream(at, compression=None)  # else the name decides
 
 
 def open_input(path: str) -> BinaryIO:
     store, at = fs.FileSystem.from_uri(path)
-    return store.open_input_stream(at)
+    return store.open_input_stream(at, compression=None)
 
 
 # --- writing ------------------------------------------------------------------------------------------------------------

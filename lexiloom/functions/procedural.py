@@ -94,6 +94,72 @@ def most_alike(texts: pd.Series, others: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(found, columns=["similarity", "place"])
 
 
+_PART = re.compile(r"\\Q.*?(?:\\E|$)|\\.|\[\^?\]?(?:\\.|[^\]\\])*\]?|.|\\", re.S)
+
+
+def literal_of(pattern: str) -> str:
+    """The longest run of characters that every match of a pattern holds; '' if none is sure.
+
+    Groups, classes and escapes other than of signs end a run; an optional or repeated character leaves it. A pattern with
+    alternatives outside groups, or with flags that change what stands for what, has none.
+    """
+    runs, run, i = [], "", 0
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "|" or pattern.startswith(("(?x", "(?ix", "(?xi"), i):
+            return ""
+        if c in "([":
+            depth = 0
+            while i < len(pattern):
+                part = _PART.match(pattern, i)[0]
+                if part[0] == "[" and "[" in part[1:].replace("\\[", ""):  # a class within a class
+                    return ""
+                depth += (part == "(") - (part == ")")
+                i += len(part)
+                if depth <= 0:
+                    break
+            runs, run = [*runs, run], ""
+        elif c == "\\":
+            nxt = pattern[i + 1 : i + 2]
+            i += 2
+            if nxt == "Q":
+                end = pattern.find("\\E", i)
+                end = len(pattern) if end < 0 else end
+                run += pattern[i:end]
+                i = end + 2
+            elif nxt and not nxt.isalnum():
+                run += nxt
+            else:
+                runs, run = [*runs, run], ""
+                if nxt in "pPxuk" and pattern[i : i + 1] in "{<":
+                    i = max(pattern.find("}", i), pattern.find(">", i)) + 1 or len(pattern)
+                elif nxt == "x":
+                    i += 2
+                elif nxt in "u":
+                    i += 4
+                elif nxt in "pPc":
+                    i += 1
+                elif nxt == "0":
+                    while pattern[i : i + 1].isdigit():
+                        i += 1
+        elif c in "*?{":
+            runs, run = [*runs, run[:-1]], ""
+            i = (pattern.find("}", i) if c == "{" else i) + 1 or len(pattern)
+        elif c in "+.^$)]}":
+            runs, run = [*runs, run], ""
+            i += 1
+        else:
+            run += c
+            i += 1
+    return max([*runs, run], key=len)
+
+
+@F.pandas_udf(StringType())
+def longest_literal(patterns: pd.Series) -> pd.Series:
+    """:func:`literal_of` for the patterns of a glossary."""
+    return patterns.map(lambda p: literal_of(p or ""))
+
+
 def packed_lines(text: str | None, most: int) -> list[str]:
     """Lines joined greedily while the sum of lengths stays under ``most``."""
     out, cur = [], ""

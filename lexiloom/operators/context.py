@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiloom.functions.text import is_identifier
-from lexiloom.operators.glossary import word_matches
+from lexiloom.operators.wordindex import phrase_counts, phrases, word_index
 
 NO_DOMAIN = "通用技术文档"
 # --- fixed values: marks of comparison, units and numbers that make a paragraph risky --------------------------------
@@ -40,11 +40,8 @@ def detect_domain(docs: DataFrame, rules: DataFrame, key: str = "doc_id") -> Dat
 
 def term_counts(paragraphs: DataFrame, terms: DataFrame, key: list[str]) -> DataFrame:
     """Word-bounded occurrences of each term per key, with the number of paragraphs that have it."""
-    hits = word_matches(paragraphs, terms, [*key, "para_index"])
-    said = hits.join(paragraphs.select(*key, "para_index", "text"), [*key, "para_index"])
-    bounded = F.concat(F.lit(r"(?iU)\b\Q"), F.col("source"), F.lit(r"\E\b"))
-    n = F.regexp_count("text", bounded)
-    return said.groupBy(*key, *terms.columns).agg(F.sum(n).alias("count"), F.count("*").alias("paragraphs"))
+    found = phrase_counts(word_index(paragraphs, [*key, "para_index"]), phrases(terms), [*key, "para_index"])
+    return found.groupBy(*key, *terms.columns).agg(F.sum("count").alias("count"), F.count("*").alias("paragraphs"))
 
 
 def key_terms(paragraphs: DataFrame, targets: DataFrame, terms: DataFrame, client: DataFrame | None = None, key: str = "doc_id", frequent: int = 3) -> DataFrame:
@@ -58,11 +55,14 @@ def key_terms(paragraphs: DataFrame, targets: DataFrame, terms: DataFrame, clien
     mine = client.select(F.lower(F.trim("source")).alias("_low")).distinct() if client is not None else terms.limit(0).select(F.lower("source").alias("_low"))
     known = terms.withColumn("_low", F.lower(F.trim("source"))).join(mine.withColumn("_client", F.lit(True)), "_low", "left").withColumns({"_client": F.coalesce("_client", F.lit(False)), "_id": is_identifier(F.col("source"))})
     known = known.filter((F.col("source") != "") & (F.col("target") != "") & (F.col("_client") | F.col("_id") | (F.length("_low") >= 4)))
-    hits = word_matches(paragraphs, known, [key, "para_index"])
-    place = paragraphs.select(key, "para_index", "text", F.col("heading_level").isNotNull().alias("heading"), (F.col("para_index") <= 3).alias("abstract"), F.coalesce("is_table_cell", F.lit(False)).alias("table"))
-    n = F.regexp_count(F.lower("text"), F.concat(F.lit(r"(?U)\b\Q"), F.col("_low"), F.lit(r"\E\b")))
-    found = hits.join(place, [key, "para_index"]).groupBy(key, "source", "target", "domain", "pos", "_client", "_id").agg(F.sum(n).alias("count"), *[F.max(c).alias(c) for c in ("heading", "abstract", "table")])
-    found = found.join(targets.select(key, F.lower("target_text").alias("_t")), key, "left").withColumn("missing", ~F.coalesce(F.col("_t").contains(F.lower(F.trim("target"))), F.lit(False)))
+    at = [key, "para_index"]
+    place = paragraphs.select(*at, F.col("heading_level").isNotNull().alias("heading"), (F.col("para_index") <= 3).alias("abstract"), F.coalesce("is_table_cell", F.lit(False)).alias("table"))
+    hits = phrase_counts(word_index(paragraphs, at), phrases(known, "_low"), at).join(place, at)
+    found = hits.groupBy(key, "source", "target", "domain", "pos", "_client", "_id").agg(F.sum("count").alias("count"), *[F.max(c).alias(c) for c in ("heading", "abstract", "table")])
+    # a document's target is met once, by the array of its terms
+    each = found.groupBy(key).agg(F.collect_list(F.struct(*[c for c in found.columns if c != key])).alias("_f")).join(targets.select(key, F.lower("target_text").alias("_t")), key, "left")
+    missing = F.transform("_f", lambda f: f.withField("missing", ~F.coalesce(F.col("_t").contains(F.lower(F.trim(f["target"]))), F.lit(False))))
+    found = each.select(key, F.explode(missing).alias("_f")).select(key, "_f.*")
     strong = [("_client", "client_mandated"), ("_id", "domain_critical"), ("heading", "heading_term"), ("abstract", "abstract_term"), ("table", "table_term")]
     why = F.concat_ws("|", *[F.when(F.col(c), F.lit(n)) for c, n in strong], F.when(F.col("count") >= 10, "high_frequency"), F.when(F.col("missing"), "translation_missing"))
     signal = F.col("_client") | F.col("_id") | F.col("heading") | F.col("abstract") | F.col("table")

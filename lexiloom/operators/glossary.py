@@ -3,26 +3,25 @@
 Terms have columns source, target and, where used, domain, id, pos (their order), is_regex, case_sensitive.
 
 Matching a glossary against texts is where data grows: terms x texts. Word-bounded matching goes by words: texts are
-split once, words meet the terms' first words in an equi-join, and the exact predicate decides among few candidates.
-Substring matching cannot use words: there terms are broadcast in slices of a checked size.
+split once, and words, pairs of words and chains of pairs meet those of the terms in equi-joins. Substring and pattern
+matching goes by character grams: a text is only searched for terms whose rarest gram it has.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from importlib.util import find_spec
+from dataclasses import replace
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
+from lexiloom.functions.procedural import longest_literal
 from lexiloom.functions.text import norm_key
+from lexiloom.operators.wordindex import gaps_of, phrase_places, phrases, word_index, words_of
 
 GENERAL = "通用"
 EVERY_DOMAIN = "全部"
 #: Terms up to this length are prone to false alarms.
 SHORT = 3
-_NOT_WORD = r"[^\p{L}\p{N}_]+"
 
 
 def search_terms(terms: DataFrame, query: str = "", domain: str = EVERY_DOMAIN, page: int = 1, page_size: int = 50) -> DataFrame:
@@ -108,90 +107,138 @@ def merge_glossaries(terms: DataFrame) -> DataFrame:
     return folded.select("norm_key", "r.now.source", "r.now.target", "r.now.domain", "r.now.from_file", "r.now.priority", "r.conflicts")
 
 
-def _bounded(term: Column) -> Column:
-    return F.concat(F.lit(r"(?U)\b\Q"), F.replace(F.lower(term), F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E\b"))
-
-
 def word_matches(texts: DataFrame, terms: DataFrame, key: list[str], text: str = "text") -> DataFrame:
     """Pairs (key columns of a text, columns of a term) where the term stands in the text between word boundaries.
 
-    Candidates meet on the term's first word: one row per distinct word of a text, so a common word costs as many
-    candidates as it has texts. Terms without a word character meet every text that contains them.
+    Distinct words of a text, and its distinct pairs of neighbouring words if terms have two, meet terms in an equi-join.
+    Longer terms, and those with signs at their ends, are followed through the positional index. Terms of signs alone
+    are matched wherever a text contains them; blank ones are no terms. No text is read again, no pattern compiled.
     """
-    words = F.array_distinct(F.filter(F.split(F.lower(text), _NOT_WORD), lambda w: w != ""))
-    first = F.element_at(F.filter(F.split(F.lower("source"), _NOT_WORD), lambda w: w != ""), 1)
-    led = terms.withColumn("_first", first)
-    one_word = F.lower("source").rlike(r"^[\p{L}\p{N}_]+$")
-    met = texts.select(*key, F.explode(words).alias("_first")).join(led, "_first").drop("_first")  # words without their texts
-    longer = met.filter(~one_word).join(texts.select(*key, F.lower(text).alias("_text_low")), key)
-    longer = longer.filter(F.col("_text_low").contains(F.lower("source")) & F.regexp_like("_text_low", _bounded(F.col("source")))).drop("_text_low")
-    return met.filter(one_word).unionByName(longer)  # a term of one word is matched by the join itself
-
-
-#: A glossary of up to so many terms is broadcast for substring matching; a larger one goes in slices of that size.
-BROADCAST_TERMS = 20_000
-#: From so many terms on, an automaton over all of them reads each text once; under it, searching for each is cheaper.
-AUTOMATON_TERMS = 500
+    known = phrases(terms)
+    plain = F.concat("_lead", "_trail") == ""
+    split = texts.select(*key, F.lower(text).alias("_low")).select(*key, words_of(F.col("_low")).alias("_w"), gaps_of(F.col("_low")).alias("_g"))
+    said = F.col("_w")
+    if known.most > 1:
+        pair = F.transform(F.slice("_w", F.lit(1), F.greatest(F.size("_w") - 1, F.lit(0))), lambda w, i: F.concat(w, F.get("_g", i + 1), F.get("_w", i + 1)))
+        said = F.concat(said, pair)
+    short = known.table.filter(F.col("_n").between(1, 2) & plain).select("_core", *terms.columns)
+    met = split.select(*key, F.explode(F.array_distinct(said)).alias("_core")).join(short, "_core").drop("_core")
+    if known.most > 2 or known.edges:
+        rest = replace(known, table=known.table.filter((F.col("_n") > 2) | (F.col("_n") > 0) & ~plain))
+        met = met.unionByName(phrase_places(word_index(texts, key, text), rest, key).select(*key, *terms.columns).distinct())
+    if known.signs:
+        signs = known.table.filter("_n = 0").select(*terms.columns).drop("case_sensitive")
+        held = substring_matches(texts.select(*key, F.col(text).alias("text")), signs, key)
+        met = met.unionByName(held, allowMissingColumns=True) if "case_sensitive" in terms.columns else met.unionByName(held)
+    return met
+
+
+#: Up to so many terms are searched for one after another in each text; more of them go by character grams.
+FEW_TERMS = 64
+#: Length of the grams; shorter terms are grams themselves.
+GRAM = 3
+#: One text in so many says which grams are rare. It only chooses a term's gram; every text is searched.
+COUNTED_SHARE = 16
+
+
+def _folded(c: Column) -> Column:
+    """Lower case in which a text contains whatever it contains as written: a final sigma is like any other."""
+    return F.translate(F.lower(c), "ς", "σ")
+
+
+def _grams(text: Column, sizes: list[int]) -> Column:
+    """Distinct runs of so many characters, at every place."""
+    return F.array_distinct(F.concat(*[F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), 1) for n in sizes]))
+
+
+def gram_candidates(texts: DataFrame, needles: DataFrame, key: list[str], text: str = "text") -> DataFrame:
+    """``(key, columns of needles)``: pairs that share the needle's rarest gram, so all texts that contain it, and some others.
+
+    ``needles`` has a column ``needle``, not blank, of any case; texts and needles are compared in folded case. Each needle
+    stands under one gram, the one that fewest texts have; texts are dealt out as their distinct grams, and both meet
+    in an equi-join, whatever the number of either.
+    """
+    own = F.col("_f")
+    size = F.least(F.char_length(own), F.lit(GRAM))
+    folded = needles.withColumn("_f", _folded(F.col("needle"))).filter("_f <> ''")
+    sizes = sorted(r[0] for r in folded.select(size).distinct().collect())  # at most GRAM rows
+    if not sizes:
+        return _searched(texts, [], needles, key, text, None)
+    grams = F.when(F.char_length(own) <= GRAM, F.array(own)).otherwise(_grams(own, [GRAM]))
+    each = folded.select("needle", F.explode(grams).alias("_gram")).distinct()
+    dealt = texts.select(*key, F.explode(_grams(_folded(F.col(text)), sizes)).alias("_gram"))
+    counted = texts.filter(F.pmod(F.xxhash64(*key), F.lit(COUNTED_SHARE)) == 0).select(F.explode(_grams(_folded(F.col(text)), sizes)).alias("_gram")).groupBy("_gram").agg(F.count("*").alias("_n"))
+    rarest = each.join(counted, "_gram", "left").groupBy("needle").agg(F.min_by("_gram", F.struct(F.coalesce("_n", F.lit(0)), "_gram")).alias("_gram"))
+    return dealt.join(folded.drop("_f").join(rarest, "needle"), "_gram").drop("_gram")
+
+
+def _verified(texts: DataFrame, met: DataFrame, columns: list[str], key: list[str], text: str, holds) -> DataFrame:  # noqa: ANN001
+    """Of candidates, those whose text ``holds`` them; a text comes once, to the array of its candidates."""
+    listed = met.groupBy(*key).agg(F.collect_list(F.struct(*columns)).alias("_c"))
+    side = texts.select(*key, F.col(text).alias("_text"), F.lower(text).alias("_low"))
+    return side.join(listed, key).select(*key, F.explode(F.filter("_c", holds)).alias("_c")).select(*key, "_c.*")
 
 
-def _each_term(texts: DataFrame, part: DataFrame, key: list[str], exact: Column, text: str) -> DataFrame:
-    found = F.when(exact, F.col("_text").contains(F.col("source"))).otherwise(F.col("_low").contains(F.lower("source")))
+def _searched(texts: DataFrame, rows: list[Row], terms: DataFrame, key: list[str], text: str, holds) -> DataFrame:  # noqa: ANN001
+    """Each text against each of a few terms, which are literals of the expression, so their patterns are compiled once."""
     side = texts.select(*key, F.col(text).alias("_text"), F.lower(text).alias("_low"))
-    return side.join(F.broadcast(part), found).drop("_text", "_low")
+    if not rows:
+        none = terms.schema.simpleString()
+        return side.limit(0).select(*key, F.explode(F.array(F.lit(None).cast(none))).alias("_c")).select(*key, "_c.*")
+    each = [F.when(holds(r), F.struct(*[F.lit(r[c]).cast(t).alias(c) for c, t in terms.dtypes])) for r in rows]
+    return side.select(*key, F.explode(F.array_compact(F.array(*each))).alias("_c")).select(*key, "_c.*")
 
 
-def _all_terms(texts: DataFrame, part: DataFrame, key: list[str], exact: Column, text: str) -> DataFrame:
-    """The same rows as ``_each_term``: an automaton of the slice's needles finds which of them a text has."""
-    import ahocorasick
+def _slices(rows: list[Row]) -> list[list[Row]]:
+    return [rows[i : i + FEW_TERMS] for i in range(0, len(rows), FEW_TERMS)]
 
-    needle = F.when(exact, F.col("source")).otherwise(F.lower("source"))
-    needles = [(r[0], r[1]) for r in part.select(needle, exact).distinct().collect()]  # at most a slice
-    shared = texts.sparkSession.sparkContext.broadcast(needles)
 
-    @F.pandas_udf("array<int>")
-    def held(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        automata = []
-        for kind in (True, False):
-            a = ahocorasick.Automaton()
-            for i, (word, is_exact) in enumerate(shared.value):
-                if is_exact == kind:
-                    a.add_word(word, i)
-            a.make_automaton()
-            automata.append(a if len(a) else None)
-        for both in batches:
-            yield pd.Series([sorted({i for a, t in zip(automata, pair, strict=True) if a and t for _, i in a.iter(t)}) for pair in zip(*both, strict=True)])
+def substring_matches(texts: DataFrame, terms: DataFrame, key: list[str], text: str = "text") -> DataFrame:
+    """Pairs where the term's source occurs anywhere in the text, case as each term's case_sensitive says.
 
-    index = texts.sparkSession.createDataFrame([(i, w, e) for i, (w, e) in enumerate(needles)], "_i int, _needle string, _exact boolean")
-    hits = texts.select(*key, F.explode(held(F.col(text), F.lower(text))).alias("_i")).join(F.broadcast(index), "_i").drop("_i")
-    return hits.join(F.broadcast(part.withColumns({"_needle": needle, "_exact": exact})), ["_needle", "_exact"]).drop("_needle", "_exact")
+    ``key`` tells texts apart. Null texts hold no term, blank sources are no terms. Up to FEW_TERMS terms are searched for
+    in every text; of more, a text is only searched for those whose rarest gram it has.
+    """
+    sensitive = "case_sensitive" in terms.columns
+    known = terms.filter("source <> ''")
+    some = known.limit(FEW_TERMS + 1).collect()
+    if len(some) <= FEW_TERMS:
+        return _searched(texts, some, terms, key, text, lambda r: F.col("_text").contains(r["source"]) if sensitive and r["case_sensitive"] else F.col("_low").contains(F.lower(F.lit(r["source"]))))
+    exact = lambda t: F.coalesce(t["case_sensitive"], F.lit(False)) if sensitive else F.lit(False)
+    holds = lambda t: F.when(exact(t), F.col("_text").contains(t["source"])).otherwise(F.col("_low").contains(F.lower(t["source"])))
+    return _verified(texts, gram_candidates(texts, known.withColumn("needle", F.col("source")), key, text), terms.columns, key, text, holds)
 
 
-def substring_matches(texts: DataFrame, terms: DataFrame, key: list[str], text: str = "text") -> DataFrame:
-    """Pairs where the term's source occurs anywhere in the text, case as each term's case_sensitive says.
+def pattern_matches(texts: DataFrame, terms: DataFrame, key: list[str], text: str = "text") -> DataFrame:
+    """Pairs where the term's source, a pattern, is found in the text; in any case unless case_sensitive.
 
-    Texts stay where they are and terms come to them, in slices of a checked size. Null texts hold no term, blank sources
-    are no terms. Large glossaries take one pass over a text if pyahocorasick is there; the rows are the same.
+    A text is searched for a pattern only if it has the rarest gram of the longest literal that every match must hold.
+    Patterns without such a literal are searched for in every text, FEW_TERMS in one pass.
     """
-    exact = F.coalesce(F.col("case_sensitive"), F.lit(False)) if "case_sensitive" in terms.columns else F.lit(False)
-    n = terms.count()
-    slices = max(1, -(-n // BROADCAST_TERMS))
-    match = _all_terms if n >= AUTOMATON_TERMS and find_spec("ahocorasick") else _each_term
-    out = None
-    for i in range(slices):
-        part = terms if slices == 1 else terms.filter(F.pmod(F.xxhash64("source"), F.lit(slices)) == i)
-        hits = match(texts, part.filter("source <> ''"), key, exact, text)
+    known = terms.filter("source <> ''")
+    some = known.limit(FEW_TERMS + 1).collect()
+    free, out = some, None
+    if len(some) > FEW_TERMS:
+        led = known.withColumn("needle", longest_literal("source"))
+        free = led.filter("needle = ''").drop("needle").collect()  # patterns such as \d+ alone
+        pattern = lambda t: F.when(t["case_sensitive"], t["source"]).otherwise(F.concat(F.lit("(?i)"), t["source"]))
+        out = _verified(texts, gram_candidates(texts, led, key, text), terms.columns, key, text, lambda t: F.regexp_like("_text", pattern(t)))
+    for rows in _slices(free):
+        hits = _searched(texts, rows, terms, key, text, lambda r: F.regexp_like("_text", F.lit(r["source"] if r["case_sensitive"] else "(?i)" + r["source"])))
         out = hits if out is None else out.unionByName(hits)
-    return out
+    return substring_matches(texts, terms.limit(0), key, text) if out is None else out
+
 
+def match_glossary(texts: DataFrame, terms: DataFrame, key: list[str], domain: str | None = None, most: int | None = None) -> DataFrame:
+    """Terms in texts: literal ones as substrings, ``is_regex`` ones as patterns; ``nth`` ranks a text's by length.
 
-def match_glossary(texts: DataFrame, terms: DataFrame, key: list[str], domain: str | None = None) -> DataFrame:
-    """Terms in texts: literal ones as substrings, ``is_regex`` ones as patterns; ``nth`` ranks a text's by length."""
+    With ``most``, a text's longest terms only, as for a prompt.
+    """
     chosen = terms if not domain or domain == EVERY_DOMAIN else terms.filter(F.col("domain").isin(domain, GENERAL))
-    literal = substring_matches(texts, chosen.filter(~F.col("is_regex")), key)
-    pattern = F.when(F.col("case_sensitive"), F.col("source")).otherwise(F.concat(F.lit("(?i)"), F.col("source")))
-    regex = texts.join(F.broadcast(chosen.filter("is_regex")), F.regexp_like("text", pattern)).drop(*[c for c in texts.columns if c not in key])
-    both = literal.unionByName(regex)
-    return both.withColumn("nth", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc(F.length("source")), "source")))
+    both = substring_matches(texts, chosen.filter(~F.col("is_regex")), key).unionByName(pattern_matches(texts, chosen.filter("is_regex"), key))
+    nth = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc(F.length("source")), "source"))
+    ranked = both.withColumn("nth", nth)
+    return ranked if most is None else ranked.filter(F.col("nth") <= most)
 
 
 def check_glossary(pairs: DataFrame, terms: DataFrame, key: list[str], client: DataFrame | None = None, domain: str | None = None, strict_short: bool = False, severity: str = "critical") -> DataFrame:
@@ -200,18 +247,20 @@ def check_glossary(pairs: DataFrame, terms: DataFrame, key: list[str], client: D
     ``pairs`` has key columns, source_text and target_text. Client terms come first; a term they cover (same normalised
     source, found in the text) is not checked again. Short general terms count as low unless ``strict_short``.
     """
-    texts = pairs.select(*key, F.col("source_text").alias("text"))
-    side = pairs.select(*key, F.lower("target_text").alias("_target"))
-    hits = word_matches(texts, for_domain(terms, domain).select("source", "target", F.coalesce("domain", F.lit("")).alias("domain")), key)
-    sev = F.lit(severity) if strict_short else F.when(F.length("source") <= SHORT, F.lit("low")).otherwise(F.lit(severity))
-    general = hits.withColumn("type", F.lit("glossary_violation")).withColumn("severity", sev)
+    known = for_domain(terms, domain).select("source", "target", F.coalesce("domain", F.lit("")).alias("domain"), F.lit(False).alias("mine"))
     if client is not None:
-        mine = word_matches(texts, client.select("source", "target", F.lit("").alias("domain")), key)
-        covered = mine.select(*key, norm_key(F.col("source")).alias("_key")).distinct()
-        general = general.withColumn("_key", norm_key(F.col("source"))).join(covered, [*key, "_key"], "left_anti").drop("_key")
-        general = general.unionByName(mine.withColumn("type", F.lit("client_glossary_violation")).withColumn("severity", F.lit("critical")))
-    missing = general.join(side, key).filter(~F.col("_target").contains(F.lower("target")))
-    return missing.select(*key, "type", F.col("source").alias("source_term"), F.col("target").alias("expected_target"), "domain", "severity")
+        known = known.unionByName(client.select("source", "target", F.lit("").alias("domain"), F.lit(True).alias("mine")))
+    found = word_matches(pairs.select(*key, F.col("source_text").alias("text")), known, key)
+    sev = F.lit(severity) if strict_short else F.when(F.length("source") <= SHORT, F.lit("low")).otherwise(F.lit(severity))
+    issue = F.struct(
+        F.when(F.col("mine"), "client_glossary_violation").otherwise("glossary_violation").alias("type"), F.col("source").alias("source_term"), F.col("target").alias("expected_target"), "domain",
+        F.when(F.col("mine"), "critical").otherwise(sev).alias("severity"), "mine", norm_key(F.col("source")).alias("_key"),
+    )
+    # a text's terms are taken together: its target is met once, and what client terms cover is known
+    each = found.groupBy(*key).agg(F.collect_list(issue).alias("_f"), F.collect_set(F.when(F.col("mine"), norm_key(F.col("source")))).alias("_covered"))
+    missing = F.filter("_f", lambda f: ~F.col("_target").contains(F.lower(f["expected_target"])) & (f["mine"] | ~F.array_contains("_covered", f["_key"])))
+    side = pairs.select(*key, F.lower("target_text").alias("_target"))
+    return side.join(each, key).select(*key, F.explode(missing).alias("_f")).select(*key, *[f"_f.{c}" for c in ("type", "source_term", "expected_target", "domain", "severity")])
 
 
 def _quoted(s: Column) -> Column:

@@ -921,7 +921,24 @@ def r05_outliers(spark: SparkSession, sf: str) -> DataFrame:
     return severity.outliers(p.filter(F.col("text").contains("z")), p.select("doc_id", "paragraph_index", F.length("text").alias("score")))
 
 
-@query()
+@query(T.with_("lines", "terms", "client") + """, p AS (
+  SELECT doc_id, para_index, length(text) < 30 AS heading, para_index <= 3 AS abstract, contains(text, '|') AS cell,
+    list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+'), lambda x: x <> '') AS ws, regexp_split_to_array(lower(text), '[\\p{L}\\p{N}_]+') AS gs FROM lines),
+tok AS (SELECT * EXCLUDE (ws, gs), ws[i] AS w, gs[i + 1] AS gap FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS i FROM p)),
+known AS (SELECT t.*, c.k IS NOT NULL AS mine FROM terms t LEFT JOIN (SELECT DISTINCT lower(source) AS k FROM client) c ON c.k = t.source WHERE c.k IS NOT NULL OR length(t.source) >= 4),
+hits AS (
+  SELECT doc_id, pos, heading, abstract, cell FROM tok JOIN known ON known.source = tok.w
+  UNION ALL SELECT a.doc_id, pos, a.heading, a.abstract, a.cell FROM tok a JOIN tok b ON b.doc_id = a.doc_id AND b.para_index = a.para_index AND b.i = a.i + 1
+    JOIN known ON known.source = a.w || a.gap || b.w),
+f AS (SELECT doc_id, pos, count(*) AS n, bool_or(heading) AS heading, bool_or(abstract) AS abstract, bool_or(cell) AS cell FROM hits GROUP BY doc_id, pos),
+g AS (SELECT f.*, k.source, k.target, k.domain, k.mine, NOT coalesce(contains(lower(d.text), k.target), false) AS missing FROM f JOIN known k ON k.pos = f.pos LEFT JOIN documents d ON d.doc_id = f.doc_id + 1),
+w AS (SELECT *, CASE WHEN n >= 3 THEN 'frequent' WHEN mine OR heading OR abstract OR cell THEN 'rare' END AS channel,
+  concat_ws('|', CASE WHEN mine THEN 'client_mandated' END, CASE WHEN heading THEN 'heading_term' END, CASE WHEN abstract THEN 'abstract_term' END,
+    CASE WHEN cell THEN 'table_term' END, CASE WHEN n >= 10 THEN 'high_frequency' END, CASE WHEN missing THEN 'translation_missing' END) AS why FROM g)
+SELECT doc_id, channel, row_number() OVER (PARTITION BY doc_id, channel ORDER BY CASE WHEN channel = 'frequent' THEN (why = '')::INT ELSE (NOT mine)::INT END, n DESC, pos) AS nth,
+  source, target AS required_target, domain, n AS "count", why <> '' AS is_critical, CASE WHEN missing THEN 'missing' ELSE 'present' END AS translation_status,
+  CASE WHEN why = '' THEN 'frequency' ELSE why END AS importance_reason
+FROM w WHERE channel IS NOT NULL QUALIFY nth <= CASE WHEN channel = 'frequent' THEN 30 ELSE 50 END""")
 def r06_key_terms(spark: SparkSession, sf: str) -> DataFrame:
     after = T.table(spark, sf, "documents").select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("target_text"))
     return context.key_terms(_paragraphs(spark, sf), after, T.terms(spark), T.client_terms(spark))

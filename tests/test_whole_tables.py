@@ -168,19 +168,3 @@ def test_page_map_over_many_windows(spark, sf, monkeypatch):  # noqa: ANN001, AN
     whole = rows_of(spark, sf, "j12_page_map")
     monkeypatch.setattr(placement, "WINDOWS_AT_ONCE", 3)
     assert rows_of(spark, sf, "j12_page_map") == whole
-
-
-def test_one_pass_over_a_text_finds_what_searching_for_each_term_finds(spark, sf, monkeypatch):  # noqa: ANN001, ANN201
-    from lexiloom.operators import glossary
-
-    pytest.importorskip("ahocorasick")
-    texts = spark.createDataFrame([(i, t) for i, t in TEXTS.items()] + [(7, None), (8, "THE İstanbul ΟΔΟΣ of ΟΔΟΣx"), (9, "her hers she")], "doc_id int, text string")
-    said = [("the", False), ("The", True), ("THE", True), ("he", False), ("hers", False), ("her", None), ("", False), ("οδοσ", False), ("i̇s", False), ("25 °c", False), ("25 °C", True), ("the", False), ("absent", True)]
-    terms = spark.createDataFrame([(i, s, c) for i, (s, c) in enumerate(said)], "pos int, source string, case_sensitive boolean")
-    plain = sorted(tuple(r) for r in glossary.substring_matches(texts, terms, ["doc_id"]).collect())
-    monkeypatch.setattr(glossary, "AUTOMATON_TERMS", 1)
-    for most in (20_000, 4):
-        monkeypatch.setattr(glossary, "BROADCAST_TERMS", most)
-        d = glossary.substring_matches(texts, terms, ["doc_id"])
-        assert d.columns == ["doc_id", "pos", "source", "case_sensitive"] and sorted(map(tuple, d.collect()), key=repr) == sorted(plain, key=repr)
-    assert len(plain) > 10

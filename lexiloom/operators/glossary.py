@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from lexiloom.functions.procedural import longest_literal
 from lexiloom.functions.text import norm_key
-from lexiloom.operators.wordindex import gaps_of, phrase_places, phrases, word_index, words_of
+from lexiloom.operators.wordindex import BROADCAST_CHARS, dealt, gaps_of, phrase_places, phrases, word_index, words_of
 
 GENERAL = "通用"
 EVERY_DOMAIN = "全部"
@@ -122,7 +122,7 @@ def word_matches(texts: DataFrame, terms: DataFrame, key: list[str], text: str =
         pair = F.transform(F.slice("_w", F.lit(1), F.greatest(F.size("_w") - 1, F.lit(0))), lambda w, i: F.concat(w, F.get("_g", i + 1), F.get("_w", i + 1)))
         said = F.concat(said, pair)
     short = known.table.filter(F.col("_n").between(1, 2) & plain).select("_core", *terms.columns)
-    met = split.select(*key, F.explode(F.array_distinct(said)).alias("_core")).join(short, "_core").drop("_core")
+    met = split.select(*key, F.explode(F.array_distinct(said)).alias("_core")).join(known.side(short), "_core").drop("_core")
     if known.most > 2 or known.edges:
         rest = replace(known, table=known.table.filter((F.col("_n") > 2) | (F.col("_n") > 0) & ~plain))
         met = met.unionByName(phrase_places(word_index(texts, key, text), rest, key).select(*key, *terms.columns).distinct())
@@ -135,8 +135,8 @@ def word_matches(texts: DataFrame, terms: DataFrame, key: list[str], text: str =
 
 #: Up to so many terms are searched for one after another in each text; more of them go by character grams.
 FEW_TERMS = 64
-#: Length of the grams; shorter terms are grams themselves.
-GRAM = 3
+#: Lengths of grams. A term goes by the longest of them that it has; the longer, the fewer texts share it.
+GRAMS = (6, 3, 2, 1)
 #: One text in so many says which grams are rare. It only chooses a term's gram; every text is searched.
 COUNTED_SHARE = 16
 
@@ -159,17 +159,20 @@ def gram_candidates(texts: DataFrame, needles: DataFrame, key: list[str], text:
     in an equi-join, whatever the number of either.
     """
     own = F.col("_f")
-    size = F.least(F.char_length(own), F.lit(GRAM))
+    size = F.lit(GRAMS[-1])
+    for n in GRAMS[-2::-1]:
+        size = F.when(F.char_length(own) >= n, n).otherwise(size)
     folded = needles.withColumn("_f", _folded(F.col("needle"))).filter("_f <> ''")
-    sizes = sorted(r[0] for r in folded.select(size).distinct().collect())  # at most GRAM rows
+    found = folded.groupBy(size.alias("size")).agg(F.sum(F.length("needle") + 64).alias("chars")).collect()  # a row per length
+    sizes, small = sorted(r["size"] for r in found), sum(r["chars"] for r in found) <= BROADCAST_CHARS
     if not sizes:
         return _searched(texts, [], needles, key, text, None)
-    grams = F.when(F.char_length(own) <= GRAM, F.array(own)).otherwise(_grams(own, [GRAM]))
+    grams = F.coalesce(*[F.when(size == n, _grams(own, [n])) for n in sizes])
     each = folded.select("needle", F.explode(grams).alias("_gram")).distinct()
-    dealt = texts.select(*key, F.explode(_grams(_folded(F.col(text)), sizes)).alias("_gram"))
+    held = texts.select(*key, F.explode(_grams(_folded(F.col(text)), sizes)).alias("_gram"))
     counted = texts.filter(F.pmod(F.xxhash64(*key), F.lit(COUNTED_SHARE)) == 0).select(F.explode(_grams(_folded(F.col(text)), sizes)).alias("_gram")).groupBy("_gram").agg(F.count("*").alias("_n"))
-    rarest = each.join(counted, "_gram", "left").groupBy("needle").agg(F.min_by("_gram", F.struct(F.coalesce("_n", F.lit(0)), "_gram")).alias("_gram"))
-    return dealt.join(folded.drop("_f").join(rarest, "needle"), "_gram").drop("_gram")
+    rarest = each.join(counted.hint("merge"), "_gram", "left").groupBy("needle").agg(F.min_by("_gram", F.struct(F.coalesce("_n", F.lit(0)), "_gram")).alias("_gram"))
+    return held.join(dealt(folded.drop("_f").join(rarest, "needle"), small), "_gram").drop("_gram")
 
 
 def _verified(texts: DataFrame, met: DataFrame, columns: list[str], key: list[str], text: str, holds) -> DataFrame:  # noqa: ANN001

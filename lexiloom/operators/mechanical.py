@@ -39,34 +39,42 @@ def _explode(pairs: DataFrame, key: list[str], *issues: Column) -> DataFrame:
     return pairs.select(*key, F.explode(F.concat(*[i.cast(_EMPTY) for i in issues])).alias("i")).select(*key, "i.*")
 
 
-def check_numbers(pairs: DataFrame, key: list[str]) -> DataFrame:
-    """Integers and decimals of the source that the target lacks, percentages that differ by place, temperature counts."""
-    s, t = F.col("source_text"), F.col("target_text")
+def number_issues(s: Column, t: Column) -> Column:
+    """Array of issues: integers and decimals of ``s`` that ``t`` lacks, percentages that differ by place, temperature counts."""
     missing = lambda kind, name, sev: F.transform(F.array_except(numbers(s, kind), numbers(t, kind)), lambda v: _issue(name, sev, v, quote=context(s, v, 40)))
     a, b = leading_values(numbers(s, "percentage")), leading_values(numbers(t, "percentage"))
     differ = F.filter(F.zip_with(a, b, lambda x, y: F.struct(x.alias("x"), y.alias("y"))), lambda p: F.abs(p["x"] - p["y"]) > 0.01)
     percent = F.transform(differ, lambda p: _issue("percentage_mismatch", "critical", F.concat(p["x"].cast("string"), F.lit("%")), F.concat(p["y"].cast("string"), F.lit("%"))))
     both = F.struct(numbers(s, "temperature").alias("s"), numbers(t, "temperature").alias("t"))
     degrees = bound(both, lambda x: F.when(F.size(x["s"]) != F.size(x["t"]), F.array(_issue("temperature_mismatch", "critical", F.array_join(x["s"], ", "), F.array_join(x["t"], ", ")))).otherwise(F.array().cast(_EMPTY)))
-    return _explode(pairs, key, missing("integer", "number_missing", "medium"), missing("decimal", "decimal_mismatch", "critical"), percent, degrees)
+    parts = [missing("integer", "number_missing", "medium"), missing("decimal", "decimal_mismatch", "critical"), percent, degrees]
+    return F.concat(*[F.coalesce(p.cast(_EMPTY), F.array().cast(_EMPTY)) for p in parts])
+
+
+def check_numbers(pairs: DataFrame, key: list[str]) -> DataFrame:
+    """:func:`number_issues` of each pair, a row for each."""
+    return pairs.select(*key, F.explode(number_issues(F.col("source_text"), F.col("target_text"))).alias("i")).select(*key, "i.*")
 
 
 def check_page_numbers(pages: DataFrame, key: list[str]) -> DataFrame:
     """Numbers of a page (source_text) that the whole target lacks, less spurious ones; repeats count each time.
 
-    A percentage is found if the target has one within 0.1.
+    A percentage is found if the target has one within 0.1. A page is searched for dates and ranges only if it lacks a number.
     """
     s, t = F.col("source_text"), F.col("target_text")
+    lost = lambda kind: bound(numbers(t, kind), lambda have: F.filter(numbers(s, kind), lambda v: ~F.array_contains(have, v)))
+    none = F.array().cast("array<string>")
+    found = F.struct(F.coalesce(lost("integer"), none).alias("integer"), F.coalesce(lost("decimal"), none).alias("decimal"))
 
-    def missing(kind: str, name: str) -> Column:
-        given = F.struct(numbers(t, kind).alias("have"), page_marks(s).alias("marks"))
-        lost = bound(given, lambda x: F.filter(numbers(s, kind), lambda v: ~F.array_contains(x["have"], v) & ~is_spurious(v, x["marks"])))
-        return F.transform(lost, lambda v: _issue(name, "medium", v))
+    def real(x: Column) -> Column:
+        marks = F.when(F.size(x["integer"]) + F.size(x["decimal"]) > 0, page_marks(s))
+        of = lambda kind, name, m: F.transform(F.filter(x[kind], lambda v: ~is_spurious(v, m)), lambda v: _issue(name, "medium", v)).cast(_EMPTY)
+        return bound(marks, lambda m: F.concat(of("integer", "number_missing", m), of("decimal", "decimal_mismatch", m)))
 
     there = leading_values(numbers(t, "percentage"))
-    lost = bound(there, lambda x: F.filter(F.array_distinct(leading_values(numbers(s, "percentage"))), lambda v: ~F.exists(x, lambda w: F.abs(v - w) < 0.1)))
-    percent = F.transform(lost, lambda v: _issue("percentage_mismatch", "medium", F.concat(v.cast("string"), F.lit("%"))))
-    return _explode(pages, key, missing("integer", "number_missing"), missing("decimal", "decimal_mismatch"), percent)
+    off = bound(there, lambda x: F.filter(F.array_distinct(leading_values(numbers(s, "percentage"))), lambda v: ~F.exists(x, lambda w: F.abs(v - w) < 0.1)))
+    percent = F.transform(off, lambda v: _issue("percentage_mismatch", "medium", F.concat(v.cast("string"), F.lit("%"))))
+    return _explode(pages, key, bound(found, real), F.coalesce(percent.cast(_EMPTY), F.array().cast(_EMPTY)))
 
 
 def check_symbols(pairs: DataFrame, key: list[str], to_chinese: bool = True) -> DataFrame:
@@ -137,24 +145,40 @@ def severity_summary(issues: DataFrame) -> DataFrame:
     return issues.groupBy("type").agg(*[F.sum((F.col("severity") == s).cast("int")).alias(s) for s in ("critical", "medium", "low")], F.count("*").alias("total"))
 
 
+def _explained(s: Column, t: Column, value: Column) -> Column:
+    """Whether a DOI, a date, a page range, a reference list or the target's text explains a number."""
+    near, at, n = context(s, value, 80, marks=False), F.instr(s, value), value.try_cast("bigint")
+    before = F.substring(s, F.greatest(at - 500, F.lit(1)), F.least(at - 1, F.lit(500)))
+    bare = F.regexp_replace(value, "^0+", "")
+    bare = F.when(bare == "", "0").otherwise(bare)
+    cited = lambda c: n.between(1, 2000) & (c.rlike(PAGE_RANGE) | ((at > 1) & before.rlike(REFERENCES_HEADING)))
+    return t.contains(value) | t.contains(bare) | bound(near, lambda c: c.rlike(DOI) | c.rlike(ENGLISH_DATE) | F.coalesce(cited(c), F.lit(False)))
+
+
+_NUMBER_TYPES = ("number_missing", "decimal_mismatch")
+
+
 def filter_number_issues(issues: DataFrame, source: str = "source_text", target: str = "target_text", drop: bool = False) -> DataFrame:
     """Number issues less those that a DOI, a date, a page range, a reference list or the target's text explains.
 
     ``issues`` carries the texts of its document. What stays of the number types counts as low; with ``drop`` it goes
     too. Other issues pass.
     """
-    s, t, v = F.col(source), F.col(target), F.coalesce("source_value", F.lit(""))
-    near, at, n = context(s, v, 80, marks=False), F.instr(s, v), v.try_cast("bigint")
-    before = F.substring(s, F.greatest(at - 500, F.lit(1)), F.least(at - 1, F.lit(500)))
-    cited = n.between(1, 2000) & (near.rlike(PAGE_RANGE) | ((at > 1) & before.rlike(REFERENCES_HEADING)))
-    bare = F.regexp_replace(v, "^0+", "")
-    bare = F.when(bare == "", "0").otherwise(bare)
-    explained = near.rlike(DOI) | near.rlike(ENGLISH_DATE) | F.coalesce(cited, F.lit(False)) | t.contains(v) | t.contains(bare)
-    ours = F.col("type").isin("number_missing", "decimal_mismatch") & (v != "")
-    kept = issues.filter(~(ours & (F.lit(drop) | explained)))
+    v = F.coalesce("source_value", F.lit(""))
+    ours = F.col("type").isin(*_NUMBER_TYPES) & (v != "")
+    kept = issues.filter(~(ours & (F.lit(drop) | _explained(F.col(source), F.col(target), v))))
     return kept.withColumn("severity", F.when(ours, "low").otherwise(F.col("severity")))
 
 
+def check_and_filter_numbers(pairs: DataFrame, key: list[str], drop: bool = False) -> DataFrame:
+    """What :func:`filter_number_issues` leaves of :func:`check_numbers`, found and filtered within a pair's row."""
+    s, t = F.col("source_text"), F.col("target_text")
+    ours = lambda i: i["type"].isin(*_NUMBER_TYPES) & (i["source_value"] != "")
+    kept = F.filter(number_issues(s, t), lambda i: ~F.when(ours(i), F.lit(drop) | _explained(s, t, i["source_value"])).otherwise(F.lit(False)))
+    low = F.transform(kept, lambda i: i.withField("severity", F.when(ours(i), F.lit("low")).otherwise(i["severity"])))
+    return pairs.select(*key, F.explode(low).alias("i")).select(*key, "i.*")
+
+
 def filter_glossary_issues(issues: DataFrame, source: str = "source_text", target: str = "target_text", drop: bool = False) -> DataFrame:
     """Glossary issues less those whose term the source lacks or whose target is there, case as written.
 

@@ -258,16 +258,27 @@ def f11_classify_terms(spark: SparkSession, sf: str) -> DataFrame:
 # --- scalar functions ------------------------------------------------------------------------------------------------
 
 
-@query(f"SELECT doc_id, array_to_string({T.sql_integers('text')}, ',') AS integers, array_to_string({T.sql_decimals('text')}, ',') AS decimals, len({T.sql_percents('text')})::INT AS percents FROM documents")
+_AFTER = "(?:^|[^a-zA-Z0-9])"
+_SIZES = {
+    "temperatures": _AFTER + r"\d+(?:\.\d+)?\s*[°℃](?:[CFKcfk])?", "ranges": _AFTER + r"\d+(?:\.\d+)?\s*[-–—至~]\s*\d+(?:\.\d+)?", "scientific": r"\d+(?:\.\d+)?\s*[×xX]\s*10\^?\d+",
+    "iso_dates": r"\d{4}[-/]\d{2}[-/]\d{2}", "us_dates": r"\d{2}/\d{2}/\d{4}",
+}
+
+
+@query(f"""SELECT doc_id, array_to_string({T.sql_integers('text')}, ',') AS integers, array_to_string({T.sql_decimals('text')}, ',') AS decimals, len({T.sql_percents('text')})::INT AS percents,
+{", ".join(f"len(regexp_extract_all(text, '{p}'))::INT AS {k}" for k, p in _SIZES.items())} FROM documents""")
 def f01_numbers(spark: SparkSession, sf: str) -> DataFrame:
-    n = text.all_numbers(F.col("text"))
-    return T.table(spark, sf, "documents").select("doc_id", F.array_join(n["integer"], ",").alias("integers"), F.array_join(n["decimal"], ",").alias("decimals"), F.size(n["percentage"]).alias("percents"))
+    d = T.table(spark, sf, "documents").select("doc_id", text.all_numbers(F.col("text")).alias("n"))
+    n, size = F.col("n"), lambda kind, name: F.size(F.col("n")[kind]).alias(name)
+    sizes = [size(*x) for x in (("percentage", "percents"), ("temperature", "temperatures"), ("range", "ranges"), ("scientific", "scientific"), ("date_iso", "iso_dates"), ("date_us", "us_dates"))]
+    return d.select("doc_id", F.array_join(n["integer"], ",").alias("integers"), F.array_join(n["decimal"], ",").alias("decimals"), *sizes)
 
 
-@query(r"SELECT doc_id, len(regexp_extract_all(text, '\d+\s*[-–]\s*\d+'))::INT AS dash, len(regexp_extract_all(text, '\d+\s*[～~]\s*\d+'))::INT AS tilde FROM documents")
+@query(r"""SELECT doc_id, len(regexp_extract_all(text, '\d+\s*[-–]\s*\d+'))::INT AS dash, len(regexp_extract_all(text, '\d+\s*[～~]\s*\d+'))::INT AS tilde,
+len(regexp_extract_all(text, '\d+\s*至\s*\d+'))::INT AS chinese FROM documents""")
 def f02_range_counts(spark: SparkSession, sf: str) -> DataFrame:
-    r = text.range_counts(F.col("text"))
-    return T.table(spark, sf, "documents").select("doc_id", r["dash"].alias("dash"), r["tilde"].alias("tilde"))
+    d = T.table(spark, sf, "documents").select("doc_id", text.range_counts(F.col("text")).alias("r"))
+    return d.select("doc_id", *[F.col("r")[k].alias(k) for k in ("dash", "tilde", "chinese")])
 
 
 @query("""SELECT doc_id, CASE WHEN i = 0 THEN '' ELSE (CASE WHEN i > 41 THEN '…' ELSE '' END) || substring(text, greatest(i - 40, 1), least(i + 4 + 40, length(text) + 1) - greatest(i - 40, 1)) || (CASE WHEN i + 44 <= length(text) THEN '…' ELSE '' END) END AS ctx
@@ -447,10 +458,11 @@ _SPURIOUS = r"""(coalesce(TRY_CAST(v AS BIGINT) > 500, false) OR regexp_matches(
 
 @query(T.with_("pairs") + f""", v AS (SELECT doc_id, source_text, target_text, unnest({T.sql_integers('source_text')}) AS v, 'number_missing' AS type FROM pairs
   UNION ALL SELECT doc_id, source_text, target_text, unnest({T.sql_decimals('source_text')}), 'decimal_mismatch' FROM pairs)
-SELECT doc_id, type, v AS source_value FROM v WHERE NOT list_contains(CASE type WHEN 'number_missing' THEN {T.sql_integers('target_text')} ELSE {T.sql_decimals('target_text')} END, v) AND NOT {_SPURIOUS}""")
+SELECT doc_id, type, v AS source_value FROM v WHERE NOT list_contains(CASE type WHEN 'number_missing' THEN {T.sql_integers('target_text')} ELSE {T.sql_decimals('target_text')} END, v) AND NOT {_SPURIOUS}
+UNION ALL SELECT doc_id, 'percentage_mismatch', x::VARCHAR || '%' FROM (SELECT doc_id, unnest(list_distinct({T.sql_percents('source_text')})) AS x, {T.sql_percents('target_text')} AS t FROM pairs)
+  WHERE len(list_filter(t, lambda w: abs(x - w) < 0.1)) = 0""")
 def j08_check_page_numbers(spark: SparkSession, sf: str) -> DataFrame:
-    d = mechanical.check_page_numbers(T.document_pairs(spark, sf), ["doc_id"])
-    return d.filter("type <> 'percentage_mismatch'").select("doc_id", "type", "source_value")
+    return mechanical.check_page_numbers(T.document_pairs(spark, sf), ["doc_id"]).select("doc_id", "type", "source_value")
 
 
 @query(f"SELECT doc_id, v, {_SPURIOUS} AS skip FROM (SELECT doc_id, text AS source_text, unnest({T.sql_integers('text')}) AS v FROM documents)")
@@ -512,11 +524,10 @@ d AS (SELECT n.doc_id, type, source_value AS v, source_text AS s, target_text AS
 c AS (SELECT *, substring(s, greatest(k - 80, 1), least(k + length(v) + 80, length(s) + 1) - greatest(k - 80, 1)) AS near, substring(s, greatest(k - 500, 1), least(k - 1, 500)) AS before, TRY_CAST(v AS BIGINT) AS i FROM d)
 SELECT doc_id, type, v AS source_value, 'low' AS severity FROM c WHERE NOT (regexp_matches(near, '10\\.\\d{{4,}}/') OR regexp_matches(near, '(?i)(January|February|March|April|May|June|July|August|September|October|November|December)\\s+\\d{{1,2}},?\\s+\\d{{4}}')
   OR coalesce(i BETWEEN 1 AND 2000 AND (regexp_matches(near, '\\b\\d{{2,4}}[-–]\\d{{1,4}}\\b') OR (k > 1 AND regexp_matches(before, '(?i)(References|参考文献|Bibliography)'))), false)
-  OR contains(t, v) OR contains(t, CASE WHEN ltrim(v, '0') = '' THEN '0' ELSE ltrim(v, '0') END))""")
+  OR contains(t, v) OR contains(t, CASE WHEN ltrim(v, '0') = '' THEN '0' ELSE ltrim(v, '0') END))
+UNION ALL SELECT doc_id, type, source_value, severity FROM n WHERE type = 'percentage_mismatch'""")
 def p04_filter_numbers(spark: SparkSession, sf: str) -> DataFrame:
-    pairs = T.document_pairs(spark, sf)
-    found = mechanical.check_numbers(pairs, ["doc_id"]).filter("type <> 'percentage_mismatch'")
-    return mechanical.filter_number_issues(found.join(pairs, "doc_id")).select("doc_id", "type", "source_value", "severity")
+    return mechanical.check_and_filter_numbers(T.document_pairs(spark, sf), ["doc_id"]).select("doc_id", "type", "source_value", "severity")
 
 
 @query(_checked("""found AS (SELECT h.doc_id, h.source AS source_term, h.target AS expected_target FROM hits h WHERE NOT contains(lower(h.target_text), h.target))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.sources.readers import lines
+from lexiloom.sources.readers import lines, spread
 
 TERMS = [
     (1, "the", "la", "通用"), (2, "of", "de", "法律"), (3, "and the", "et le", "医学"), (4, "tion", "sion", "通用"), (5, "is", "est", ""),
@@ -24,8 +24,13 @@ SEVERITIES, CONFIDENCES = ["low", "medium", "critical"], ["high", "medium", "low
 FILES = ["A.pdf", "A_CN.docx", "A_EN_US.docx", "B.docx", "C-ENG.docx", "~$A.docx", "D.xlsx", "D_FRA.xlsx", "e_DE.txt", "F_校对稿.docx", "G-EN-GB.docx", "G.pdf", "H.tmp", ".hidden.docx"]
 
 
+#: Tables of whole texts, on which expressions are dear.
+TEXTS = ("documents", "conversations", "pages")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    d = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(d) if name in TEXTS else d
 
 
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,6 +22,17 @@ GENERAL = "通用"
 PARAGRAPH = "path string, para_index int, text string, style string, is_table_cell boolean"
 
 
+#: Tables of fewer bytes a core are dealt out: what little they have may all be in one row group, which is one task.
+SMALL = 32 << 20
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """A table as read, its rows dealt over all cores if it is small; a large one has row groups enough and stays."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    size = int(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return table.repartition(cores) if size < cores * SMALL else table
+
+
 def lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Non-blank lines, trimmed, with their place in the text from 1 (blank ones count)."""
     return docs.select(key, F.posexplode(F.split(text, "\n")).alias("para_index", "text")).withColumns({"para_index": F.col("para_index") + 1, "text": F.trim("text")}).filter("text <> ''")

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
+from bisect import bisect_left
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, StringType, StructField, StructType
 
 # --- fixed values: formats of items that a translation must keep, in the order they claim text ----------------------
 TEMPERATURE = r"\d+\s*[°℃]\s*[CF]\s*(?:\(\s*\d+\s*[°℃]\s*[CF]\s*\))?|\d+\s*[°℃](?:\s*[CF])?|@\s*\d+\s*[°℃](?:\s*[CF])?"
@@ -67,31 +67,97 @@ def critical_items(texts: pd.Series) -> pd.Series:
 def sequence_ratio(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Ratcliff-Obershelp similarity; null counts as ''."""
     for a, b in batches:
-        yield pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)], dtype=float)
-
-
-def most_alike_of(text: str, others: list[str]) -> tuple[float, int]:
-    """(similarity, place) of the first of the most similar texts. The characters that two texts share, in any order, bound
-    their similarity, so texts are compared by falling bounds until none can be better."""
-    mine = Counter(text)
-    bounds = [2.0 * (mine & Counter(o)).total() / (len(text) + len(o)) if text or o else 1.0 for o in others]
-    best, place, pair = -1.0, len(others), SequenceMatcher(None, text, "")
-    for i in sorted(range(len(others)), key=lambda i: (-bounds[i], i)):
-        if bounds[i] < best:
-            break
-        if bounds[i] == best and i > place:
-            continue
-        pair.set_seq2(others[i])
-        best, place = max((best, -place), (pair.ratio(), -i))
-        place = -place
-    return best, place
-
-
-@F.pandas_udf(StructType([StructField("similarity", DoubleType()), StructField("place", IntegerType())]))
-def most_alike(texts: pd.Series, others: pd.Series) -> pd.DataFrame:
-    """Of an array of texts the one most like each text; nulls count as ''."""
-    found = [most_alike_of(t or "", [o or "" for o in many]) for t, many in zip(texts, others, strict=True)]
-    return pd.DataFrame(found, columns=["similarity", "place"])
+        yield pd.Series([similarity(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype=float)
+
+
+#: Characters are counted by their code modulo this, so that counts have one size; that only makes bounds looser.
+COUNTERS = 64
+
+
+@F.pandas_udf(BinaryType())
+def character_counts(texts: pd.Series) -> pd.Series:
+    """How many characters of each kind a text has, as unsigned 32-bit numbers; nulls count as ''."""
+    of = lambda t: np.bincount(np.frombuffer((t or "").encode("utf-32-le", "surrogatepass"), np.uint32) % COUNTERS, minlength=COUNTERS).astype(np.uint32).tobytes()
+    return texts.map(of, na_action=None)
+
+
+def common_in_order(a: str, b: str) -> int:
+    """Length of the longest common subsequence, a column of the table at a time as bits of one number."""
+    if len(a) < len(b):
+        a, b = b, a
+    places: dict[str, int] = {}
+    for i, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << i
+    full = free = (1 << len(a)) - 1
+    for c in b:
+        hit = free & places.get(c, 0)
+        free = (free + hit | free - hit) & full
+    return len(a) - free.bit_count()
+
+
+#: From this length of the second text on, characters that make up over a hundredth of it begin no match.
+LONG_TEXT = 200
+
+
+def matched_characters(a: str, b: str) -> int:
+    """Characters in the blocks that Ratcliff and Obershelp's method finds: the longest common run, then those on either side.
+
+    Of equally long runs the first in ``a``, then in ``b``, counts. Where frequent characters begin no match, only the
+    places of rare ones are walked through, and runs grow over the others.
+    """
+    places: dict[str, list[int]] = {}
+    for j, c in enumerate(b):
+        places.setdefault(c, []).append(j)
+    if len(b) >= LONG_TEXT:
+        most = len(b) // 100 + 1
+        places = {c: at for c, at in places.items() if len(at) <= most}
+    begin = [i for i, c in enumerate(a) if c in places]
+    total, todo = 0, [(0, len(a), 0, len(b))]
+    while todo:
+        a0, a1, b0, b1 = todo.pop()
+        i0, j0, size, runs, last = a0, b0, 0, {}, -2
+        for i in begin[bisect_left(begin, a0) : bisect_left(begin, a1)]:
+            before, runs = (runs if i == last + 1 else {}), {}
+            for j in places[a[i]]:
+                if j >= b1:
+                    break
+                if j >= b0:
+                    n = runs[j] = before.get(j - 1, 0) + 1
+                    if n > size:
+                        i0, j0, size = i - n + 1, j - n + 1, n
+            last = i
+        while i0 > a0 and j0 > b0 and a[i0 - 1] == b[j0 - 1]:
+            i0, j0, size = i0 - 1, j0 - 1, size + 1
+        while i0 + size < a1 and j0 + size < b1 and a[i0 + size] == b[j0 + size]:
+            size += 1
+        if size:
+            total += size
+            todo += [x for x in ((a0, i0, b0, j0), (i0 + size, a1, j0 + size, b1)) if x[0] < x[1] and x[2] < x[3]]
+    return total
+
+
+def similarity(a: str, b: str) -> float:
+    """Twice the matched characters over all characters; 1 for two empty texts."""
+    return 2.0 * matched_characters(a, b) / (len(a) + len(b)) if a or b else 1.0
+
+
+def ratio_that_wins(a: str, b: str, least: float, ties: bool) -> float | None:
+    """Similarity of two texts if it is above ``least``, or equal to it with ``ties``; else None.
+
+    Matching blocks are a common subsequence, so what two texts have in order bounds their similarity; with a long
+    second text comparing takes less time than the bound.
+    """
+    wins = lambda r: r > least or ties and r == least
+    if a != b and least > 0 and len(b) < LONG_TEXT and not wins(2.0 * common_in_order(a, b) / (len(a) + len(b))):
+        return None
+    r = similarity(a, b)
+    return r if wins(r) else None
+
+
+@F.pandas_udf(DoubleType())
+def ratio_above(texts: pd.Series, others: pd.Series, least: pd.Series, ties: pd.Series) -> pd.Series:
+    """:func:`ratio_that_wins` for each row; null texts count as '', and with a null ``least`` there is nothing to win."""
+    return pd.Series([None if pd.isna(x) else ratio_that_wins(a or "", b or "", x, t) for a, b, x, t in zip(texts, others, least, ties, strict=True)], dtype=float)
 
 
 _PART = re.compile(r"\\Q.*?(?:\\E|$)|\\.|\[\^?\]?(?:\\.|[^\]\\])*\]?|.|\\", re.S)

@@ -4,18 +4,99 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexiloom.functions.procedural import most_alike
+from lexiloom.functions.procedural import character_counts, ratio_above
 
 #: Prefix lengths of a quote that are looked for, in order.
 PREFIXES = (15, 10, 8, 5)
 #: Neighbours that are searched when a quote's own paragraph lacks it: after, then before.
 REACH = 5
-#: Windows that a page is compared with in one call; more of them go in several rows.
-WINDOWS_AT_ONCE = 64
+#: Pages and windows whose character counts meet in one task.
+BLOCK = 256
+#: Length of the grams that lead from pages to paragraphs, and how many of a text are used.
+GRAM, LOWEST = 6, 16
+
+
+def _windows(pages: DataFrame, paragraphs: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Paragraphs with the starts of the windows that hold them, and ``(key, start, combined, first_index, last_index)``.
+
+    A paragraph goes to its own few windows, so a document of any length is no join of its own with itself.
+    """
+    n_pages = pages.groupBy(key).agg(F.count("*").alias("n_pages"))
+    by = Window.partitionBy(key)
+    numbered = paragraphs.select(key, "para_index", "text", (F.row_number().over(by.orderBy("para_index")) - 1).alias("i"), F.count("*").over(by).alias("n")).join(n_pages, key)
+    sized = numbered.withColumn("w", F.greatest(F.lit(2), F.floor(F.col("n") / F.col("n_pages"))).cast("int")).withColumn("step", F.greatest(F.lit(1), F.floor(F.col("w") / 2)).cast("int"))
+    first = F.greatest(F.lit(0), F.floor((F.col("i") - F.col("w")) / F.col("step")).cast("int") + 1)
+    starts = F.transform(F.sequence(first, F.floor(F.col("i") / F.col("step")).cast("int")), lambda k: (k * F.col("step")).cast("int"))
+    placed = sized.select(key, "i", "para_index", "text", starts.alias("starts"))
+    texts = F.transform(F.sort_array(F.collect_list(F.struct("i", "text"))), lambda x: x["text"])
+    held = placed.select(key, "i", "para_index", "text", F.explode("starts").alias("start")).groupBy(key, "start")
+    return placed, held.agg(F.array_join(texts, " ").alias("combined"), F.min("para_index").alias("first_index"), F.max("para_index").alias("last_index"))
+
+
+def _lowest_grams(text: Column) -> Column:
+    """The LOWEST smallest hashes of a text's runs of GRAM characters: what a text shares with its parts."""
+    hashes = F.transform(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{GRAM}}}))"), 1), lambda g: F.xxhash64(g))
+    return F.slice(F.sort_array(F.array_distinct(hashes)), 1, LOWEST)
+
+
+def _seeds(filled: DataFrame, placed: DataFrame, key: str) -> DataFrame:
+    """``(key, page, start)``: the window with most grams of a page in an inverted index of the document's paragraphs.
+
+    A gram leads to the first paragraph that has it, so lines that repeat make no more rows.
+    """
+    index = placed.select(key, "i", "starts", F.explode(_lowest_grams(F.col("text"))).alias("gram")).groupBy(key, "gram").agg(F.min_by("starts", "i").alias("starts"))
+    asked = filled.select(key, "page", F.explode(_lowest_grams(F.col("text"))).alias("gram"))
+    hits = asked.join(index, [key, "gram"]).select(key, "page", F.explode("starts").alias("start")).groupBy(key, "page", "start").agg(F.count("*").alias("n"))
+    return hits.groupBy(key, "page").agg(F.max_by("start", F.struct("n", -F.col("start"))).alias("start"))
+
+
+def _even(d: DataFrame) -> DataFrame:
+    """Rows dealt over as many tasks as a shuffle has: comparing costs far more than the bytes of a row tell."""
+    return d.repartition(int(d.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _matrix(counts: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(counts.to_pylist()), np.uint32).reshape(len(counts), -1).astype(np.int64)
+
+
+def page_candidates(asked: DataFrame, windows: DataFrame, key: str) -> DataFrame:
+    """``(key, page, start, least, seed)``: a page's ``seed``, and the windows that can still beat its ``least`` similarity.
+
+    What can is told by the characters that both have, in any order. Only their counts meet, blocks of pages with
+    blocks of windows. ``asked`` has key, page, least, seed, counts; ``windows`` key, start, counts.
+    """
+
+    def block(d: DataFrame, at: str, columns: list[str], name: str) -> DataFrame:
+        nth = F.row_number().over(Window.partitionBy(key).orderBy(at)) - 1
+        return d.withColumn("_b", F.floor(nth / BLOCK)).groupBy(key, "_b").agg(F.collect_list(F.struct(*columns)).alias(name)).drop("_b")
+
+    pairs = block(asked, "page", ["page", "least", "seed", "counts"], "_p").join(block(windows, "start", ["start", "counts"], "_w").hint("merge"), key)
+    kinds = {c: asked.schema[c].dataType.simpleString() for c in (key, "page")}
+
+    def beat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                ps, ws = b.column(1).slice(i, 1).flatten(), b.column(2).slice(i, 1).flatten()
+                counts, start, seed, least = _matrix(ws.field("counts")), ws.field("start").to_numpy(), ps.field("seed").to_numpy(), ps.field("least").to_numpy()
+                size, at, starts = counts.sum(axis=1), [], []
+                for j, own in enumerate(_matrix(ps.field("counts"))):
+                    total = size + own.sum()
+                    most = np.where(total > 0, 2.0 * np.minimum(counts, own).sum(axis=1) / np.maximum(total, 1), 1.0)
+                    can = start[(most > least[j]) | (most == least[j]) & (start < seed[j]) | (start == seed[j])]
+                    at += [j] * len(can)
+                    starts.append(can)
+                if at:
+                    of = pa.array(at, pa.int64())
+                    columns = [b.column(0).take(pa.array([i] * len(at))), ps.field("page").take(of), pa.array(np.concatenate(starts)), ps.field("least").take(of), ps.field("seed").take(of)]
+                    yield pa.RecordBatch.from_arrays(columns, names=[key, "page", "start", "least", "seed"])
+
+    return _even(pairs.select(key, "_p", "_w")).mapInArrow(beat, f"{key} {kinds[key]}, page {kinds['page']}, start int, least double, seed int")
 
 
 def page_map(pages: DataFrame, paragraphs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -23,24 +104,23 @@ def page_map(pages: DataFrame, paragraphs: DataFrame, key: str = "doc_id") -> Da
 
     Windows have max(2, paragraphs // pages) paragraphs and start at every half window; the first of the best wins. A
     blank page takes what the page before has. ``pages`` has key, page, text; ``paragraphs`` key, para_index, text.
+
+    An index of grams names a window for each page, which is compared first; only windows that can still win, by their
+    counts of characters and then by the longest sequence that both have in order, are compared after it. The result is
+    that of comparing all.
     """
-    n_pages = pages.groupBy(key).agg(F.count("*").alias("n_pages"))
-    by = Window.partitionBy(key).orderBy("para_index")
-    numbered = paragraphs.withColumn("i", F.row_number().over(by) - 1)
-    size = numbered.groupBy(key).agg(F.count("*").alias("n")).join(n_pages, key).withColumn("w", F.greatest(F.lit(2), F.floor(F.col("n") / F.col("n_pages"))).cast("int"))
-    size = size.withColumn("step", F.greatest(F.lit(1), F.floor(F.col("w") / 2)).cast("int"))
-    starts = size.select(key, "n", "w", "step", F.explode(F.expr("sequence(0, n - 1, step)")).alias("start"))
-    # each window holds w of a document's paragraphs: an equi-join on the document, bounded by it
-    inside = starts.join(numbered, key).filter("i >= start and i < start + w").groupBy(key, "start", "step").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "text"))), lambda x: x["text"]), " ").alias("combined"), F.min("para_index").alias("first_index"), F.max("para_index").alias("last_index"),
-    )
-    filled = pages.filter(F.trim("text") != "")
-    block = inside.groupBy(key, F.floor(F.col("start") / F.col("step") / WINDOWS_AT_ONCE).alias("block")).agg(F.sort_array(F.collect_list(F.struct("start", "combined", "first_index", "last_index"))).alias("windows"))
-    # comparing costs far more than moving, so rows are dealt evenly, not by their bytes; so are those of one long document
-    tasks = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = filled.join(block, key).repartition(tasks, key, "page", "block")
-    scored = met.withColumn("found", most_alike(F.col("text"), F.col("windows.combined"))).withColumn("window", F.get("windows", F.col("found.place")))
-    scored = scored.select(key, "page", "window.first_index", "window.last_index", "window.start", "found.similarity")
+    placed, windows = _windows(pages, paragraphs, key)
+    filled = pages.filter(F.trim("text") != "").select(key, "page", "text")
+    seeds = filled.join(_seeds(filled, placed, key), [key, "page"], "left").withColumnRenamed("start", "seed")
+    first = seeds.join(windows.select(key, F.col("start").alias("seed"), "combined"), [key, "seed"], "left")
+    # a page that shares no gram with its document begins with nothing
+    ratio = F.when(F.col("combined").isNotNull(), ratio_above("text", "combined", F.lit(-1.0), F.lit(True))).otherwise(-1.0)
+    asked = _even(first).select(key, "page", F.coalesce("seed", F.lit(-1)).alias("seed"), ratio.alias("least"), character_counts("text").alias("counts"))
+    left = page_candidates(asked, windows.select(key, "start", character_counts("combined").alias("counts")), key)
+    met = _even(left.join(filled, [key, "page"]).join(windows, [key, "start"]))
+    is_seed = F.col("start") == F.col("seed")
+    more = ratio_above("text", "combined", F.when(~is_seed, F.col("least")), F.col("start") < F.col("seed"))
+    scored = met.withColumn("similarity", F.coalesce(more, F.when(is_seed, F.col("least")))).filter("similarity is not null")
     best = scored.groupBy(key, "page").agg(F.max_by(F.struct("first_index", "last_index", "similarity"), F.struct("similarity", -F.col("start"))).alias("b"))
     all_pages = pages.select(key, "page").join(best, [key, "page"], "left")
     carried = F.last("b", ignorenulls=True).over(Window.partitionBy(key).orderBy("page").rowsBetween(Window.unboundedPreceding, 0))

@@ -149,22 +149,83 @@ def test_quality_loop(spark, sf):  # noqa: ANN001, ANN201
     assert rows_of(spark, sf, "r13_quality_warnings") == sorted(warned, key=repr)
 
 
-def test_most_alike_is_the_first_best():  # noqa: ANN201
+def test_similarity_is_that_of_matching_blocks():  # noqa: ANN201
+    """Texts short and long, with characters so frequent that they begin no match."""
     from difflib import SequenceMatcher
     from random import Random
 
     r = Random(3)
-    words = ["alpha", "beta", "gamma ray", "delta", "", "eps ilon", "zeta" * 60]
-    for _ in range(150):
-        said = lambda n: " ".join(r.choices(words, k=r.randint(0, n)))
-        text, others = said(6), [said(6) for _ in range(r.randint(1, 9))]
-        ratios = [SequenceMatcher(None, text, o).ratio() for o in others]
-        assert procedural.most_alike_of(text, others) == (max(ratios), ratios.index(max(ratios)))
+    words = ["alpha", "beta", "gamma ray", "delta", "", "eps ilon", "zeta" * 20, "q", "é", "7%"]
+    for n in [3] * 300 + [8] * 200 + [60] * 60 + [200] * 20:
+        said = lambda: " ".join(r.choices(words, k=r.randint(0, n)))  # noqa: E731, B023
+        a, b = said(), said()
+        if r.random() < 0.5:
+            b = b + a[r.randint(0, len(a)) :] + b[:9]
+        want = SequenceMatcher(None, a, b).ratio()
+        assert procedural.similarity(a, b) == want
+        assert 2 * procedural.common_in_order(a, b) >= want * (len(a) + len(b)) - 1e-9
+        for least, ties in ((0.0, True), (want, True), (want, False), (0.5, False), (-1.0, True)):
+            assert procedural.ratio_that_wins(a, b, least, ties) == (want if want > least or ties and want == least else None)
+    assert procedural.similarity("", "") == 1.0 and procedural.common_in_order("abcbdab", "bdcaba") == 4
+
+
+def plain_page_map(pages: dict, paragraphs: list) -> dict:
+    """Per page number the first and last paragraph of the first most similar window, and the similarity."""
+    from difflib import SequenceMatcher
+
+    w = max(2, len(paragraphs) // max(1, len(pages)))
+    out, before = {}, (None, None, None)
+    for page, text in sorted(pages.items()):
+        if text.strip(" "):
+            windows = [paragraphs[at : at + w] for at in range(0, len(paragraphs), max(1, w // 2))]
+            scored = [(SequenceMatcher(None, text, " ".join(t for _, t in x)).ratio(), -k, x[0][0], x[-1][0]) for k, x in enumerate(windows)]
+            best = max(scored, default=None)
+            before = (best[2], best[3], best[0]) if best else before
+        out[page] = before
+    return out
+
+
+@pytest.mark.parametrize("block", [256, 2])
+def test_page_map_equals_comparing_all(spark, monkeypatch, block):  # noqa: ANN001, ANN201
+    from random import Random
+
+    from lexiloom.operators import placement
 
+    monkeypatch.setattr(placement, "BLOCK", block)
+    r = Random(block)
+    words = ["alpha", "beta", "gamma", "delta", "epsilon", "zeta", "eta", "q9", "ü", "the", "of"]
+    pages, paras, want = [], [], {}
+    for d in range(14):
+        lines = [" ".join(r.choices(words, k=r.randint(1, 40 if d % 3 else 5))) for _ in range(r.randint(0 if d == 5 else 1, 25))]
+        lines = [x for t in lines for x in [t] * r.choice([1, 1, 1, 3])]  # lines that repeat
+        text = [lines[i : i + 3] for i in range(0, len(lines), 3)]
+        mine = {k: " ".join(x if r.random() < 0.8 else x[::-1] for x in t) if r.random() < 0.85 else r.choice(["", "  ", "zz", "nothing like it"]) for k, t in enumerate(text, 1)}
+        pages += [(d, k, t) for k, t in mine.items()]
+        numbered = [(2 * i + 1, t) for i, t in enumerate(lines)]
+        paras += [(d, i, t) for i, t in numbered]
+        want |= {(d, k): v for k, v in plain_page_map(mine, numbered).items()}
+    pages += [(99, 1, "no paragraphs at all")]
+    want[99, 1] = (None, None, None)
+    got = placement.page_map(spark.createDataFrame(pages, "doc_id int, page int, text string"), spark.createDataFrame(paras, "doc_id int, para_index int, text string"))
+    assert {(r.doc_id, r.page): (r.first_index, r.last_index, r.similarity) for r in got.collect()} == want
+    assert len({v[2] for v in want.values()}) > 10
+
+
+def test_a_page_meets_few_windows(spark):  # noqa: ANN001, ANN201
+    """Of a document of 300 different pages, hardly any window is compared besides the page's own."""
+    from random import Random
 
-def test_page_map_over_many_windows(spark, sf, monkeypatch):  # noqa: ANN001, ANN201
     from lexiloom.operators import placement
 
-    whole = rows_of(spark, sf, "j12_page_map")
-    monkeypatch.setattr(placement, "WINDOWS_AT_ONCE", 3)
-    assert rows_of(spark, sf, "j12_page_map") == whole
+    r = Random(1)
+    lines = [" ".join("".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.randint(2, 9))) for _ in range(20)) for _ in range(900)]
+    paras = spark.createDataFrame([(1, i, t) for i, t in enumerate(lines, 1)], "doc_id int, para_index int, text string")
+    pages = spark.createDataFrame([(1, k, " ".join(lines[3 * k : 3 * k + 3])) for k in range(300)], "doc_id int, page int, text string")
+    placed, windows = placement._windows(pages, paras, "doc_id")
+    seeds = placement._seeds(pages, placed, "doc_id").collect()
+    assert len(seeds) == 300 and all(s.start == 3 * s.page for s in seeds)
+    asked = spark.createDataFrame([(1, s.page, s.start, 1.0, t) for s, t in ((s, " ".join(lines[3 * s.page : 3 * s.page + 3])) for s in seeds)], "doc_id int, page int, seed int, least double, text string")
+    asked = asked.withColumn("counts", procedural.character_counts("text"))
+    met = placement.page_candidates(asked, windows.select("doc_id", "start", procedural.character_counts("combined").alias("counts")), "doc_id")
+    assert windows.count() == 900 and met.count() == 300
+    assert placement.page_map(pages, paras).filter("similarity < 1").count() == 0

@@ -151,32 +151,89 @@ def first_paragraph(values: DataFrame, paragraphs: DataFrame, key: str = "doc_id
     return out.filter("n = 1") if unique else out
 
 
+def _squeezed(c: Column) -> Column:
+    return F.regexp_replace(c, r"\s+", "")
+
+
+def _chunk(quote: Column) -> Column:
+    """The longest run of four Chinese characters or more, '' if there is none."""
+    runs = F.array_sort(F.regexp_extract_all(quote, F.lit(r"[一-鿿]{4,}"), 0), lambda a, b: F.length(b) - F.length(a))
+    return F.coalesce(F.get(runs, F.lit(0)), F.lit(""))
+
+
+#: How a paragraph can hold a quote, in order.
+WAYS = [*(f"prefix{k}" for k in PREFIXES), "whole", "squeezed", "chunk"]
+
+
+def _way(q: Column, t: Column) -> Column:
+    """Number of the first of WAYS in which text ``t`` holds quote ``q``, or null."""
+    chunk = _chunk(q)
+    tests = [*[(F.length(q) >= k) & t.contains(F.substring(q, 1, k)) for k in PREFIXES], t.contains(q), _squeezed(t).contains(_squeezed(q)), (chunk != "") & t.contains(chunk)]
+    out = F.when(tests[0], 0)
+    for n, test in enumerate(tests[1:], 1):
+        out = out.when(test, n)
+    return out
+
+
+def _best(rows: DataFrame, kept: list[str], rank: Column) -> DataFrame:
+    """One row per quote: its columns, and ``hit``, the held place of least ``rank``; null if no place holds it."""
+    place = F.when(F.col("way").isNotNull(), F.struct(rank.alias("rank"), "way", "at"))
+    return rows.groupBy(*kept).agg(F.min_by(place, F.when(F.col("way").isNotNull(), F.struct(rank.alias("r"), "way", "at"))).alias("hit"))
+
+
+def near_paragraphs(left: DataFrame, paragraphs: DataFrame, key: str) -> DataFrame:
+    """Quotes with each paragraph up to REACH after theirs, then before: ``step`` counts them in the order of search."""
+    steps = F.array(*[F.struct(F.lit(o).alias("off"), F.lit(n).alias("step")) for n, o in enumerate([*range(1, REACH + 1), *range(-1, -REACH - 1, -1)], 1)])
+    asked = left.select("*", F.explode(steps).alias("s")).select(*left.columns, (F.col("paragraph_index") + F.col("s.off")).alias("at"), F.col("s.step").alias("step"))
+    return asked.join(paragraphs, [key, "at"])
+
+
+#: Characters of a quote that lead to the paragraphs of its document that may hold it.
+ANCHOR = 4
+
+
+def possible_paragraphs(left: DataFrame, paragraphs: DataFrame, key: str) -> DataFrame:
+    """Quotes with each paragraph of their document that has the beginning of the quote, or of its Chinese run, blanks aside.
+
+    Whatever way a paragraph holds a quote, it has one of these, so quotes meet paragraphs in an equi-join on them.
+    """
+    start = F.substring(_squeezed(F.substring("quote", 1, min(PREFIXES))), 1, ANCHOR)
+    anchors = F.array_distinct(F.array_compact(F.array(start, F.when(_chunk(F.col("quote")) != "", F.substring(_chunk(F.col("quote")), 1, ANCHOR)))))
+    asked = left.select("*", F.explode(anchors).alias("anchor"))
+    text = _squeezed(F.col("text"))
+    grams = [F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), 1) for n in range(1, ANCHOR + 1)]
+    sizes = asked.groupBy(key).agg(F.collect_set(F.length("anchor")).alias("sizes"))  # at most ANCHOR + 1 a document
+    of_size = [F.when(F.array_contains("sizes", n), g).otherwise(F.array().cast("array<string>")) for n, g in enumerate(grams, 1)]
+    blank = F.when(F.array_contains("sizes", 0), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    held = paragraphs.join(sizes, key).select(key, "at", F.explode(F.array_distinct(F.concat(blank, *of_size))).alias("anchor"))
+    pairs = asked.join(held, [key, "anchor"]).drop("anchor").distinct()
+    return pairs.join(paragraphs, [key, "at"])
+
+
 def place_quotes(quotes: DataFrame, paragraphs: DataFrame, key: str = "doc_id") -> DataFrame:
     """Where each quote stands: ``(key, quote_id, located, strategy)``.
 
     Tried in order, in the quote's own paragraph: its first 15, 10, 8 or 5 characters, the whole quote, the quote
     without white space, its longest run of four Chinese characters or more; then these in the next five paragraphs and
     the five before, nearest first; then anywhere in the document, first paragraph first; else the paragraph itself,
-    bare. ``quotes`` has key, quote_id, paragraph_index, quote; ``paragraphs`` key, paragraph_index, text.
+    bare. ``quotes`` has key, quote_id, paragraph_index, quote; ``paragraphs`` key, paragraph_index, text. Each step
+    only sees the quotes that the ones before have not placed.
     """
-    q, t = F.col("quote"), F.col("text")
-    squeeze = lambda c: F.regexp_replace(c, r"\s+", "")
-    runs = F.array_sort(F.regexp_extract_all(q, F.lit(r"[一-鿿]{4,}"), 0), lambda a, b: F.length(b) - F.length(a))
-    chunk = F.coalesce(F.get(runs, F.lit(0)), F.lit(""))
-    how, n = None, 0
-    tests = [*[((F.length(q) >= k) & t.contains(F.substring(q, 1, k)), f"prefix{k}") for k in PREFIXES], (t.contains(q), "whole"), (squeeze(t).contains(squeeze(q)), "squeezed"), ((chunk != "") & t.contains(chunk), "chunk")]
-    for n, (test, _) in enumerate(tests):
-        how = F.when(test, n) if how is None else how.when(test, n)
-    ask = quotes.filter(F.length(F.coalesce("quote", F.lit(""))) > 0)
-    hit = ask.join(paragraphs.withColumnRenamed("paragraph_index", "at"), key).withColumn("how", how).filter("how is not null")
-    off = F.col("at") - F.col("paragraph_index")
-    near = F.when(off.between(1, REACH), off).when(off.between(-REACH, -1), REACH - off)
-    rank = lambda a, b, c: F.struct(F.lit(a).alias("a"), b.cast("long").alias("b"), c.cast("long").alias("c"))
-    place = F.when(off == 0, rank(0, F.col("how"), F.lit(0))).when(near.isNotNull(), rank(1, near, F.col("how"))).otherwise(rank(2, F.col("at"), F.col("how")))
-    best = hit.withColumn("place", place).groupBy(key, "quote_id").agg(F.min_by(F.struct("at", "how", "place"), "place").alias("b"))
-    names = F.array(*[F.lit(x) for _, x in tests])
-    scope = F.when(F.col("b.place.a") == 0, "").when(F.col("b.place.a") == 1, "near ").otherwise("document ")
-    return quotes.join(best, [key, "quote_id"], "left").select(key, "quote_id", F.coalesce("b.at", "paragraph_index").alias("located"), F.coalesce(F.concat(scope, F.get(names, F.col("b.how"))), F.lit("bare")).alias("strategy"))
+    texts = paragraphs.select(key, F.col("paragraph_index").alias("at"), "text")
+    kept = [key, "quote_id", "paragraph_index", "quote"]
+    way = _way(F.col("quote"), F.col("text"))
+    ask = quotes.select(*kept).filter(F.length(F.coalesce("quote", F.lit(""))) > 0)
+    own = _best(ask.join(texts, (ask[key] == texts[key]) & (ask["paragraph_index"] == texts["at"]), "left").select(*[ask[c] for c in kept], "at", way.alias("way")), kept, F.lit(0))
+    left = own.filter("hit is null").drop("hit")
+    near = _best(near_paragraphs(left, texts, key).withColumn("way", way), kept, F.col("step")).filter("hit is not null")
+    left = left.join(near, [key, "quote_id"], "left_anti")
+    found = possible_paragraphs(left, texts, key).withColumn("way", way).filter("way is not null")
+    anywhere = _best(found, kept, F.col("at"))
+    placed = None
+    for d, scope in ((own.filter("hit is not null"), ""), (near, "near "), (anywhere, "document ")):
+        one = d.select(key, "quote_id", F.col("hit.at").alias("at"), F.concat(F.lit(scope), F.get(F.array(*[F.lit(w) for w in WAYS]), F.col("hit.way"))).alias("strategy"))
+        placed = one if placed is None else placed.unionByName(one)
+    return quotes.join(placed, [key, "quote_id"], "left").select(key, "quote_id", F.coalesce("at", "paragraph_index").alias("located"), F.coalesce("strategy", F.lit("bare")).alias("strategy"))
 
 
 def attach_tables(batches: DataFrame, tables: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -229,3 +229,51 @@ def test_a_page_meets_few_windows(spark):  # noqa: ANN001, ANN201
     met = placement.page_candidates(asked, windows.select("doc_id", "start", procedural.character_counts("combined").alias("counts")), "doc_id")
     assert windows.count() == 900 and met.count() == 300
     assert placement.page_map(pages, paras).filter("similarity < 1").count() == 0
+
+
+def plain_way(t: str, q: str) -> str | None:
+    squeeze = lambda x: re.sub(r"\s+", "", x)
+    for k in (15, 10, 8, 5):
+        if len(q) >= k and q[:k] in t:
+            return f"prefix{k}"
+    chunk = max(re.findall("[一-鿿]{4,}", q), key=len, default="")
+    return "whole" if q in t else "squeezed" if squeeze(q) in squeeze(t) else "chunk" if chunk and chunk in t else None
+
+
+def test_quotes_are_placed_in_every_way(spark):  # noqa: ANN001, ANN201
+    from random import Random
+
+    from lexiloom.operators import placement
+
+    r = Random(8)
+    words = ["alpha", "beta", "甲乙丙丁", "戊己庚辛壬", "x", "the of", "  ", "q r", "z" * 7]
+    paras, quotes, want = [], [], []
+    for d in range(12):
+        lines = {i: " ".join(r.choices(words, k=r.randint(0, 9))) for i in r.sample(range(1, 40), 25)}
+        paras += [(d, i, t) for i, t in lines.items()]
+        for k in range(25):
+            own, at = r.randint(0, 41), r.choice(sorted(lines))
+            t = lines[at]
+            begin = r.randint(0, len(t))
+            q = r.choice([t[begin : begin + r.randint(0, 30)], t[begin : begin + 6] + " other", t.replace(" ", ""), "z z  z", "no such words", "     " + t[:6], "x", "", "甲乙丙丁 and", "a" + t])
+            quotes.append((d, k, own, q))
+            near = [*range(own + 1, own + 6), *range(own - 1, own - 6, -1)]
+            order = [("", own), *(("near ", x) for x in near), *(("document ", x) for x in sorted(lines))] if q else []
+            want.append(next(((d, k, x, scope + w) for scope, x in order if x in lines and (w := plain_way(lines[x], q))), (d, k, own, "bare")))
+    got = placement.place_quotes(spark.createDataFrame(quotes, "doc_id int, quote_id int, paragraph_index int, quote string"), spark.createDataFrame(paras, "doc_id int, paragraph_index int, text string"))
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert {w[3].split()[0] for w in want} >= {"near", "document", "bare", "chunk", "squeezed", "prefix5"}
+
+
+def test_quotes_meet_few_paragraphs(spark):  # noqa: ANN001, ANN201
+    """Pairs grow with quotes: the same quotes in a document ten times as long meet as many paragraphs."""
+    from lexiloom.operators import placement
+
+    met = []
+    for n in (300, 3000):
+        texts = spark.createDataFrame([(1, i, f"{i:05d} paragraph of its own") for i in range(n)], "doc_id int, at int, text string")
+        asked = spark.createDataFrame([(1, k, 0, f"{100 + k:05d} paragraph") for k in range(50)] + [(1, 90 + k, 0, f"absent {k}") for k in range(50)], "doc_id int, quote_id int, paragraph_index int, quote string")
+        met.append((placement.near_paragraphs(asked, texts, "doc_id").count(), placement.possible_paragraphs(asked, texts, "doc_id").count()))
+        placed = placement.place_quotes(asked, texts.withColumnRenamed("at", "paragraph_index"))
+        assert placed.filter("strategy = 'document prefix15'").count() == 50 and placed.filter("strategy = 'bare'").count() == 50
+    assert met[0] == met[1] == (500, 550)

@@ -93,12 +93,12 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     around = F.expr(_let("lines", _LINES.format("text"), _let("short", _SHORT, _AROUND)))
     texts = rows.join(wanted, "key").select("key", "doc_id", F.explode(around).alias("c")).select("key", "doc_id", "c.*")
     texts = materialize(texts, "occurrences")
-    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "at")
-    stays = F.min_by(F.struct("doc_id", "at", "before", "after"), first).alias("kept")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "at", "key")  # the key decides between null or equal ids
+    stays = F.min_by(F.struct("doc_id", "at", "key", "before", "after"), first).alias("kept")
     kept = texts.groupBy("h", "chunk").agg(F.count("*").alias("times"), F.min(first).alias("first"), stays).groupBy("h").agg(F.count("*").alias("texts"), F.max("times").alias("times"), F.min_by("kept", "first").alias("kept"))
     kept = materialize(kept.filter("texts = 1").select("h", "times", "kept"), "kept")
 
-    again = skewed_lookup(texts.drop("chunk"), kept, "h", "times", texts.count(), how="inner").filter(~(F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("at") == F.col("kept.at"))))
+    again = skewed_lookup(texts.drop("chunk"), kept, "h", "times", texts.count(), how="inner").filter(~((F.col("key") == F.col("kept.key")) & (F.col("at") == F.col("kept.at"))))
     same = "coalesce(nullif(array_position(transform({a}, (u, i) -> coalesce(u = get({b}, i), false)), false), 0) - 1, size({a}))"
     lo, hi = F.expr("at - " + same.format(a="reverse(before)", b="reverse(kept.before)")), F.expr("at + n - 1 + " + same.format(a="after", b="kept.after"))
     gone = again.select("key", F.struct("at", lo.cast("int").alias("lo"), hi.cast("int").alias("hi"), F.col("kept.doc_id").alias("kept_doc_id")).alias("g")).groupBy("key").agg(F.sort_array(F.collect_set("g")).alias("gone"))
@@ -115,7 +115,8 @@ def dedup_lines(docs: DataFrame, report: bool = False) -> DataFrame:
     kept_doc_id (who keeps the first of them, null if none went). A text of which nothing is left becomes empty. Null
     texts stay null, empty ones empty; an empty table gives an empty one. A text of any length is worked on in time
     linear in it, but in one task. Rows that repeat doc_id and text are one document: they keep alike. Null ids come
-    last: one keeps a chunk only if no other document has it. Columns may have any name.
+    last: one keeps a chunk only if no other document has it. Of different texts with null or equal ids one keeps it, too,
+    the first by place and then by a hash of the text. Columns may have any name.
     """
     key, found = unused_name(docs, "key"), unused_name(docs, "found")
     gone = repeated_chunks(docs).select(F.col("key").alias(key), F.struct("n_chunks", "gone").alias(found))

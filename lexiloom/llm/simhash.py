@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import discard, materialize, skewed_lookup
+from lexiloom.llm.common import discard, materialize, skewed_lookup, unused_name
 from lexiloom.llm.components import connected_components
 
 BITS = 64
@@ -171,11 +171,12 @@ def keep_one(docs: DataFrame, find=near_duplicates, **options) -> DataFrame:  #
     doc_ids are all null keeps one row too. ``find`` finds the groups.
     """
     found = find(docs, **options)
-    keep = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("__lx_rows"))
+    rows, name = unused_name(docs, "rows"), unused_name(docs, "kept_id")
+    keep = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias(name)).agg(F.count("*").alias(rows))
     keep = materialize(keep, "kept")
-    out = docs.join(keep.withColumnRenamed("doc_id", "__lx_id"), F.col("doc_id").eqNullSafe(F.col("__lx_id")))
-    if keep.filter("__lx_rows > 1").isEmpty():
-        return out.select(*docs.columns)
-    once = out.filter("__lx_rows = 1").select(*docs.columns)
-    more = out.filter("__lx_rows > 1").select(*docs.columns).dropDuplicates(["doc_id"])
+    out = docs.join(keep, F.col("doc_id").eqNullSafe(F.col(name)))
+    if keep.filter(F.col(rows) > 1).isEmpty():
+        return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    once = out.filter(F.col(rows) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
+    more = out.filter(F.col(rows) > 1).select(*[F.col(f"`{c}`") for c in docs.columns]).dropDuplicates(["doc_id"])
     return once.unionByName(more)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiloom.functions.text import is_identifier
+from lexiloom.operators.severity import by_domain
 from lexiloom.operators.wordindex import phrase_counts, phrases, word_index
 
 NO_DOMAIN = "通用技术文档"
@@ -112,6 +113,29 @@ def structure(paragraphs: DataFrame, key: str = "doc_id", shown: int = 20) -> Da
     )
 
 
+# --- fixed values: checks that a domain asks for, and kinds of findings that ask for one beyond a number --------------------
+DOMAIN_CHECKS = {
+    "医疗器械注册": ("2.23", "4.3", "3.1", "1.4", "2.5"), "药物临床": ("3.1", "4.1", "2.23", "1.4", "2.6"), "网络安全评估": ("4.1", "2.23", "1.4", "2.12", "3.3"),
+    "安全数据表": ("4.1", "3.1", "3.4", "1.2", "1.4"), "专利文献": ("1.1", "2.25", "1.4", "4.3"), "": ("1.4", "2.12", "3.1", "4.1"),
+}
+LIMITS = (("number_mismatches", 20, "3.1"), ("glossary_violations", 10, "4.1"), ("symbol_issues", 0, "3.3"), ("format_issues", 0, "5.1"))
+
+
+def required_checks(docs: DataFrame, counts: DataFrame, key: str = "doc_id", primary: str = "primary") -> DataFrame:
+    """``(key, check_id, why)``: checks that a document's domain asks for, then those that its mechanical findings ask for.
+
+    ``docs`` has key and the primary domain, ``counts`` (key, kind, n). A check that the domain asks for is not asked for
+    again; of several kinds that ask for one check the first counts.
+    """
+    spark = docs.sparkSession
+    table = spark.createDataFrame([(d, c) for d, checks in DOMAIN_CHECKS.items() for c in checks], "domain string, check_id string")
+    asked = by_domain(docs, table, list(DOMAIN_CHECKS), key, primary).withColumn("why", F.lit("domain"))
+    limits = spark.createDataFrame([(k, over, c) for k, over, c in LIMITS], "kind string, over long, check_id string")
+    many = counts.join(F.broadcast(limits), "kind").filter("n > over").select(key, "check_id", F.col("kind").alias("why"))
+    more = many.join(docs.select(key), key, "left_semi").join(asked, [key, "check_id"], "left_anti").groupBy(key, "check_id").agg(F.min("why").alias("why"))
+    return asked.unionByName(more)
+
+
 def mandatory_checks(domains: DataFrame, domain_checks: DataFrame, counts: DataFrame, limits: DataFrame) -> DataFrame:
     """Checks that a document must get: those of its domain, and those whose count passes its limit, each once.
 

@@ -57,10 +57,10 @@ def density(paragraphs: DataFrame, issues: DataFrame, key: str = "doc_id") -> Da
 
 
 def quantity(paragraphs: DataFrame, issues: DataFrame, key: str = "doc_id") -> DataFrame:
-    """error: no issue at all, or one in over 30 paragraphs; warning: under three in over 50, or under 2 per cent."""
+    """error: no issue at all; warning: one in over 30 paragraphs, under three in over 50, or under 2 per cent."""
     d = density(paragraphs, issues, key)
     n, p = F.col("issues"), F.col("paras")
-    level = F.when(n == 0, "error").when((n == 1) & (p > 30), "error").when((n < 3) & (p > 50), "warning").when(n / p < 0.02, "warning").otherwise("ok")
+    level = F.when(n == 0, "error").when((n == 1) & (p > 30), "warning").when((n < 3) & (p > 50), "warning").when(n / p < 0.02, "warning").otherwise("ok")
     return d.select(key, "paras", "issues", level.alias("level"))
 
 

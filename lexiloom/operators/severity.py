@@ -76,19 +76,76 @@ def normalize(issues: DataFrame) -> DataFrame:
     return majority(ruled)
 
 
-def escalate(issues: DataFrame, terms: DataFrame, medical: bool = False) -> DataFrame:
-    """Issues that name a key term of four characters or more go up one level; column ``escalated`` says which.
+# --- fixed values: what a domain's errors rise to; what justifies which severity; where another one is fine -----------------
+ESCALATION = {
+    "医疗器械注册": {"medical_term_error": "critical", "unit_conversion_error": "critical", "safety_related_error": "critical", "connotation_error": "medium", "punctuation_style": "low"},
+    "药物临床": {"dose_error": "critical", "endpoint_error": "critical", "ae_term_error": "critical", "statistical_error": "critical", "terminology_inconsistency": "medium"},
+    "网络安全评估": {"vulnerability_misclassification": "critical", "cvss_scoring_error": "critical", "authentication_bypass": "critical", "port_protocol_error": "medium", "terminology_inconsistency": "medium"},
+    "安全数据表": {"hazard_misstatement": "critical", "cas_number_error": "critical", "concentration_error": "critical", "first_aid_error": "critical"},
+    "专利文献": {"claim_scope_error": "critical", "legal_term_mistranslation": "critical", "figure_reference_error": "medium"},
+    "": {
+        "outright_mistranslation": "critical", "unit_conversion_error": "critical", "number_mismatch": "critical", "client_term_violation": "critical", "terminology_inconsistency": "medium",
+        "connotation_error": "medium", "unnatural_expression": "low", "punctuation_style": "low",
+    },
+}
+JUSTIFIES = {
+    "critical": ("changes_meaning", "missing_unit_conversion", "breaks_sentence_structure", "terminology_inconsistency"), "medium": ("connotation_mismatch", "unnatural_expression"),
+    "low": ("style_preference", "format_deviation"),
+}
+ALSO = (("critical", "connotation_mismatch"), ("critical", "unnatural_expression"))
+
+
+def by_domain(docs: DataFrame, rules: DataFrame, names: list[str], key: str = "doc_id", primary: str = "primary") -> DataFrame:
+    """``(key, columns of rules)``: the rows of ``rules`` (domain, ...) that hold for each document.
+
+    They are those of the first of ``names``, the domains in order of precedence, that the document's primary domain
+    holds; else those of domain ''. Names are a fixed list, so the domain is found in the row and rules meet it by equality.
+    """
+    known = F.filter(F.array(*[F.lit(n) for n in names if n]), lambda n: F.coalesce(F.col(primary), F.lit("")).contains(n))
+    found = docs.select(key, F.coalesce(F.get(known, F.lit(0)), F.lit("")).alias("domain"))
+    return found.join(F.broadcast(rules), "domain").select(key, *[c for c in rules.columns if c != "domain"])
+
+
+def escalation_rules(docs: DataFrame, key: str = "doc_id", primary: str = "primary", table: dict[str, dict[str, str]] = ESCALATION) -> DataFrame:
+    """``(key, error_type, target)``: to which severity errors of a document's domain rise."""
+    rows = [(d, e, t) for d, kinds in table.items() for e, t in kinds.items()]
+    return by_domain(docs, docs.sparkSession.createDataFrame(rows, "domain string, error_type string, target string"), list(table), key, primary)
+
+
+#: Key terms of fewer characters lift nothing; items that are about terminology.
+TERM_LENGTH, TERM_ITEMS = 4, ("术语", "4.1")
+
+
+def escalate(issues: DataFrame, terms: DataFrame, rules: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Issues of documents with rules go up one level if they name a key term of their document.
 
-    ``terms`` (source) is the bounded list of a document's key terms. With ``medical`` rules, terminology items that
-    quote a term go up too; the quote is part of what is searched, so this adds none.
+    ``terms`` (key, source) are each document's key terms, a few dozen; ``rules`` (key, error_type, ...) what holds for
+    its domain: a document without any keeps its severities. ``reason`` is the first term by name, or medical_term_error
+    where the domain has that rule, the item is about terminology and the term stands in the quote; null without a hit.
+    ``escalated`` says whether the severity changed.
     """
-    said = F.lower(F.concat_ws(" ", F.coalesce("issue", F.lit("")), F.coalesce("source_quote", F.lit(""))))
-    named = terms.filter(F.length("source") >= 4).select(F.lower("source").alias("_term")).distinct()
-    packed = named.agg(F.collect_set("_term").alias("_terms"))
-    d = issues.crossJoin(F.broadcast(packed)).withColumn("_hit", F.exists("_terms", lambda t: said.contains(t)))
-    up = F.when(F.col("severity") == "low", "medium").when(F.col("severity") == "critical", "critical").otherwise("critical")
-    moved = F.col("_hit") & (F.col("severity") != "critical")
-    return d.withColumns({"severity": F.when(F.col("_hit"), up).otherwise(F.col("severity")), "escalated": moved}).drop("_hit", "_terms")
+    known = terms.filter(F.length("source") >= TERM_LENGTH).groupBy(key).agg(F.array_sort(F.collect_set(F.lower("source"))).alias("_terms"))
+    held = rules.groupBy(key).agg(F.max(F.col("error_type") == "medical_term_error").alias("_medical"))
+    quote = F.lower(F.coalesce("source_quote", F.lit("")))
+    said = F.concat(F.lower(F.coalesce("issue", F.lit(""))), F.lit(" "), quote)
+    in_text, in_quote = F.filter("_terms", lambda t: said.contains(t)), F.filter("_terms", lambda t: quote.contains(t))
+    about = F.col("_medical") & _any(F.coalesce("check_item", F.lit("")), TERM_ITEMS) & (F.size(in_quote) > 0)
+    hit = F.when(F.col("_medical").isNotNull() & (F.size(in_text) > 0), F.when(about, "medical_term_error").otherwise(F.get(in_text, F.lit(0))))
+    now = F.coalesce("severity", F.lit("medium"))
+    up = F.when(now == "low", "medium").when(now == "critical", "critical").otherwise("critical")
+    d = issues.join(held, key, "left").join(known, key, "left").withColumn("reason", hit).drop("_medical", "_terms")
+    return d.withColumns({"escalated": F.col("reason").isNotNull() & (now != "critical"), "severity": F.when(F.col("reason").isNotNull(), up).otherwise(F.col("severity"))})
+
+
+def mismatches(issues: DataFrame, key: list[str], justifies: dict[str, tuple[str, ...]] = JUSTIFIES, also: tuple[tuple[str, str], ...] = ALSO) -> DataFrame:
+    """``(key, check_item, severity, severity_justification, expected)``: issues whose severity their justification does not
+    carry, by a table of rules with exceptions. Unknown or empty justifications and severities are none."""
+    spark = issues.sparkSession
+    rules = spark.createDataFrame([(j, s) for s, js in justifies.items() for j in js], "severity_justification string, expected string")
+    fine = spark.createDataFrame(list(also), "severity string, severity_justification string")
+    asked = issues.filter("severity <> '' and severity_justification <> ''").join(F.broadcast(rules.groupBy("severity_justification").agg(F.array_sort(F.collect_set("expected")).alias("expected"))), "severity_justification")
+    odd = asked.filter(~F.array_contains("expected", F.col("severity"))).join(F.broadcast(fine), ["severity", "severity_justification"], "left_anti")
+    return odd.select(*key, "check_item", "severity", "severity_justification", "expected")
 
 
 def missing_dimensions(coverage: DataFrame, ids: DataFrame) -> DataFrame:

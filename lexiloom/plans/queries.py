@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexiloom.functions import layout, procedural, text
-from lexiloom.operators import context, crossdoc, engines, gates, glossary, mechanical, placement, prompts, quality, report, review, severity
+from lexiloom.operators import constraints, context, crossdoc, engines, gates, glossary, mechanical, placement, prompts, quality, report, review, severity
 from lexiloom.plans import tables as T
 from lexiloom.sources import readers
 
@@ -824,7 +824,7 @@ def a12_issue_density(spark: SparkSession, sf: str) -> DataFrame:
     return gates.density(*_lines_and_hits(spark, sf))
 
 
-@query(T.with_("lines") + f", {_FEW} SELECT doc_id, paras, issues, CASE WHEN issues = 0 OR (issues = 1 AND paras > 30) THEN 'error' WHEN (issues < 3 AND paras > 50) OR issues / paras < 0.02 THEN 'warning' ELSE 'ok' END AS level FROM l")
+@query(T.with_("lines") + f", {_FEW} SELECT doc_id, paras, issues, CASE WHEN issues = 0 THEN 'error' WHEN (issues = 1 AND paras > 30) OR (issues < 3 AND paras > 50) OR issues / paras < 0.02 THEN 'warning' ELSE 'ok' END AS level FROM l")
 def a13_issue_quantity(spark: SparkSession, sf: str) -> DataFrame:
     return gates.quantity(*_lines_and_hits(spark, sf))
 
@@ -912,12 +912,58 @@ def r02_normalize(spark: SparkSession, sf: str) -> DataFrame:
     return severity.normalize(T.issues(spark, sf)).select("issue_pos", "original_severity", "ruled_severity", "severity")
 
 
-_KEY = ["that", "with", "licensed", "der"]
+_PRIMARY = ["医疗器械注册", "药物临床（II期）", "安全数据表", "通用技术文档", "专利文献/医疗器械注册", "专利文献"]
+_PRIMARY_SQL = f"d AS (SELECT DISTINCT doc, {T._pick(_PRIMARY, 'doc')} AS p FROM issues), dom AS (SELECT doc, CASE WHEN contains(p, '医疗器械注册') THEN '医疗器械注册' WHEN contains(p, '药物临床') THEN '药物临床' WHEN contains(p, '安全数据表') THEN '安全数据表' WHEN contains(p, '专利文献') THEN '专利文献' ELSE '' END AS domain FROM d)"
+_RISES = T._values([(d, e, t) for d, kinds in severity.ESCALATION.items() for e, t in kinds.items()])
 
 
-@query(T.with_("issues") + ", h AS (SELECT *, contains(lower(issue || ' ' || source_quote), 'that') OR contains(lower(issue || ' ' || source_quote), 'with') OR contains(lower(issue || ' ' || source_quote), 'licensed') AS hit FROM issues) SELECT issue_pos, CASE WHEN NOT hit THEN severity WHEN severity = 'low' THEN 'medium' ELSE 'critical' END AS severity, hit AND severity <> 'critical' AS escalated FROM h")
+def _primary(spark: SparkSession, sf: str) -> DataFrame:
+    return T.issues(spark, sf).select("doc").distinct().withColumn("primary", T._picked(_PRIMARY, F.col("doc")))
+
+
+@query(T.with_("issues") + f""", {_PRIMARY_SQL}, terms(pos, source, target, domain) AS {T._values(T.TERMS)},
+h AS (SELECT i.issue_pos, i.doc, i.severity, i.check_item, i.source_quote, dom.domain, (SELECT min(t.source) FROM terms t WHERE t.pos % 4 <> i.doc % 4 AND length(t.source) >= 4 AND contains(lower(i.issue || ' ' || coalesce(i.source_quote, '')), t.source)) AS term,
+  (SELECT count(*) FROM terms t WHERE t.pos % 4 <> i.doc % 4 AND length(t.source) >= 4 AND contains(lower(coalesce(i.source_quote, '')), t.source)) AS quoted FROM issues i JOIN dom ON dom.doc = i.doc)
+SELECT issue_pos, CASE WHEN term IS NULL OR domain = '专利文献' THEN severity WHEN severity = 'low' THEN 'medium' ELSE 'critical' END AS severity,
+  CASE WHEN domain <> '专利文献' AND term IS NOT NULL THEN CASE WHEN domain = '医疗器械注册' AND quoted > 0 AND (contains(check_item, '术语') OR contains(check_item, '4.1')) THEN 'medical_term_error' ELSE term END END AS reason,
+  term IS NOT NULL AND domain <> '专利文献' AND severity <> 'critical' AS escalated FROM h""")
 def r03_escalate(spark: SparkSession, sf: str) -> DataFrame:
-    return severity.escalate(T.issues(spark, sf), _inline(spark, _KEY, "source string")).select("issue_pos", "severity", "escalated")
+    """Each document has key terms of its own; documents of one domain have no rules here, so nothing of theirs rises."""
+    i = T.issues(spark, sf)
+    terms = i.select("doc").distinct().select("doc", F.explode(F.array(*[F.struct(F.lit(p).alias("pos"), F.lit(t).alias("source")) for p, t, *_ in T.TERMS])).alias("t")).filter("t.pos % 4 <> doc % 4").select("doc", "t.source")
+    rules = severity.escalation_rules(_primary(spark, sf), "doc", table={k: v for k, v in severity.ESCALATION.items() if k != "专利文献"} | {"专利文献": {}})
+    return severity.escalate(i, terms, rules, "doc").select("issue_pos", "severity", "reason", "escalated")
+
+
+@query(T.with_("issues") + f", {_PRIMARY_SQL} SELECT doc, error_type, target FROM dom JOIN {_RISES} r(domain, error_type, target) ON r.domain = dom.domain")
+def r08_escalation_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return severity.escalation_rules(_primary(spark, sf), "doc")
+
+
+_COUNTED = {"number_mismatches": ("number_missing", "decimal_mismatch"), "glossary_violations": ("glossary_violation",), "symbol_issues": ("symbol_missing",), "format_issues": ("format_issue",)}
+
+
+@query(T.with_("issues") + f""", {_PRIMARY_SQL}, a AS (SELECT doc, check_id, 'domain' AS why FROM dom JOIN {T._values([(d, c) for d, cs in context.DOMAIN_CHECKS.items() for c in cs])} r(domain, check_id) ON r.domain = dom.domain),
+n AS (SELECT doc, count(*) FILTER (type IN ('number_missing', 'decimal_mismatch')) * 9 AS num, count(*) FILTER (type = 'glossary_violation') * 9 AS glo, count(*) FILTER (type = 'symbol_missing') * 9 AS sym, count(*) FILTER (type = 'format_issue') * 9 AS fmt FROM issues GROUP BY doc),
+m AS (SELECT doc, '3.1' AS check_id, 'number_mismatches' AS why FROM n WHERE num > 20 UNION ALL SELECT doc, '4.1', 'glossary_violations' FROM n WHERE glo > 10 UNION ALL SELECT doc, '3.3', 'symbol_issues' FROM n WHERE sym > 0 UNION ALL SELECT doc, '5.1', 'format_issues' FROM n WHERE fmt > 0)
+SELECT * FROM a UNION ALL SELECT * FROM m WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.doc = m.doc AND a.check_id = m.check_id)""")
+def r08_required_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """Checks of a document's domain, and those that its numbers of findings ask for; each finding stands for nine."""
+    kinds = F.coalesce(*[F.when(F.col("type").isin(*types), F.lit(k)) for k, types in _COUNTED.items()])
+    counts = T.issues(spark, sf).withColumn("kind", kinds).filter("kind is not null").groupBy("doc", "kind").agg((F.count("*") * 9).alias("n"))
+    return context.required_checks(_primary(spark, sf), counts, "doc")
+
+
+_WHY = ["changes_meaning", "style_preference", "unnatural_expression", "because", "terminology_inconsistency", "", "connotation_mismatch"]
+
+
+@query(T.with_("issues") + f""", j AS (SELECT issue_pos, check_item, severity, {T._pick(_WHY, 'issue_pos * 3')} AS why FROM issues),
+e AS (SELECT *, CASE WHEN why IN ('changes_meaning', 'missing_unit_conversion', 'breaks_sentence_structure', 'terminology_inconsistency') THEN 'critical' WHEN why IN ('connotation_mismatch', 'unnatural_expression') THEN 'medium'
+  WHEN why IN ('style_preference', 'format_deviation') THEN 'low' END AS expected FROM j)
+SELECT issue_pos, check_item, severity, why AS severity_justification, expected FROM e WHERE expected IS NOT NULL AND severity <> expected AND NOT (severity = 'critical' AND why IN ('connotation_mismatch', 'unnatural_expression'))""")
+def r05_mismatches(spark: SparkSession, sf: str) -> DataFrame:
+    i = T.issues(spark, sf).withColumn("severity_justification", T._picked(_WHY, F.col("issue_pos") * 3))
+    return severity.mismatches(i, ["issue_pos"]).withColumn("expected", F.array_join("expected", ","))
 
 
 @query(T.with_("issues") + ", c AS (SELECT DISTINCT check_item FROM issues WHERE issue_pos % 3 = 0) SELECT DISTINCT check_item AS check_id FROM issues WHERE check_item NOT IN (SELECT check_item FROM c)")
@@ -968,7 +1014,7 @@ def r10_field_errors(spark: SparkSession, sf: str) -> DataFrame:
     return gates.field_errors(T.issues(spark, sf), ["type", "check_item"], {"severity": ("low", "critical")})
 
 
-@query(T.with_("lines") + f", {_FEW}, q AS (SELECT doc_id, CASE WHEN issues = 0 OR (issues = 1 AND paras > 30) THEN 'error' WHEN (issues < 3 AND paras > 50) OR issues / paras < 0.02 THEN 'warning' ELSE 'ok' END AS level FROM l) SELECT doc_id, count(*) FILTER (level = 'error')::BIGINT AS errors, count(*) FILTER (level = 'warning')::BIGINT AS warnings, count(*) FILTER (level = 'error') = 0 AS passed FROM q GROUP BY doc_id")
+@query(T.with_("lines") + f", {_FEW}, q AS (SELECT doc_id, CASE WHEN issues = 0 THEN 'error' WHEN (issues = 1 AND paras > 30) OR (issues < 3 AND paras > 50) OR issues / paras < 0.02 THEN 'warning' ELSE 'ok' END AS level FROM l) SELECT doc_id, count(*) FILTER (level = 'error')::BIGINT AS errors, count(*) FILTER (level = 'warning')::BIGINT AS warnings, count(*) FILTER (level = 'error') = 0 AS passed FROM q GROUP BY doc_id")
 def r10_gate(spark: SparkSession, sf: str) -> DataFrame:
     return gates.passed(gates.quantity(*_lines_and_hits(spark, sf)))
 
@@ -1077,7 +1123,7 @@ def r04_dimension_flags(spark: SparkSession, sf: str) -> DataFrame:
   SELECT doc, 'dimensions' AS chk, CASE WHEN count(*) FILTER (n = 0) >= 3 THEN 'error' WHEN count(*) FILTER (n = 0) > 0 THEN 'warning' ELSE 'ok' END AS level FROM u GROUP BY doc
   UNION ALL SELECT doc, 'fields', CASE WHEN bool_or(type = '') THEN 'error' ELSE 'ok' END FROM issues GROUP BY doc
   UNION ALL SELECT doc, 'uniqueness', CASE WHEN count(*) < 3 THEN 'ok' WHEN count(DISTINCT issue) / count(*) < 0.3 THEN 'error' WHEN count(DISTINCT issue) / count(*) < 0.5 THEN 'warning' ELSE 'ok' END FROM issues GROUP BY doc
-  UNION ALL SELECT doc, 'quantity', CASE WHEN k = 0 OR (k = 1 AND p > 30) THEN 'error' WHEN (k < 3 AND p > 50) OR k / p < 0.02 THEN 'warning' ELSE 'ok' END
+  UNION ALL SELECT doc, 'quantity', CASE WHEN k = 0 THEN 'error' WHEN (k = 1 AND p > 30) OR (k < 3 AND p > 50) OR k / p < 0.02 THEN 'warning' ELSE 'ok' END
     FROM (SELECT doc, count(*) AS p, count(*) FILTER (severity = 'critical' AND type = 'format_issue') AS k FROM issues GROUP BY doc))
 SELECT doc, count(*) FILTER (level = 'error') AS errors, count(*) FILTER (level = 'warning') AS warnings,
   coalesce(string_agg(chk, ',' ORDER BY chk) FILTER (level = 'error'), '') AS failed, count(*) FILTER (level = 'error') = 0 AS passed FROM c GROUP BY doc""")
@@ -1094,6 +1140,61 @@ def r10_whole_gate(spark: SparkSession, sf: str) -> DataFrame:
     return review.gate(checks, "doc").withColumn("failed", F.array_join("failed", ","))
 
 
+_FINDINGS = T.with_("reviews") + """,
+n AS (SELECT docs.doc, count(iss.i) AS k, (SELECT count(*) FROM want WHERE want.doc = docs.doc) AS total FROM docs LEFT JOIN iss ON iss.doc = docs.doc GROUP BY docs.doc),
+judged AS (SELECT docs.doc, count(*) FILTER (v.verdict = 'confirmed') AS yes, count(v.said) AS n, count(DISTINCT v.said) AS kinds, (SELECT count(*) FROM sheet s WHERE s.doc = docs.doc) AS asked
+  FROM docs LEFT JOIN ver v ON v.doc = docs.doc GROUP BY docs.doc),
+f(doc, chk, level, rule, n) AS (
+  SELECT doc, 'version_mismatch', 'error', 'version_other_than', 1 FROM docs WHERE doc % 5 <> 0 AND doc % 11 = 0
+  UNION ALL SELECT doc, 'version_missing', 'warning', 'no_version', 1 FROM docs WHERE doc % 5 = 0
+  UNION ALL SELECT doc, 'top_level_structure', 'error', 'absent_parts', (doc % 23 = 5)::INT + (doc % 19 = 3)::INT FROM docs
+  UNION ALL SELECT doc, 'dimension_coverage', 'error', 'dimensions_lack', count(*) FROM docs, ids WHERE NOT EXISTS (SELECT 1 FROM dim WHERE dim.doc = docs.doc AND dim.id = ids.id) GROUP BY doc
+  UNION ALL SELECT doc, 'dimension_coverage', 'error', 'unchecked_at_least', count(*) FROM dim WHERE NOT checked GROUP BY doc HAVING count(*) >= 3
+  UNION ALL SELECT doc, 'dimension_coverage', 'warning', 'none_where_found_before', count(*) FROM dim WHERE checked AND found = 0 AND ((doc % 2 > 0 AND id IN ('3.1', '3.2')) OR (doc % 3 > 0 AND id IN ('5.1', '5.2'))) GROUP BY doc
+  UNION ALL SELECT doc, 'paragraph_coverage', 'error', 'no_paragraphs', 1 FROM docs WHERE doc NOT IN (SELECT doc FROM cov)
+  UNION ALL SELECT doc, 'paragraph_coverage', 'error', 'status_other_than', count(*) FROM cov WHERE status = 'odd' GROUP BY doc
+  UNION ALL SELECT doc, 'paragraph_coverage', 'error', 'paragraphs_lack', count(*) FROM want w WHERE doc IN (SELECT doc FROM cov) AND NOT EXISTS (SELECT 1 FROM cov c WHERE c.doc = w.doc AND c.p = w.p) GROUP BY doc
+  UNION ALL SELECT doc, 'paragraph_coverage', 'warning', 'paragraphs_beyond', count(DISTINCT p) FROM cov c WHERE NOT EXISTS (SELECT 1 FROM want w WHERE c.doc = w.doc AND c.p = w.p) GROUP BY doc
+  UNION ALL SELECT doc, 'iron_law_E', 'error', 'no_paragraph_with', 1 FROM cov GROUP BY doc HAVING count(*) FILTER (status = 'has_issue') = 0
+  UNION ALL SELECT doc, 'issues', 'error', 'fields_lack', count(*) FROM iss WHERE p = 0 OR just = '' OR coalesce(q, '') = '' GROUP BY doc
+  UNION ALL SELECT doc, 'issues', 'warning', 'fields_other_than', 1 FROM iss WHERE i % 6 = 0 GROUP BY doc
+  UNION ALL SELECT doc, 'issues', 'error', 'values_other_than', count(*) FROM iss WHERE severity = 'high' GROUP BY doc
+  UNION ALL SELECT doc, 'issues', 'error', 'values_other_than', count(*) FROM iss WHERE just = 'because' GROUP BY doc
+  UNION ALL SELECT doc, 'issues', 'warning', 'values_other_than', count(*) FROM iss WHERE conf = 'sure' GROUP BY doc
+  UNION ALL SELECT doc, 'issues', 'warning', 'no_issues', 1 FROM n WHERE k = 0
+  UNION ALL SELECT doc, 'phase3_verdicts', 'warning', 'no_sheet', 1 FROM docs WHERE doc % 8 = 0
+  UNION ALL SELECT doc, 'phase3_verdicts', 'error', 'verdicts_lack', count(*) FROM sheet s WHERE NOT EXISTS (SELECT 1 FROM ver v WHERE v.doc = s.doc AND v.id = s.id) GROUP BY doc
+  UNION ALL SELECT doc, 'phase3_verdicts', 'warning', 'verdicts_beyond', count(*) FROM ver v WHERE doc IN (SELECT doc FROM sheet) AND NOT EXISTS (SELECT 1 FROM sheet s WHERE v.doc = s.doc AND v.id = s.id) GROUP BY doc
+  UNION ALL SELECT doc, 'phase3_verdicts', 'error', 'verdicts_other_than', count(*) FROM ver WHERE verdict = 'unsure' AND doc IN (SELECT doc FROM sheet) GROUP BY doc
+  UNION ALL SELECT doc, 'phase3_verdicts', 'error', 'short_explanations', count(*) FROM ver WHERE length(said) < 20 AND doc IN (SELECT doc FROM sheet) GROUP BY doc
+  UNION ALL SELECT doc, 'phase3_verdicts_all_dismissed', 'error', 'none_confirmed', 1 FROM judged WHERE asked > 0 AND yes = 0
+  UNION ALL SELECT doc, 'phase3_verdicts_near_zero', 'warning', 'few_confirmed', 1 FROM judged WHERE asked > 0 AND yes > 0 AND yes / asked < 0.05
+  UNION ALL SELECT doc, 'verdict_copy_paste', 'error', 'explanations_repeat', 1 FROM judged WHERE n >= 3 AND kinds / n < 0.3
+  UNION ALL SELECT doc, 'verdict_low_uniqueness', 'warning', 'explanations_repeat', 1 FROM judged WHERE n >= 3 AND kinds / n >= 0.3 AND kinds / n < 0.5
+  UNION ALL SELECT doc, CASE WHEN k = 0 THEN 'zero_issues' WHEN k = 1 AND total > 30 THEN 'single_issue_warning' WHEN k < 3 AND total > 50 THEN 'low_issue_count_warning' ELSE 'low_issue_density_warning' END,
+    CASE WHEN k = 0 THEN 'error' ELSE 'warning' END, CASE WHEN k = 0 OR (k = 1 AND total > 30) OR (k < 3 AND total > 50) THEN 'issues_at_most' ELSE 'density_under' END, 1
+    FROM n WHERE k = 0 OR (k = 1 AND total > 30) OR (k < 3 AND total > 50) OR round(k * 100.0 / total, 1) < 2.0)
+"""
+
+
+@query(_FINDINGS + "SELECT doc, chk, level, rule, n::INT AS n FROM f WHERE n > 0")
+def r10_findings(spark: SparkSession, sf: str) -> DataFrame:
+    """What each review breaks of all constraints of the gate."""
+    return constraints.findings(T.reviews(spark, sf), "doc").select("doc", F.col("check").alias("chk"), "level", "rule", "n")
+
+
+@query(_FINDINGS + """, e AS (SELECT doc, count(*) FILTER (level = 'error') AS errors, count(*) FILTER (level = 'warning') AS warnings, coalesce(string_agg(DISTINCT chk, ',' ORDER BY chk) FILTER (level = 'error'), '') AS failed,
+  bool_or(chk IN ('single_issue_warning', 'low_issue_count_warning', 'low_issue_density_warning')) AS few FROM f WHERE n > 0 GROUP BY doc),
+g(mark, name) AS (VALUES ('1.', '一.双语忠实度'), ('2.', '二.表达规范'), ('3.', '三.数字符号单位'), ('4.', '四.术语合规'), ('5.', '五.格式与表格')),
+s AS (SELECT docs.doc, string_agg(g.name, ',' ORDER BY g.mark) AS names FROM docs, g WHERE NOT EXISTS (SELECT 1 FROM dim WHERE dim.doc = docs.doc AND starts_with(dim.id, g.mark) AND found > 0) GROUP BY docs.doc)
+SELECT docs.doc, coalesce(errors, 0)::INT AS errors, coalesce(warnings, 0)::INT AS warnings, coalesce(failed, '') AS failed, CASE WHEN few THEN coalesce(names, '') ELSE '' END AS re_review, coalesce(errors, 0) = 0 AS passed
+FROM docs LEFT JOIN e ON e.doc = docs.doc LEFT JOIN s ON s.doc = docs.doc""")
+def r10_review_gate(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole gate in one pass: structure, dimensions, paragraphs, issues, verdicts, explanations and quantity."""
+    d = constraints.review_gate(T.reviews(spark, sf), "doc")
+    return d.select("doc", "errors", "warnings", F.array_join("failed", ",").alias("failed"), F.array_join("re_review", ",").alias("re_review"), "passed")
+
+
 # --- batches for a reviewer, the quality loop, engines, layout -----------------------------------------------------------
 
 _KEY_TERMS = [(p, s, t, p % 3 == 0, 1 + p % 5, ["frequency", "heading_term", "high_frequency", "client_mandated"][p % 4]) for p, s, t, _ in T.TERMS]

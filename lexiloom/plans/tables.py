@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexiloom.operators.constraints import CHECK_IDS
 from lexiloom.sources.readers import lines, spread
 
 TERMS = [
@@ -73,6 +74,46 @@ def issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _picked(values: list[str], i) -> F.Column:  # noqa: ANN001
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (i % len(values) + 1).cast("int"))
+
+
+JUSTIFIED, SURE = ["changes_meaning", "style_preference", "because", ""], ["high", "sure", "low"]
+JUDGED = ["confirmed", "false_positive", "unsure", "needs_context"]
+EXPLAINED = ["术语库规定的译法在这里确实没有出现，译文需要按要求修改才行", "原文的数值与译文的数值一致，只是写法不同，因此这一条不是错误", "无"]
+
+
+def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A review per ten documents, ``doc``: parts, fields and verdicts chosen by number, some missing, odd or too few."""
+    i, doc = F.col("i"), F.col("doc")
+    r = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("i"), F.floor(F.col("doc_id") / 10).cast("long").alias("doc"), "lang", "source", F.substring("text", 1, 40).alias("q"))
+    nth = i % 10
+    told = (i % 4 != 3) & (doc % 7 != 0) & ((doc % 13 != 1) | (nth == 0)) & ((doc % 13 != 2) | (nth < 2)) & ((doc % 13 != 4) | (nth < 3))
+    fields = {
+        "paragraph_index": (i % 5).cast("string"), "dimension": F.col("source"), "check_item": _picked(CHECK_ITEMS, i * 7), "severity": _picked(["low", "medium", "critical", "high"], i * 3),
+        "severity_justification": _picked(JUSTIFIED, i * 5), "confidence": _picked(SURE, i), "source_quote": F.col("q"), "target_quote": F.col("lang"), "issue": _picked(ISSUE_TEXTS, i * 5), "suggestion": F.col("source"),
+    }
+    issue = F.create_map(*[x for k, v in fields.items() for x in (F.lit(k), v)])
+    issue = F.when(i % 6 == 0, F.map_concat(issue, F.create_map(F.lit("comment"), F.lit("x")))).otherwise(issue)
+    status = F.when(i % 97 == 0, "odd").when((i % 3 == 0) & (doc % 9 != 2), "has_issue").otherwise("clean")
+    covered = F.struct(F.when(i % 83 == 0, nth + 100).otherwise(nth).cast("int").alias("paragraph_index"), status.alias("status"))
+    verdict = F.struct(F.concat(F.lit("num_"), nth).alias("verdict_id"), F.when(doc % 6 == 0, "false_positive").otherwise(_picked(JUDGED, i)).alias("verdict"), _picked(EXPLAINED, i * (doc % 2)).alias("explanation"))
+    some = lambda test, what: F.collect_list(F.when(test, what))
+    d = r.groupBy("doc").agg(
+        some(told, issue).alias("issues"), some(i % 41 != 0, covered).alias("paragraph_coverage"), some(i % 5 != 2, verdict).alias("verdicts"),
+        some(i % 7 != 1, F.concat(F.lit("num_"), nth)).alias("expected_verdicts"), some(i.isNotNull(), nth.cast("int")).alias("own"),
+    )
+    ids = F.transform(F.array(*[F.lit(x) for x in CHECK_IDS]), lambda x, k: F.struct((k + 1).alias("k"), x.alias("id")))
+    shown = F.filter(ids, lambda x: (x["k"] + doc) % 67 != 0)
+    cover = F.map_from_entries(F.transform(shown, lambda x: F.struct(x["id"], F.struct(((x["k"] * 7 + doc) % 31 != 0).alias("checked"), ((x["k"] + doc) % 3).cast("int").alias("issues_found")))))
+    longer = F.when(doc % 13 == 4, 199).when((doc % 13).isin(1, 2), 59)
+    return d.select(
+        "doc", F.when(doc % 5 == 0, None).when(doc % 11 == 0, "2.20").otherwise("2.21").alias("version"), F.when(doc % 23 != 5, cover).alias("dimension_coverage"),
+        F.when(doc % 19 != 3, F.col("paragraph_coverage")).alias("paragraph_coverage"), "issues", "verdicts", F.when(longer.isNotNull(), F.sequence(F.lit(0), longer)).otherwise(F.col("own")).alias("expected_paragraphs"),
+        F.when(doc % 8 != 0, F.col("expected_verdicts")).alias("expected_verdicts"), F.create_map(F.lit("number_mismatches"), doc % 2, F.lit("format_issues"), doc % 3).alias("found_before"),
+    )
+
+
 def _values(rows: list) -> str:
     return "(VALUES " + ", ".join("(" + ", ".join(repr(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'" for v in (r if isinstance(r, tuple) else (r,))) + ")" for r in rows) + ")"
 
@@ -96,6 +137,18 @@ SQL = {
 }
 
 
+SQL["reviews"] = f"""r AS (SELECT doc_id AS i, doc_id // 10 AS doc, doc_id % 10 AS nth, lang, source, substring(text, 1, 40) AS q FROM documents),
+docs AS (SELECT DISTINCT doc, CASE WHEN doc % 13 = 4 THEN 199 WHEN doc % 13 IN (1, 2) THEN 59 END AS longer FROM r),
+iss AS (SELECT *, i % 5 AS p, {_pick(["low", "medium", "critical", "high"], "i * 3")} AS severity, {_pick(JUSTIFIED, "i * 5")} AS just, {_pick(SURE, "i")} AS conf FROM r
+  WHERE i % 4 <> 3 AND doc % 7 <> 0 AND (doc % 13 <> 1 OR nth = 0) AND (doc % 13 <> 2 OR nth < 2) AND (doc % 13 <> 4 OR nth < 3)),
+cov AS (SELECT doc, CASE WHEN i % 83 = 0 THEN nth + 100 ELSE nth END AS p, CASE WHEN i % 97 = 0 THEN 'odd' WHEN i % 3 = 0 AND doc % 9 <> 2 THEN 'has_issue' ELSE 'clean' END AS status FROM r WHERE i % 41 <> 0 AND doc % 19 <> 3),
+want AS (SELECT doc, nth AS p FROM r WHERE doc % 13 NOT IN (1, 2, 4) UNION ALL SELECT doc, unnest(range(0, longer + 1)) FROM docs WHERE longer IS NOT NULL),
+ids(k, id) AS {_values(list(enumerate(CHECK_IDS, 1)))},
+dim AS (SELECT doc, k, id, (k * 7 + doc) % 31 <> 0 AS checked, (k + doc) % 3 AS found FROM docs, ids WHERE (k + doc) % 67 <> 0 AND doc % 23 <> 5),
+ver AS (SELECT doc, 'num_' || nth AS id, CASE WHEN doc % 6 = 0 THEN 'false_positive' ELSE {_pick(JUDGED, "i")} END AS verdict, {_pick(EXPLAINED, "(i * (doc % 2))")} AS said FROM r WHERE i % 5 <> 2),
+sheet AS (SELECT doc, 'num_' || nth AS id FROM r WHERE i % 7 <> 1 AND doc % 8 <> 0)"""
+
+
 def with_(*names: str) -> str:
     return "WITH " + ",\n".join(SQL[n] for n in names) + "\n"
 

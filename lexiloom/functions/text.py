@@ -187,12 +187,10 @@ def file_stem(name: Column) -> Column:
 
 def language_suffix(name: Column) -> Column:
     """struct(lang_code, base_name) of a file name that ends in a language suffix, longest first, `_` before `-`; or null."""
-    stem, out = file_stem(name), None
     pairs = sorted(LANGUAGE_SUFFIXES.items(), key=lambda x: -len(x[0]))
-    for end, lang in [*pairs, *((s.replace("_", "-"), lang) for s, lang in pairs)]:
-        hit = F.struct(F.lit(lang).alias("lang_code"), F.substring(stem, F.lit(1), F.length(stem) - len(end)).alias("base_name"))
-        out = F.when(stem.endswith(end), hit) if out is None else out.when(stem.endswith(end), hit)
-    return out
+    known = F.array(*[F.struct(F.lit(end).alias("end"), F.lit(lang).alias("lang")) for end, lang in [*pairs, *((s.replace("_", "-"), lang) for s, lang in pairs)]])
+    cut = lambda stem, k: F.when(k.isNotNull(), F.struct(k["lang"].alias("lang_code"), F.substring(stem, F.lit(1), F.length(stem) - F.length(k["end"])).alias("base_name")))
+    return bound(file_stem(name), lambda stem: bound(F.get(F.filter(known, lambda k: stem.endswith(k["end"])), F.lit(0)), lambda k: cut(stem, k)))
 
 
 def is_identifier(term: Column) -> Column:

@@ -54,15 +54,6 @@ def s02_chapters(spark: SparkSession, sf: str) -> DataFrame:
     return crossdoc.chapters(_paragraphs(spark, sf)).select("doc_id", "para_index", F.col("chapter_id").cast("long").alias("chapter_id"))
 
 
-_STYLES = [("heading 3", -1), ("Heading 1", -1), ("标题 2", -1), ("My heading", -1), ("Normal", 0), ("Normal", -1), ("Subheading 4b", -1)]
-
-
-@query("SELECT * FROM (VALUES ('heading 3', -1, 3), ('Heading 1', -1, 1), ('标题 2', -1, 2), ('My heading', -1, 1), ('Normal', 0, 1), ('Normal', -1, NULL), ('Subheading 4b', -1, 4)) AS t(style, outline, level)")
-def s03_heading_level(spark: SparkSession, sf: str) -> DataFrame:
-    d = _inline(spark, _STYLES, "style string, outline int")
-    return d.withColumn("level", text.heading_level(F.col("style"), F.when(F.col("outline") >= 0, F.col("outline"))))
-
-
 @query("""WITH n AS (SELECT p_type AS sheet, p_partkey AS part, row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) AS i, count(*) OVER (PARTITION BY p_type) AS c FROM part)
 SELECT sheet, part, CASE WHEN ceil(c / 50.0) > 1 THEN sheet || '_' || (((i - 1) // 50) + 1)::VARCHAR ELSE sheet END AS chunk_id FROM n""")
 def s06_sheet_chunks(spark: SparkSession, sf: str) -> DataFrame:
@@ -82,16 +73,6 @@ def s10_page_texts(spark: SparkSession, sf: str) -> DataFrame:
     return readers.lines(d, "page_id")
 
 
-_PAIRS = """WITH files(f, role, base, lang) AS (VALUES ('A.pdf', 'o', 'A', NULL), ('B.docx', 'o', 'B', NULL), ('D.xlsx', 'o', 'D', NULL), ('G.pdf', 'o', 'G', NULL),
-  ('A_CN.docx', 't', 'A', 'zh'), ('A_EN_US.docx', 't', 'A', 'en'), ('C-ENG.docx', 't', 'C', 'en'), ('D_FRA.xlsx', 't', 'D', 'fr'), ('G-EN-GB.docx', 't', 'G', 'en'))
-"""
-
-
-@query(_PAIRS + "SELECT f AS filename, CASE role WHEN 'o' THEN 'original' ELSE 'translation' END AS role, lang AS lang_code FROM files")
-def s16_scan_files(spark: SparkSession, sf: str) -> DataFrame:
-    return crossdoc.scan_files(_inline(spark, T.FILES, "filename string")).select("filename", "role", "lang_code")
-
-
 @query(T.with_("parts") + """, new AS (SELECT id AS pos, CASE WHEN id % 3 = 0 THEN source || ' x' ELSE source END AS source, target FROM parts WHERE id % 2 = 0),
 old AS (SELECT DISTINCT source, target FROM parts WHERE id % 2 = 1)
 SELECT pos, n.source, n.target, (row_number() OVER (PARTITION BY n.source, n.target ORDER BY pos) = 1 AND o.source IS NULL) AS added FROM new n LEFT JOIN old o ON n.source = o.source AND n.target = o.target""")
@@ -133,11 +114,6 @@ def p01_search_terms(spark: SparkSession, sf: str) -> DataFrame:
     return hit.orderBy(F.desc("id")).offset(5).limit(20).crossJoin(F.broadcast(hit.agg(F.count("*").alias("total"))))
 
 
-@query(T.with_("terms") + "SELECT * FROM terms WHERE domain IN ('法律', '通用', '')")
-def p02_domain_filter(spark: SparkSession, sf: str) -> DataFrame:
-    return glossary.for_domain(T.terms(spark), "法律")
-
-
 @query(T.with_("parts") + "SELECT domain, count(*) AS n FROM parts GROUP BY domain")
 def a02_domain_counts(spark: SparkSession, sf: str) -> DataFrame:
     return glossary.domain_counts(T.part_terms(spark, sf))
@@ -204,15 +180,6 @@ def u05_merge_first_wins(spark: SparkSession, sf: str) -> DataFrame:
     return glossary.merge_glossaries(e).select("norm_key", "target").join(n, "norm_key")
 
 
-_MERGE = [(1, "Heart", "心", "a", "f1", 2), (2, "heart ", "心脏", "a", "f2", 1), (3, "HEART", "心脏", "b", "f3", 0), (4, "heart", "心房", "b", "f4", 1), (5, "lung", "肺", "a", "f1", 2), (6, "lung", " 肺", "a", "f2", 1)]
-
-
-@query("SELECT * FROM (VALUES ('heart', '心脏', 'f2', 2, 'use_new;keep_existing'), ('lung', '肺', 'f1', 0, '')) AS t(norm_key, target, from_file, n_conflicts, resolutions)")
-def u05_merge_conflicts(spark: SparkSession, sf: str) -> DataFrame:
-    d = glossary.merge_glossaries(_inline(spark, _MERGE, "pos int, source string, target string, domain string, from_file string, priority int"))
-    return d.select("norm_key", "target", "from_file", F.size("conflicts").alias("n_conflicts"), F.array_join(F.transform("conflicts", lambda c: c["resolution"]), ";").alias("resolutions"))
-
-
 def _pair_array() -> F.Column:
     return F.array(*[F.struct(F.lit(s).alias("source"), F.lit(t).alias("target")) for _, s, t, _ in sorted(T.TERMS, key=lambda x: (-len(x[1]), x[0]))])
 
@@ -305,22 +272,6 @@ def f05_sentence_count(spark: SparkSession, sf: str) -> DataFrame:
     return T.table(spark, sf, "conversations").select("conv_id", "turn", text.sentence_count(F.col("text")).alias("sentences"))
 
 
-@query("SELECT * FROM (VALUES ('中文。中文！好', 3), ('你好.再见', 2), ('Dr. Who is here. Yes!', 2), ('  ', 0), ('Fig. 3 vs. Fig. 4', 1)) AS t(s, n)")
-def f05_sentences_by_language(spark: SparkSession, sf: str) -> DataFrame:
-    d = _inline(spark, ["中文。中文！好", "你好.再见", "Dr. Who is here. Yes!", "  ", "Fig. 3 vs. Fig. 4"], "s string")
-    return d.select("s", text.sentence_count(F.col("s")).cast("int").alias("n"))
-
-
-_ITEMS = ["Vapour pressure < 0.001 mm Hg @25°C", "See §1910.1200 and CAS 26007-43-2, mail a@b.org", "Call +1.703.527.3887 for CO2 at 95% V8.00"]
-
-
-@query("""SELECT * FROM (VALUES (0, 'temperature', '@25°C', 30), (0, 'number_with_unit', '0.001 mm Hg', 18), (0, 'number_with_unit', '25°C', 31), (0, 'symbol', '<', 16), (1, 'regulation', '§1910.1200', 4), (1, 'cas_number', '26007-43-2', 23),
-(1, 'email', 'a@b.org', 40), (2, 'phone', '+1.703.527.3887 ', 5), (2, 'percentage', '95%', 32), (2, 'chemical', 'CO2', 25), (2, 'version', 'V8.00', 36)) AS t(id, category, value, position)""")
-def f06_critical_items(spark: SparkSession, sf: str) -> DataFrame:
-    d = _inline(spark, list(enumerate(_ITEMS)), "id int, s string")
-    return d.select("id", F.explode(procedural.critical_items("s")).alias("i")).select("id", "i.*")
-
-
 @query()
 def f07_preservation(spark: SparkSession, sf: str) -> DataFrame:
     return quality.preservation(T.document_pairs(spark, sf), ["doc_id"])
@@ -336,12 +287,6 @@ def f09_cache_key(spark: SparkSession, sf: str) -> DataFrame:
     return T.table(spark, sf, "documents").select("doc_id", text.cache_key(F.col("text")).alias("key"))
 
 
-@query("SELECT * FROM (VALUES ('A_CN.docx', 'zh', 'A'), ('A_EN_US.docx', 'en', 'A'), ('C-ENG.docx', 'en', 'C'), ('D_FRA.xlsx', 'fr', 'D'), ('e_DE.txt', 'de', 'e'), ('G-EN-GB.docx', 'en', 'G')) AS t(filename, lang_code, base_name)")
-def f10_language_suffix(spark: SparkSession, sf: str) -> DataFrame:
-    d = _inline(spark, T.FILES, "filename string").withColumn("s", text.language_suffix(F.col("filename")))
-    return d.filter("s is not null").select("filename", "s.lang_code", "s.base_name")
-
-
 _RULES = [("english", 1, r"\bthe\b"), ("english", 1, r"\band\b"), ("german", 2, r"\bder\b"), ("german", 2, r"\bund\b"), ("latin", 3, r"\bque\b"), ("latin", 3, r"\bde\b")]
 _HITS = {d: " + ".join(f"len(list_filter(w, lambda x: x = '{p[2:-2]}'))" for dd, _, p in _RULES if dd == d) for d, _, _ in _RULES}
 
@@ -369,33 +314,6 @@ def f14_sequence_ratio(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("conv_id", "turn", procedural.sequence_ratio("source_text", "target_text").alias("ratio"))
 
 
-@query("SELECT * FROM (VALUES ('前句。这是一个完整的句子。后句', '完整', '这是一个完整的句子。'), ('no such', '缺', '缺'), ('甲；乙！丙', '乙', '乙！')) AS t(s, fragment, sentence)")
-def f15_sentence_around(spark: SparkSession, sf: str) -> DataFrame:
-    d = _inline(spark, [("前句。这是一个完整的句子。后句", "完整"), ("no such", "缺"), ("甲；乙！丙", "乙")], "s string, fragment string")
-    return d.withColumn("sentence", text.sentence_around(F.col("s"), F.col("fragment")))
-
-
-@query("SELECT * FROM (VALUES ('前句。这是一个完整的句子。后句', '完整', '这是一个完整的句子。'), ('短。长句在这里', '短。', '短。'), ('x', '缺', '缺')) AS t(s, quote, fixed)")
-def f16_fix_quotes(spark: SparkSession, sf: str) -> DataFrame:
-    d = _inline(spark, [("前句。这是一个完整的句子。后句", "完整"), ("短。长句在这里", "短。"), ("x", "缺")], "s string, quote string")
-    return d.withColumn("fixed", text.fixed_quote(F.col("s"), F.col("quote")))
-
-
-_FIXES = [("将\"副反应\"统一改为\"不良反应\"", ""), ("", "「书面允许」应译为「书面许可」"), ("改为\"不良反应\"", "此处\"副反应\"不当"), ("", "无引号"), ("", "「甲」在此应译为「乙」")]
-
-
-@query("SELECT * FROM (VALUES ('将\"副反应\"统一改为\"不良反应\"', '', '副反应', '不良反应'), ('', '「书面允许」应译为「书面许可」', '书面允许', '书面许可'), ('改为\"不良反应\"', '此处\"副反应\"不当', '副反应', '不良反应'), ('', '无引号', NULL, NULL), ('', '「甲」在此应译为「乙」', '甲', '乙')) AS t(suggestion, issue, old_text, new_text)")
-def f17_replacement(spark: SparkSession, sf: str) -> DataFrame:
-    d = _inline(spark, _FIXES, "suggestion string, issue string").withColumn("r", crossdoc.replacement(F.col("suggestion"), F.col("issue")))
-    return d.select("suggestion", "issue", "r.old_text", "r.new_text")
-
-
-@query("SELECT * FROM (VALUES ('say {\"a\": {\"b\": 1}} end}', '{\"a\": {\"b\": 1}}'), ('none', NULL), ('{open', NULL)) AS t(s, found)")
-def f18_first_json(spark: SparkSession, sf: str) -> DataFrame:
-    d = _inline(spark, ['say {"a": {"b": 1}} end}', "none", "{open"], "s string")
-    return d.withColumn("found", text.first_json_object(F.col("s")))
-
-
 @query("SELECT doc_id, ((length(text) - length(replace(text, 'the', ''))) // 3)::BIGINT AS n, md5(replace(text, 'the', 'THE')) AS after FROM documents")
 def f19_replace_count(spark: SparkSession, sf: str) -> DataFrame:
     r = text.replace_count(F.col("text"), F.lit("the"), F.lit("THE"))
@@ -408,11 +326,6 @@ def f23_pack_lines(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", F.posexplode("parts").alias("part", "text"))
 
 
-@query("""SELECT * FROM (VALUES (512, '512 B'), (2048, '2.0 KB'), (5242880, '5.0 MB')) AS t(n, size)""")
-def f24_human_size(spark: SparkSession, sf: str) -> DataFrame:
-    return _inline(spark, [512, 2048, 5242880], "n int").withColumn("size", text.human_size(F.col("n")))
-
-
 @query(T.with_("issues") + """, i AS (SELECT *, row_number() OVER (PARTITION BY doc, type ORDER BY issue_pos) AS n FROM issues)
 SELECT issue_pos, CASE type WHEN 'number_missing' THEN 'num' WHEN 'decimal_mismatch' THEN 'num' WHEN 'symbol_missing' THEN 'sym' WHEN 'glossary_violation' THEN 'term' WHEN 'format_issue' THEN 'fmt' ELSE 'unk' END || '_' || lpad(n::VARCHAR, 3, '0') AS verdict_id FROM i""")
 def f26_verdict_ids(spark: SparkSession, sf: str) -> DataFrame:
@@ -471,21 +384,6 @@ def p03_spurious_numbers(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", "v", text.is_spurious_number(F.col("v"), F.col("text")).alias("skip"))
 
 
-_CHECKED = [(1, "25 °C ± 1, ≥ 3, CAS 50-00-0, ISO 13485", "25 C +/- 1, >= 3"), (2, "α β, FDA 21", "α，beta中,文FDA 21"), (3, "5 kilograms in 3 hours", "5 千克 3 h"), (4, "plain", "plain")]
-
-
-@query("SELECT * FROM (VALUES (1, 'symbol_missing', '°'), (1, 'symbol_missing', '±'), (1, 'cas_missing', 'CAS 50-00-0'), (1, 'regulation_missing', 'ISO 13485'), (2, 'symbol_missing', 'β'), (2, 'punctuation_mixed', NULL)) AS t(id, type, source_value)")
-def j09_check_symbols(spark: SparkSession, sf: str) -> DataFrame:
-    d = _inline(spark, [(i, a, b.replace("+/-", "+-")) for i, a, b in _CHECKED], "id int, source_text string, target_text string")
-    return mechanical.check_symbols(d, ["id"]).select("id", "type", "source_value")
-
-
-@query("SELECT * FROM (VALUES (3, 'full_unit_untranslated', '3 hours', '小时')) AS t(id, type, source_value, target_value)")
-def j10_check_units(spark: SparkSession, sf: str) -> DataFrame:
-    d = _inline(spark, _CHECKED, "id int, source_text string, target_text string")
-    return mechanical.check_units(d, ["id"]).select("id", "type", "source_value", "target_value")
-
-
 _SENT = f"s AS (SELECT conv_id, turn, ({_sentences('source_text')})::BIGINT AS a, ({_sentences('target_text')})::BIGINT AS b FROM turns)"
 
 
@@ -549,14 +447,6 @@ def p08_watermarks(spark: SparkSession, sf: str) -> DataFrame:
     return T.document_lines(spark, sf).filter(text.contains_any(F.col("text"), ["All rights reserved", "Licensed under"])).select("doc_id", "para_index")
 
 
-_IDS = ["H319", "CVE-2024-12345", "ISO 13485", "7732-18-5", "NCT12345678", "US12345678", "treatment", "h319", " EN 455 "]
-
-
-@query("SELECT * FROM (VALUES ('H319', true), ('CVE-2024-12345', true), ('ISO 13485', true), ('7732-18-5', true), ('NCT12345678', true), ('US12345678', true), ('treatment', false), ('h319', false), (' EN 455 ', true)) AS t(term, critical)")
-def p09_identifiers(spark: SparkSession, sf: str) -> DataFrame:
-    return _inline(spark, _IDS, "term string").withColumn("critical", text.is_identifier(F.col("term")))
-
-
 _BLANKED = "b AS (SELECT doc_id, para_index, CASE WHEN length(text) < 40 THEN '' ELSE text END AS text FROM lines)"
 
 
@@ -567,11 +457,6 @@ def p10_drop_blank_runs(spark: SparkSession, sf: str) -> DataFrame:
     return crossdoc.drop_blank_runs(d).select("doc_id", "para_index", "text")
 
 
-@query("SELECT * FROM (VALUES ('{v1}', false), ('', false), ('  ', false), ('a {v1}', true), ('text', true)) AS t(s, keep)")
-def p11_translatable(spark: SparkSession, sf: str) -> DataFrame:
-    return _inline(spark, ["{v1}", "", "  ", "a {v1}", "text"], "s string").withColumn("keep", ~text.is_placeholder(F.col("s")))
-
-
 @query(T.with_("issues") + "SELECT issue_pos, CASE WHEN type <> '' AND paragraph_index < 1 THEN 'mechanical_reference' ELSE 'review' END AS part FROM issues")
 def p13_split_review(spark: SparkSession, sf: str) -> DataFrame:
     return report.split_review(T.issues(spark, sf)).select("issue_pos", "part")
@@ -592,23 +477,6 @@ def j02_fill_texts(spark: SparkSession, sf: str) -> DataFrame:
     return crossdoc.fill_texts(o, c, ["k"]).select("id", "source_text")
 
 
-@query(_PAIRS + """, n AS (SELECT base, count(*) AS n FROM files WHERE role = 't' GROUP BY base)
-SELECT coalesce(o.base, t.base) AS base, o.f AS source_file, t.f AS target_file, CASE WHEN o.f IS NULL THEN 'orphan_translation' WHEN t.f IS NULL THEN 'orphan_original' WHEN n > 1 THEN 'duplicate' ELSE 'pair' END AS status
-FROM (SELECT * FROM files WHERE role = 'o') o FULL JOIN (SELECT * FROM files WHERE role = 't') t ON o.base = t.base LEFT JOIN n ON n.base = t.base""")
-def j03_pair_files(spark: SparkSession, sf: str) -> DataFrame:
-    return crossdoc.pair_files(_inline(spark, T.FILES, "filename string")).select("base", "source_file", "target_file", "status")
-
-
-_PLACES = [(1, 1, 1, "一二三四五六七八"), (1, 2, 2, "abc def"), (1, 3, 1, "甲乙丙丁 later"), (1, 4, 9, "nowhere"), (1, 5, 1, "")]
-_PARAS = [(1, 1, "一二三四五六七八九"), (1, 2, "x"), (1, 3, "ab c d ef"), (1, 4, "有甲乙丙丁在"), (1, 9, "end")]
-
-
-@query("SELECT * FROM (VALUES (1, 1, 1, 'prefix8'), (1, 2, 3, 'near squeezed'), (1, 3, 4, 'near chunk'), (1, 4, 9, 'bare'), (1, 5, 1, 'bare')) AS t(doc_id, quote_id, located, strategy)")
-def j11_place_quotes(spark: SparkSession, sf: str) -> DataFrame:
-    q = _inline(spark, _PLACES, "doc_id int, quote_id int, paragraph_index int, quote string")
-    return placement.place_quotes(q, _inline(spark, _PARAS, "doc_id int, paragraph_index int, text string"))
-
-
 def _pages(spark: SparkSession, sf: str) -> DataFrame:
     by = F.floor((F.col("para_index") - 1) / 3)
     return T.document_lines(spark, sf).groupBy("doc_id", by.cast("int").alias("page")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("para_index", "text"))), lambda x: x["text"]), " ").alias("text"))
@@ -620,16 +488,6 @@ def j12_page_map(spark: SparkSession, sf: str) -> DataFrame:
     return placement.page_map(_pages(spark, sf), T.document_lines(spark, sf))
 
 
-_LOCATE = [(1, 1, "alpha"), (1, 2, "ALPHA"), (1, 3, "beta"), (1, 4, "alpha"), (1, 5, "zeta"), (1, 6, "gamma")]
-
-
-@query("SELECT * FROM (VALUES (1, 1, 2, 5), (1, 2, 2, 6), (1, 3, 1, 1), (1, 4, 2, 5), (1, 5, NULL, NULL), (1, 6, 3, NULL)) AS t(doc_id, issue_pos, located_page, located)")
-def j13_locate_on_pages(spark: SparkSession, sf: str) -> DataFrame:
-    pages = _inline(spark, [(1, 1, "alpha beta"), (1, 2, "alpha"), (1, 3, "gamma")], "doc_id int, page int, text string")
-    paras = _inline(spark, [(1, 1, [1]), (1, 2, [5, 6]), (1, 3, [])], "doc_id int, page int, paras array<int>")
-    return placement.locate_on_pages(_inline(spark, _LOCATE, "doc_id int, issue_pos int, value string"), pages, paras).select("doc_id", "issue_pos", "located_page", "located")
-
-
 @query(T.with_("lines", "terms") + "SELECT doc_id, t.source AS value, min(para_index) AS paragraph_index, count(*) AS n FROM lines, terms t WHERE contains(text, t.source) GROUP BY ALL")
 def j14_first_paragraph(spark: SparkSession, sf: str) -> DataFrame:
     p = T.document_lines(spark, sf).withColumnRenamed("para_index", "paragraph_index")
@@ -693,11 +551,126 @@ def j21_lost_content(spark: SparkSession, sf: str) -> DataFrame:
     return T.document_lines(spark, sf).join(after, "doc_id").filter(~F.col("other").contains(F.col("text"))).select("doc_id", "para_index")
 
 
-@query("SELECT * FROM (VALUES (1, 1, 1), (1, 2, 2), (1, 2, 3), (1, 1, 4)) AS t(doc_id, batch_id, table_index)")
-def j22_attach_tables(spark: SparkSession, sf: str) -> DataFrame:
-    b = _inline(spark, [(1, 1, 1, 15), (1, 2, 16, 30)], "doc_id int, batch_id long, para_start int, para_end int")
-    t = _inline(spark, [(1, 1, 3, 4), (1, 2, 90, 91), (1, 3, 20, 20), (1, 4, 99, 99)], "doc_id int, table_index int, para_start int, para_end int")
-    return placement.attach_tables(b, t)
+# --- names, styles, terms and texts made from the tables' rows by number ----------------------------------------------------
+
+_STYLE_NAMES = ["heading 3", "Heading 1", "标题 2", "My heading", "Normal", "Subheading 4b", "标题"]
+
+
+@query(T.with_("lines") + f""", s AS (SELECT doc_id, para_index, {T._pick(_STYLE_NAMES, '(doc_id * 3 + para_index)')} AS style, para_index % 4 - 1 AS outline FROM lines)
+SELECT doc_id, para_index, CASE WHEN regexp_matches(lower(style), '^heading\\s*[1-9]') THEN regexp_extract(lower(style), '[1-9]')::INT
+  WHEN contains(lower(style), 'heading') OR contains(style, '标题') THEN coalesce(TRY_CAST(regexp_extract(style, '[1-9]') AS INT), 1) WHEN outline >= 0 THEN (outline + 1)::INT END AS level FROM s""")
+def s03_heading_level(spark: SparkSession, sf: str) -> DataFrame:
+    d = T.document_lines(spark, sf).withColumns({"style": T._picked(_STYLE_NAMES, F.col("doc_id") * 3 + F.col("para_index")), "outline": F.col("para_index") % 4 - 1})
+    return d.select("doc_id", "para_index", text.heading_level(F.col("style"), F.when(F.col("outline") >= 0, F.col("outline"))).alias("level"))
+
+
+_SUFFIXES = [".pdf", "_CN.docx", "-ENG.docx", "_EN_US.xlsx", "_draft.tmp", ".txt", "_DE.pdf", ".DOCX"]
+_NAMES = f"names AS (SELECT page_id, CASE WHEN page_id % 17 = 0 THEN '~$f' ELSE 'f' END || page_id // 4 AS base, {T._pick(_SUFFIXES, 'page_id')} AS suffix FROM pages)"
+_FILES = _NAMES + """, files AS (SELECT base, base || suffix AS f, CASE WHEN suffix IN ('.pdf', '.DOCX') THEN 'original' ELSE 'translation' END AS role,
+  CASE suffix WHEN '_CN.docx' THEN 'zh' WHEN '-ENG.docx' THEN 'en' WHEN '_EN_US.xlsx' THEN 'en' END AS lang FROM names WHERE suffix IN ('.pdf', '.DOCX', '_CN.docx', '-ENG.docx', '_EN_US.xlsx') AND NOT starts_with(base, '~$'))"""
+
+
+def _file_names(spark: SparkSession, sf: str) -> DataFrame:
+    i = F.col("page_id")
+    return T.table(spark, sf, "pages").select("page_id", F.concat(F.when(i % 17 == 0, "~$f").otherwise("f"), F.floor(i / 4).cast("string"), T._picked(_SUFFIXES, i)).alias("filename"))
+
+
+@query(f"WITH {_FILES} SELECT f AS filename, role, lang AS lang_code FROM files")
+def s16_scan_files(spark: SparkSession, sf: str) -> DataFrame:
+    return crossdoc.scan_files(_file_names(spark, sf)).select("filename", "role", "lang_code")
+
+
+@query(f"WITH {_NAMES} SELECT base || suffix AS filename, CASE suffix WHEN '_CN.docx' THEN 'zh' WHEN '_DE.pdf' THEN 'de' ELSE 'en' END AS lang_code, base AS base_name FROM names WHERE suffix IN ('_CN.docx', '-ENG.docx', '_EN_US.xlsx', '_DE.pdf')")
+def f10_language_suffix(spark: SparkSession, sf: str) -> DataFrame:
+    return _file_names(spark, sf).withColumn("s", text.language_suffix(F.col("filename"))).filter("s is not null").select("filename", "s.lang_code", "s.base_name")
+
+
+@query(f"""WITH {_FILES}, n AS (SELECT base, count(*) AS n FROM files WHERE role = 'translation' GROUP BY base)
+SELECT coalesce(o.base, t.base) AS base, o.f AS source_file, t.f AS target_file, CASE WHEN o.f IS NULL THEN 'orphan_translation' WHEN t.f IS NULL THEN 'orphan_original' WHEN n > 1 THEN 'duplicate' ELSE 'pair' END AS status
+FROM (SELECT * FROM files WHERE role = 'original') o FULL JOIN (SELECT * FROM files WHERE role = 'translation') t ON o.base = t.base LEFT JOIN n ON n.base = t.base""")
+def j03_pair_files(spark: SparkSession, sf: str) -> DataFrame:
+    return crossdoc.pair_files(_file_names(spark, sf)).select("base", "source_file", "target_file", "status")
+
+
+@query("""SELECT p_partkey AS id, p_name AS source, CASE p_partkey % 4 WHEN 0 THEN '通用' WHEN 1 THEN '法律' WHEN 2 THEN '' ELSE p_type END AS domain, p_partkey % 4 <> 2 AS loaded FROM part WHERE p_partkey % 4 <> 3""")
+def p02_domain_filter(spark: SparkSession, sf: str) -> DataFrame:
+    """Terms that count when a domain is checked, and whether they also count when its glossary is loaded."""
+    d = T.part_terms(spark, sf).withColumn("domain", F.when(F.col("id") % 4 == 0, "通用").when(F.col("id") % 4 == 1, "法律").when(F.col("id") % 4 == 2, "").otherwise(F.col("domain")))
+    loaded = glossary.for_domain(d, "法律", loading=True).select("id", F.lit(True).alias("loaded"))
+    return glossary.for_domain(d, "法律").join(loaded, "id", "left").select("id", "source", "domain", F.coalesce("loaded", F.lit(False)).alias("loaded"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT p_size AS k, p_brand AS target, p_partkey AS id, (p_partkey * 7) % 3 AS prio, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) AS i FROM part),
+w AS (SELECT k, i, target, prio, 0 AS conflicts, 0 AS used_new FROM e WHERE i = 1
+  UNION ALL SELECT w.k, e.i, CASE WHEN e.target <> w.target AND e.prio < w.prio THEN e.target ELSE w.target END, CASE WHEN e.target <> w.target AND e.prio < w.prio THEN e.prio ELSE w.prio END,
+    w.conflicts + (e.target <> w.target)::INT, w.used_new + (e.target <> w.target AND e.prio < w.prio)::INT FROM w JOIN e ON e.k = w.k AND e.i = w.i + 1)
+SELECT k::VARCHAR AS norm_key, target, conflicts::INT AS n_conflicts, used_new::INT AS n_used_new FROM w QUALIFY row_number() OVER (PARTITION BY k ORDER BY i DESC) = 1""")
+def u05_merge_conflicts(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts of one size are one term that each of them translates by its brand, with priorities of their own."""
+    p = T.table(spark, sf, "part")
+    e = p.select(F.col("p_size").cast("string").alias("source"), F.col("p_brand").alias("target"), F.lit("d").alias("domain"), F.lit("part").alias("from_file"), ((F.col("p_partkey") * 7) % 3).cast("int").alias("priority"), F.col("p_partkey").alias("pos"))
+    d = glossary.merge_glossaries(e)
+    return d.select("norm_key", "target", F.size("conflicts").alias("n_conflicts"), F.size(F.filter("conflicts", lambda c: c["resolution"] == "use_new")).alias("n_used_new"))
+
+
+_TERM_FORMS = """CASE doc_id % 8 WHEN 0 THEN 'H' || lpad((doc_id % 1000)::VARCHAR, 3, '0') WHEN 1 THEN 'cve-2024-' || (10000 + doc_id)::VARCHAR WHEN 2 THEN 'ISO ' || (10 + doc_id)::VARCHAR
+  WHEN 3 THEN (10 + doc_id)::VARCHAR || '-' || (doc_id % 90 + 10)::VARCHAR || '-' || (doc_id % 10)::VARCHAR WHEN 4 THEN ' NCT' || lpad(doc_id::VARCHAR, 8, '0') WHEN 5 THEN 'US' || (1000000 + doc_id)::VARCHAR || 'B1' WHEN 6 THEN source ELSE 'h' || (100 + doc_id)::VARCHAR END"""
+
+
+@query(f"""WITH t AS (SELECT doc_id, {_TERM_FORMS} AS term FROM documents)
+SELECT doc_id, term, regexp_full_match(trim(term), '[A-Z]\\d{{3}}[A-Z]?|[A-Z]{{2,8}}\\s*\\d{{2,8}}|\\d{{2,7}}-\\d{{2}}-\\d|[A-Z]{{2}}\\d{{6,}}[A-Z]?\\d?|(?i:CVE-\\d{{4}}-\\d{{4,}}|NCT\\d{{8}})') AS critical FROM t""")
+def p09_identifiers(spark: SparkSession, sf: str) -> DataFrame:
+    i, s = F.col("doc_id"), lambda c: c.cast("string")
+    forms = [
+        F.concat(F.lit("H"), F.lpad(s(i % 1000), 3, "0")), F.concat(F.lit("cve-2024-"), s(i + 10000)), F.concat(F.lit("ISO "), s(i + 10)), F.concat(s(i + 10), F.lit("-"), s(i % 90 + 10), F.lit("-"), s(i % 10)),
+        F.concat(F.lit(" NCT"), F.lpad(s(i), 8, "0")), F.concat(F.lit("US"), s(i + 1000000), F.lit("B1")), F.col("source"), F.concat(F.lit("h"), s(i + 100)),
+    ]
+    d = T.table(spark, sf, "documents").select("doc_id", F.element_at(F.array(*forms), (i % 8 + 1).cast("int")).alias("term"))
+    return d.withColumn("critical", text.is_identifier(F.col("term")))
+
+
+@query(T.with_("lines") + """, p AS (SELECT doc_id, para_index, CASE para_index % 4 WHEN 0 THEN '{v' || para_index || '}' WHEN 1 THEN ' ' WHEN 2 THEN text || ' {v1}' ELSE text END AS t FROM lines)
+SELECT doc_id, para_index FROM p WHERE trim(t) <> '' AND NOT regexp_full_match(t, '\\{v\\d+\\}')""")
+def p11_translatable(spark: SparkSession, sf: str) -> DataFrame:
+    i = F.col("para_index") % 4
+    made = F.when(i == 0, F.concat(F.lit("{v"), F.col("para_index").cast("string"), F.lit("}"))).when(i == 1, " ").when(i == 2, F.concat("text", F.lit(" {v1}"))).otherwise(F.col("text"))
+    return T.document_lines(spark, sf).withColumn("text", made).filter(~text.is_placeholder(F.col("text"))).select("doc_id", "para_index")
+
+
+_OLD, _NEW = ["副反应", "书面允许", "手柄", "候选人", "甲"], ["不良反应", "书面许可", "探头", "适用人群"]
+
+
+@query(T.with_("issues") + f""", w AS (SELECT issue_pos, {T._pick(_OLD, 'issue_pos')} AS a, {T._pick(_NEW, 'issue_pos')} AS b, issue_pos % 6 AS form FROM issues)
+SELECT issue_pos, CASE WHEN form = 3 OR (form = 2 AND length(a) < 2) THEN NULL ELSE a END AS old_text, CASE WHEN form = 3 OR (form = 2 AND length(a) < 2) THEN NULL ELSE b END AS new_text FROM w""")
+def f17_replacement(spark: SparkSession, sf: str) -> DataFrame:
+    """Issues that name a replacement in one of five forms, or none; a quote of one character is no term in the third."""
+    d = T.issues(spark, sf).select("issue_pos", T._picked(_OLD, F.col("issue_pos")).alias("a"), T._picked(_NEW, F.col("issue_pos")).alias("b"), (F.col("issue_pos") % 6).alias("form"))
+    say, a, b = lambda *xs: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in xs]), F.col("a"), F.col("b")
+    suggestion = F.when(F.col("form") == 0, say("将“", a, "”统一改为“", b, "”")).when(F.col("form") == 2, say("改为“", b, "”")).when(F.col("form") == 5, say("将「", a, "」改为「", b, "」")).otherwise("")
+    issue = F.when(F.col("form") == 1, say("「", a, "」应译为「", b, "」")).when(F.col("form") == 2, say("此处“", a, "”不当")).when(F.col("form") == 3, "无引号").when(F.col("form") == 4, say("「", a, "」在此应译为「", b, "」")).when(F.col("form") == 5, "「丙」应为「丁」").otherwise("")
+    return d.withColumn("r", crossdoc.replacement(suggestion, issue)).select("issue_pos", "r.old_text", "r.new_text")
+
+
+@query("""WITH n AS (SELECT doc_id, (n_chars::BIGINT * n_chars * (CASE doc_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 300 ELSE 100000 END)) * 2 + 1 AS n FROM documents)
+SELECT doc_id, CASE WHEN n < 1024 THEN n::VARCHAR || ' B' WHEN n < 1048576 THEN format('{:.1f} KB', n / 1024.0::DOUBLE) WHEN n < 1073741824 THEN format('{:.1f} MB', n / 1048576.0::DOUBLE) ELSE format('{:.1f} GB', n / 1073741824.0::DOUBLE) END AS size FROM n""")
+def f24_human_size(spark: SparkSession, sf: str) -> DataFrame:
+    """Odd numbers of bytes from under a kilobyte to gigabytes: no number lies between two that can be shown."""
+    n = F.col("n_chars").cast("long") * F.col("n_chars") * F.when(F.col("doc_id") % 3 == 0, 1).when(F.col("doc_id") % 3 == 1, 300).otherwise(100000) * 2 + 1
+    return T.table(spark, sf, "documents").select("doc_id", text.human_size(n).alias("size"))
+
+
+@query("""WITH t AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '<think>甲乙 ' || lang || '</think>' ELSE '' END || coalesce(text, '') || '中文' AS t FROM documents)
+SELECT doc_id, len(regexp_extract_all(t, '[一-鿿]'))::INT AS chinese, md5(regexp_replace(t, '\\p{Cc}', '', 'g')) AS printable, md5(regexp_replace(t, '^<think>(.|\\n)+?</think>', '')) AS answer FROM t""")
+def f24_clean_texts(spark: SparkSession, sf: str) -> DataFrame:
+    said = F.concat(F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("<think>甲乙 "), "lang", F.lit("</think>"))).otherwise(""), F.coalesce("text", F.lit("")), F.lit("中文"))
+    t = F.col("t")
+    return T.table(spark, sf, "documents").select("doc_id", said.alias("t")).select("doc_id", text.chinese_chars(t).alias("chinese"), F.md5(text.without_control(t)).alias("printable"), F.md5(text.without_thoughts(t)).alias("answer"))
+
+
+@query()
+def f06_critical_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Every item of every document that a translation must keep."""
+    return T.table(spark, sf, "documents").select("doc_id", F.explode(procedural.critical_items("text")).alias("i")).select("doc_id", "i.*")
 
 
 # --- the operators whose SQL is a list of values, over whole tables; tests hold them against brute force ---------------
@@ -720,14 +693,31 @@ def f18_first_json_documents(spark: SparkSession, sf: str) -> DataFrame:
     return T.table(spark, sf, "documents").select("doc_id", text.first_json_object(F.col("text")).alias("found"))
 
 
-@query()
+_PLANTED = [" 25 °C ± 1", " at ≥ 3 mg", " CAS 50-00-0, ISO 13485 and FDA 21", " α-β 5 kilograms in 3 Hours", " 中,文 12 milligram", " a，b 7 minutes GB 1234", " +/- >= 毫克 小时 3 x", ""]
+_PLANTED_SQL = f"planted AS (SELECT doc_id, source_text || {T._pick(_PLANTED, 'doc_id')} AS s, coalesce(target_text, '') || {T._pick(_PLANTED, '(doc_id * 3 + 1)')} AS t FROM pairs)"
+_STANDARD_SQL = [r"CAS\s*\d{2,7}-\d{2}-\d", r"ISO\s+\d{4,6}", r"(?:IEC|IEEE|ASTM|ICH|NMPA|FDA|EMA|WHO)\s+\d+", r"§\s*\d+", r"(?:GB|GB/T|YY|YY/T)\s+\d{4,}"]
+
+
+def _planted(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs with symbols, standards and units put at the end of their texts."""
+    i = F.col("doc_id")
+    d = T.document_pairs(spark, sf)
+    return d.select("doc_id", F.concat("source_text", T._picked(_PLANTED, i)).alias("source_text"), F.concat(F.coalesce("target_text", F.lit("")), T._picked(_PLANTED, i * 3 + 1)).alias("target_text"))
+
+
+@query(T.with_("pairs") + f""", {_PLANTED_SQL}, sym(x, others) AS (VALUES ('°', []), ('®', []), ('™', []), ('±', ['+/-']), ('≤', ['<=']), ('≥', ['>=']), ('×', ['x', 'X']), ('µ', []), ('α', []), ('β', []), ('γ', []), ('δ', []))
+SELECT doc_id, 'symbol_missing' AS type, x AS source_value FROM planted, sym WHERE contains(s, x) AND NOT contains(t, x) AND len(list_filter(others, lambda o: contains(t, o))) = 0
+""" + "".join(f"""UNION ALL SELECT doc_id, '{'regulation_missing' if k else 'cas_missing'}', unnest(list_filter(regexp_extract_all(s, '{p}'), lambda m: NOT list_contains(regexp_extract_all(t, '{p}'), m))) FROM planted
+""" for k, p in enumerate(_STANDARD_SQL)) + """UNION ALL SELECT doc_id, 'punctuation_mixed', NULL FROM planted WHERE regexp_matches(t, '[一-鿿][,.;:!?][一-鿿]')""")
 def j09_check_symbols_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return mechanical.check_symbols(T.document_pairs(spark, sf), ["doc_id"]).select("doc_id", "type", "source_value")
+    return mechanical.check_symbols(_planted(spark, sf), ["doc_id"]).select("doc_id", "type", "source_value")
 
 
-@query()
+@query(T.with_("pairs") + f""", {_PLANTED_SQL}, unit(en, zh) AS {T._values(list(mechanical.UNITS))},
+u AS (SELECT doc_id, t, zh, regexp_extract(s, '(?i)\\d+(?:\\.\\d+)?\\s*' || en || 's?\\b') AS first FROM planted, unit)
+SELECT doc_id, 'full_unit_untranslated' AS type, first AS source_value, zh AS target_value FROM u WHERE first <> '' AND NOT contains(t, zh)""")
 def j10_check_units_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return mechanical.check_units(T.document_pairs(spark, sf), ["doc_id"]).select("doc_id", "type", "source_value", "target_value")
+    return mechanical.check_units(_planted(spark, sf), ["doc_id"]).select("doc_id", "type", "source_value", "target_value")
 
 
 @query()
@@ -966,10 +956,10 @@ def r05_mismatches(spark: SparkSession, sf: str) -> DataFrame:
     return severity.mismatches(i, ["issue_pos"]).withColumn("expected", F.array_join("expected", ","))
 
 
-@query(T.with_("issues") + ", c AS (SELECT DISTINCT check_item FROM issues WHERE issue_pos % 3 = 0) SELECT DISTINCT check_item AS check_id FROM issues WHERE check_item NOT IN (SELECT check_item FROM c)")
+@query(T.with_("issues") + ", c AS (SELECT DISTINCT check_item FROM issues WHERE issue_pos % 57 = 0) SELECT DISTINCT check_item AS check_id FROM issues WHERE check_item NOT IN (SELECT check_item FROM c)")
 def r04_missing_dimensions(spark: SparkSession, sf: str) -> DataFrame:
     i = T.issues(spark, sf)
-    return severity.missing_dimensions(i.select(F.col("check_item").alias("check_id"), (F.col("issue_pos") % 3 == 0).alias("checked")), i.select(F.col("check_item").alias("check_id")).distinct())
+    return severity.missing_dimensions(i.select(F.col("check_item").alias("check_id"), (F.col("issue_pos") % 57 == 0).alias("checked")), i.select(F.col("check_item").alias("check_id")).distinct())
 
 
 @query(T.with_("lines") + ", q AS (SELECT doc_id, para_index AS paragraph_index, length(text) AS score FROM lines WHERE NOT contains(text, 'z')) SELECT doc_id, paragraph_index, score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, paragraph_index) AS nth FROM q QUALIFY nth <= 10")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexiloom.functions import layout, procedural, text
-from lexiloom.operators import constraints, context, crossdoc, engines, gates, glossary, mechanical, placement, prompts, quality, report, review, severity
+from lexiloom.operators import constraints, context, crossdoc, engines, gates, glossary, mechanical, placement, prompts, quality, report, review, severity, store
 from lexiloom.plans import tables as T
 from lexiloom.sources import readers
 
@@ -364,6 +364,30 @@ def j07_check_numbers(spark: SparkSession, sf: str) -> DataFrame:
     return mechanical.check_numbers(T.document_pairs(spark, sf), ["doc_id"]).select("doc_id", "type", "severity", "source_value")
 
 
+@query(T.with_("pairs") + f", {_NUMBER_ISSUES} SELECT * FROM n")
+def k01_phase_output(spark: SparkSession, sf: str) -> DataFrame:
+    """Number issues as a phase of four buckets leaves them, read back from its JSON."""
+    phases = store.Phases(spark, store.scratch_folder(spark), buckets=4)
+    phases.start(T.document_pairs(spark, sf))
+    phases.run("check", lambda d: mechanical.check_numbers(d, ["doc_id"]))
+    return phases.read("check").select("doc_id", "type", "severity", "source_value")
+
+
+@query("""SELECT user_id, event_id AS written, event_type AS v FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1
+AND event_id % 11 <> 0 AND event_id >= (SELECT max(event_id) FROM events) // 10""")
+def k03_last_writes(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as writes by user: two appends, a compaction that drops expired rows, a third append; every 11th deletes."""
+    e = T.table(spark, sf, "events").select("user_id", F.col("event_id").alias("written"), F.col("event_type").alias("v"), (F.col("event_id") % 11 == 0).alias("deleted"))
+    last = e.agg(F.max("written")).first()[0] or 0
+    kept = store.KeyedStore(spark, store.scratch_folder(spark), e.schema, ["user_id"])
+    fresh, ends = F.col("written") >= last // 10, [-1, last // 3, last // 2, last]
+    for n, (a, b) in enumerate(zip(ends, ends[1:], strict=False)):
+        kept.append(e.filter(f"written > {a} and written <= {b}"))
+        if n == 1:
+            kept.compact(fresh)
+    return kept.read(fresh).select("user_id", "written", "v")
+
+
 _SPURIOUS = r"""(coalesce(TRY_CAST(v AS BIGINT) > 500, false) OR regexp_matches(source_text, '10\.\d{4,}/')
   OR regexp_matches(source_text, '(?i)(January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{1,2},?\s+\d{4}')
   OR coalesce(TRY_CAST(v AS BIGINT) BETWEEN 1 AND 2000 AND len(list_filter(flatten(list_transform(regexp_extract_all(source_text, '\b\d{2,4}[-–]\d{1,4}\b'), lambda m: regexp_split_to_array(m, '[-–]'))), lambda e: TRY_CAST(e AS BIGINT) = TRY_CAST(v AS BIGINT))) > 0, false))"""

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiloom.functions.text import is_identifier
+from lexiloom.operators.glossary import substring_matches
 from lexiloom.operators.severity import by_domain
 from lexiloom.operators.wordindex import phrase_counts, phrases, word_index
 
@@ -16,18 +19,31 @@ UNIT = r"(?i)\b\d+\s*(?:mm|cm|m|kg|g|mg|mL|L|MHz|kHz|Hz|J|W|kV|V|mA|A|°C|°F|%)
 NUMBER = r"\b\d+(?:\.\d+)?\b"
 
 
-def detect_domain(docs: DataFrame, rules: DataFrame, key: str = "doc_id") -> DataFrame:
+# --- fixed values: words of a glossary's domains that speak for medical ones, and words of those domains --------------------
+MEDICAL_WORDS, MEDICAL_DOMAINS = ("医学", "器械", "临床", "药物", "皮肤", "解剖", "影像"), ("医疗器械", "药物")
+
+
+def detect_domain(docs: DataFrame, rules: DataFrame, key: str = "doc_id", terms: DataFrame | None = None) -> DataFrame:
     """The domain of most keyword hits per document, its confidence, and the runners-up over 0.3 of its hits.
 
     ``rules`` has domain, pos (order of domains) and pattern; it is a small table of rules and is broadcast. Every
-    document is scored, also those without a hit.
+    document is scored, also those without a hit. With ``terms`` (source, domain), each medical term of four characters or
+    more that a document contains is a hit for every medical domain.
     """
+    medical = F.lit(0)
+    if terms is not None:
+        of_word = lambda c, words: reduce(lambda a, b: a | b, [c.contains(w) for w in words])
+        ours = terms.filter((F.length(F.trim("source")) >= 4) & of_word(F.coalesce("domain", F.lit("")), MEDICAL_WORDS)).select(F.lower(F.trim("source")).alias("source")).distinct()
+        found = substring_matches(docs.select(key, "text"), ours, [key]).groupBy(key).agg(F.count("*").cast("int").alias("_medical"))
+        docs = docs.join(found, key, "left")
+        medical = F.coalesce("_medical", F.lit(0))
     packed = [(r["domain"], r["pos"], r["pattern"]) for r in rules.collect()]  # rules, not data
     by: dict[tuple, list[str]] = {}
     for domain, pos, pattern in packed:
         by.setdefault((pos, domain), []).append(pattern)
     low = F.lower("text")
-    hits = F.array(*[F.struct(sum((F.regexp_count(low, F.lit("(?i)" + p)) for p in ps), F.lit(0)).alias("hits"), F.lit(-pos).alias("order"), F.lit(d).alias("domain")) for (pos, d), ps in sorted(by.items())])
+    more = lambda d: medical if any(w in d for w in MEDICAL_DOMAINS) else F.lit(0)
+    hits = F.array(*[F.struct(sum((F.regexp_count(low, F.lit("(?i)" + p)) for p in ps), more(d)).alias("hits"), F.lit(-pos).alias("order"), F.lit(d).alias("domain")) for (pos, d), ps in sorted(by.items())])
     d = docs.select(key, F.sort_array(hits, asc=False).alias("r"))
     top = F.element_at("r", 1)
     total = F.aggregate("r", F.lit(0), lambda a, x: a + x["hits"])

@@ -66,12 +66,19 @@ def replacement(suggestion: Column, issue: Column) -> Column:
     )
 
 
-def propagate(issues: DataFrame, paragraphs: DataFrame, key: str = "doc_id") -> DataFrame:
+CONFIDENCE = ("low", "medium", "high")
+
+
+def propagate(issues: DataFrame, paragraphs: DataFrame, key: str = "doc_id", least: str | None = None) -> DataFrame:
     """Paragraphs that have an issue's old text and are not flagged for it yet.
 
     ``issues`` has key, issue_pos, paragraph_index, old_text, new_text, severity. Of issues of one old text the first
-    gives new text and severity. Case counts.
+    gives new text and severity. Case counts. With ``least``, issues of a lower or unknown confidence (null: medium)
+    neither propagate nor flag, nor do those whose old text has one character or is the new one.
     """
+    if least is not None:
+        known = F.coalesce("confidence", F.lit("medium")).isin(*CONFIDENCE[CONFIDENCE.index(least) :])
+        issues = issues.filter(known & (F.length("old_text") >= 2) & (F.col("old_text") != F.col("new_text")))
     first = F.row_number().over(Window.partitionBy(key, "old_text").orderBy("issue_pos"))
     patterns = issues.withColumn("_n", first).filter("_n = 1").select(key, "old_text", "new_text", "severity")
     hits = paragraphs.join(patterns, key).filter(F.col("text").contains(F.col("old_text")))
@@ -147,15 +154,28 @@ def repeated_rows(rows: DataFrame, key: str = "table_id", over: float = 0.8) ->
     return d.groupBy(key).agg(F.min("row").alias("row"))
 
 
-def merge_lines(lines: DataFrame, key: list[str], gap: float = 6, overlap: float = 10) -> DataFrame:
-    """Lines of a page (x0, y0, x1, y1, size, text) merged to paragraphs where they nearly touch and overlap."""
-    by = Window.partitionBy(*key).orderBy("y0", "x0")
+def merge_lines(lines: DataFrame, key: list[str], gap: float = 6, overlap: float = 10, order: str = "line") -> DataFrame:
+    """Lines of a page (x0, y0, x1, y1, size, text) merged to paragraphs where they nearly touch and overlap.
+
+    ``order`` is the page's own order of lines, so that columns side by side do not mix.
+    """
+    by = Window.partitionBy(*key).orderBy(order)
     near = (F.col("y0") - F.lag("y1").over(by) < gap) & (F.least("x1", F.lag("x1").over(by)) - F.greatest("x0", F.lag("x0").over(by)) > overlap)
     d = lines.withColumn("_new", (~F.coalesce(near, F.lit(False))).cast("int")).withColumn("paragraph", F.sum("_new").over(by))
-    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("y0", "x0", "text"))), lambda t: t["text"]), " ")
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, "text"))), lambda t: t["text"]), " ")
     return d.groupBy(*key, "paragraph").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.avg("size").alias("size"), text.alias("text"))
 
 
+def lost_content(lines: DataFrame, others: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Lines (key, para_index, text) that the other version of their document (key, other) does not contain.
+
+    A document's lines are taken together, so its other version comes once.
+    """
+    own = lines.groupBy(key).agg(F.collect_list(F.struct("para_index", "text")).alias("_l"))
+    lost = F.filter("_l", lambda t: ~F.col("other").contains(t["text"]))
+    return own.join(others.select(key, "other"), key).select(key, F.explode(lost).alias("_l")).select(key, "_l.*")
+
+
 def fill_texts(issues: DataFrame, texts: DataFrame, keys: list[str], column: str = "source_text") -> DataFrame:
     """Empty values of a column filled from ``texts`` by key."""
     got = texts.select(*keys, F.col(column).alias("_fill"))

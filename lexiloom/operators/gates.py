@@ -31,6 +31,22 @@ def verdicts_by_paragraph(sheet: DataFrame, key: str = "doc_id") -> DataFrame:
     return sheet.groupBy(key, "paragraph_index").agg(F.sort_array(F.collect_list("verdict_id")).alias("verdict_ids"))
 
 
+def verdicts_by_type(sheet: DataFrame, key: str = "doc_id") -> DataFrame:
+    """How many verdicts of each type a document asks for."""
+    return sheet.groupBy(key, "type").agg(F.count("*").alias("n"))
+
+
+def verdicts_for_batches(sheet: DataFrame, batches: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``(key, batch_id, verdict_id)``: verdicts of a batch's paragraphs, and in every batch those of paragraph 0, whose place is unknown.
+
+    ``batches`` has key, batch_id, paragraph_index.
+    """
+    rows = sheet.select(key, "paragraph_index", "verdict_id")
+    own = batches.select(key, "batch_id", "paragraph_index").distinct().join(rows, [key, "paragraph_index"]).select(key, "batch_id", "verdict_id")
+    loose = batches.select(key, "batch_id").distinct().join(rows.filter("paragraph_index = 0"), key).select(key, "batch_id", "verdict_id")
+    return own.unionByName(loose).distinct()
+
+
 def completeness(expected: DataFrame, actual: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of either side that the other lacks: status missing or extra."""
     lost = expected.select(*keys).distinct().join(actual, keys, "left_anti").withColumn("status", F.lit("missing"))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.functions.text import DOI, ENGLISH_DATE, PAGE_RANGE, RANGE_FORMS, REFERENCES_HEADING, bound, context, is_spurious, leading_values, numbers, page_marks, sentence_count
+from lexiloom.operators.glossary import check_glossary
 
 # --- fixed values: symbols and their legitimate spellings -----------------------------------------------
 SYMBOLS = ("°", "®", "™", "±", "≤", "≥", "×", "µ", "α", "β", "γ", "δ")
@@ -133,6 +134,54 @@ def check_layout(source: DataFrame, target: DataFrame, key: list[str]) -> DataFr
     return both.select(*key, F.explode(rows).alias("i")).select(*key, "i.*", F.lit("low").alias("severity"))
 
 
+def check_tables(source: DataFrame, target: DataFrame, key: list[str]) -> DataFrame:
+    """``(key, type, table_index, source_n, target_n, severity)``: tables of two documents whose rows, or cells of the first row, differ in number.
+
+    Both sides have key columns, table_index and row, a row per cell. The first table of one document is held against the
+    first of the other, and so on, as far as both have tables; a document's tables are one array.
+    """
+
+    def shapes(d: DataFrame, name: str) -> DataFrame:
+        rows = d.groupBy(*key, "table_index", "row").agg(F.count("*").alias("cells"))
+        tables = rows.groupBy(*key, "table_index").agg(F.count("*").alias("rows"), F.min_by("cells", "row").alias("cols"))
+        return tables.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("table_index", "rows", "cols"))).alias(name))
+
+    both = shapes(source, "_s").join(shapes(target, "_t"), key)
+    pairs = F.zip_with(F.slice("_s", F.lit(1), F.least(F.size("_s"), F.size("_t"))), F.slice("_t", F.lit(1), F.least(F.size("_s"), F.size("_t"))), lambda s, t: F.struct(s.alias("s"), t.alias("t")))
+    differ = lambda kind, c: F.transform(F.filter(F.transform(pairs, lambda p, i: F.struct(p.alias("p"), (i + 1).alias("i"))), lambda x: x["p"]["s"][c] != x["p"]["t"][c]), lambda x: F.struct(F.lit(kind).alias("type"), x["i"].alias("table_index"), x["p"]["s"][c].alias("source_n"), x["p"]["t"][c].alias("target_n")))
+    return both.select(*key, F.explode(F.concat(differ("table_rows", "rows"), differ("table_cols", "cols"))).alias("i")).select(*key, "i.*", F.lit("low").alias("severity"))
+
+
+def check_everything(pairs: DataFrame, key: list[str], terms: DataFrame | None = None, client: DataFrame | None = None, domain: str | None = None, layout: DataFrame | None = None, pages: bool = False) -> DataFrame:
+    """``(key, group, type, severity, source_value, target_value)``: every check of aligned pairs, or of pages against whole targets.
+
+    Aligned texts are checked for numbers, symbols, units, sentences and glossaries. ``pages``, which have other breaks
+    than their target, are checked for numbers and glossary terms, client terms not excepted, and nothing found there is
+    critical but what a client asks for. ``layout`` (key, type, severity, source_n, target_n) are issues of format; each counts as low.
+    """
+    value = lambda d, group: d.select(*key, F.lit(group).alias("group"), "type", "severity", F.col("source_value").cast("string").alias("source_value"), F.col("target_value").cast("string").alias("target_value"))
+    words = lambda d: d.withColumnsRenamed({"source_term": "source_value", "expected_target": "target_value"})
+    mild = lambda d: d.withColumn("severity", F.when(F.col("severity") == "critical", "medium").otherwise(F.col("severity")))
+    none = lambda: pairs.sparkSession.createDataFrame([], "source string, target string, domain string")
+    if pages:
+        parts = [value(mild(check_page_numbers(pairs, key)), "numbers")]
+        if terms is not None:
+            parts.append(value(mild(words(check_glossary(pairs, terms, key, domain=domain, severity="medium"))), "glossary"))
+        if client is not None:
+            parts.append(value(words(check_glossary(pairs, none(), key, client)), "client"))
+    else:
+        counts = check_sentences(pairs, key).withColumnsRenamed({"source_sentences": "source_value", "target_sentences": "target_value"})
+        parts = [value(check_numbers(pairs, key), "numbers"), value(check_symbols(pairs, key), "symbols"), value(check_units(pairs, key), "units")]
+        parts.append(value(counts.withColumns({"type": F.lit("sentence_count_mismatch"), "severity": F.lit("low")}), "sentences"))
+        if terms is not None or client is not None:
+            found = words(check_glossary(pairs, none() if terms is None else terms, key, client, domain))
+            parts.append(value(found.filter("type = 'glossary_violation'"), "glossary").unionByName(value(found.filter("type <> 'glossary_violation'"), "client")))
+    if layout is not None:
+        shown = layout.withColumnsRenamed({"source_n": "source_value", "target_n": "target_value"}).withColumn("severity", F.lit("low"))
+        parts.append(value(shown, "format"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def check_all(pairs: DataFrame, key: list[str]) -> DataFrame:
     """All checks of a pair that need no glossary, as one list."""
     parts = [check_numbers(pairs, key), check_symbols(pairs, key), check_units(pairs, key)]

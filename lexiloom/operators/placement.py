@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiloom.functions.procedural import character_counts, ratio_above
+from lexiloom.functions.text import bound
 
 #: Prefix lengths of a quote that are looked for, in order.
 PREFIXES = (15, 10, 8, 5)
@@ -151,6 +152,27 @@ def first_paragraph(values: DataFrame, paragraphs: DataFrame, key: str = "doc_id
     return out.filter("n = 1") if unique else out
 
 
+def sought_terms(issue_type: str = "type") -> Column:
+    """What an issue without a place is looked for by, in order: its target and source term, or its number, that without
+    leading zeros, and its whole part."""
+    kind, value = F.col(issue_type), F.coalesce("source_value", F.lit(""))
+    bare = F.regexp_replace(value, "^0+", "")
+    number = F.array(value, F.when((bare != "") & (bare != value), bare), F.when(value.contains("."), F.substring_index(value, ".", 1)))
+    terms = F.when(kind == "glossary_violation", F.array("expected_target", "source_term")).when(kind.isin("number_missing", "decimal_mismatch"), number)
+    return F.filter(F.array_compact(F.coalesce(terms, F.array().cast("array<string>"))), lambda t: t != "")
+
+
+def locate_by_type(issues: DataFrame, paragraphs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``issues`` with located and located_by: unplaced ones (paragraph_index under 1) get the first paragraph that holds the
+    first of their terms that any paragraph holds; placed ones stay. ``issues`` has key, issue_pos, type, source_value,
+    expected_target, source_term."""
+    loose = issues.filter("paragraph_index < 1").select(key, "issue_pos", F.posexplode(sought_terms()).alias("nth", "value"))
+    places = first_paragraph(loose.select(key, "value").distinct(), paragraphs, key)
+    found = loose.join(places, [key, "value"]).groupBy(key, "issue_pos").agg(F.min_by(F.struct("paragraph_index", "value"), "nth").alias("at"))
+    out = issues.join(found, [key, "issue_pos"], "left")
+    return out.select(*[out[c] for c in issues.columns], F.coalesce("at.paragraph_index", "paragraph_index").alias("located"), F.col("at.value").alias("located_by"))
+
+
 def _squeezed(c: Column) -> Column:
     return F.regexp_replace(c, r"\s+", "")
 
@@ -236,24 +258,33 @@ def place_quotes(quotes: DataFrame, paragraphs: DataFrame, key: str = "doc_id")
     return quotes.join(placed, [key, "quote_id"], "left").select(key, "quote_id", F.coalesce("at", "paragraph_index").alias("located"), F.coalesce("strategy", F.lit("bare")).alias("strategy"))
 
 
+def deal_in_turn(batches: DataFrame, entries: DataFrame, key: str = "doc_id", order: str = "entry") -> DataFrame:
+    """Entries with the batch_id of their document that they are dealt to, one after another in order; documents without
+    batches deal nothing."""
+    ids = batches.groupBy(key).agg(F.array_sort(F.collect_set("batch_id")).alias("_ids"))
+    nth = F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1
+    d = entries.withColumn("_nth", nth).join(ids, key)
+    return d.withColumn("batch_id", F.get("_ids", (F.col("_nth") % F.size("_ids")).cast("int"))).drop("_nth", "_ids")
+
+
 def attach_tables(batches: DataFrame, tables: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Tables per batch: overlapping paragraph ranges first; others go, one after another, to the batch with fewest.
+    """Tables per batch: the first that overlaps their paragraphs; others go, one after another, to the batch with fewest.
 
-    The last step depends on its own past, so a document's batches and tables, both small, are taken together.
+    The last step depends on its own past: a document's tables, in order, are folded over the loads of its batches within
+    its row. Both are few. Documents without batches attach nothing.
     """
-    schema = f"{key} {batches.schema[key].dataType.simpleString()}, batch_id long, table_index int"
-
-    def run(b: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        rows, load = [], dict.fromkeys(b["batch_id"].sort_values(), 0)
-        for x in t.sort_values("table_index").itertuples():
-            over = b[(b.para_start <= x.para_end) & (b.para_end >= x.para_start)]["batch_id"].sort_values()
-            at = over.iloc[0] if len(over) else min(load, key=lambda i: (load[i], i), default=None)
-            if at is not None:
-                load[at] += 1
-                rows.append((getattr(x, key), int(at), x.table_index))
-        return pd.DataFrame(rows, columns=[key, "batch_id", "table_index"])
-
-    return batches.groupBy(key).cogroup(tables.groupBy(key)).applyInPandas(run, schema)
+    known = batches.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("batch_id", "para_start", "para_end"))).alias("_b"))
+    asked = tables.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("table_index", "para_start", "para_end"))).alias("_t"))
+
+    def step(a: Column, t: Column) -> Column:
+        over = F.array_position(F.transform("_b", lambda b: (b["para_start"] <= t["para_end"]) & (b["para_end"] >= t["para_start"])), True)
+        least = F.array_position(a["load"], F.array_min(a["load"]))
+        return bound(F.when(over > 0, over).otherwise(least).cast("int"), lambda at: F.struct(F.transform(a["load"], lambda n, i: n + (i + 1 == at).cast("int")).alias("load"), F.array_append(a["at"], at).alias("at")))
+
+    begun = F.struct(F.transform("_b", lambda b: F.lit(0)).alias("load"), F.array().cast("array<int>").alias("at"))
+    dealt = asked.join(known, key).select(key, "_b", "_t", F.aggregate("_t", begun, step)["at"].alias("_at"))
+    rows = dealt.select(key, "_b", F.explode(F.arrays_zip(F.col("_t").alias("t"), F.col("_at").alias("at"))).alias("x"))
+    return rows.select(key, F.get("_b", F.col("x.at") - 1)["batch_id"].cast("long").alias("batch_id"), "x.t.table_index")
 
 
 def reconcile_batches(texts: DataFrame, translate, separator: str = "\n<<<>>>\n", size: int = 30) -> DataFrame:  # noqa: ANN001

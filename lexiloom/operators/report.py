@@ -34,6 +34,26 @@ def quality_scores(d: DataFrame) -> DataFrame:
     return d.withColumns({"glossary_score": F.round("glossary_score", 3), "critical_score": F.round("critical_score", 3), "grade": grade})
 
 
+def drop_status_only(issues: DataFrame, status: tuple[str, ...] = ("paragraph_index", "status")) -> DataFrame:
+    """``issues`` less the rows that say nothing but the status of a paragraph: all other columns null."""
+    told = F.lit(False)
+    for c in issues.columns:
+        if c not in status:
+            told = told | F.col(f"`{c}`").isNotNull()
+    return issues.filter(told)
+
+
+def glossary_changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """``(source, change, old_target, new_target)``: terms added, removed or translated otherwise, by lower-cased, trimmed source.
+
+    Of rows with one source the last by ``pos`` counts on either side.
+    """
+    last = lambda d, name: d.groupBy(F.lower(F.trim("source")).alias("source")).agg(F.max_by("target", "pos").alias(name))
+    both = last(before, "old_target").withColumn("_was", F.lit(True)).join(last(after, "new_target").withColumn("_is", F.lit(True)), "source", "full_outer")
+    change = F.when(F.col("_was").isNull(), "added").when(F.col("_is").isNull(), "removed").when(~F.col("old_target").eqNullSafe(F.col("new_target")), "changed")
+    return both.withColumn("change", change).filter("change is not null").select("source", "change", "old_target", "new_target")
+
+
 def split_review(issues: DataFrame) -> DataFrame:
     """Part mechanical_reference: typed and unlocated; all others: review."""
     loose = (F.coalesce("type", F.lit("")) != "") & (F.col("paragraph_index") < 1)
@@ -61,6 +81,19 @@ def recent(history: DataFrame, most: int = 50) -> DataFrame:
     return history.orderBy(F.desc(F.col("id").cast("long"))).limit(most)
 
 
+def history(records: DataFrame, there: DataFrame, now: float, days: float | None = None, deleted: DataFrame | None = None, most: int = 50) -> DataFrame:
+    """The newest ``most`` records whose file is among ``there`` (path), less those of ``deleted`` ids and older than ``days``.
+
+    ``records`` has id (seconds as text) and path; a record that is added comes first by its id.
+    """
+    kept = records.join(there.select("path").distinct(), "path", "left_semi")
+    if deleted is not None:
+        kept = kept.join(deleted.select("id"), "id", "left_anti")
+    if days is not None:
+        kept = kept.filter(F.col("id").cast("double") >= now - days * 86_400)
+    return recent(kept.select(*records.columns), most)
+
+
 def preview(cells: DataFrame, key: str = "table_index", most: int = 30, cut: int = 100) -> DataFrame:
     """The first cells of each table, cut short."""
     nth = F.row_number().over(Window.partitionBy(key).orderBy("row", "col"))

@@ -63,7 +63,7 @@ def s06_sheet_chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(T.with_("lines") + "SELECT doc_id, para_index, text FROM lines WHERE length(text) > 1")
 def s09_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
-    return T.document_lines(spark, sf).filter(F.length("text") > 1)
+    return readers.paragraph_texts(T.document_lines(spark, sf))
 
 
 @query("""SELECT page_id, i AS para_index, trim(t) AS text FROM (SELECT page_id, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS t
@@ -106,12 +106,11 @@ def k08_standard_glossary(spark: SparkSession, sf: str) -> DataFrame:
     return glossary.standard_glossary(T.part_terms(spark, sf).withColumn("pos", F.col("id"))).select("source", "target", "domain", "id")
 
 
-@query(T.with_("parts") + ", h AS (SELECT * FROM parts WHERE contains(lower(source), 'e') AND domain = (SELECT min(domain) FROM parts)) SELECT id, source, target, domain, (SELECT count(*) FROM h) AS total FROM h ORDER BY id DESC LIMIT 20 OFFSET 5")
+@query(T.with_("parts") + ", h AS (SELECT * FROM parts WHERE contains(lower(source), 'e') AND domain = (SELECT min(domain) FROM parts)) SELECT id, source, target, domain, (SELECT count(*) FROM h) AS total FROM h ORDER BY id DESC LIMIT 5 OFFSET 5")
 def p01_search_terms(spark: SparkSession, sf: str) -> DataFrame:
     p = T.part_terms(spark, sf)
     one = p.agg(F.min("domain")).first()[0]
-    hit = p.filter(F.lower("source").contains("e") & (F.col("domain") == one))
-    return hit.orderBy(F.desc("id")).offset(5).limit(20).crossJoin(F.broadcast(hit.agg(F.count("*").alias("total"))))
+    return glossary.search_terms(p, "e", one, page=2, page_size=5)
 
 
 @query(T.with_("parts") + "SELECT domain, count(*) AS n FROM parts GROUP BY domain")
@@ -460,10 +459,12 @@ def p05_filter_glossary(spark: SparkSession, sf: str) -> DataFrame:
     return mechanical.filter_glossary_issues(found.join(pairs, "doc_id")).select("doc_id", "source_term", "severity", "domain_warning")
 
 
-@query("SELECT event_id FROM events WHERE event_type IS NOT NULL AND (value > 0 OR props IS NOT NULL)")
+@query("SELECT (event_id % 50)::INT AS paragraph_index, event_type AS status, event_id AS issue_pos FROM events WHERE event_id % 4 <> 0 UNION ALL SELECT (event_id % 50)::INT, event_type, NULL FROM events WHERE event_id % 4 = 0 AND event_id % 8 = 0 AND value > 0")
 def p07_status_only(spark: SparkSession, sf: str) -> DataFrame:
-    d = T.table(spark, sf, "events")
-    return d.filter(F.col("event_type").isNotNull() & ((F.col("value") > 0) | F.col("props").isNotNull())).select("event_id")
+    """Events as issues: each 4th has only its paragraph and status, but some of these a suggestion."""
+    i = F.col("event_id")
+    d = T.table(spark, sf, "events").select((i % 50).cast("int").alias("paragraph_index"), F.col("event_type").alias("status"), F.when(i % 4 != 0, i).alias("issue_pos"), F.when((i % 8 == 0) & (F.col("value") > 0), "x").alias("suggestion"))
+    return report.drop_status_only(d).drop("suggestion")
 
 
 @query(T.with_("lines") + "SELECT doc_id, para_index FROM lines WHERE contains(lower(text), 'all rights reserved') OR contains(lower(text), 'licensed under')")
@@ -572,7 +573,188 @@ def j20_pending_texts(spark: SparkSession, sf: str) -> DataFrame:
 @query(T.with_("lines") + "SELECT l.doc_id, l.para_index FROM lines l JOIN documents d ON d.doc_id = l.doc_id + 1 WHERE NOT contains(d.text, l.text)")
 def j21_lost_content(spark: SparkSession, sf: str) -> DataFrame:
     after = T.table(spark, sf, "documents").select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("other"))
-    return T.document_lines(spark, sf).join(after, "doc_id").filter(~F.col("other").contains(F.col("text"))).select("doc_id", "para_index")
+    return crossdoc.lost_content(T.document_lines(spark, sf), after).select("doc_id", "para_index")
+
+
+# --- branches: glossary boost, confidence, places by type, batches, tables, history, split documents -------------------------
+
+_DOMAIN_RULES = [("医疗器械注册", 1, r"\\bder\\b"), ("网络安全评估", 2, r"\\bthe\\b"), ("药物临床", 3, r"\\bque\\b")]
+
+
+@query(T.with_("terms") + r""", t AS (SELECT doc_id, lower(text) AS low, regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+') AS w FROM documents),
+h AS (SELECT doc_id, (SELECT count(*) FROM terms WHERE domain = '医学' AND length(source) >= 4 AND contains(low, source)) AS m, len(list_filter(w, lambda x: x = 'der')) AS a, len(list_filter(w, lambda x: x = 'the')) AS b, len(list_filter(w, lambda x: x = 'que')) AS c FROM t)
+SELECT doc_id, CASE WHEN a + b + c + 2 * m = 0 THEN '通用技术文档' WHEN a + m >= b AND a >= c THEN '医疗器械注册' WHEN b >= c + m THEN '网络安全评估' ELSE '药物临床' END AS "primary",
+  CASE WHEN a + b + c + 2 * m = 0 THEN 0.0 ELSE round(greatest(a + m, b, c + m) / (a + b + c + 2 * m), 2) END::DOUBLE AS confidence FROM h""")
+def f12_domain_with_glossary(spark: SparkSession, sf: str) -> DataFrame:
+    rules = _inline(spark, [(d, i, "(?U)" + p.replace("\\\\", "\\")) for d, i, p in _DOMAIN_RULES], "domain string, pos int, pattern string")
+    return context.detect_domain(T.table(spark, sf, "documents"), rules, terms=T.terms(spark)).select("doc_id", "primary", "confidence")
+
+
+@query(T.with_("terms") + """, h AS (SELECT d.doc_id, t.source, row_number() OVER (PARTITION BY doc_id ORDER BY length(t.source) DESC, t.source) AS nth FROM documents d, terms t WHERE contains(lower(d.text), t.source))
+SELECT doc_id, source, nth FROM h WHERE nth <= 4""")
+def t04_prompt_terms(spark: SparkSession, sf: str) -> DataFrame:
+    """The longest terms of each text, as many as a prompt takes."""
+    t = T.terms(spark).withColumns({"is_regex": F.lit(False), "case_sensitive": F.lit(False)})
+    return glossary.match_glossary(T.table(spark, sf, "documents").select("doc_id", "text"), t, ["doc_id"], most=4).select("doc_id", "source", "nth")
+
+
+_WORDS_OF = ["the", "de", "x", "der", "que"]
+
+
+@query(T.with_("lines") + f""", i AS (SELECT doc_id, para_index AS paragraph_index, {T._pick(_WORDS_OF, 'para_index')} AS old_text, CASE para_index % 7 WHEN 0 THEN 'low' WHEN 1 THEN NULL WHEN 2 THEN 'sure' ELSE 'high' END AS confidence FROM lines),
+ok AS (SELECT * FROM i WHERE contains((SELECT text FROM lines l WHERE l.doc_id = i.doc_id AND l.para_index = i.paragraph_index), old_text) AND coalesce(confidence, 'medium') IN ('medium', 'high') AND length(old_text) >= 2 AND old_text <> 'der'),
+p AS (SELECT DISTINCT doc_id, old_text FROM ok)
+SELECT l.doc_id, l.para_index AS paragraph_index, p.old_text FROM lines l JOIN p ON p.doc_id = l.doc_id WHERE contains(l.text, p.old_text) AND NOT EXISTS (SELECT 1 FROM ok WHERE ok.doc_id = l.doc_id AND ok.paragraph_index = l.para_index AND ok.old_text = p.old_text)""")
+def j17_propagate_confident(spark: SparkSession, sf: str) -> DataFrame:
+    p = T.document_lines(spark, sf).withColumnRenamed("para_index", "paragraph_index")
+    n = F.col("paragraph_index")
+    i = p.withColumns({"old_text": T._picked(_WORDS_OF, n), "confidence": F.when(n % 7 == 0, "low").when(n % 7 == 1, None).when(n % 7 == 2, "sure").otherwise("high")}).filter(F.col("text").contains(F.col("old_text")))
+    i = i.withColumns({"new_text": F.when(F.col("old_text") == "der", "der").otherwise(F.upper("old_text")), "severity": F.lit("medium"), "issue_pos": n})
+    return crossdoc.propagate(i, p, least="medium").select("doc_id", "paragraph_index", "old_text")
+
+
+_PLACED = f"""i AS (SELECT doc_id, doc_id % 3 AS paragraph_index, {T._pick(["glossary_violation", "number_missing", "decimal_mismatch", "format_issue"], "doc_id")} AS type, CASE doc_id % 5 WHEN 0 THEN '007' WHEN 1 THEN (doc_id % 90)::VARCHAR || '.5' ELSE (doc_id % 50)::VARCHAR END AS v,
+  {T._pick(["la maison", "zz", "die", ""], "doc_id // 4")} AS want, {T._pick(["the", "und", "qq"], "doc_id")} AS src FROM documents),
+w AS (SELECT doc_id, 1 AS n, want AS term FROM i WHERE type = 'glossary_violation' UNION ALL SELECT doc_id, 2, src FROM i WHERE type = 'glossary_violation'
+  UNION ALL SELECT doc_id, 1, v FROM i WHERE type IN ('number_missing', 'decimal_mismatch') UNION ALL SELECT doc_id, 2, ltrim(v, '0') FROM i WHERE type IN ('number_missing', 'decimal_mismatch')
+  UNION ALL SELECT doc_id, 3, string_split(v, '.')[1] FROM i WHERE type IN ('number_missing', 'decimal_mismatch') AND contains(v, '.')),
+h AS (SELECT w.doc_id, n, term, min(para_index) AS pl FROM w JOIN lines l ON l.doc_id = w.doc_id AND contains(l.text, term) WHERE term <> '' GROUP BY ALL),
+b AS (SELECT doc_id, arg_min(pl, n) AS pl, arg_min(term, n) AS term FROM h GROUP BY doc_id)"""
+
+
+@query(T.with_("lines") + f", {_PLACED} SELECT i.doc_id, coalesce(CASE WHEN paragraph_index < 1 THEN pl END, paragraph_index)::BIGINT AS located, CASE WHEN paragraph_index < 1 THEN term END AS located_by FROM i LEFT JOIN b ON b.doc_id = i.doc_id")
+def j14_locate_by_type(spark: SparkSession, sf: str) -> DataFrame:
+    """An issue per document, sought by its target and source term or by its number, that bare of zeros and its whole part."""
+    n = F.col("doc_id")
+    value = F.when(n % 5 == 0, "007").when(n % 5 == 1, F.concat((n % 90).cast("string"), F.lit(".5"))).otherwise((n % 50).cast("string"))
+    i = T.table(spark, sf, "documents").select("doc_id", n.alias("issue_pos"), (n % 3).cast("int").alias("paragraph_index"), T._picked(["glossary_violation", "number_missing", "decimal_mismatch", "format_issue"], n).alias("type"),
+        value.alias("source_value"), T._picked(["la maison", "zz", "die", ""], F.floor(n / 4)).alias("expected_target"), T._picked(["the", "und", "qq"], n).alias("source_term"))
+    return placement.locate_by_type(i, T.document_lines(spark, sf).withColumnRenamed("para_index", "paragraph_index")).select("doc_id", F.col("located").cast("long").alias("located"), "located_by")
+
+
+_SHEET = """, i AS (SELECT *, row_number() OVER (PARTITION BY doc, type ORDER BY issue_pos) AS n FROM issues),
+v AS (SELECT doc, type, paragraph_index, CASE type WHEN 'number_missing' THEN 'num' WHEN 'decimal_mismatch' THEN 'num' WHEN 'symbol_missing' THEN 'sym' WHEN 'glossary_violation' THEN 'term' WHEN 'format_issue' THEN 'fmt' ELSE 'unk' END || '_' || lpad(n::VARCHAR, 3, '0') AS id FROM i)
+"""
+
+
+@query(T.with_("issues") + _SHEET + "SELECT DISTINCT b.doc, b.batch_id, v.id AS verdict_id FROM (SELECT DISTINCT doc, paragraph_index, paragraph_index // 2 + 1 AS batch_id FROM issues WHERE paragraph_index > 0) b JOIN v ON v.doc = b.doc AND (v.paragraph_index = b.paragraph_index OR v.paragraph_index = 0)")
+def j16_verdicts_for_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """Batches of two paragraphs; verdicts of paragraph 0 go with every batch."""
+    i = T.issues(spark, sf)
+    b = i.filter("paragraph_index > 0").select("doc", "paragraph_index", (F.floor(F.col("paragraph_index") / 2) + 1).cast("int").alias("batch_id"))
+    return gates.verdicts_for_batches(gates.verdict_sheet(i, "doc"), b, "doc")
+
+
+@query(T.with_("issues") + "SELECT doc, type, count(*) AS n FROM issues GROUP BY doc, type")
+def a10_verdicts_by_type(spark: SparkSession, sf: str) -> DataFrame:
+    return gates.verdicts_by_type(gates.verdict_sheet(T.issues(spark, sf), "doc"), "doc")
+
+
+_CELLS = """c AS (SELECT doc_id, (para_index - 1) // 4 AS t, para_index AS r, len(string_split(text, ', ')) AS n FROM lines),
+s AS (SELECT doc_id, t, count(*) AS rows, arg_min(n, r) AS cols, row_number() OVER (PARTITION BY doc_id ORDER BY t) AS i FROM c GROUP BY doc_id, t),
+j AS (SELECT a.doc_id, a.i, a.rows AS r1, b.rows AS r2, a.cols AS c1, b.cols AS c2 FROM s a JOIN s b ON b.doc_id = a.doc_id + 1 AND b.i = a.i)"""
+
+
+@query(T.with_("lines") + f", {_CELLS} SELECT doc_id, 'table_rows' AS type, i::INT AS table_index, r1 AS source_n, r2 AS target_n, 'low' AS severity FROM j WHERE r1 <> r2 UNION ALL SELECT doc_id, 'table_cols', i::INT, c1, c2, 'low' FROM j WHERE c1 <> c2")
+def a16_check_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """Four lines of a document for a table, its commas for borders of cells; each document against the next."""
+    cells = T.document_lines(spark, sf).select("doc_id", F.floor((F.col("para_index") - 1) / 4).alias("table_index"), F.col("para_index").alias("row"), F.explode(F.split("text", ", ")).alias("cell"))
+    return mechanical.check_tables(cells, cells.withColumn("doc_id", F.col("doc_id") - 1), ["doc_id"])
+
+
+@query(T.with_("lines") + """, b AS (SELECT DISTINCT doc_id, para_index // 15 + 1 AS batch_id FROM lines), k AS (SELECT doc_id, list(batch_id ORDER BY batch_id) AS ids FROM b GROUP BY doc_id)
+SELECT l.doc_id, l.para_index AS entry, ids[1 + (row_number() OVER (PARTITION BY l.doc_id ORDER BY para_index) - 1) % len(ids)]::BIGINT AS batch_id FROM lines l JOIN k ON k.doc_id = l.doc_id""")
+def w06_deal_in_turn(spark: SparkSession, sf: str) -> DataFrame:
+    p = T.document_lines(spark, sf)
+    batches = p.select("doc_id", (F.floor(F.col("para_index") / 15) + 1).cast("long").alias("batch_id"))
+    return placement.deal_in_turn(batches, p.select("doc_id", F.col("para_index").alias("entry")))
+
+
+@query("""WITH a AS (SELECT lower(trim(p_name)) AS source, arg_max(p_brand, p_partkey) AS t FROM part WHERE p_partkey % 3 <> 0 GROUP BY 1),
+b AS (SELECT lower(trim(p_name)) AS source, arg_max(CASE WHEN p_partkey % 10 = 1 THEN 'new' ELSE p_brand END, p_partkey) AS t FROM part WHERE p_partkey % 5 <> 0 GROUP BY 1)
+SELECT coalesce(a.source, b.source) AS source, CASE WHEN a.source IS NULL THEN 'added' WHEN b.source IS NULL THEN 'removed' ELSE 'changed' END AS change, a.t AS old_target, b.t AS new_target
+FROM a FULL JOIN b ON a.source = b.source WHERE a.t IS DISTINCT FROM b.t""")
+def k04_glossary_changes(spark: SparkSession, sf: str) -> DataFrame:
+    p = T.part_terms(spark, sf).withColumn("pos", F.col("id"))
+    return report.glossary_changes(p.filter("id % 3 <> 0"), p.filter("id % 5 <> 0").withColumn("target", F.when(F.col("id") % 10 == 1, "new").otherwise(F.col("target"))))
+
+
+@query("""WITH r AS (SELECT event_id, (1700000000 + event_id * 60)::VARCHAR AS id, 'f' || user_id AS path FROM events)
+SELECT id, path FROM r WHERE NOT starts_with(path, 'f1') AND event_id % 9 <> 0 AND id::BIGINT >= 1700000000 + (SELECT max(event_id) FROM events) * 60 - 86400 * 0.25 ORDER BY id::BIGINT DESC LIMIT 50""")
+def k07_history(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as records of files: some files are gone, some records deleted, those older than six hours expired."""
+    e = T.table(spark, sf, "events").select("event_id", (F.lit(1700000000) + F.col("event_id") * 60).cast("string").alias("id"), F.concat(F.lit("f"), F.col("user_id").cast("string")).alias("path"))
+    now = 1700000000 + (e.agg(F.max("event_id")).first()[0] or 0) * 60
+    return report.history(e.select("id", "path"), e.filter("path not like 'f1%'"), now, 0.25, e.filter("event_id % 9 = 0"))
+
+
+@query(T.with_("lines") + """, b AS (SELECT doc_id, para_index AS line, (doc_id * 7 + para_index * 13) % 50 AS x0, (doc_id * 7 + para_index * 13) % 50 + least(length(text), 200) AS x1, para_index * 12 - para_index % 3 * 7 AS y0, para_index * 12 - para_index % 3 * 7 + 10 AS y1, 8 + para_index % 3 AS size, text FROM lines),
+g AS (SELECT *, CASE WHEN y0 - lag(y1) OVER w < 6 AND least(x1, lag(x1) OVER w) - greatest(x0, lag(x0) OVER w) > 10 THEN 0 ELSE 1 END AS n FROM b WINDOW w AS (PARTITION BY doc_id ORDER BY line)),
+p AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY line) AS k FROM g)
+SELECT doc_id, k::BIGINT AS paragraph, min(x0)::DOUBLE AS x0, min(y0)::DOUBLE AS y0, max(x1)::DOUBLE AS x1, max(y1)::DOUBLE AS y1, round(avg(size), 6)::DOUBLE AS size, md5(string_agg(text, ' ' ORDER BY line)) AS text FROM p GROUP BY doc_id, k""")
+def s20_merge_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines with boxes made from their numbers, in the page's own order, not from top to bottom."""
+    n = F.col("para_index")
+    x0, y0 = (F.col("doc_id") * 7 + n * 13) % 50, n * 12 - n % 3 * 7
+    d = T.document_lines(spark, sf).select("doc_id", n.alias("line"), x0.alias("x0"), (x0 + F.least(F.length("text"), F.lit(200))).alias("x1"), y0.alias("y0"), (y0 + 10).alias("y1"), (8 + n % 3).alias("size"), "text")
+    m = crossdoc.merge_lines(d, ["doc_id"])
+    return m.select("doc_id", "paragraph", *[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")], F.round("size", 6).alias("size"), F.md5("text").alias("text"))
+
+
+@query(T.with_("terms") + """SELECT CASE WHEN doc_id % 3 = 0 THEN 'name' || doc_id ELSE 'doc' || doc_id END AS file, terms.source AS source_term, target, (doc_id % 40 + pos)::BIGINT AS "count", pos::BIGINT AS first_para, CASE WHEN pos % 2 = 0 THEN doc_id % 2 = 0 END AS intra_file_conflict
+FROM documents, terms WHERE doc_id % 10 <> 4 AND pos % 4 = doc_id % 4""")
+def s18_term_index(spark: SparkSession, sf: str) -> DataFrame:
+    """An index of terms per document in JSON, some without a file's name, some no JSON at all."""
+    n = F.col("doc_id")
+    said = [F.when(F.lit(p % 4) == n % 4, F.format_string(f'"{s}": {{"target": "{t}", "count": %d, "first_para": {p}{", %s" if p % 2 == 0 else ""}}}', n % 40 + p, *([F.when(n % 2 == 0, '"intra_file_conflict": true').otherwise('"intra_file_conflict": false')] if p % 2 == 0 else []))) for p, s, t, _ in T.TERMS]
+    body = F.concat(F.lit("{"), F.when(n % 3 != 0, F.concat(F.lit('"file": "doc'), n, F.lit('", '))).otherwise(""), F.lit('"terms": {'), F.array_join(F.array_compact(F.array(*said)), ", "), F.lit("}}"))
+    d = T.table(spark, sf, "documents").select(F.concat(F.lit("name"), n).alias("file"), F.when(n % 10 == 4, "no json").otherwise(body).alias("value"))
+    return readers.term_index(d)
+
+
+_SHAPE_SQL = """d AS (SELECT doc_id, coalesce(lang, '') AS a, coalesce(source, '') AS b, doc_id % 3 AS shape FROM documents)
+SELECT doc_id, 7 AS para_index, a AS text, 'Heading 1' AS style, 1 AS heading_level, false AS is_table_cell, NULL::INT AS table_index, NULL::INT AS row, NULL::INT AS col, NULL::INT AS page FROM d WHERE shape = 0
+UNION ALL SELECT doc_id, 2, b, 'Normal', NULL, false, NULL, NULL, NULL, NULL FROM d WHERE shape = 0
+UNION ALL SELECT doc_id, 3, b, 'TABLE_CELL', NULL, true, 5, 1, 2, NULL FROM d WHERE shape = 0 AND b <> ''
+UNION ALL SELECT doc_id, 3 + (b <> '')::INT, a, 'TABLE_CELL', NULL, true, 5, 2, 1, NULL FROM d WHERE shape = 0 AND a <> ''
+UNION ALL SELECT doc_id, 1, a, 'Normal', NULL, false, NULL, NULL, NULL, 3 FROM d WHERE shape = 1 AND a <> '' UNION ALL SELECT doc_id, 1 + (a <> '')::INT, b, 'Normal', NULL, false, NULL, NULL, NULL, 3 FROM d WHERE shape = 1 AND b <> ''
+UNION ALL SELECT doc_id, 1, a, 'Normal', 2, false, NULL, NULL, NULL, NULL FROM d WHERE shape = 2 UNION ALL SELECT doc_id, 2, b, 'Quote', NULL, false, NULL, NULL, NULL, NULL FROM d WHERE shape = 2"""
+
+
+@query("WITH " + _SHAPE_SQL)
+def s10_split_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
+    """Split documents in JSON of three shapes: chapters with tables, pages, and a list."""
+    a, b, n = F.coalesce("lang", F.lit("")), F.coalesce("source", F.lit("")), F.col("doc_id") % 3
+    chapters = F.format_string('{"chapters": [{"paragraphs": [{"index": 7, "text": "%s", "style": "Heading 1", "heading_level": 1}, {"text": "%s"}], "tables": [{"table_index": 5, "data": [[" ", {"text": "%s"}], ["%s"]]}]}]}', a, b, b, a)
+    pages = F.format_string('{"pages": [{"page_num": 3, "text": "%s\\n\\n %s "}]}', a, b)
+    listed = F.format_string('[{"text": "%s", "heading_level": 2}, {"text": "%s", "style": "Quote"}]', a, b)
+    d = T.table(spark, sf, "documents").select("doc_id", F.when(n == 0, chapters).when(n == 1, pages).otherwise(listed).alias("value"))
+    return readers.split_paragraphs(d, ["doc_id"])
+
+
+_ANSWERS = ['{"header": {"code": 0}, "payload": {"ocr_output": "%s"}}', '{"payload": {"ocr_output": {"content": "%s", "blocks": [1]}}}', '{"payload": {"result": {"text": "%s"}}}', '{"payload": {"result": "%s"}}', '{"payload": {"text": "%s"}}', '{"payload": "%s"}', '{"header": {"code": 7}, "payload": {"text": "%s"}}']
+
+
+@query(f"SELECT page_id, CASE WHEN page_id % {len(_ANSWERS)} = 6 THEN '' ELSE url END AS text FROM pages")
+def s24_ocr_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Answers of an OCR service in six shapes, and errors."""
+    said = F.replace(T._picked(_ANSWERS, F.col("page_id")), F.lit("%s"), F.col("url"))
+    return T.table(spark, sf, "pages").select("page_id", readers.ocr_text(said).alias("text"))
+
+
+@query()
+def a01_check_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Every check of each planted pair, with both glossaries and the layout, counted by group, type and severity."""
+    layout = mechanical.check_layout(_layout(spark, sf, 0), _layout(spark, sf, 1), ["doc_id"])
+    d = mechanical.check_everything(_planted(spark, sf), ["doc_id"], T.terms(spark), T.client_terms(spark), "法律", layout)
+    return d.groupBy("group", "type", "severity").agg(F.count("*").alias("n"))
+
+
+@query()
+def a01_check_all_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """The checks of pages against whole targets, where only clients' terms are critical."""
+    d = mechanical.check_everything(_planted(spark, sf), ["doc_id"], T.terms(spark), T.client_terms(spark), "法律", pages=True)
+    return d.groupBy("group", "type", "severity").agg(F.count("*").alias("n"))
 
 
 # --- names, styles, terms and texts made from the tables' rows by number ----------------------------------------------------
@@ -866,8 +1048,7 @@ def a17_structure(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT page_id, length(html) AS chars, length(regexp_replace(html, '<[^>]*>', '', 'g')) AS plain FROM pages")
 def a21_page_chars(spark: SparkSession, sf: str) -> DataFrame:
-    plain = F.length(F.regexp_replace("html", "<[^>]*>", ""))
-    return T.table(spark, sf, "pages").select("page_id", F.length("html").cast("long").alias("chars"), plain.cast("long").alias("plain"))
+    return readers.page_chars(T.table(spark, sf, "pages"))
 
 
 @query(T.with_("lines") + """, n AS (SELECT *, coalesce(lag(text) OVER w, '') AS b, coalesce(lead(text) OVER w, '') AS a FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY para_index))

@@ -38,6 +38,63 @@ def lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     return docs.select(key, F.posexplode(F.split(text, "\n")).alias("para_index", "text")).withColumns({"para_index": F.col("para_index") + 1, "text": F.trim("text")}).filter("text <> ''")
 
 
+def paragraph_texts(lines: DataFrame, least: int = 2) -> DataFrame:
+    """Lines of ``least`` characters or more; shorter ones are marks."""
+    return lines.filter(F.char_length("text") >= least)
+
+
+def page_chars(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """``(key, chars, plain)``: characters of each page, and of its text without tags."""
+    plain = F.regexp_replace(html, "<[^>]*>", "")
+    return pages.select(key, F.length(html).cast("long").alias("chars"), F.length(plain).cast("long").alias("plain"))
+
+
+def term_index(texts: DataFrame, column: str = "value", file: str = "file") -> DataFrame:
+    """``(file, source_term, target, count, first_para, intra_file_conflict)`` from JSON {file, terms: {source: {...}}}, a text per file.
+
+    A text without a file of its own goes by the name in column ``file``; texts that are no such JSON have no terms.
+    """
+    entry = "struct<target:string,count:bigint,first_para:bigint,intra_file_conflict:boolean>"
+    parsed = F.from_json(column, f"struct<file:string,terms:map<string,{entry}>>")
+    d = texts.select(F.col(file).alias("_name"), parsed.alias("j")).select(F.coalesce("j.file", "_name").alias("file"), F.explode("j.terms").alias("source_term", "t"))
+    return d.select("file", "source_term", "t.*")
+
+
+def term_index_files(spark: SparkSession, path: str) -> DataFrame:
+    """:func:`term_index` of files term_index_*.json under ``path``."""
+    d = spark.read.option("pathGlobFilter", "term_index_*.json").text(path, wholetext=True)
+    name = F.regexp_extract(F.input_file_name(), r"term_index_(.*)\.json$", 1)
+    return term_index(d.select("value", name.alias("file")))
+
+
+def split_paragraphs(texts: DataFrame, key: list[str], column: str = "value") -> DataFrame:
+    """``(key, para_index, text, style, heading_level, is_table_cell, table_index, row, col, page)`` of split documents in JSON.
+
+    Three shapes: {"chapters": [{"paragraphs": [...], "tables": [...]}]}, where cells that are not blank follow their
+    chapter's paragraphs; {"pages": [{"page_num", "text"}]}, a paragraph per line that is not blank; and a list of
+    paragraphs. Paragraphs keep the index they have, others are counted. Cells may be texts or objects with a text.
+    """
+    para = "struct<index:int,text:string,style:string,heading_level:int>"
+    table = "struct<table_index:int,data:array<array<string>>,rows:array<array<string>>>"
+    whole = F.from_json(column, f"struct<chapters:array<struct<paragraphs:array<{para}>,tables:array<{table}>>>,pages:array<struct<page_num:int,text:string>>>")
+    listed = F.from_json(column, f"array<{para}>")
+    kind = "array<struct<index:int,text:string,style:string,heading_level:int,table_index:int,row:int,col:int,page:int>>"
+    null = lambda t="int": F.lit(None).cast(t)
+    row = lambda i, t, s, h, ti=None, r=None, c=None, p=None: F.struct(i.alias("index"), t.alias("text"), s.alias("style"), h.alias("heading_level"), *[(x if x is not None else null()).cast("int").alias(n) for x, n in ((ti, "table_index"), (r, "row"), (c, "col"), (p, "page"))])
+    plain = lambda p: row(p["index"], F.coalesce(p["text"], F.lit("")), F.coalesce(p["style"], F.lit("Normal")), p["heading_level"])
+    said = lambda c: F.trim(F.when(c.startswith("{"), F.coalesce(F.get_json_object(c, "$.text"), F.lit(""))).otherwise(F.coalesce(c, F.lit(""))))
+    cells = lambda t: F.flatten(F.transform(F.coalesce(t["data"], t["rows"]), lambda r, i: F.transform(r, lambda c, j: row(null(), said(c), F.lit("TABLE_CELL"), null(), F.coalesce(t["table_index"], F.lit(0)), i + 1, j + 1))))
+    of_table = lambda t: F.filter(F.coalesce(cells(t), F.array().cast(kind)), lambda c: c["text"] != "")
+    many = lambda a: F.coalesce(a, F.array().cast(kind))
+    chapters = F.flatten(F.transform(whole["chapters"], lambda c: F.concat(many(F.transform(c["paragraphs"], plain).cast(kind)), many(F.flatten(F.transform(c["tables"], lambda t: of_table(t).cast(kind)))))))
+    of_page = lambda p: F.filter(F.transform(F.split(F.coalesce(p["text"], F.lit("")), "\n"), lambda t: row(null(), F.trim(t), F.lit("Normal"), null(), p=p["page_num"])), lambda x: x["text"] != "")
+    pages = F.flatten(F.transform(whole["pages"], lambda p: of_page(p).cast(kind)))
+    rows = F.transform(listed, lambda p, i: row(i + 1, F.coalesce(p["text"], F.lit("")), F.coalesce(p["style"], F.lit("Normal")), p["heading_level"])).cast(kind)
+    found = F.when(F.col(column).rlike(r"^\s*\["), rows).otherwise(F.coalesce(chapters, pages))
+    d = texts.select(*key, F.posexplode(found).alias("_n", "p"))
+    return d.select(*key, F.coalesce("p.index", F.col("_n") + 1).alias("para_index"), "p.text", "p.style", "p.heading_level", (F.col("p.style") == "TABLE_CELL").alias("is_table_cell"), "p.table_index", "p.row", "p.col", "p.page")
+
+
 def text_files(spark: SparkSession, path: str) -> DataFrame:
     """Lines of text files under ``path``."""
     d = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
@@ -96,9 +153,14 @@ def sheet_chunks(rows: DataFrame, size: int = 200, order: list | None = None, ke
 
 
 def ocr_text(payload: Column) -> Column:
-    """The text of an OCR answer in any of four JSON shapes."""
+    """The text of an OCR answer: payload.ocr_output or payload.result, a text or an object with content or text, payload.text, or
+    payload itself; '' for an answer with an error code. Answers of other shapes are looked through for text, data.text,
+    result.markdown and blocks."""
+    inner = lambda path: F.coalesce(*[F.nullif(F.get_json_object(payload, f"$.payload.{path}.{c}"), F.lit("")) for c in ("content", "text")], F.get_json_object(payload, f"$.payload.{path}"))
+    code = F.coalesce(F.get_json_object(payload, "$.header.code").try_cast("int"), F.lit(0))
+    known = F.coalesce(inner("ocr_output"), inner("result"), F.get_json_object(payload, "$.payload.text"), F.get_json_object(payload, "$.payload"))
     blocks = F.array_join(F.from_json(F.coalesce(F.get_json_object(payload, "$.blocks[*].text"), F.lit("[]")), "array<string>"), "\n")
-    return F.coalesce(F.get_json_object(payload, "$.text"), F.get_json_object(payload, "$.data.text"), F.get_json_object(payload, "$.result.markdown"), F.nullif(blocks, F.lit("")))
+    return F.when(code != 0, "").otherwise(F.coalesce(known, F.get_json_object(payload, "$.text"), F.get_json_object(payload, "$.data.text"), F.get_json_object(payload, "$.result.markdown"), F.nullif(blocks, F.lit(""))))
 
 
 def _parse_pdf(data: bytes) -> list[tuple]:

@@ -126,7 +126,7 @@ def test_readers(spark, tmp_path):  # noqa: ANN001, ANN201
 def test_merge_lines(spark):  # noqa: ANN001, ANN201
     rows = [(1, 0.0, 0.0, 100.0, 10.0, 9.0, "a"), (1, 0.0, 13.0, 100.0, 23.0, 9.0, "b"), (1, 0.0, 60.0, 100.0, 70.0, 9.0, "c")]
     d = spark.createDataFrame(rows, "page int, x0 double, y0 double, x1 double, y1 double, size double, text string")
-    assert sorted(r.text for r in crossdoc.merge_lines(d, ["page"]).collect()) == ["a b", "c"]
+    assert sorted(r.text for r in crossdoc.merge_lines(d, ["page"], order="y0").collect()) == ["a b", "c"]
 
 
 def test_page_map_inherits(spark):  # noqa: ANN001, ANN201

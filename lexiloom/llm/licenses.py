@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from lexiloom.llm.common import text_or_empty, unused_name
 
+_PUBLISHED = r"( as published by the free software foundation)? (either )?"
+_GENERAL, _LESSER, _AFFERO = (rf"gnu {kind}general public licen[cs]e" for kind in ("", "(lesser|library) ", "affero "))
 #: Identifiers, a word that each of the sentences has, and the normalised sentences they stand for. At one
 #: place the first rule that matches counts.
 SENTENCES = (
@@ -25,20 +27,43 @@ SENTENCES = (
     ("BSDBINARY", "redistributions", r"redistributions in binary form must reproduce the above copyright notice"),
     ("BSDENDORSE", "endorse", r"neither the name of [a-z0-9 ]*may be used to endorse or promote products"),
     ("ASIS", "provided", r"(software|work|material) is provided ([a-z0-9 ]* )?as is"),
-    ("AGPL3", "affero", r"gnu affero general public licen[cs]e"),
-    ("LGPL3LATER", "later", r"gnu (lesser|library) general public licen[cs]e( as published by the free software foundation)? (either )?v(ersion)? ?3 [a-z0-9 ]*later version"),
-    ("LGPL3", "l?gpl|lesser", r"gnu (lesser|library) general public licen[cs]e( as published by the free software foundation)? (either )?v(ersion)? ?3|lgpl( v)? ?3"),
-    ("LGPL2", "l?gpl|lesser|library", r"gnu (lesser|library) general public licen[cs]e|\blgpl\b"),
-    ("GPL3LATER", "later", r"gnu general public licen[cs]e( as published by the free software foundation)? (either )?v(ersion)? ?3 [a-z0-9 ]*later version"),
-    ("GPL2LATER", "later", r"gnu general public licen[cs]e( as published by the free software foundation)? (either )?v(ersion)? ?2 [a-z0-9 ]*later version"),
-    ("GPL3", "l?gpl|gnu", r"gnu general public licen[cs]e( as published by the free software foundation)? (either )?v(ersion)? ?3|\bgpl( v)? ?3"),
-    ("GPL2", "l?gpl|gnu", r"gnu general public licen[cs]e( as published by the free software foundation)? (either )?v(ersion)? ?2|\bgpl( v)? ?2"),
-    ("GPL", "l?gpl|gnu", r"gnu general public licen[cs]e|\bgpl licen[cs]e"),
+    ("BOOSTGRANT", "permission", r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this licen[cs]e"),
+    ("ZLIBGRANT", "permission", r"permission is granted to anyone to use this software for any purpose"),
+    ("AGPL1", "affero|agpl", rf"{_AFFERO}{_PUBLISHED}v(ersion)? ?1\b|\bagpl ?v? ?1\b"),
+    ("AGPL3LATER", "affero|agpl", rf"{_AFFERO}{_PUBLISHED}v(ersion)? ?3 [a-z0-9 ]*later version"),
+    ("AGPL3", "affero|agpl", rf"{_AFFERO}{_PUBLISHED}v(ersion)? ?3\b|\bagpl ?v? ?3\b"),
+    ("AGPL", "affero|agpl", rf"{_AFFERO}|\bagpl\b"),
+    ("LGPL3LATER", "lgpl|lesser|library", rf"{_LESSER}{_PUBLISHED}v(ersion)? ?3 [a-z0-9 ]*later version"),
+    ("LGPL3", "lgpl|lesser|library", rf"{_LESSER}{_PUBLISHED}v(ersion)? ?3\b|\blgpl ?v? ?3\b"),
+    ("LGPL21LATER", "lgpl|lesser|library", rf"{_LESSER}{_PUBLISHED}v(ersion)? ?2 1 [a-z0-9 ]*later version"),
+    ("LGPL21", "lgpl|lesser|library", rf"{_LESSER}{_PUBLISHED}v(ersion)? ?2 1\b|\blgpl ?v? ?2 1\b"),
+    ("LGPL2LATER", "lgpl|lesser|library", rf"{_LESSER}{_PUBLISHED}v(ersion)? ?2 [a-z0-9 ]*later version"),
+    ("LGPL2", "lgpl|lesser|library", rf"{_LESSER}{_PUBLISHED}v(ersion)? ?2\b|\blgpl ?v? ?2\b"),
+    ("LGPL", "lgpl|lesser|library", rf"{_LESSER}|\blgpl\b"),
+    ("GPL3LATER", "gpl|gnu", rf"{_GENERAL}{_PUBLISHED}v(ersion)? ?3 [a-z0-9 ]*later version"),
+    ("GPL2LATER", "gpl|gnu", rf"{_GENERAL}{_PUBLISHED}v(ersion)? ?2 [a-z0-9 ]*later version"),
+    ("GPL3", "gpl|gnu", rf"{_GENERAL}{_PUBLISHED}v(ersion)? ?3\b|\bgpl ?v? ?3\b"),
+    ("GPL2", "gpl|gnu", rf"{_GENERAL}{_PUBLISHED}v(ersion)? ?2\b|\bgpl ?v? ?2\b"),
+    ("GPL", "gpl|gnu", rf"{_GENERAL}|\bgpl licen[cs]e"),
     ("LATER", "later", r"any later version"),
-    ("APACHE2", "apache", r"apache licen[cs]e (v|version )2|apache 2 0"),
+    ("APACHE2", "apache", r"apache (software )?licen[cs]e (v|version )?2\b|\bapache ?2 0\b|\bapache ?2 licen[cs]e"),
+    ("APACHE11", "apache", r"apache (software )?licen[cs]e (v|version )?1 1\b|\bapache ?1 1\b"),
+    ("APACHE1", "apache", r"apache (software )?licen[cs]e (v|version )?1( 0)?\b"),
     ("APACHEURL", "apache", r"www apache org licenses license 2 0"),
-    ("MPL2", "mozilla", r"mozilla public licen[cs]e"),
-    ("EPL2", "eclipse", r"eclipse public licen[cs]e"),
+    ("APACHE", "apache", r"apache (software )?licen[cs]e\b"),
+    ("MPL11", "mozilla|mpl", r"mozilla public licen[cs]e v?(ersion)? ?1 1\b|\bmpl ?1 1\b"),
+    ("MPL1", "mozilla|mpl", r"mozilla public licen[cs]e v?(ersion)? ?1( 0)?\b|\bmpl ?1 0\b"),
+    ("MPL2", "mozilla|mpl", r"mozilla public licen[cs]e v?(ersion)? ?2( 0)?\b|\bmpl ?2 0\b"),
+    ("MPL", "mozilla", r"mozilla public licen[cs]e"),
+    ("EPL1", "eclipse|epl", r"eclipse public licen[cs]e v?(ersion)? ?1( 0)?\b|\bepl ?1 0\b"),
+    ("EPL2", "eclipse|epl", r"eclipse public licen[cs]e v?(ersion)? ?2( 0)?\b|\bepl ?2 0\b"),
+    ("EPL", "eclipse", r"eclipse public licen[cs]e"),
+    ("EUPL", "european|eupl", r"european union public licen[cs]e|\beupl\b"),
+    ("ARTISTIC2", "artistic", r"artistic licen[cs]e v?(ersion)? ?2\b"),
+    ("ARTISTIC", "artistic", r"artistic licen[cs]e"),
+    ("BOOST", "boost", r"boost software licen[cs]e"),
+    ("ZLIB", "zlib", r"\bzlib licen[cs]e\b"),
+    ("WTFPL", "wtfpl|want", r"do what the f[a-z]* ?(ck )?you want to public licen[cs]e|\bwtfpl\b"),
     ("CCBYNCND", "cc|commons", r"\bcc by nc nd\b|creative commons attribution non ?commercial no ?deriv"),
     ("CCBYNCSA", "cc|commons", r"\bcc by nc sa\b|creative commons attribution non ?commercial share ?alike"),
     ("CCBYNC", "cc|commons", r"\bcc by nc\b|creative commons attribution non ?commercial"),
@@ -47,7 +72,8 @@ SENTENCES = (
     ("CCBY", "cc|commons", r"\bcc by\b|creative commons attribution"),
     ("CC0", "cc0|commons", r"\bcc0\b|creative commons zero"),
     ("MITNAME", "mit", r"\bmit licen[cs]e\b|licen[cs]ed under (the )?mit\b"),
-    ("BSDNAME", "bsd", r"\bbsd licen[cs]e\b"),
+    ("BSDNAME", "bsd", r"\b(bsd )?[0-9] clause bsd licen[cs]e\b|\bbsd [0-9] clause( licen[cs]e)?\b|\bbsd licen[cs]e\b"),
+    ("ISCNAME", "isc", r"\bisc licen[cs]e\b"),
     ("PUBLIC", "domain", r"(released|placed|dedicated|is) (in|into|to) the public domain"),
     ("UNLICENSE", "unencumbered", r"this is free and unencumbered software"),
     ("RESERVED", "reserved", r"\ball rights reserved\b"),
@@ -57,22 +83,45 @@ SENTENCES = (
 
 #: Licences, and the identifier sequences (each identifier ends with a comma) that show them, in order.
 RULES = (
-    ("BSD-3-Clause", r"BSDHEAD,BSDSOURCE,BSDBINARY,BSDENDORSE,(ASIS,)?"),
-    ("BSD-2-Clause", r"BSDHEAD,BSDSOURCE,BSDBINARY,(ASIS,)?"),
+    # all rights are reserved in many a licence's own head: what a licence follows at once shows nothing
+    ("", r"(COPYRIGHT,)*RESERVED,(?=(COPYRIGHT,)*(?!RESERVED|COPYRIGHT|ASIS|LATER)[A-Z0-9]+,)"),
+    ("BSD-3-Clause", r"(BSDNAME,)?BSDHEAD,BSDSOURCE,BSDBINARY,BSDENDORSE,(ASIS,)?"),
+    ("BSD-2-Clause", r"(BSDNAME,)?BSDHEAD,BSDSOURCE,BSDBINARY,(ASIS,)?"),
     ("MIT", r"(MITNAME,)?MITGRANT,(MITNOTICE,)?(ASIS,)?"),
-    ("ISC", r"ISCGRANT,(ASIS,)?"),
-    ("AGPL-3.0", r"AGPL3,(LATER,)?"),
-    ("LGPL-3.0-or-later", r"(LGPL3,)?LGPL3LATER,|LGPL3,LATER,"),
-    ("LGPL-3.0", r"LGPL3,"),
-    ("LGPL-2.1", r"LGPL2,(LATER,)?"),
+    ("ISC", r"(ISCNAME,)?ISCGRANT,(ASIS,)?|(OTHER,)?ISCNAME,"),
+    ("BSL-1.0", r"(BOOST,)?BOOSTGRANT,(ASIS,)?|(OTHER,)?BOOST,"),
+    ("Zlib", r"(ZLIB,)?(ASIS,)?ZLIBGRANT,|(OTHER,)?ZLIB,"),
+    ("AGPL-3.0-or-later", r"(OTHER,)?(AGPL3,)?AGPL3LATER,|(OTHER,)?AGPL3,LATER,"),
+    ("AGPL-3.0", r"(OTHER,)?AGPL3,"),
+    ("AGPL-1.0", r"(OTHER,)?AGPL1,(LATER,)?"),
+    ("AGPL", r"(OTHER,)?AGPL,(LATER,)?"),
+    ("LGPL-3.0-or-later", r"(OTHER,)?(LGPL3,)?LGPL3LATER,|(OTHER,)?LGPL3,LATER,"),
+    ("LGPL-3.0", r"(OTHER,)?LGPL3,"),
+    ("LGPL-2.1-or-later", r"(OTHER,)?(LGPL21,)?LGPL21LATER,|(OTHER,)?LGPL21,LATER,"),
+    ("LGPL-2.1", r"(OTHER,)?LGPL21,"),
+    ("LGPL-2.0-or-later", r"(OTHER,)?(LGPL2,)?LGPL2LATER,|(OTHER,)?LGPL2,LATER,"),
+    ("LGPL-2.0", r"(OTHER,)?LGPL2,"),
+    ("LGPL", r"(OTHER,)?LGPL,(LATER,)?"),
     ("GPL-3.0-or-later", r"(OTHER,)?GPL3LATER,|(OTHER,)?GPL3,LATER,"),
     ("GPL-3.0", r"(OTHER,)?GPL3,"),
     ("GPL-2.0-or-later", r"(OTHER,)?GPL2LATER,|(OTHER,)?GPL2,LATER,"),
     ("GPL-2.0", r"(OTHER,)?GPL2,"),
     ("GPL", r"(OTHER,)?GPL,(LATER,)?"),
-    ("Apache-2.0", r"(OTHER,)?APACHE2,(APACHEURL,)?|APACHEURL,"),
+    ("Apache-2.0", r"(OTHER,)?APACHE2,(APACHEURL,)?|(OTHER,)?(APACHE,)?APACHEURL,"),
+    ("Apache-1.1", r"(OTHER,)?APACHE11,"),
+    ("Apache-1.0", r"(OTHER,)?APACHE1,"),
+    ("Apache", r"(OTHER,)?APACHE,"),
+    ("MPL-1.1", r"(OTHER,)?MPL11,"),
+    ("MPL-1.0", r"(OTHER,)?MPL1,"),
     ("MPL-2.0", r"(OTHER,)?MPL2,"),
+    ("MPL", r"(OTHER,)?MPL,"),
+    ("EPL-1.0", r"(OTHER,)?EPL1,"),
     ("EPL-2.0", r"(OTHER,)?EPL2,"),
+    ("EPL", r"(OTHER,)?EPL,"),
+    ("EUPL", r"(OTHER,)?EUPL,"),
+    ("Artistic-2.0", r"(OTHER,)?ARTISTIC2,"),
+    ("Artistic", r"(OTHER,)?ARTISTIC,"),
+    ("WTFPL", r"(OTHER,)?WTFPL,"),
     ("CC-BY-NC-ND", r"(OTHER,)?CCBYNCND,"),
     ("CC-BY-NC-SA", r"(OTHER,)?CCBYNCSA,"),
     ("CC-BY-NC", r"(OTHER,)?CCBYNC,"),
@@ -91,7 +140,7 @@ RULES = (
 #: Any text with a known sentence has one of its words; others are not normalised at all.
 HINT = "(?i)" + "|".join(sorted({w for _, w, _ in SENTENCES}))
 #: Marks of comments and lists at the start of a line, and sentence ends.
-MARKS, ENDS = r"(?m)^[ \t]*(?:[#*;%>]+|//+|--+|[0-9a-z][.)])[ \t]", r"\n[ \t\r]*\n\s*|[.!?;]+\s+|\f"
+MARKS, ENDS = r"(?m)^[ \t]*(?:[#*;%>]+|//+|--+|[0-9a-z][.)])[ \t]", r"\n[ \t\r]*\n\s*|(?<!\b[vV])[.!?]+\s+|\f"
 ANY = "|".join(f"(?:{p})" for _, _, p in SENTENCES)
 #: An SPDX line and its expression, whose names keep their case.
 SPDX = r"(?i)SPDX-Licen[cs]e-Identifier:[ \t]*([A-Za-z0-9.+() -]*[A-Za-z0-9.+)])"
@@ -129,7 +178,7 @@ def scan(docs: DataFrame) -> DataFrame:
         bounded = rf"(^|,)({rule})"
         step = step.withColumn(f"rule_{i}", F.when((F.col(rest) != "") & F.col(rest).rlike(bounded), F.lit(name)))
         step = step.withColumn(rest, F.when(F.col(f"rule_{i}").isNotNull(), F.regexp_replace(rest, bounded, "$1#,")).otherwise(F.col(rest)))
-        names.append(F.col(f"rule_{i}"))
+        names += [F.col(f"rule_{i}")] if name else []
     shown = F.array_distinct(F.concat(F.col("tags"), F.array_compact(F.array(*names))))
     return step.select("doc_id", F.col("n_sentences").cast("long").alias("n_sentences"), "sentence_ids", F.array_join(shown, ";").alias("licences"))
 
@@ -147,6 +196,6 @@ SELECT doc_id, (length(sentence_ids) - length(replace(sentence_ids, ',', '')))::
   array_to_string(list_filter([
     CASE WHEN contains(sentence_ids, 'GPL3') THEN 'GPL-3.0' END, CASE WHEN contains(sentence_ids, 'APACHE2') THEN 'Apache-2.0' END,
     CASE WHEN contains(sentence_ids, 'CCBYNC') THEN 'CC-BY-NC' END, CASE WHEN contains(sentence_ids, 'MITNAME') THEN 'MIT' END,
-    CASE WHEN contains(sentence_ids, 'RESERVED') THEN 'Proprietary' END], lambda x: x IS NOT NULL), ';') AS licences
+    CASE WHEN regexp_matches(sentence_ids, 'RESERVED,(RESERVED,|$)') THEN 'Proprietary' END], lambda x: x IS NOT NULL), ';') AS licences
 FROM joined
 """

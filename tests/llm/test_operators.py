@@ -58,7 +58,8 @@ def labels(spark):  # noqa: ANN001, ANN201
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_matches_sql(spark, name):  # noqa: ANN001, ANN201
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for t in ("documents", "conversations", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want, got = con.execute(ORACLE_SQL[name]).df(), QUERIES[name](spark, SF).toPandas()
     key = lambda d: sorted(tuple(None if pd.isna(v) else str(v).removesuffix(".0") for v in r) for r in d[sorted(d.columns)].astype(object).values.tolist())
     assert sorted(want.columns) == sorted(got.columns) and key(got) == key(want)
@@ -277,6 +278,110 @@ LICENCES = {
     "MIT;Apache-2.0": "// SPDX-License-Identifier: (MIT OR Apache-2.0)", "GPL-2.0-only;Classpath-exception-2.0": "/* SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0 */",
     "CC-BY-NC;Proprietary": "Licensed under CC BY-NC 4.0.\nAll rights reserved.", "": "We license nothing", "LGPL-2.1": "GNU Lesser General Public License version 2.1",
 }
+# whole public licence texts, and what is said of licences in passing
+BSD_FILE = """Copyright (c) 2019, The Authors
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE
+FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER
+CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY,
+OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE
+OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.
+"""
+MIT_FILE = """MIT License
+
+Copyright (c) 2021 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+ISC_FILE = """ISC License
+
+Copyright (c) 2004-2010 by Somebody
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND
+FITNESS.
+"""
+ZLIB_FILE = """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented; you must not
+   claim that you wrote the original software.
+2. Altered source versions must be plainly marked as such, and must not be
+   misrepresented as being the original software.
+3. This notice may not be removed or altered from any source distribution.
+"""
+BOOST_FILE = """Boost Software License - Version 1.0 - August 17th, 2003
+
+Permission is hereby granted, free of charge, to any person or organization
+obtaining a copy of the software and accompanying documentation covered by
+this license (the "Software") to use, reproduce, display, distribute,
+execute, and transmit the Software, and to prepare derivative works of the
+Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND.
+"""
+SAID = [
+    (BSD_FILE, "BSD-3-Clause"), (MIT_FILE, "MIT"), (ISC_FILE, "ISC"), (ZLIB_FILE, "Zlib"), (BOOST_FILE, "BSL-1.0"), ("Licensed under the Apache License 2.0", "Apache-2.0"), ("Apache License 2.0", "Apache-2.0"),
+    ("Copyright 2020 X. All rights reserved.\nLicensed under the Apache License, Version 2.0", "Apache-2.0"), ("The Apache Software License, Version 1.1", "Apache-1.1"), ("an Apache licence", "Apache"),
+    ("Mozilla Public License Version 1.1", "MPL-1.1"), ("under the Mozilla Public License, v. 2.0.", "MPL-2.0"), ("Eclipse Public License v1.0", "EPL-1.0"), ("Eclipse Public License - v 2.0", "EPL-2.0"),
+    ("GNU Library General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version", "LGPL-2.0-or-later"), ("GNU Library General Public License as published by the Free Software Foundation, version 2", "LGPL-2.0"),
+    ("GNU Lesser General Public License as published by the Free Software Foundation, either\nversion 2.1 of the License, or (at your option) any later version.", "LGPL-2.1-or-later"), ("LGPLv2.1", "LGPL-2.1"), ("the LGPL", "LGPL"),
+    ("GNU Affero General Public License version 1", "AGPL-1.0"), ("GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version.", "AGPL-3.0-or-later"), ("AGPLv3", "AGPL-3.0"),
+    ("zlib License", "Zlib"), ("Boost Software License 1.0", "BSL-1.0"), ("the Artistic License 2.0", "Artistic-2.0"), ("Artistic Licence", "Artistic"), ("EUPL-1.2", "EUPL"), ("European Union Public Licence", "EUPL"), ("released under the WTFPL", "WTFPL"),
+    ("All rights reserved.", "Proprietary"), ("All rights reserved. The weather is fine.", "Proprietary"), ("Released under the MIT license. All rights reserved.", "MIT;Proprietary"), ("All rights reserved. All rights reserved.", "Proprietary"),
+    ("the ISC License", "ISC"), ("BSD 3-Clause License", "BSD"), ("licensed under a contract", "Unknown"), ("Apache 2.4 runs the server", ""), ("an EPL match and two MPL units", ""),
+]
+
+
+def test_everyday_licence_texts(spark):  # noqa: ANN001, ANN201
+    got = {r.doc_id: r.licences for r in licenses.scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(SAID)], "doc_id long, text string")).collect()}
+    wrong = [(text[:60], want, got[i]) for i, (text, want) in enumerate(SAID) if got[i] != want]
+    assert not wrong
 
 
 def test_standard_licences(spark):  # noqa: ANN001, ANN201

@@ -306,8 +306,9 @@ def classify_terms(terms: DataFrame, keywords: DataFrame, least: int = 3) -> Dat
     ``keywords`` has domain, domain_pos, lang (en: in the source, zh: in the target), weight, keyword, pos; the first
     domain wins ties; under ``least`` a term is general.
     """
-    where = F.when(F.col("lang") == "en", F.lower("source")).otherwise(F.lower("target"))
-    hit = terms.join(F.broadcast(keywords.withColumnRenamed("domain", "kw_domain").withColumnRenamed("pos", "kw_pos")), where.contains(F.lower("keyword")))
+    words = keywords.withColumnsRenamed({"domain": "kw_domain", "pos": "kw_pos"}).withColumn("source", F.col("keyword"))
+    of = lambda column, asked: substring_matches(terms.select("id", F.col(column).alias("text")), words.filter(asked), ["id"])
+    hit = of("source", F.col("lang") == "en").unionByName(of("target", F.col("lang") != "en"))
     signal = F.struct(F.when(F.col("lang") == "en", 0).otherwise(1), F.col("kw_pos"), F.concat(F.col("lang"), F.lit(":"), F.col("keyword"), F.lit("("), F.col("weight").cast("string"), F.lit(")")).alias("s"))
     per = hit.groupBy("id", "kw_domain", "domain_pos").agg(F.sum("weight").alias("score"), F.slice(F.sort_array(F.collect_list(signal)), 1, 5).alias("signals"))
     best = per.groupBy("id").agg(F.max_by(F.struct("kw_domain", "score", "signals"), F.struct("score", -F.col("domain_pos"))).alias("b"))

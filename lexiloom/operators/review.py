@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.functions.text import bound
+from lexiloom.operators.glossary import substring_matches
 
 # --- fixed values: words that begin with a capital and are no terms -----------------------------------------------------
 COMMON_WORDS = (
@@ -42,8 +43,17 @@ def unknown_terms(texts: DataFrame, terms: DataFrame, key: list[str], most: int
 
 
 def by_category(items: Column) -> Column:
-    """A map from category to its values, in their order, of an array of (category, value, ...)."""
-    return bound(items, lambda a: F.map_from_entries(F.transform(F.array_distinct(F.transform(a, lambda i: i["category"])), lambda c: F.struct(c, F.transform(F.filter(a, lambda i: i["category"] == c), lambda i: i["value"])))))
+    """A map from category to its values, in their order, of an array of (category, value, ...).
+
+    Values are sorted by category once and cut where it changes, so an array of many categories is no more work.
+    """
+    sorted_ = F.array_sort(F.transform(items, lambda i, n: F.struct(i["category"].alias("c"), n.alias("n"), i["value"].alias("v"))))
+
+    def runs(a: Column) -> Column:
+        begins = F.filter(F.transform(a, lambda x, n: F.when((n == 0) | (F.get(a, n - 1)["c"] != x["c"]), n)), lambda n: n.isNotNull())
+        return bound(begins, lambda at: F.map_from_entries(F.transform(at, lambda n, k: F.struct(F.get(a, n)["c"], F.transform(F.slice(a, n + 1, F.coalesce(F.get(at, k + 1), F.size(a)) - n), lambda x: x["v"])))))
+
+    return bound(sorted_, runs)
 
 
 def error_message(message: Column) -> Column:
@@ -82,7 +92,8 @@ def dimension_counts(issues: DataFrame, groups: DataFrame, docs: DataFrame, key:
     ``groups`` (dimension, check_id) is a fixed list. Distinct check items meet ids, so texts are compared once each.
     """
     items = issues.select("check_item").distinct()
-    held = items.join(F.broadcast(groups), F.col("check_item").contains(F.col("check_id"))).select("check_item", "dimension").distinct()
+    ids = groups.withColumns({"source": F.col("check_id"), "case_sensitive": F.lit(True)})
+    held = substring_matches(items, ids, ["check_item"], "check_item").select("check_item", "dimension").distinct()
     n = issues.select(key, "check_item").join(held, "check_item").groupBy(key, "dimension").agg(F.count("*").alias("n"))
     every = docs.select(key).distinct().join(F.broadcast(groups.select("dimension").distinct()))
     return every.join(n, [key, "dimension"], "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))

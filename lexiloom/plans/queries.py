@@ -1083,24 +1083,32 @@ def r07_high_risk(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("g", F.col("para_index").alias("doc_id"), F.col("score").cast("long").alias("score"), "nth")
 
 
-def _rule_sql() -> str:
-    ci, t = "check_item", "issue"
-    any_ = lambda c, xs: "(" + " OR ".join([f"contains({c}, '{x}')" for x in xs] or ["false"]) + ")"
-    whens, style = [], any_(ci, severity.STYLE_ITEMS)
-    for level, items, any_case, words, together, not_items, not_words in severity.RULES:
-        hit = f"({any_(ci, items)} OR {any_('lower(check_item)', any_case)} OR {any_(t, words)}"
-        hit += f" OR ({' AND '.join(f'contains({t}, {chr(39)}{w}{chr(39)})' for w in together)})" if together else ""
-        hit += f") AND NOT {any_(ci, not_items)} AND NOT {any_(t, not_words)}"
-        whens.append(f"WHEN {hit} THEN {f'CASE WHEN {style} THEN {chr(39)}medium{chr(39)} ELSE {chr(39)}critical{chr(39)} END' if level == 'critical' else chr(39) + level + chr(39)}")
-    return f"CASE {' '.join(whens)} ELSE severity END"
-
-
-@query(T.with_("issues") + f"SELECT issue_pos, {_rule_sql()} AS severity FROM issues")
+#: The rules in SQL of their own: in order, the first that holds decides; style items are critical for none.
+_RULED = r"""CASE
+  WHEN regexp_matches(check_item, '数值|单位|数字|3\.1|3\.2|(?i:number)') OR regexp_matches(issue, '数值|单位|测量') THEN CASE WHEN style THEN 'medium' ELSE 'critical' END
+  WHEN regexp_matches(check_item, '错译|1\.4') OR regexp_matches(issue, '含义|偏离|误译为|改变') THEN CASE WHEN style THEN 'medium' ELSE 'critical' END
+  WHEN regexp_matches(check_item, '客户术语|0\.|(?i:client)') THEN CASE WHEN style THEN 'medium' ELSE 'critical' END
+  WHEN regexp_matches(check_item, '术语统一|4\.3|4\.2') OR regexp_matches(issue, '术语不一致|同一概念|混用|不同译法') THEN CASE WHEN style THEN 'medium' ELSE 'critical' END
+  WHEN regexp_matches(issue, '无法理解|不通顺|难以理解|结构破碎|不可读') AND NOT regexp_matches(check_item, '标点|格式|冗余|空格') THEN CASE WHEN style THEN 'medium' ELSE 'critical' END
+  WHEN regexp_matches(check_item, '2\.5|褒贬|(?i:connotation)') THEN 'medium'
+  WHEN regexp_matches(check_item, '翻译腔|被动直译|字面直译|2\.12|2\.13|2\.25') OR (contains(issue, '直译') AND contains(issue, '翻译腔')) THEN 'medium'
+  WHEN regexp_matches(check_item, '近义词|词义范围|2\.6|2\.F1') THEN 'medium'
+  WHEN regexp_matches(issue, '缺失|残缺|杂糅|不完整') AND NOT contains(issue, '无法理解') THEN 'medium'
+  WHEN (regexp_matches(check_item, '术语泛化|MT术语|2\.23') OR (contains(issue, '泛化') AND contains(issue, '术语'))) AND NOT regexp_matches(check_item, '冗余|标点|格式') THEN 'medium'
+  WHEN regexp_matches(check_item, '标点|2\.2|2\.3') OR regexp_matches(issue, '标点混用|标点缺失|标点多余|括号|引号') THEN 'low'
+  WHEN regexp_matches(issue, '口语|书面语') THEN 'low'
+  WHEN regexp_matches(check_item, '格式|空格|字体|行距|5\.1|5\.2|5\.3') OR contains(issue, '空格') THEN 'low'
+  WHEN regexp_matches(check_item, '增译|不同的|冗余|1\.2|2\.18|2\.G3') OR contains(issue, '可有可无') THEN 'low'
+  ELSE severity END"""
+_STYLED = r"styled AS (SELECT *, regexp_matches(check_item, '2\.3|2\.18|2\.19|2\.G3|标点|空格|格式') AS style FROM issues)"
+
+
+@query(T.with_("issues") + f", {_STYLED} SELECT issue_pos, {_RULED} AS severity FROM styled")
 def r01_severity_rules(spark: SparkSession, sf: str) -> DataFrame:
     return T.issues(spark, sf).select("issue_pos", severity.rule_severity(F.col("check_item"), F.col("issue"), F.col("severity")).alias("severity"))
 
 
-@query(T.with_("issues") + f""", r AS (SELECT *, CASE WHEN contains(check_item, '错译') THEN 'critical' ELSE {_rule_sql()} END AS s0 FROM issues),
+@query(T.with_("issues") + f""", {_STYLED}, r AS (SELECT *, CASE WHEN contains(check_item, '错译') THEN 'critical' ELSE {_RULED} END AS s0 FROM styled),
 x AS (SELECT issue_pos, severity AS original_severity, check_item AS grp, CASE WHEN confidence = 'low' AND s0 = 'critical' THEN 'medium' ELSE s0 END AS val FROM r){_VOTE}
 SELECT issue_pos, original_severity, val AS ruled_severity, CASE WHEN size >= 3 AND most / size > 0.6 THEN win ELSE val END AS severity FROM x JOIN w ON x.grp = w.grp""")
 def r02_normalize(spark: SparkSession, sf: str) -> DataFrame:

@@ -113,24 +113,23 @@ def phrase_places(index: DataFrame, terms: Phrases, key: list[str]) -> DataFrame
     have in the index; its other pairs then have to stand at their places.
     """
     table = terms.table.drop("_words", "_inner")  # what stays of the phrase is taken off by the caller
-    single = terms.side(table.filter("_n = 1").withColumnRenamed("_core", "word"))
-    hits = index.join(single, "word").filter(_fits("before", "gap", "_lead", "_trail")).select(*key, "place", F.col("word").alias("_core"), *[c for c in table.columns if c != "_core"])
+    # words and pairs are phrases of one and two words: both meet the terms in one pass over the index
+    said = F.array(F.struct(F.col("word").alias("said"), F.col("gap").alias("end")))
     if terms.most > 1:
-        pairs = _pairs(terms.table)
-        said = index.filter("gap is not null").select(*key, "place", F.concat("word", "gap", "next").alias("pair"), "before", "after")
-        held = said.join(terms.side(pairs.select("pair").distinct()), "pair", "left_semi")
-        if terms.most > 2:
-            often = held.groupBy("pair").agg(F.count("*").alias("often"))
-            led = pairs.join(often.hint("merge"), "pair").groupBy(*_PHRASE).agg(F.min_by(F.struct("n", "nth", "pair", "lead", "trail"), F.struct("often", "nth")).alias("p")).select(*_PHRASE, "p.*")
-        else:
-            led = pairs
+        pair = F.when(F.col("gap").isNotNull(), F.struct(F.concat("word", "gap", "next").alias("said"), F.col("after").alias("end")))
+        said = F.array_compact(F.concat(said, F.array(pair)))
+    rows = index.select(*key, "place", "before", F.explode(said).alias("s")).select(*key, "place", "before", F.col("s.said").alias("_core"), "s.end")
+    hits = rows.join(terms.side(table.filter("_n between 1 and 2")), "_core").filter(_fits("before", "end", "_lead", "_trail")).select(*key, "place", "_core", *[c for c in table.columns if c != "_core"])
+    if terms.most > 2:
+        pairs = _pairs(terms.table.filter("_n > 2"))
+        neighbours = index.filter("gap is not null").select(*key, "place", F.concat("word", "gap", "next").alias("pair"), "before", "after")
+        held = neighbours.join(terms.side(pairs.select("pair").distinct()), "pair", "left_semi")
+        often = held.groupBy("pair").agg(F.count("*").alias("often"))
+        led = pairs.join(often.hint("merge"), "pair").groupBy(*_PHRASE).agg(F.min_by(F.struct("n", "nth", "pair", "lead", "trail"), F.struct("often", "nth")).alias("p")).select(*_PHRASE, "p.*")
         at = held.join(terms.side(led), "pair").filter(_fits("before", "after", "lead", "trail")).select(*key, (F.col("place") - F.col("nth")).alias("place"), *_PHRASE, "n", F.col("nth").alias("led"))
-        found = at.filter("n = 2").select(*key, "place", *_PHRASE)
-        if terms.most > 2:
-            asked = at.filter("n > 2").join(terms.side(pairs.drop("n")), _PHRASE).filter("nth <> led").withColumn("at", F.col("place") + F.col("nth"))
-            there = held.withColumnRenamed("place", "at").hint("merge")
-            met = asked.join(there, [*key, "at", "pair"]).filter(_fits("before", "after", "lead", "trail"))
-            found = found.unionByName(met.groupBy(*key, "place", *_PHRASE, "n").agg(F.count("*").alias("met")).filter("met = n - 2").select(*key, "place", *_PHRASE))
+        asked = at.join(terms.side(pairs.drop("n")), _PHRASE).filter("nth <> led").withColumn("at", F.col("place") + F.col("nth"))
+        met = asked.join(held.withColumnRenamed("place", "at").hint("merge"), [*key, "at", "pair"]).filter(_fits("before", "after", "lead", "trail"))
+        found = met.groupBy(*key, "place", *_PHRASE, "n").agg(F.count("*").alias("met")).filter("met = n - 2").select(*key, "place", *_PHRASE)
         hits = hits.unionByName(found.join(terms.side(table), _PHRASE))
     return hits
 

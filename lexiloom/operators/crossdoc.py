@@ -109,17 +109,27 @@ def batches(texts: DataFrame, size: int, key: list[str], order: list) -> DataFra
     return texts.withColumn("batch_id", F.floor((nth - 1) / F.lit(size)) + 1)
 
 
+#: Rows a range whose places in the order say where ranges end.
+SAMPLED = 20
+
+
 def batches_of_all(texts: DataFrame, size: int, order: Column) -> DataFrame:
     """``texts`` with batch_id: ``size`` consecutive rows of the whole table in the given order.
 
-    Rows are sorted in ranges and numbered within theirs; ranges begin where the counts of those before end. The ranges
-    are the same each time a plan is run, as they come from the same rows.
+    Rows are dealt into ranges and numbered within theirs; ranges begin where the counts of those before end. A row's
+    range comes from its own place in the order alone, so that counting and numbering, however often and on however many
+    tasks the plan is run, see the same ranges. They end at quantiles of the SAMPLED rows of least hash.
     """
-    ranged = texts.withColumn("_o", order).repartitionByRange("_o").withColumn("_part", F.spark_partition_id())
-    counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))  # a row per range
+    d = texts.withColumn("_o", order)
+    ranges = int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    some = F.sort_array(F.collect_list("_o"))
+    every = F.greatest(F.lit(1), F.floor(F.size("_s") / ranges))
+    ends = d.select("_o").orderBy(F.xxhash64("_o")).limit(SAMPLED * ranges).agg(some.alias("_s")).select(F.filter("_s", lambda x, i: (i > 0) & (i % every == 0)).alias("_ends"))
+    dealt = d.crossJoin(F.broadcast(ends)).withColumn("_part", F.size(F.filter("_ends", lambda e: e <= F.col("_o")))).drop("_ends")  # one row
+    counts = dealt.groupBy("_part").agg(F.count("*").alias("_n"))  # a row per range
     first = counts.withColumn("_first", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     nth = F.row_number().over(Window.partitionBy("_part").orderBy("_o"))
-    d = ranged.withColumn("_nth", nth).join(F.broadcast(first), "_part")
+    d = dealt.withColumn("_nth", nth).join(F.broadcast(first), "_part")
     return d.withColumn("batch_id", F.floor((F.col("_first") + F.col("_nth") - 1) / F.lit(size)) + 1).drop("_o", "_part", "_nth", "_first")
 
 

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import random
+from hashlib import md5
+
 from lexiloom.operators import mechanical
+from lexiloom.plans.queries import QUERIES
 
 
 def test_decimal_near_a_page_range_counts_as_the_whole_number_next_to_it(spark):  # noqa: ANN001, ANN201
@@ -10,3 +14,14 @@ def test_decimal_near_a_page_range_counts_as_the_whole_number_next_to_it(spark):
     pairs = spark.createDataFrame([(v, f"see 120-125 for {v} of", "none") for v in values], "id string, source_text string, target_text string")
     found = mechanical.check_and_filter_numbers(pairs, ["id"]).filter("type = 'decimal_mismatch'").collect()
     assert sorted(r.source_value for r in found) == ["0.49", "2000.5", "99999999999999999999.1"]
+
+
+def test_batches_of_the_whole_table_are_full_and_in_order(spark, tmp_path):  # noqa: ANN001, ANN201
+    rng = random.Random(5)
+    texts = {"".join(rng.choices("ab ", k=rng.randrange(1, 90))) for _ in range(9000)}
+    rows = [(i, i % 3, "user", t) for i, t in enumerate([*sorted(texts), None])]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(7).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = [(r.n, r.t, r.batch_id) for r in QUERIES["t05_longest_first"](spark, str(tmp_path)).collect()]
+    ordered = sorted(texts, key=lambda t: (-len(t), t))
+    want = [(len(t), md5(t.encode()).hexdigest(), i // 30 + 1) for i, t in enumerate(ordered)] + [(None, None, len(ordered) // 30 + 1)]
+    assert sorted(got, key=repr) == sorted(want, key=repr)

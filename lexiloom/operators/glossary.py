@@ -24,16 +24,18 @@ EVERY_DOMAIN = "全部"
 SHORT = 3
 
 
-def search_terms(terms: DataFrame, query: str = "", domain: str = EVERY_DOMAIN, page: int = 1, page_size: int = 50) -> DataFrame:
+def search_terms(terms: DataFrame, query: str = "", domain: str = EVERY_DOMAIN, page: int = 1, page_size: int = 50, pages: int = 1) -> DataFrame:
     """A page of the terms whose source or target contains ``query`` (any case), newest id first, with the total.
 
+    With ``pages``, so many of them from ``page`` on.
+
     Row count and page come from one pass: the total is a window over the filtered rows' aggregate.
     """
     hit = terms.filter(F.lower("source").contains(query.lower()) | F.lower("target").contains(query.lower())) if query else terms
     if domain and domain != EVERY_DOMAIN:
         hit = hit.filter(F.col("domain") == domain)
     total = hit.agg(F.count("*").alias("total"))
-    top = hit.orderBy(F.desc("id")).offset((page - 1) * page_size).limit(page_size)
+    top = hit.orderBy(F.desc("id")).offset((page - 1) * page_size).limit(pages * page_size)
     return top.crossJoin(F.broadcast(total))  # one row
 
 

@@ -25,3 +25,10 @@ def test_batches_of_the_whole_table_are_full_and_in_order(spark, tmp_path):  # n
     ordered = sorted(texts, key=lambda t: (-len(t), t))
     want = [(len(t), md5(t.encode()).hexdigest(), i // 30 + 1) for i, t in enumerate(ordered)] + [(None, None, len(ordered) // 30 + 1)]
     assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_search_gives_all_of_the_pages_asked_for(spark, tmp_path):  # noqa: ANN001, ANN201
+    rows = [(i, "steel" if i % 2 else "tin", "Brand#1", "A" if i < 80 else "B") for i in range(1, 101)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    got = [(r.id, r.total) for r in QUERIES["p01_search_terms"](spark, str(tmp_path)).collect()]
+    assert sorted(got, reverse=True) == [(i, 40) for i in range(79, 0, -2)][5:25]

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from lexiloom.functions.procedural import longest_literal
 from lexiloom.functions.text import norm_key
+from lexiloom.operators.store import scratch_folder
 from lexiloom.operators.wordindex import BROADCAST_CHARS, dealt, gaps_of, phrase_places, phrases, word_index, words_of
 
 GENERAL = "通用"
@@ -83,30 +84,67 @@ def export_terms(terms: DataFrame, domain: str | None = None, target_lang: str =
     return chosen.select("source", "target", F.lit(target_lang).alias("tgt_lng"), "domain", "id").orderBy("domain", "id")
 
 
+def _entries(terms: DataFrame) -> DataFrame:
+    return terms.select(norm_key(F.col("source")).alias("norm_key"), F.struct("pos", "source", "target", "domain", "from_file", "priority").alias("e"))
+
+
+def _differs(e: Column, now: Column) -> Column:
+    return F.coalesce(norm_key(e["target"]) != norm_key(now["target"]), F.lit(False))
+
+
+def term_winners(terms: DataFrame) -> DataFrame:
+    """``(norm_key, won)``: the entries that led each normalised source, one after another; the last is its winner.
+
+    An entry takes the lead if its normalised target differs from the leader's and its priority number is lower. So a
+    source has at most as many leaders as priorities, and that many rounds find them: each looks for the first entry that
+    beats the leader, by an aggregate over all entries and a join with a row per source that may still change.
+    """
+    entries = _entries(terms)
+    state = entries.groupBy("norm_key").agg(F.array(F.min("e")).alias("won"), F.min("e.priority").alias("least"))
+    while True:
+        now = F.element_at("won", -1)
+        led = state.filter(F.col("least") < now["priority"]).select(F.col("norm_key").alias("_k"), now.alias("now"))
+        if led.isEmpty():
+            return state.drop("least")
+        later = entries.join(led, F.col("norm_key").eqNullSafe(F.col("_k"))).filter((F.col("e") > F.col("now")) & (F.col("e.priority") < F.col("now.priority")) & _differs(F.col("e"), F.col("now")))
+        after = later.groupBy("_k").agg(F.min("e").alias("next"))
+        path = scratch_folder(terms.sparkSession)  # a row per source, so that rounds do not nest
+        grown = F.when(F.col("next").isNull(), F.col("won")).otherwise(F.array_append("won", F.col("next")))
+        state.join(after, F.col("norm_key").eqNullSafe(F.col("_k")), "left").select("norm_key", grown.alias("won"), F.when(F.col("next").isNotNull(), F.col("least")).alias("least")).write.parquet(path)
+        state = terms.sparkSession.read.parquet(path)
+
+
+def merge_winners(terms: DataFrame) -> DataFrame:
+    """The columns of :func:`merge_glossaries` but the conflicts."""
+    w = term_winners(terms).select("norm_key", F.element_at("won", -1).alias("now"))
+    return w.select("norm_key", "now.source", "now.target", "now.domain", "now.from_file", "now.priority")
+
+
 def merge_glossaries(terms: DataFrame) -> DataFrame:
     """One row per normalised source: the winner, and the conflicts met on the way.
 
     ``terms`` has source, target, domain, from_file, priority, pos (order of arrival). A newcomer whose normalised target
     differs from the present winner's is a conflict; it wins if its priority number is lower. Equal targets change
-    nothing. Each key is folded in order of arrival, so a conflict names the winner of its moment.
+    nothing. A conflict names the winner of its moment. Only a source's list of conflicts comes together in one row.
     """
-    entry = F.struct("pos", "source", "target", "domain", "from_file", "priority")
-    conflict = "struct<existing_target:string,existing_from:string,conflicting_target:string,conflicting_from:string,resolution:string>"
-    ordered = terms.withColumn("norm_key", norm_key(F.col("source"))).groupBy("norm_key").agg(F.sort_array(F.collect_list(entry)).alias("e"))
-
-    def step(a: Column, x: Column) -> Column:
-        now = a["now"]
-        differs = norm_key(now["target"]) != norm_key(x["target"])
-        wins = differs & (x["priority"] < now["priority"])
-        what = F.struct(
-            now["target"].alias("existing_target"), now["from_file"].alias("existing_from"), x["target"].alias("conflicting_target"),
-            x["from_file"].alias("conflicting_from"), F.when(wins, "use_new").otherwise("keep_existing").alias("resolution"),
+    won = term_winners(terms)
+
+    def conflict(now: Column, e: Column, resolution: str) -> Column:
+        return F.struct(
+            now["target"].alias("existing_target"), now["from_file"].alias("existing_from"), e["target"].alias("conflicting_target"),
+            e["from_file"].alias("conflicting_from"), F.lit(resolution).alias("resolution"),
         )
-        return F.struct(F.when(wins, x).otherwise(now).alias("now"), F.when(differs, F.array_append(a["conflicts"], what)).otherwise(a["conflicts"]).alias("conflicts"))
 
-    zero = F.struct(F.element_at("e", 1).alias("now"), F.array().cast(f"array<{conflict}>").alias("conflicts"))
-    folded = ordered.select("norm_key", F.aggregate(F.slice("e", F.lit(2), F.size("e")), zero, step).alias("r"))
-    return folded.select("norm_key", "r.now.source", "r.now.target", "r.now.domain", "r.now.from_file", "r.now.priority", "r.conflicts")
+    leads = F.transform(F.slice("won", F.lit(2), F.size("won")), lambda e, i: F.struct(e.alias("e"), conflict(F.get("won", i), e, "use_new").alias("c")))
+    taken = won.select("norm_key", F.inline(leads))
+    e, now = F.col("e"), F.col("now")
+    met = _entries(terms).join(won.withColumnRenamed("norm_key", "_k"), F.col("norm_key").eqNullSafe(F.col("_k"))).filter(~F.array_contains("won", e))
+    met = met.select("norm_key", "e", F.element_at(F.filter("won", lambda w: w < e), -1).alias("now")).filter(_differs(e, now))
+    each = taken.unionByName(met.select("norm_key", "e", conflict(now, e, "keep_existing").alias("c")))
+    lists = each.groupBy(F.col("norm_key").alias("_k")).agg(F.transform(F.sort_array(F.collect_list(F.struct("e", "c"))), lambda x: x["c"]).alias("conflicts"))
+    w = won.select("norm_key", F.element_at("won", -1).alias("now")).join(lists, F.col("norm_key").eqNullSafe(F.col("_k")), "left")
+    none = F.array().cast("array<struct<existing_target:string,existing_from:string,conflicting_target:string,conflicting_from:string,resolution:string>>")
+    return w.select("norm_key", "now.source", "now.target", "now.domain", "now.from_file", "now.priority", F.coalesce("conflicts", none).alias("conflicts"))
 
 
 def word_matches(texts: DataFrame, terms: DataFrame, key: list[str], text: str = "text") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 from hashlib import md5
 
-from lexiloom.operators import mechanical
+from lexiloom.operators import glossary, mechanical
 from lexiloom.plans.queries import QUERIES
 
 
@@ -32,3 +32,34 @@ def test_search_gives_all_of_the_pages_asked_for(spark, tmp_path):  # noqa: ANN0
     spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
     got = [(r.id, r.total) for r in QUERIES["p01_search_terms"](spark, str(tmp_path)).collect()]
     assert sorted(got, reverse=True) == [(i, 40) for i in range(79, 0, -2)][5:25]
+
+
+def plain_merge(entries: list[tuple]) -> dict:
+    """Per key the winner and its conflicts, an entry at a time."""
+    out: dict = {}
+    for e in sorted(entries):
+        key, at = e[1].lower(), out.get(e[1].lower())
+        if at is None:
+            out[key] = [e, []]
+        elif at[0][2] != e[2]:
+            wins = e[5] < at[0][5]
+            at[1].append((at[0][2], at[0][4], e[2], e[4], "use_new" if wins else "keep_existing"))
+            if wins:
+                at[0] = e
+    return out
+
+
+def test_merged_glossaries_equal_a_plain_loop(spark):  # noqa: ANN001, ANN201
+    rng = random.Random(3)
+    entries = [(i, rng.choice("aAbBcdE"), rng.choice("xyz"), "d", f"f{i % 5}", rng.randrange(6)) for i in range(400)]
+    entries += [(400 + i, "long", t, "d", "f", p) for i, (t, p) in enumerate([("A", 5), ("A", 1), ("B", 4), ("A", 3), ("B", 2), ("B", 0), ("A", 1)])]
+    terms = spark.createDataFrame(entries, "pos int, source string, target string, domain string, from_file string, priority int").repartition(5)
+    got = {r.norm_key: [(r.target, r.from_file, r.priority), [tuple(c) for c in r.conflicts]] for r in glossary.merge_glossaries(terms).collect()}
+    assert got == {k: [(w[2], w[4], w[5]), c] for k, (w, c) in plain_merge(entries).items()}
+    assert len(got["long"][1]) == 4
+    assert {r.norm_key: (r.target, r.from_file, r.priority) for r in glossary.merge_winners(terms).collect()} == {k: v[0] for k, v in got.items()}
+
+
+def test_a_term_of_many_files_is_merged_without_a_row_of_all_its_entries(spark):  # noqa: ANN001, ANN201
+    plan = glossary.merge_winners(spark.range(9).selectExpr("id pos", "'t' source", "string(id) target", "'d' domain", "'f' from_file", "1 priority"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan

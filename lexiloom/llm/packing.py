@@ -1,10 +1,9 @@
 """Packing of tokenised documents into sequences of a fixed length.
 
-The pieces' length histogram, of at most ``seq_len`` rows, is all that the plan needs. Best-fit decreasing runs on it,
-counts at a time. Where that needs more sequences than a stated gap over what the tokens fill, the configuration linear
-program (fewest patterns that cover each length's count) is tried by multiplicative weights: each length has a price, a
-knapsack dynamic program finds the pattern of highest total price, and prices of covered lengths sink. Weights are
-rounded and what is left goes where it fits best, however much it is.
+The pieces' length histogram, of at most ``seq_len`` rows, is all that the plan needs. It comes from the configuration
+linear program (fewest patterns that cover each length's count), solved by multiplicative weights: each length has a
+price, a knapsack dynamic program finds the patterns of high total price, and prices of covered lengths sink. Weights
+are rounded, and what is left, however much it is, goes by best-fit decreasing, counts at a time.
 """
 
 from __future__ import annotations
@@ -29,8 +28,10 @@ SEQ_LEN = 2048
 END_ID = 0
 #: Words whose ids a worker remembers; about 100 bytes each.
 REMEMBERED = 800_000
-#: A plan of at most this share of sequences over what the tokens fill is not improved further.
-GAP = 0.0005
+#: Rounds of multiplicative weights in each solution of the linear program.
+ROUNDS = 20
+#: What is added to weights before they are rounded down, solution by solution.
+ROUNDINGS = (0.0, 0.5, 0.5, 0.999999)
 
 
 class Words(dict):
@@ -150,8 +151,8 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, seq_len: int = SEQ_LEN, e
     return src.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, part int, nth long" + ", ids array<int>" * with_ids)
 
 
-def best_pattern(price: np.ndarray, capacity: int) -> list[int]:
-    """Knapsack dynamic program: the multiset of lengths, within ``capacity``, of highest total price (index: length)."""
+def best_values(price: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Knapsack dynamic program: the highest total price of lengths within each room, and the last length taken there (index: length)."""
     best, took = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
     lengths = np.flatnonzero(price > 0)
     cost = price[lengths]
@@ -163,40 +164,44 @@ def best_pattern(price: np.ndarray, capacity: int) -> list[int]:
             k = int(value.argmax())
             if value[k] > best[room]:
                 best[room], took[room] = value[k], lengths[k]
-    out, room = [], capacity
+    return best, took
+
+
+def _taken(took: np.ndarray, room: int) -> list[int]:
+    out = []
     while room > 0:
         if took[room]:
             out.append(int(took[room]))
-            room -= int(took[room])
-        else:
-            room -= 1
+        room -= int(took[room]) or 1
     return out
 
 
-def pattern_weights(counts: dict[int, int], capacity: int, rounds: int = 300, step: float = 0.2) -> dict[tuple[int, ...], float]:
-    """A near-optimal fractional cover of ``counts`` by patterns, by multiplicative weights.
+def pattern_weights(counts: dict[int, int], capacity: int, rounds: int = ROUNDS, step: float = 0.2, short: float = 0.3) -> dict[tuple[int, ...], float]:
+    """A fractional packing of ``counts`` into patterns, by multiplicative weights.
 
-    Each round takes the pattern of highest price, as often as its scarcest length asks for (one ``step`` of it), and
-    lowers the prices of what it covers by exp(-share). Weights are scaled so that no length is covered beyond its
-    count on average; what falls short is left to rounding.
+    Each round prices lengths by the tokens they hold and takes, for each length, the dearest pattern that holds it, if it
+    costs at most the share ``short`` less than the dearest of all. It is taken as often as the round's part of its
+    scarcest length, one ``step`` of the count, allows; then the prices of what is covered sink by exp(-share). Weights
+    are scaled so that no length is covered beyond its count; what falls short is left to rounding.
     """
     lengths = np.array(sorted(counts))
     need = np.array([counts[x] for x in lengths], float)
+    place = {int(x): i for i, x in enumerate(lengths)}
     covered, weight = np.zeros(len(lengths)), Counter()
     price = np.zeros(capacity + 1)
     for _ in range(rounds):
-        # lengths count by the tokens they hold; covered ones are cheap
         log = -covered / need / step
         price[lengths] = lengths * np.exp(np.maximum(log - log.max(), -60))
-        pattern = best_pattern(price, capacity)
-        if not pattern:
-            break
-        used = Counter(pattern)
-        at = np.searchsorted(lengths, list(used))
-        times = np.array(list(used.values()), float)
-        amount = step * float((need[at] / times).min())
-        covered[at] += amount * times
-        weight[tuple(sorted(pattern, reverse=True))] += amount
+        best, took = best_values(price, capacity)
+        value, room = price[lengths] + best[capacity - lengths], step * need
+        for i in np.flatnonzero(value >= (1 - short) * best[capacity])[::-1]:
+            used = Counter([int(lengths[i]), *_taken(took, capacity - int(lengths[i]))])
+            amount = min(room[place[x]] / k for x, k in used.items())
+            if amount > 1e-9:
+                for x, k in used.items():
+                    room[place[x]] -= amount * k
+                    covered[place[x]] += amount * k
+                weight[tuple(sorted(used.elements(), reverse=True))] += amount
     most = float((covered / need).max(initial=0)) or 1.0
     return {p: w / most for p, w in weight.items()}
 
@@ -242,33 +247,44 @@ def best_fit(counts: dict[int, int], capacity: int) -> Counter:
     return out
 
 
-def _rounded(counts: Counter, weights: dict[tuple[int, ...], float], capacity: int) -> Counter:
-    """Patterns as often as their rounded weights say and counts allow, and best fit for all that is left."""
-    left, plan = Counter(counts), Counter()
+def _rounded(left: Counter, weights: dict[tuple[int, ...], float], up: float) -> Counter:
+    """Patterns as often as their weights plus ``up``, rounded down, say and ``left``, which shrinks, allows."""
+    plan: Counter = Counter()
     for pattern, w in sorted(weights.items(), key=lambda x: (-x[1], x[0])):
         used = Counter(pattern)
-        n = min(int(w + 0.5), *(left[x] // k for x, k in used.items()))
+        n = min(int(w + up), *(left[x] // k for x, k in used.items()))
         if n > 0:
             plan[pattern] += n
             left.subtract({x: n * k for x, k in used.items()})
-    plan.update(best_fit(left, capacity))
     return plan
 
 
-def pack_plan(counts: dict[int, int], capacity: int = SEQ_LEN, rounds: int = 300, gap: float = GAP) -> list[tuple[tuple[int, ...], int]]:
+def plan_parts(counts: dict[int, int], capacity: int = SEQ_LEN, rounds: int = ROUNDS) -> tuple[Counter, Counter]:
+    """Patterns of the rounded linear program, and best fit's for what rounding leaves.
+
+    The program is solved anew for what each rounding leaves: weights are rounded down, then twice to the nearest, then
+    up. Rounding up spends lengths that the rest may need, so of the roundings that took any pattern, as many count as
+    leave the fewest sequences in all, more of them if that is equal.
+    """
+    left, kept = Counter({x: n for x, n in counts.items() if n}), Counter()
+    found = []
+    for up in ROUNDINGS:
+        got = _rounded(left, pattern_weights(dict(left), capacity, rounds), up) if left else Counter()
+        if got:
+            kept, left = kept + got, Counter({x: n for x, n in left.items() if n})
+            found.append((kept, best_fit(left, capacity)))
+    return min(reversed(found), key=lambda f: sum(f[0].values()) + sum(f[1].values()), default=(kept, best_fit(left, capacity)))
+
+
+def pack_plan(counts: dict[int, int], capacity: int = SEQ_LEN, rounds: int = ROUNDS) -> list[tuple[tuple[int, ...], int]]:
     """(pattern, how many sequences of it): each length occurs in all of them exactly as often as ``counts`` says.
 
-    Best fit alone is taken if it needs at most ``gap`` more sequences than the tokens fill; else ``rounds`` of the
-    linear program are tried too, and the plan of fewer sequences is taken.
+    Pieces of a whole sequence stand alone; for all others see :func:`plan_parts`.
     """
-    left = Counter({x: n for x, n in counts.items() if n})
-    whole = left.pop(capacity, 0)
-    plan = best_fit(left, capacity)
-    least = -(-sum(x * n for x, n in left.items()) // capacity)
-    if sum(plan.values()) > least * (1 + gap):
-        plan = min(plan, _rounded(left, pattern_weights(dict(left), capacity, rounds), capacity), key=lambda p: sum(p.values()))
-    if whole:
-        plan[(capacity,)] += whole
+    rest = Counter({x: n for x, n in counts.items() if n})
+    whole = rest.pop(capacity, 0)
+    solved, repaired = plan_parts(rest, capacity, rounds)
+    plan = solved + repaired + Counter({(capacity,): whole} if whole else {})
     return sorted(plan.items(), key=lambda x: (-x[1], x[0]))
 
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 from hashlib import md5
 
+from lexiloom.llm import packing
 from lexiloom.operators import glossary, mechanical
 from lexiloom.plans.queries import QUERIES
 
@@ -63,3 +65,17 @@ def test_merged_glossaries_equal_a_plain_loop(spark):  # noqa: ANN001, ANN201
 def test_a_term_of_many_files_is_merged_without_a_row_of_all_its_entries(spark):  # noqa: ANN001, ANN201
     plan = glossary.merge_winners(spark.range(9).selectExpr("id pos", "'t' source", "string(id) target", "'d' domain", "'f' from_file", "1 priority"))._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list" not in plan
+
+
+def test_packing_comes_from_the_linear_program_even_where_best_fit_meets_the_bound(monkeypatch):  # noqa: ANN001, ANN201
+    counts, seen = {x: 1 + x % 7 for x in range(20, 2000, 9)}, []
+    least = -(-sum(x * n for x, n in counts.items()) // packing.SEQ_LEN)
+    alone, plain = sum(packing.best_fit(counts, packing.SEQ_LEN).values()), packing.best_fit
+    assert alone <= 1.01 * least
+    monkeypatch.setattr(packing, "best_fit", lambda left, capacity: seen.append(sum(x * n for x, n in left.items())) or plain(left, capacity))
+    plan, used = packing.pack_plan(counts), Counter()
+    for p, n in plan:
+        assert sum(p) <= packing.SEQ_LEN
+        used.update({x: k * n for x, k in Counter(p).items()})
+    assert used == Counter(counts) and seen and max(seen) < sum(x * n for x, n in counts.items())
+    assert sum(n for _, n in plan) <= 1.01 * least + 1

@@ -25,7 +25,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of word 5-shingles with similarity 0.8 or more: that of the smallest doc_id."""
+    """One document of each group of word 5-shingles with similarity 0.8 or more: that of the smallest doc_id.
+
+    Documents meet by their SimHash fingerprints of these shingles and op2's covering masks, and by MinHash bands where
+    similar documents differ in more bits; their shingle sets then decide.
+    """
     return simhash.keep_one(docs, jaccard.near_duplicates)
 
 

@@ -1,8 +1,10 @@
-"""Near-duplicates by the Jaccard similarity of word shingles.
+"""Near-duplicates by SimHash and the exact Jaccard similarity of word shingles.
 
-Documents of one shingle set are one class. Classes meet in buckets of MinHash bands; within a bucket shingle sets
-themselves are compared, so every link is a pair of at least the asked similarity. A pair of similarity s shares no band
-with probability (1 - s^ROWS)^BANDS: 3 in 100,000 at 0.8, less above.
+Documents of one shingle set are one class, with a SimHash fingerprint of that set. Classes whose fingerprints differ in
+few bits meet in the buckets of covering masks, as in :mod:`simhash`, without exception. Similar sets can differ in more
+bits, so classes meet in buckets of MinHash bands besides: a pair of similarity s shares no band with probability
+(1 - s^ROWS)^BANDS: 3 in 100,000 at 0.8, less above. Within a bucket shingle sets themselves are compared, so every link
+is a pair of at least the asked similarity.
 """
 
 from __future__ import annotations
@@ -16,9 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.llm.common import discard, materialize
-from lexiloom.llm.simhash import named_components, shingle_hashes
+from lexiloom.llm.simhash import covering_masks, majority_bits, named_components, shingle_hashes
 
 BANDS, ROWS = 20, 4
+#: Bits that two fingerprints may differ in to meet for certain.
+RADIUS = 3
 _FACTORS = np.random.default_rng(42).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -35,6 +39,14 @@ def band_keys(s: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(r.tobytes(), i) - (1 << 63) for i, r in enumerate(low)]
 
 
+def simhash_keys(s: np.ndarray, radius: int = RADIUS) -> list[int]:
+    """One signed long per covering mask: sets whose fingerprints differ in at most ``radius`` bits share one; none for an empty set."""
+    if not len(s):
+        return []
+    fp = majority_bits(s)
+    return [xxhash.xxh64_intdigest((fp & m % (1 << 64)).to_bytes(8, "little"), BANDS + i) - (1 << 63) for i, m in enumerate(covering_masks(radius))]
+
+
 def _class_of(s: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63) if len(s) else 0
 
@@ -101,7 +113,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = (shingle_set(t.as_py(), shingle, seed) for t in b.column(1))
-            fp, keys = zip(*((_class_of(s), band_keys(s)) for s in sets), strict=True) if b.num_rows else ((), ())
+            fp, keys = zip(*((_class_of(s), simhash_keys(s) + band_keys(s)) for s in sets), strict=True) if b.num_rows else ((), ())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "fp", "keys"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -9,6 +9,7 @@ v != 0 is orthogonal to all of them: there the two fingerprints agree under the
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,7 @@ BUCKET = 4096
 LEVELS = 5
 
 
+@cache
 def covering_masks(radius: int = 3, level: int = 0) -> list[int]:
     """2^(radius+1) - 1 masks, as signed longs; ``level`` chooses another assignment of vectors to bits."""
     n = (1 << (radius + 1)) - 1
@@ -52,7 +54,11 @@ def shingle_hashes(text: str | None, shingle: int, seed: int) -> np.ndarray:
 
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     """The 64-bit SimHash of a whole text, unsigned; zero if it has no word."""
-    h = shingle_hashes(text, shingle, seed)
+    return majority_bits(shingle_hashes(text, shingle, seed))
+
+
+def majority_bits(h: np.ndarray) -> int:
+    """The bits that over half of the hashes have; zero if there are none."""
     if not len(h):
         return 0
     total = np.zeros(BITS, np.int64)

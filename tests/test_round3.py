@@ -6,7 +6,8 @@ import random
 from collections import Counter
 from hashlib import md5
 
-from lexiloom.llm import packing
+import corpus_pipeline
+from lexiloom.llm import jaccard, packing, simhash
 from lexiloom.operators import glossary, mechanical
 from lexiloom.plans.queries import QUERIES
 
@@ -79,3 +80,17 @@ def test_packing_comes_from_the_linear_program_even_where_best_fit_meets_the_bou
         used.update({x: k * n for x, k in Counter(p).items()})
     assert used == Counter(counts) and seen and max(seen) < sum(x * n for x, n in counts.items())
     assert sum(n for _, n in plan) <= 1.01 * least + 1
+
+
+def test_pipeline_links_near_fingerprints_whatever_the_bands_say(spark, monkeypatch):  # noqa: ANN001, ANN201
+    rng = random.Random(2)
+    texts = {k: [f"w{rng.randrange(3000)}" for _ in range(1500)] for k in range(4)}
+    near = {10 + k: [*w[:-1], "changed"] for k, w in texts.items()}
+    docs = spark.createDataFrame([(k, " ".join(w), "en", "a", 1) for k, w in (texts | near).items()], "doc_id long, text string, lang string, source string, n_chars long")
+    sets = {k: jaccard.shingle_set(" ".join(w)) for k, w in (texts | near).items()}
+    apart = {k: (simhash.majority_bits(sets[k]) ^ simhash.majority_bits(sets[10 + k])).bit_count() for k in texts}
+    assert max(apart.values()) <= jaccard.RADIUS
+    assert all(set(jaccard.simhash_keys(sets[k])) & set(jaccard.simhash_keys(sets[10 + k])) for k in texts)
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == sorted(texts)
+    monkeypatch.setattr(jaccard, "band_keys", lambda s: [])
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == sorted(texts)

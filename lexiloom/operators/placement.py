@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexiloom.functions.procedural import character_counts, ratio_above
+from lexiloom.functions.procedural import best_windows, character_counts, lowest_grams, ratio_above
 from lexiloom.functions.text import bound
 
 #: Prefix lengths of a quote that are looked for, in order.
@@ -19,10 +19,18 @@ PREFIXES = (15, 10, 8, 5)
 REACH = 5
 #: Pages and windows whose character counts meet in one task.
 BLOCK = 256
+#: A document of up to so many blocks of pages, and of paragraphs, and so many characters of each, is searched in its row.
+ROW_BLOCKS, ROW_CHARS = 4, 1 << 20
 #: Length of the grams that lead from pages to paragraphs, and how many of a text are used.
 GRAM, LOWEST = 6, 16
 
 
+def _sizes() -> dict[str, Column]:
+    """Paragraphs ``w`` of a window and ``step`` to the next one, from a document's ``n`` paragraphs and ``n_pages`` pages."""
+    w = F.greatest(F.lit(2), F.floor(F.col("n") / F.col("n_pages"))).cast("int")
+    return {"w": w, "step": F.greatest(F.lit(1), F.floor(w / 2)).cast("int")}
+
+
 def _windows(pages: DataFrame, paragraphs: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """Paragraphs with the starts of the windows that hold them, and ``(key, start, combined, first_index, last_index)``.
 
@@ -31,7 +39,7 @@ def _windows(pages: DataFrame, paragraphs: DataFrame, key: str) -> tuple[DataFra
     n_pages = pages.groupBy(key).agg(F.count("*").alias("n_pages"))
     by = Window.partitionBy(key)
     numbered = paragraphs.select(key, "para_index", "text", (F.row_number().over(by.orderBy("para_index")) - 1).alias("i"), F.count("*").over(by).alias("n")).join(n_pages, key)
-    sized = numbered.withColumn("w", F.greatest(F.lit(2), F.floor(F.col("n") / F.col("n_pages"))).cast("int")).withColumn("step", F.greatest(F.lit(1), F.floor(F.col("w") / 2)).cast("int"))
+    sized = numbered.withColumns(_sizes())
     first = F.greatest(F.lit(0), F.floor((F.col("i") - F.col("w")) / F.col("step")).cast("int") + 1)
     starts = F.transform(F.sequence(first, F.floor(F.col("i") / F.col("step")).cast("int")), lambda k: (k * F.col("step")).cast("int"))
     placed = sized.select(key, "i", "para_index", "text", starts.alias("starts"))
@@ -40,10 +48,8 @@ def _windows(pages: DataFrame, paragraphs: DataFrame, key: str) -> tuple[DataFra
     return placed, held.agg(F.array_join(texts, " ").alias("combined"), F.min("para_index").alias("first_index"), F.max("para_index").alias("last_index"))
 
 
-def _lowest_grams(text: Column) -> Column:
-    """The LOWEST smallest hashes of a text's runs of GRAM characters: what a text shares with its parts."""
-    hashes = F.transform(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{GRAM}}}))"), 1), lambda g: F.xxhash64(g))
-    return F.slice(F.sort_array(F.array_distinct(hashes)), 1, LOWEST)
+#: The LOWEST smallest hashes of a text's runs of GRAM characters: what a text shares with its parts.
+_lowest_grams = lowest_grams(GRAM, LOWEST)
 
 
 def _seeds(filled: DataFrame, placed: DataFrame, key: str) -> DataFrame:
@@ -100,18 +106,27 @@ def page_candidates(asked: DataFrame, windows: DataFrame, key: str) -> DataFrame
     return _even(pairs.select(key, "_p", "_w")).mapInArrow(beat, f"{key} {kinds[key]}, page {kinds['page']}, start int, least double, seed int")
 
 
-def page_map(pages: DataFrame, paragraphs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Per page the paragraphs of the window that is most like it: ``(key, page, first_index, last_index, similarity)``.
+def _map_in_rows(filled: DataFrame, pages: DataFrame, paragraphs: DataFrame, key: str) -> DataFrame:
+    """``(key, page, b)`` of documents that fit a row each: their paragraphs and pages come together in it."""
+    of_pages = pages.groupBy(key).agg(F.count("*").alias("n_pages"))
+    asked = filled.groupBy(key).agg(F.collect_list(F.struct("page", "text")).alias("_p"))
+    texts = paragraphs.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("para_index", "text"))).alias("_t"), F.count("*").alias("n"))
+    rows = _even(texts.join(of_pages, key).join(asked, key).withColumns(_sizes()))
+    found = rows.select(key, "_p", F.transform("_t", lambda t: t["para_index"]).alias("_i"), "w", best_windows("_p.text", "_t.text", "w", "step").alias("_f"))
+    each = found.select(key, "_i", "w", F.explode(F.arrays_zip(F.col("_p.page").alias("page"), F.col("_f").alias("f"))).alias("x"))
+    held = F.slice("_i", F.col("x.f.start") + 1, F.col("w"))
+    b = F.struct(F.array_min(held).alias("first_index"), F.array_max(held).alias("last_index"), F.col("x.f.similarity").alias("similarity"))
+    best = each.select(key, "x.page", b.alias("b"), F.struct("x.f.similarity", -F.col("x.f.start")).alias("order"))
+    return best.groupBy(key, "page").agg(F.max_by("b", "order").alias("b"))
 
-    Windows have max(2, paragraphs // pages) paragraphs and start at every half window; the first of the best wins. A
-    blank page takes what the page before has. ``pages`` has key, page, text; ``paragraphs`` key, para_index, text.
+
+def _map_in_blocks(filled: DataFrame, pages: DataFrame, paragraphs: DataFrame, key: str) -> DataFrame:
+    """``(key, page, b)`` of documents of any length.
 
     An index of grams names a window for each page, which is compared first; only windows that can still win, by their
-    counts of characters and then by the longest sequence that both have in order, are compared after it. The result is
-    that of comparing all.
+    counts of characters and then by the longest sequence that both have in order, are compared after it.
     """
     placed, windows = _windows(pages, paragraphs, key)
-    filled = pages.filter(F.trim("text") != "").select(key, "page", "text")
     seeds = filled.join(_seeds(filled, placed, key), [key, "page"], "left").withColumnRenamed("start", "seed")
     first = seeds.join(windows.select(key, F.col("start").alias("seed"), "combined"), [key, "seed"], "left")
     # a page that shares no gram with its document begins with nothing
@@ -121,8 +136,26 @@ def page_map(pages: DataFrame, paragraphs: DataFrame, key: str = "doc_id") -> Da
     met = _even(left.join(filled, [key, "page"]).join(windows, [key, "start"]))
     is_seed = F.col("start") == F.col("seed")
     more = ratio_above("text", "combined", F.when(~is_seed, F.col("least")), F.col("start") < F.col("seed"))
-    scored = met.withColumn("similarity", F.coalesce(more, F.when(is_seed, F.col("least")))).filter("similarity is not null")
+    # what does not win is null and least in order: a filter would be moved before the rows are dealt, and compare twice
+    scored = met.withColumn("similarity", F.coalesce(more, F.when(is_seed, F.col("least"))))
     best = scored.groupBy(key, "page").agg(F.max_by(F.struct("first_index", "last_index", "similarity"), F.struct("similarity", -F.col("start"))).alias("b"))
+    return best.filter("b.similarity is not null")
+
+
+def page_map(pages: DataFrame, paragraphs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Per page the paragraphs of the window that is most like it: ``(key, page, first_index, last_index, similarity)``.
+
+    Windows have max(2, paragraphs // pages) paragraphs and start at every half window; the first of the best wins. A
+    blank page takes what the page before has. ``pages`` has key, page, text; ``paragraphs`` key, para_index, text.
+
+    Documents of up to ROW_BLOCKS blocks of pages and of paragraphs are searched in a row each, longer ones by blocks. The result is that of comparing all.
+    """
+    filled = pages.filter(F.trim("text") != "").select(key, "page", "text")
+    count = lambda d: d.groupBy(key).agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+    sizes = count(paragraphs).unionByName(count(pages))
+    long = sizes.filter((F.col("n") > ROW_BLOCKS * BLOCK) | (F.col("chars") > ROW_CHARS)).select(key).distinct()
+    of = lambda how: [d.join(long, key, how) for d in (filled, pages, paragraphs)]
+    best = _map_in_rows(*of("left_anti"), key).unionByName(_map_in_blocks(*of("left_semi"), key))
     all_pages = pages.select(key, "page").join(best, [key, "page"], "left")
     carried = F.last("b", ignorenulls=True).over(Window.partitionBy(key).orderBy("page").rowsBetween(Window.unboundedPreceding, 0))
     return all_pages.withColumn("b", carried).select(key, "page", "b.first_index", "b.last_index", "b.similarity")
